@@ -12,7 +12,7 @@ from framesift.schemas import MAX_TEXT_CHARS, PREVIEW_CHARS
 
 def to_base64(content: Column) -> Column:
     """Base64 on one line, whatever the session says about chunking."""
-    return F.translate(F.base64(content), "\r\n", "")
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
 
 
 def from_base64(text: Column) -> Column:

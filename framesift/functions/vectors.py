@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METRICS = ("cosine", "dot", "l2")
 
@@ -31,21 +33,34 @@ def dimension(vector: Column) -> Column:
     return F.when(vector.isNotNull(), F.size(vector))
 
 
+def _norms(vectors: pa.Array) -> pa.Array:
+    lengths = pc.min_max(vectors.value_lengths()).as_py()
+    if vectors.null_count == 0 and lengths["min"] is not None and lengths["min"] == lengths["max"]:
+        values = np.linalg.norm(to_matrix(vectors), axis=1)
+    else:
+        rows = (None if row is None else np.asarray(row, dtype=np.float64) for row in vectors.to_pylist())
+        values = np.array([np.nan if row is None else np.linalg.norm(row) for row in rows], dtype=np.float64)
+    return pa.array(values, type=pa.float64(), from_pandas=True)
+
+
 def norm(vector: Column) -> Column:
-    """Euclidean length, summed in double."""
-    squares = F.aggregate(
-        vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")
-    )
-    return F.sqrt(squares)
+    """Euclidean length in double; NULL for a NULL vector or one with NULL or NaN inside.
+
+    Arrow-batched like `similarity_to`, and marked so that a filter on it does
+    not compute it twice.
+    """
+    return F.arrow_udf(_norms, T.DoubleType()).asNondeterministic()(vector)
+
 
+def searchable_vectors(table: DataFrame, vector: str, dim: int | None = None, norm_column: str = "norm") -> DataFrame:
+    """Rows whose vector can be searched, with its norm added.
 
-def is_searchable(vector: Column, dim: int | None = None) -> Column:
-    """Not NULL, of the right length, with no NULL inside and not all zero."""
-    test = vector.isNotNull() & F.exists(vector, lambda x: x != 0)
-    test = test & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-    if dim is not None:
-        test = test & (F.size(vector) == dim)
-    return F.coalesce(test, F.lit(False))
+    Left out are NULL vectors, vectors with NULL or NaN inside, zero vectors
+    and, where ``dim`` is given, other lengths.
+    """
+    rows = table.filter(F.col(vector).isNotNull() if dim is None else F.size(vector) == dim)
+    measured = rows.withColumn(norm_column, norm(F.col(vector)))
+    return measured.filter((F.col(norm_column) > 0) & (F.col(norm_column) < float("inf")))
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -89,10 +104,12 @@ def similarity_to(query: Sequence[float], metric: str = "cosine"):
 
     def score(vectors: pa.Array) -> pa.Array:
         matrix = to_matrix(vectors)
+        if len(matrix) == 0:
+            return pa.array([], type=pa.float64())
         if metric == "l2":
-            values = np.linalg.norm(matrix - target[None, :], axis=1) if len(matrix) else np.empty(0)
+            values = np.linalg.norm(matrix - target[None, :], axis=1)
         else:
-            values = closeness(matrix, target[None, :], metric)[:, 0] if len(matrix) else np.empty(0)
-        return pa.array(rounded(values), type=pa.float64())
+            values = closeness(matrix, target[None, :], metric)[:, 0]
+        return pa.array(rounded(values), type=pa.float64(), from_pandas=True)
 
     return F.arrow_udf(score, "double")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.functions.vectors import to_matrix
@@ -40,41 +40,51 @@ def row_steps(n_rows: int, n_columns: int) -> Iterator[slice]:
         yield slice(first, min(first + step, n_rows))
 
 
-def compare_blocks(
-    rows: DataFrame,
-    sizes: DataFrame,
-    rules: Sequence[tuple[str, str, int]],
-    compare: Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray, bool], Iterator[pa.RecordBatch]],
-    schema: str,
-    block_rows: int,
-    few_cells: bool,
-) -> DataFrame:
-    """Run ``compare`` on every pair of blocks that ``rules`` asks for.
+Compare = Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray, bool], Iterator[pa.RecordBatch]]
 
-    ``rows`` has columns (cell, role, key, vec); ``sizes`` has (cell, role, n).
-    A rule (left role, right role, number) compares all rows of the one role
-    with all rows of the other inside each cell; with equal roles, every
-    unordered pair once. ``compare`` receives left keys and vectors, right keys
-    and vectors, and whether both sides are the same rows. ``few_cells`` says
-    the number of cells is bounded, so the block plan may be broadcast.
-    """
-    spark = rows.sparkSession
-    directed = []
+#: (left role, right role, number): which rows of a cell are compared with which.
+Rule = tuple[str, str, int]
+
+
+def _directed(rules: Sequence[Rule]) -> list[tuple[str, str, int, str]]:
+    """Each rule as seen from the rows of either role: (role, partner, rule, side)."""
+    seen = []
     for left, right, number in rules:
         if left == right:
-            directed.append((left, right, number, "B"))
+            seen.append((left, right, number, "B"))
         else:
-            directed.append((left, right, number, "L"))
-            directed.append((right, left, number, "R"))
-    rule_table = F.broadcast(
-        spark.createDataFrame(directed, "role string, partner string, rule int, side string")
+            seen.append((left, right, number, "L"))
+            seen.append((right, left, number, "R"))
+    return seen
+
+
+PLAN = "role string, own_blocks int, jobs array<struct<rule:int,side:string,partner_blocks:int>>"
+
+
+def _plan_of_few(spark: SparkSession, sizes: DataFrame, rules: Sequence[Rule], block_rows: int) -> DataFrame:
+    """Block plan of a bounded number of cells: one small row per cell and role."""
+    counted = {(row.cell, row.role): row.n for row in sizes.collect()}
+    blocks = {place: -(-n // block_rows) for place, n in counted.items()}
+    planned: dict[tuple, list] = {}
+    for (cell, role), n in counted.items():
+        for own, partner, rule, side in _directed(rules):
+            if own == role and (cell, partner) in blocks and (side != "B" or n > 1):
+                planned.setdefault((cell, role), []).append((rule, side, blocks[cell, partner]))
+    rows = [(cell, role, blocks[cell, role], jobs) for (cell, role), jobs in planned.items()]
+    return spark.createDataFrame(rows, "cell int, " + PLAN)
+
+
+def _plan_of_many(spark: SparkSession, sizes: DataFrame, rules: Sequence[Rule], block_rows: int) -> DataFrame:
+    """The same where the cells are themselves data: counted, joined and grouped by cell."""
+    table = F.broadcast(
+        spark.createDataFrame(_directed(rules), "role string, partner string, rule int, side string")
     )
     blocks = sizes.select("cell", "role", "n", F.ceil(F.col("n") / block_rows).cast("int").alias("own_blocks"))
     partners = blocks.select(
         "cell", F.col("role").alias("partner"), F.col("own_blocks").alias("partner_blocks")
     )
-    plan = (
-        blocks.join(rule_table, "role")
+    return (
+        blocks.join(table, "role")
         .join(partners, ["cell", "partner"])
         .filter((F.col("side") != "B") | (F.col("n") > 1))
         .groupBy("cell", "role")
@@ -82,11 +92,34 @@ def compare_blocks(
             F.first("own_blocks").alias("own_blocks"),
             F.collect_list(F.struct("rule", "side", "partner_blocks")).alias("jobs"),
         )
-    )  # at most one entry per rule in ``jobs``
+    )  # ``jobs`` has at most one entry per rule
+
+
+def compare_blocks(
+    rows: DataFrame,
+    sizes: DataFrame,
+    rules: Sequence[Rule],
+    compare: Compare,
+    schema: str,
+    block_rows: int,
+    few_cells: bool,
+) -> DataFrame:
+    """Run ``compare`` on every pair of blocks that ``rules`` asks for.
+
+    ``rows`` has columns (cell, role, key, vec); ``sizes`` has (cell, role, n).
+    A rule compares all rows of the one role with all rows of the other inside
+    each cell; with equal roles, every unordered pair once. ``compare``
+    receives left keys and vectors, right keys and vectors, and whether both
+    sides are the same rows. ``few_cells`` says the number of cells has a
+    bound, so the block plan may be broadcast.
+    """
+    spark = rows.sparkSession
     if few_cells:
+        plan = _plan_of_few(spark, sizes, rules, block_rows)
         planned = rows.join(F.broadcast(plan), ["cell", "role"])
     else:
-        planned = salted_join(rows, plan, ["cell", "role"], F.col("key"))
+        plan = _plan_of_many(spark, sizes, rules, block_rows)
+        planned = salted_join(rows, plan, sizes, ["cell", "role"], F.col("key"), hot_rows=16 * block_rows)
 
     own, other = F.col("own"), F.col("other")
     side = F.col("job.side")
@@ -108,7 +141,16 @@ def compare_blocks(
             "vec",
         )
     )
+    return placed.groupBy("cell", "rule", "a", "b").applyInArrow(_group_function(compare), schema)
+
+
+def compare_one_block(rows: DataFrame, compare: Compare, schema: str) -> DataFrame:
+    """``compare`` on all rows (key, vec) together; for tables known to fit one block."""
+    placed = rows.select((F.size("vec") * 0).alias("cell"), F.lit("B").alias("side"), "key", "vec")
+    return placed.groupBy("cell").applyInArrow(_group_function(compare), schema)
 
+
+def _group_function(compare: Compare):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         sides = table.column("side").to_numpy(zero_copy_only=False)
@@ -121,14 +163,23 @@ def compare_blocks(
             yield from compare(keys.take(pa.array(left)), matrix[left], keys.take(pa.array(right)), matrix[right], False)
 
     run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return placed.groupBy("cell", "rule", "a", "b").applyInArrow(run, schema)
+    return run
 
 
-def choose_pivots(vectors: DataFrame, count: int) -> tuple[list, np.ndarray]:
-    """``count`` rows of (key, vec) in hash order: a fixed, unbiased choice of bounded size."""
-    picked = (
-        vectors.select("key", "vec").orderBy(F.xxhash64("key"), "key").limit(count).collect()
-    )
+def choose_pivots(vectors: DataFrame, count: int, n_rows: int) -> tuple[list, np.ndarray]:
+    """About ``count`` rows of (key, vec), the first in hash order: fixed and unbiased.
+
+    The joins are exact whatever the pivots are. About twice as many rows as
+    needed pass the hash test, so that is all the ordering has to look at.
+    """
+    chance = min(1.0, 2.0 * count / max(1, n_rows) + 1e-9)
+    order = F.xxhash64("key")
+    candidates = vectors.select("key", "vec")
+    if chance < 1.0:
+        candidates = candidates.filter(order < int(-(2**63) + chance * 2**64))
+    picked = candidates.orderBy(order, "key").limit(count).collect()
+    if not picked:
+        picked = vectors.select("key", "vec").limit(1).collect()
     return [row.key for row in picked], np.array([row.vec for row in picked], dtype=np.float64)
 
 

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from framesift.functions.encoding import json_record
 
 
-def row_digest(columns: Sequence[str]) -> Column:
+def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
     """Digest of the named columns; NULL and "" differ, and it is never NULL itself."""
-    return F.unhex(F.sha2(json_record(columns), 256))
+    parts = []
+    for name in columns:
+        plain = df.schema[name].dataType.typeName() in ("string", "binary")
+        value = F.col(name) if plain else F.when(F.col(name).isNotNull(), json_record([name]))
+        parts.append(F.coalesce(F.sha2(value, 256), F.lit("-")))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -21,8 +26,8 @@ def snapshot_changes(old: DataFrame, new: DataFrame, key: str, columns: Sequence
     Compares values, so a table that was rewritten as a whole shows only its
     real changes. Keys are unique; only key and digest are shuffled.
     """
-    before = old.select(key, row_digest(columns).alias("_before"))
-    after = new.select(key, row_digest(columns).alias("_after"))
+    before = old.select(key, row_digest(old, columns).alias("_before"))
+    after = new.select(key, row_digest(new, columns).alias("_after"))
     change = (
         F.when(F.col("_before").isNull(), "insert")
         .when(F.col("_after").isNull(), "delete")

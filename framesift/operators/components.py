@@ -18,15 +18,15 @@ def _hook(links: DataFrame) -> DataFrame:
     """
     ways = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
     ways = ways.select(F.col("high").alias("node"), F.col("low").alias("near"))
-    lowest = ways.groupBy("node").agg(F.min("near").alias("low"))
-    lowest = lowest.select("node", F.least("node", "low").alias("low"))
+    lowest = ways.groupBy("node").agg(F.min("near").alias("low"), F.count("*").alias("n"))
+    lowest = lowest.select("node", F.least("node", "low").alias("low"), "n")
     large = (
-        salted_join(ways.filter("near > node"), lowest, ["node"], F.col("near"))
+        salted_join(ways.filter("near > node"), lowest.drop("n"), lowest, ["node"], F.col("near"))
         .select(F.col("near").alias("high"), "low")
         .distinct()
     )
-    lowest = large.groupBy("high").agg(F.min("low").alias("least"))
-    small = salted_join(large, lowest, ["high"], F.col("low"))
+    lowest = large.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+    small = salted_join(large, lowest.drop("n"), lowest, ["high"], F.col("low"))
     return (
         small.select("high", F.col("least").alias("low"))
         .unionByName(small.filter("low != least").select(F.col("low").alias("high"), F.col("least").alias("low")))

@@ -42,9 +42,8 @@ def exact_duplicate_members(images: DataFrame, key: str, content: Column) -> Dat
         hashed.groupBy("digest")
         .agg(F.min("key").alias("group_id"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("digest", "group_id")
     )
-    return salted_join(hashed, shared, ["digest"], F.col("key")).select("key", "group_id")
+    return salted_join(hashed, shared.drop("n"), shared, ["digest"], F.col("key")).select("key", "group_id")
 
 
 def near_duplicate_groups(
@@ -70,9 +69,9 @@ def keep_one(
         *((-value if down else value).alias(f"p{n}") for n, (value, down) in enumerate(zip(values, flags))),
         F.col("key"),
     )
-    winners = members.groupBy("group_id").agg(F.min(order).alias("best"))
-    winners = winners.select("group_id", F.col("best.key").alias("keep_key"))
-    joined = salted_join(members, winners, ["group_id"], F.col("key"))
+    winners = members.groupBy("group_id").agg(F.min(order).alias("best"), F.count("*").alias("n"))
+    winners = winners.select("group_id", F.col("best.key").alias("keep_key"), "n")
+    joined = salted_join(members, winners.drop("n"), winners, ["group_id"], F.col("key"))
     return joined.withColumn("kept", F.col("key") == F.col("keep_key"))
 
 

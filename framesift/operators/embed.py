@@ -86,9 +86,10 @@ def apply_once_per_value(df: DataFrame, column: str, output: str, model: Callabl
     """
     digest = F.unhex(F.sha2(F.col(column), 256))
     keyed = df.withColumn("_digest", digest)
-    values = keyed.filter(F.col(column).isNotNull()).select("_digest", column).distinct()
-    results = values.select("_digest", model(F.col(column)).alias(output))
-    joined = salted_join(keyed, results, ["_digest"], F.spark_partition_id(), how="left")
+    given = keyed.filter(F.col(column).isNotNull())
+    results = given.select("_digest", column).distinct().select("_digest", model(F.col(column)).alias(output))
+    sizes = given.groupBy("_digest").agg(F.count("*").alias("n"))
+    joined = salted_join(keyed, results, sizes, ["_digest"], F.spark_partition_id(), how="left")
     return joined.select(*df.columns, output)
 
 

@@ -75,11 +75,11 @@ def knn_join(
         first = queries.select(F.size("vec").alias("dim")).first()
         dim = first.dim if first else 1
     limit = B.rows_within_budget(dim, max_broadcast_bytes)
-    probe = queries.select("key", "vec").limit(limit + 1).toArrow()
-    if probe.num_rows == 0:
+    asked = queries.count()
+    if asked == 0:
         scored = _empty(queries, vectors)
-    elif probe.num_rows <= limit:
-        scored = _knn_by_broadcast(probe, vectors, wanted, metric)
+    elif asked <= limit:
+        scored = _knn_by_broadcast(queries.select("key", "vec").toArrow(), vectors, wanted, metric)
     else:
         scored = _knn_by_cells(queries, vectors, wanted, metric, dim, block_rows)
     return _rank(scored, k, metric, exclude_self)
@@ -148,7 +148,7 @@ def _knn_by_cells(
     spark = vectors.sparkSession
     unit = metric == "cosine"
     n_rows = vectors.count()
-    _, pivots = B.choose_pivots(vectors, B.cell_count(n_rows, dim, block_rows))
+    _, pivots = B.choose_pivots(vectors, B.cell_count(n_rows, dim, block_rows), n_rows)
     if len(pivots) == 0:
         return _empty(queries, vectors)
     shared = spark.sparkContext.broadcast(unit_rows(pivots) if unit else pivots)

@@ -6,13 +6,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions.encoders import Encoder, text_encoder
-from framesift.functions.vectors import as_vector, check_metric, closeness, is_searchable, rounded, to_matrix
+from framesift.functions.vectors import as_vector, check_metric, closeness, rounded, searchable_vectors, to_matrix
 from framesift.operators.blocks import BROADCAST_BYTES, rows_within_budget
 from framesift.operators.knn import knn_join
 
@@ -21,10 +22,14 @@ def kmeans_clusters(
     table: DataFrame, key: str, vector: str, k: int, seed: int = 17, max_iter: int = 20
 ) -> DataFrame:
     """(key, cluster) by MLlib k-means with cosine distance; only centres leave the executors."""
-    points = table.filter(is_searchable(F.col(vector))).select(
-        F.col(key).alias("key"), array_to_vector(as_vector(F.col(vector))).alias("features")
-    )
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure="cosine", predictionCol="cluster").fit(points)
+    rows = table.select(F.col(key).alias("key"), as_vector(F.col(vector)).alias("vec"))
+    points = searchable_vectors(rows, "vec").select("key", array_to_vector("vec").alias("features"))
+    kmeans = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure="cosine", predictionCol="cluster")
+    held = points.persist(StorageLevel.MEMORY_AND_DISK)  # read once per iteration
+    try:
+        model = kmeans.fit(held)
+    finally:
+        held.unpersist()
     return model.transform(points).select("key", "cluster")
 
 
@@ -43,20 +48,19 @@ def nearest_label(
     general nearest-neighbour join.
     """
     check_metric(metric)
-    probe_row = labels.select(F.size("vec").alias("dim")).first()
-    if probe_row is None:
+    size = labels.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if not size.n:
         raise ValueError("no labels")
-    dim = probe_row.dim
-    rows = table.filter(is_searchable(F.col(vector), dim)).select(
-        F.col(key).alias("key"), as_vector(F.col(vector)).alias("vec")
+    rows = searchable_vectors(
+        table.select(F.col(key).alias("key"), as_vector(F.col(vector)).alias("vec")), "vec", size.dim
     )
-    limit = rows_within_budget(dim, max_broadcast_bytes)
-    few = labels.select("key", "vec").limit(limit + 1).toArrow()
-    if few.num_rows > limit:
-        nearest = knn_join(rows, labels, 1, metric, dim=dim, max_broadcast_bytes=max_broadcast_bytes)
+    if size.n > rows_within_budget(size.dim, max_broadcast_bytes):
+        nearest = knn_join(
+            rows.select("key", "vec"), labels, 1, metric, dim=size.dim, max_broadcast_bytes=max_broadcast_bytes
+        )
         return nearest.select(F.col("query_key").alias("key"), F.col("key").alias("label"), "score")
 
-    few = few.sort_by("key")
+    few = labels.select("key", "vec").toArrow().sort_by("key")
     shared = table.sparkSession.sparkContext.broadcast(
         (few.column("key").combine_chunks(), to_matrix(few.column("vec")))
     )

@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.functions.vectors import as_vector, is_searchable, rounded, to_matrix, unit_rows
+from framesift.functions.vectors import as_vector, rounded, searchable_vectors, to_matrix, unit_rows
 from framesift.operators import blocks as B
 from framesift.operators.skew import salted_join
 from framesift.session import cut_lineage
@@ -25,6 +25,11 @@ PAIR_COLUMNS = "key_a {0}, key_b {0}, score double"
 LINK_COLUMNS = "key {0}, root {0}"
 
 
+def _valid(table: DataFrame, key: str, vector: str, dim: int | None) -> DataFrame:
+    rows = table.select(F.col(key).alias("key"), as_vector(F.col(vector)).alias("vec"))
+    return searchable_vectors(rows, "vec", dim).select("key", "vec")
+
+
 def distinct_vectors(table: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
     """One row per distinct valid vector: (key, vec, copies), key being the lowest.
 
@@ -32,8 +37,7 @@ def distinct_vectors(table: DataFrame, key: str, vector: str, dim: int | None =
     a third of the table costs one row per task.
     """
     return (
-        table.select(F.col(key).alias("key"), as_vector(F.col(vector)).alias("vec"))
-        .filter(is_searchable(F.col("vec"), dim))
+        _valid(table, key, vector, dim)
         .groupBy("vec")
         .agg(F.min("key").alias("key"), F.count("*").alias("copies"))
     )
@@ -173,11 +177,9 @@ def _similarity_join(vectors: DataFrame, threshold: float, links: bool, block_ro
         return spark.createDataFrame([], schema)
     count = B.cell_count(size.n, size.dim, block_rows)
     if count == 1:
-        rows = vectors.select(F.lit(0).alias("cell"), F.lit("hn").alias("role"), "key", "vec")
-        sizes = spark.createDataFrame([(0, "hn", size.n)], "cell int, role string, n long")
-        return B.compare_blocks(rows, sizes, [("hn", "hn", 0)], compare, schema, block_rows, few_cells=True)
+        return B.compare_one_block(vectors, compare, schema)
 
-    pivot_keys, pivots = B.choose_pivots(vectors, count)
+    pivot_keys, pivots = B.choose_pivots(vectors, count, size.n)
     narrow = _assign(vectors, pivots, threshold, key_type, mark_core=links, narrow=True)
     if links:
         narrow = cut_lineage(narrow)
@@ -222,16 +224,14 @@ def near_duplicate_pairs(
 
 def exact_vector_copies(table: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
     """Links (key, root) from every further copy of a vector to its lowest key."""
-    rows = table.select(F.col(key).alias("key"), as_vector(F.col(vector)).alias("vec")).filter(
-        is_searchable(F.col("vec"), dim)
-    )
+    rows = _valid(table, key, vector, dim)
     # The digest keeps the join narrow; the vectors themselves are not shuffled.
     # Adding zero turns -0.0 into 0.0, as grouping by the vector does.
     plain = F.struct(F.transform("vec", lambda x: x + F.lit(0.0).cast("float")).alias("vec"))
     hashed = rows.select("key", F.unhex(F.sha2(F.to_json(plain), 256)).alias("digest"))
     shared = hashed.groupBy("digest").agg(F.min("key").alias("root"), F.count("*").alias("n")).filter("n > 1")
     return (
-        salted_join(hashed, shared.select("digest", "root"), ["digest"], F.col("key"))
+        salted_join(hashed, shared.select("digest", "root"), shared, ["digest"], F.col("key"))
         .filter(F.col("key") != F.col("root"))
         .select("key", "root")
     )
@@ -278,10 +278,8 @@ def near_duplicate_pairs_lsh(
     schema = PAIR_COLUMNS.format(key_type)
     if vectors.isEmpty():
         return vectors.sparkSession.createDataFrame([], schema)
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.withColumn("length", length).withColumn(
-        "features", array_to_vector(F.transform("vec", lambda x: x.cast("double") / F.col("length")))
-    )
+    points = vectors.withColumn("point", array_to_vector("vec"))
+    unit = Normalizer(p=2.0, inputCol="point", outputCol="features").transform(points)
     lsh = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
     )

@@ -7,25 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces a hot key is cut into. One third of all rows under one key becomes
-#: about one hundredth per task.
-SALTS = 32
+#: Rows of one key a task may take beside its fair share. A key with more is
+#: hot and is cut into pieces of about this size.
+HOT_ROWS = 1_000_000
 
 
 def salted_join(
     rows: DataFrame,
     groups: DataFrame,
+    sizes: DataFrame,
     on: Sequence[str],
     spread: Column,
     how: str = "inner",
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``rows`` to one-row-per-key ``groups`` without sending a hot key to one task.
 
-    Rows of a key are spread over ``salts`` pieces by the hash of ``spread``;
-    each group row is repeated once per piece. ``groups`` should be narrow: it
-    is the side that is multiplied. ``how`` may be inner, left or left_semi.
+    ``sizes`` gives the rows ``n`` of every key. Keys above ``hot_rows`` are few
+    (at most total rows / ``hot_rows``), so their list can be broadcast. Rows
+    of a hot key are spread over ceil(n / hot_rows) pieces by the hash of
+    ``spread`` and its group row is repeated once per piece; all other keys are
+    joined as they are. ``how`` is inner or left.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    hot = F.broadcast(
+        sizes.filter(F.col("n") > hot_rows).select(
+            *on, F.ceil(F.col("n") / hot_rows).cast("int").alias("_pieces")
+        )
+    )
+    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
+    salted = rows.join(hot, [*on], "left").withColumn("_salt", F.pmod(F.xxhash64(spread), pieces).cast("int"))
+    repeated = groups.join(hot, [*on], "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), pieces - F.lit(1)))
+    )
+    return salted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_salt"], how).drop("_salt")

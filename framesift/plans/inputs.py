@@ -33,7 +33,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("file:/data/"), "source", F.lit("/"), "doc_id", F.lit(".jpg")).alias("path"),
         F.timestamp_seconds(F.col("doc_id") * 3600).alias("modificationTime"),
         F.octet_length("text").cast("long").alias("length"),
-        F.encode("text", "UTF-8").alias("content"),
+        F.col("text").cast("binary").alias("content"),
     )
 
 

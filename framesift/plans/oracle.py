@@ -147,8 +147,6 @@ SELECT folder, count(*) AS grouped_files,
        coalesce(sum(size_bytes) FILTER (key <> keep_key), 0)::BIGINT AS saved_bytes
 FROM decided GROUP BY folder"""
 
-BROKEN = "CASE WHEN lang = 'es' THEN NULL WHEN lang = 'de' THEN NULL ELSE text END"
-
 
 def _embedded_components(relation: str, keys: str, content: str = "text") -> str:
     return f"""
@@ -176,7 +174,7 @@ WITH {IMAGES}
 SELECT folder, count(*) AS files, sum(size_bytes)::BIGINT AS total_bytes FROM images GROUP BY folder""",
     "base64_decode": """
 SELECT doc_id, length(base64(encode(text)))::INTEGER AS encoded_chars,
-       CASE WHEN lang <> 'es' THEN octet_length(from_base64(base64(encode(text)))) END::INTEGER AS decoded_bytes,
+       CASE WHEN lang <> 'es' THEN octet_length(from_base64(base64(encode(text)))) ELSE 0 END::INTEGER AS decoded_bytes,
        lang <> 'es' AS restored FROM documents""",
     "json_records": """
 SELECT doc_id, to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'source': source, 'n_chars': n_chars})::VARCHAR
@@ -203,7 +201,8 @@ WITH hits AS (
   SELECT doc_id, 'NAME' AS entity, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word FROM documents
   UNION ALL
   SELECT doc_id, 'NUMBER', unnest(regexp_extract_all(text, '[0-9]+')) FROM documents)
-SELECT doc_id, entity, word, count(*) AS mentions, count(*) AS located FROM hits GROUP BY ALL""",
+SELECT doc_id, entity, word, count(*) AS mentions, sum(length(word))::BIGINT AS mentioned_chars
+FROM hits GROUP BY ALL""",
     "entity_counts": """
 SELECT conv_id, turn,
        (len(regexp_extract_all(text, '[A-Z][a-z]+')) + len(regexp_extract_all(text, '[0-9]+')))::INTEGER AS entities

@@ -14,7 +14,7 @@ from framesift.operators import near_duplicates as near
 from framesift.operators.knn import knn_join
 from framesift.plans import inputs as I
 from framesift.schemas import FOLDER_TERMS
-from framesift.session import new_shared_path, ship_package
+from framesift.session import cut_lineage, new_shared_path, ship_package
 from framesift.streaming.sync import arriving_rows, sync_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +65,7 @@ def image_paths(spark, sf):
 def rejected_files(spark, sf):
     readable = I.table(spark, sf, "documents").select(
         F.concat(F.lit("file:/data/"), "source", F.lit("/"), "doc_id", F.lit(".jpg")).alias("path"),
-        F.when(F.col("lang") != "es", F.encode("text", "UTF-8")).alias("content"),
+        F.when(F.col("lang") != "es", F.col("text").cast("binary")).alias("content"),
     )
     return ingest.rejected_files(readable)
 
@@ -77,14 +77,14 @@ def folder_stats(spark, sf):
 
 @query
 def base64_decode(spark, sf):
-    encoded = encoding.to_base64(F.encode("text", "UTF-8"))
+    encoded = encoding.to_base64(F.col("text").cast("binary"))
     broken = F.when(F.col("lang") == "es", F.concat(F.lit("%"), encoded)).otherwise(encoded)
     decoded = encoding.from_base64(broken)
     return I.table(spark, sf, "documents").select(
         "doc_id",
         F.length(encoded).alias("encoded_chars"),
-        F.octet_length(decoded).alias("decoded_bytes"),
-        F.coalesce(F.decode(decoded, "UTF-8") == F.col("text"), F.lit(False)).alias("restored"),
+        F.coalesce(F.octet_length(decoded), F.lit(0)).alias("decoded_bytes"),
+        F.coalesce(decoded.cast("string") == F.col("text"), F.lit(False)).alias("restored"),
     )
 
 
@@ -126,7 +126,7 @@ def embed_turns(spark, sf):
 @query
 def embed_images(spark, sf):
     """NULL and broken images among good ones: their vectors are NULL, the rest is unaffected."""
-    encoded = encoding.to_base64(F.encode("text", "UTF-8"))
+    encoded = encoding.to_base64(F.col("text").cast("binary"))
     broken = F.when(F.col("lang") == "es", F.concat(F.lit("%"), encoded)).when(F.col("lang") != "de", encoded)
     images = I.table(spark, sf, "documents").select("doc_id", broken.alias("image_base64"))
     embedded = embed.embed_images(images, I.encoder, "image_base64")
@@ -180,12 +180,10 @@ def embed_pending(spark, sf):
 @query
 def entities(spark, sf):
     documents = I.table(spark, sf, "documents").select("doc_id", "text")
-    found = embed.tag_entities(documents, I.tagger).select("doc_id", "text", F.explode("ner").alias("hit"))
-    located = F.substring("text", F.col("hit.start") + 1, F.col("hit.end") - F.col("hit.start")) == F.col("hit.word")
-    return (
-        found.select("doc_id", "hit.entity", "hit.word", located.cast("long").alias("located"))
-        .groupBy("doc_id", "entity", "word")
-        .agg(F.count("*").alias("mentions"), F.sum("located").alias("located"))
+    found = embed.tag_entities(documents, I.tagger).select("doc_id", F.explode("ner").alias("hit"))
+    return found.groupBy("doc_id", "hit.entity", "hit.word").agg(
+        F.count("*").alias("mentions"),
+        F.sum((F.col("hit.end") - F.col("hit.start")).cast("long")).alias("mentioned_chars"),
     )
 
 
@@ -414,7 +412,7 @@ def change_feed(spark, sf):
 def synced_snapshot(spark, sf):
     """The old snapshot with the change feed applied."""
     old, new = _snapshots(spark, sf)
-    feed = changes.snapshot_changes(old, new, "file_path", ["text"])
+    feed = cut_lineage(changes.snapshot_changes(old, new, "file_path", ["text"]))  # used twice
     return changes.apply_changes(old, changes.rows_to_write(new, feed, "file_path"), feed, "file_path")
 
 
@@ -490,7 +488,7 @@ def duplicate_groups(spark, sf):
 def embedded_duplicate_groups(spark, sf):
     """Groups of texts with the same vector: many exact copies, some of them large groups."""
     documents = I.table(spark, sf, "documents").select("doc_id", "text")
-    embedded = embed.embed_texts(documents, I.encoder, "text")
+    embedded = cut_lineage(embed.embed_texts(documents, I.encoder, "text").select("doc_id", "embeddings"))
     return duplicates.near_duplicate_groups(embedded, "doc_id", "embeddings", 0.95)
 
 

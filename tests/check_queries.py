@@ -6,6 +6,7 @@ import os
 import sys
 import time
 import traceback
+from numbers import Real
 
 import duckdb
 import pandas as pd
@@ -21,7 +22,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     rows = []
     for row in frame.itertuples(index=False, name=None):
-        rows.append(tuple(None if pd.isna(v) else (round(float(v), 9) if isinstance(v, float) else v) for v in row))
+        rows.append(tuple(None if pd.isna(v) else (round(float(v), 9) if isinstance(v, Real) else v) for v in row))
     return sorted(rows, key=repr)
 
 
