@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -52,6 +53,18 @@ def norm(vector: Column) -> Column:
     return F.arrow_udf(_norms, T.DoubleType()).asNondeterministic()(vector)
 
 
+def _digests(vectors: pa.Array) -> pa.Array:
+    if len(vectors) == 0:
+        return pa.array([], type=pa.binary())
+    rows = to_matrix(vectors).astype(np.float32) + np.float32(0.0)  # -0.0 becomes 0.0
+    return pa.array([hashlib.sha256(row.tobytes()).digest() for row in rows], type=pa.binary())
+
+
+def vector_digest(vector: Column) -> Column:
+    """SHA-256 of a valid vector's components; vectors of one length, equal if and only if alike."""
+    return F.arrow_udf(_digests, T.BinaryType()).asNondeterministic()(vector)
+
+
 def searchable_vectors(table: DataFrame, vector: str, dim: int | None = None, norm_column: str = "norm") -> DataFrame:
     """Rows whose vector can be searched, with its norm added.
 

@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.functions.vectors import to_matrix
-from framesift.operators.skew import salted_join
+from framesift.operators.skew import hot_keys, salted_join
 
 #: Rows per block: 8192 vectors of length 768 are 24 MB.
 BLOCK_ROWS = 8192
 
+#: Pairs of blocks a task compares, at most.
+PAIRS_PER_TASK = 16
+
 #: Largest score matrix held at a time, in entries (32 MB of doubles).
 MATRIX_ENTRIES = 4_000_000
 
@@ -61,17 +64,22 @@ def _directed(rules: Sequence[Rule]) -> list[tuple[str, str, int, str]]:
 PLAN = "role string, own_blocks int, jobs array<struct<rule:int,side:string,partner_blocks:int>>"
 
 
-def _plan_of_few(spark: SparkSession, sizes: DataFrame, rules: Sequence[Rule], block_rows: int) -> DataFrame:
-    """Block plan of a bounded number of cells: one small row per cell and role."""
+def _plan_of_few(
+    spark: SparkSession, sizes: DataFrame, rules: Sequence[Rule], block_rows: int
+) -> tuple[DataFrame, int]:
+    """Block plan of a bounded number of cells, one small row per cell and role; and the pairs of blocks."""
     counted = {(row.cell, row.role): row.n for row in sizes.collect()}
     blocks = {place: -(-n // block_rows) for place, n in counted.items()}
     planned: dict[tuple, list] = {}
+    pairs = 0
     for (cell, role), n in counted.items():
         for own, partner, rule, side in _directed(rules):
             if own == role and (cell, partner) in blocks and (side != "B" or n > 1):
                 planned.setdefault((cell, role), []).append((rule, side, blocks[cell, partner]))
+                count = blocks[cell, role] * blocks[cell, partner]
+                pairs += {"B": (count + blocks[cell, role]) // 2, "L": count, "R": 0}[side]
     rows = [(cell, role, blocks[cell, role], jobs) for (cell, role), jobs in planned.items()]
-    return spark.createDataFrame(rows, "cell int, " + PLAN)
+    return spark.createDataFrame(rows, "cell int, " + PLAN), pairs
 
 
 def _plan_of_many(spark: SparkSession, sizes: DataFrame, rules: Sequence[Rule], block_rows: int) -> DataFrame:
@@ -115,11 +123,14 @@ def compare_blocks(
     """
     spark = rows.sparkSession
     if few_cells:
-        plan = _plan_of_few(spark, sizes, rules, block_rows)
+        plan, pairs = _plan_of_few(spark, sizes, rules, block_rows)
         planned = rows.join(F.broadcast(plan), ["cell", "role"])
+        partitions = _partitions(spark, pairs)
     else:
         plan = _plan_of_many(spark, sizes, rules, block_rows)
-        planned = salted_join(rows, plan, sizes, ["cell", "role"], F.col("key"), hot_rows=16 * block_rows)
+        on = ["cell", "role"]
+        planned = salted_join(rows, plan, on, hot_keys(sizes, on, 16 * block_rows), F.col("key"))
+        partitions = None
 
     own, other = F.col("own"), F.col("other")
     side = F.col("job.side")
@@ -141,7 +152,16 @@ def compare_blocks(
             "vec",
         )
     )
-    return placed.groupBy("cell", "rule", "a", "b").applyInArrow(_group_function(compare), schema)
+    group = ["cell", "rule", "a", "b"]
+    if partitions:
+        placed = placed.repartition(partitions, *group)
+    return placed.groupBy(*group).applyInArrow(_group_function(compare), schema)
+
+
+def _partitions(spark: SparkSession, pairs: int) -> int:
+    """Tasks for so many pairs of blocks: by the work, which the bytes shuffled do not show."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(pairs, max(usual, -(-pairs // PAIRS_PER_TASK))))
 
 
 def compare_one_block(rows: DataFrame, compare: Compare, schema: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.operators.components import connected_groups
-from framesift.operators.near_duplicates import near_duplicate_links
-from framesift.operators.skew import salted_join
+from framesift.operators.near_duplicates import equal_members, near_duplicate_links
+from framesift.operators.skew import hot_keys, salted_join
+from framesift.session import cut_lineage
 
 
 def content_digest(content: Column) -> Column:
@@ -34,16 +35,11 @@ def exact_duplicate_groups(images: DataFrame, key: str, content: Column, size: C
 def exact_duplicate_members(images: DataFrame, key: str, content: Column) -> DataFrame:
     """(key, group_id) for every row whose content occurs more than once; group id is the lowest key.
 
-    Only key and digest are shuffled. A content that fills a third of the table
-    is counted on the map side and its rows are spread over many tasks.
+    The content is read once, and only key and digest are shuffled; see
+    `equal_members` for contents that are very frequent.
     """
     hashed = images.select(F.col(key).alias("key"), F.unhex(content_digest(content)).alias("digest"))
-    shared = (
-        hashed.groupBy("digest")
-        .agg(F.min("key").alias("group_id"), F.count("*").alias("n"))
-        .filter("n > 1")
-    )
-    return salted_join(hashed, shared.drop("n"), shared, ["digest"], F.col("key")).select("key", "group_id")
+    return equal_members(hashed, "digest").select("key", F.col("root").alias("group_id"))
 
 
 def near_duplicate_groups(
@@ -58,7 +54,8 @@ def keep_one(
 ) -> DataFrame:
     """Add ``keep_key`` and ``kept``: one row stays per group.
 
-    ``members`` has (key, group_id) and whatever ``prefer`` reads. The first
+    ``members`` has (key, group_id) and whatever ``prefer`` reads, and is best
+    kept to that, as it is written out once. The first
     preference decides, then the next, then the lowest key; ``descending`` marks
     numeric preferences where larger is better. The winner is the minimum of an
     ordering struct, which combines on the map side: no task sorts a group.
@@ -69,9 +66,10 @@ def keep_one(
         *((-value if down else value).alias(f"p{n}") for n, (value, down) in enumerate(zip(values, flags))),
         F.col("key"),
     )
+    members = cut_lineage(members)
     winners = members.groupBy("group_id").agg(F.min(order).alias("best"), F.count("*").alias("n"))
-    winners = winners.select("group_id", F.col("best.key").alias("keep_key"), "n")
-    joined = salted_join(members, winners.drop("n"), winners, ["group_id"], F.col("key"))
+    winners = cut_lineage(winners.select("group_id", F.col("best.key").alias("keep_key"), "n"))
+    joined = salted_join(members, winners.drop("n"), ["group_id"], hot_keys(winners, ["group_id"]), F.col("key"))
     return joined.withColumn("kept", F.col("key") == F.col("keep_key"))
 
 

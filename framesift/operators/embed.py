@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from framesift.functions.encoders import Encoder, Tagger, entity_tagger, image_encoder, text_encoder
 from framesift.functions.encoding import from_base64, model_text
-from framesift.operators.skew import salted_join
+from framesift.operators.skew import hot_keys, salted_join
 from framesift.schemas import PREVIEW_ROWS
+from framesift.session import cut_lineage
 
 
 def input_column(df: DataFrame, name: str | None = None) -> str:
@@ -86,10 +87,10 @@ def apply_once_per_value(df: DataFrame, column: str, output: str, model: Callabl
     """
     digest = F.unhex(F.sha2(F.col(column), 256))
     keyed = df.withColumn("_digest", digest)
-    given = keyed.filter(F.col(column).isNotNull())
-    results = given.select("_digest", column).distinct().select("_digest", model(F.col(column)).alias(output))
-    sizes = given.groupBy("_digest").agg(F.count("*").alias("n"))
-    joined = salted_join(keyed, results, sizes, ["_digest"], F.spark_partition_id(), how="left")
+    values = keyed.filter(F.col(column).isNotNull()).groupBy("_digest", column).agg(F.count("*").alias("n"))
+    results = cut_lineage(values.select("_digest", "n", model(F.col(column)).alias(output)))
+    hot = hot_keys(results, ["_digest"])
+    joined = salted_join(keyed, results.drop("n"), ["_digest"], hot, F.spark_partition_id(), how="left")
     return joined.select(*df.columns, output)
 
 

@@ -13,9 +13,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.functions.vectors import as_vector, rounded, searchable_vectors, to_matrix, unit_rows
+from framesift.functions.vectors import as_vector, rounded, searchable_vectors, to_matrix, unit_rows, vector_digest
 from framesift.operators import blocks as B
-from framesift.operators.skew import salted_join
+from framesift.operators.skew import hot_keys, salted_join
 from framesift.session import cut_lineage
 
 #: Slack of the pruning test; larger than any rounding of scores.
@@ -224,17 +224,24 @@ def near_duplicate_pairs(
 
 def exact_vector_copies(table: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
     """Links (key, root) from every further copy of a vector to its lowest key."""
-    rows = _valid(table, key, vector, dim)
-    # The digest keeps the join narrow; the vectors themselves are not shuffled.
-    # Adding zero turns -0.0 into 0.0, as grouping by the vector does.
-    plain = F.struct(F.transform("vec", lambda x: x + F.lit(0.0).cast("float")).alias("vec"))
-    hashed = rows.select("key", F.unhex(F.sha2(F.to_json(plain), 256)).alias("digest"))
-    shared = hashed.groupBy("digest").agg(F.min("key").alias("root"), F.count("*").alias("n")).filter("n > 1")
-    return (
-        salted_join(hashed, shared.select("digest", "root"), shared, ["digest"], F.col("key"))
-        .filter(F.col("key") != F.col("root"))
-        .select("key", "root")
-    )
+    hashed = _valid(table, key, vector, dim).select("key", vector_digest(F.col("vec")).alias("digest"))
+    members = equal_members(hashed, "digest")
+    return members.filter(F.col("key") != F.col("root")).select("key", "root")
+
+
+def equal_members(rows: DataFrame, value: str) -> DataFrame:
+    """(key, root) for every row whose ``value`` occurs more than once; root is the lowest such key.
+
+    ``rows`` has the key and a digest. They are written out once, narrow as
+    they are, so that whatever they were made from is read a single time. A
+    value that fills a third of the table is counted on the map side and its
+    rows are spread over many tasks.
+    """
+    rows = cut_lineage(rows.select("key", value))
+    groups = rows.groupBy(value).agg(F.min("key").alias("root"), F.count("*").alias("n")).filter("n > 1")
+    groups = cut_lineage(groups)
+    joined = salted_join(rows, groups.drop("n"), [value], hot_keys(groups, [value]), F.col("key"))
+    return joined.select("key", "root")
 
 
 def near_duplicate_links(
@@ -290,7 +297,7 @@ def near_duplicate_pairs_lsh(
         "key",
         "vec",
     )
-    sizes = rows.groupBy("cell", "role").agg(F.count("*").alias("n"))
+    sizes = cut_lineage(rows.groupBy("cell", "role").agg(F.count("*").alias("n")))
     found = B.compare_blocks(
         rows, sizes, [("hn", "hn", 0)], _emit_pairs(threshold), schema, block_rows, few_cells=False
     )

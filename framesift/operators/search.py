@@ -164,10 +164,15 @@ def displayable(hits: DataFrame, path: str = "file_path") -> DataFrame:
 def with_content(hits: DataFrame, images: DataFrame, columns: Sequence[str], key: str = "file_path") -> DataFrame:
     """Add columns of the image table to a result list.
 
-    ``hits`` is the output of a search, at most ``k`` rows, so it is the side
-    sent to every task; the image table is scanned where it lies.
+    ``hits`` is the output of a search, at most ``k`` rows. They are fetched
+    first, so that the image scan is given their keys and can pass over files
+    and row groups that hold none; only then are the wide columns read.
     """
-    return images.select(key, *columns).join(F.broadcast(hits), key)
+    spark = images.sparkSession
+    found = hits.collect()
+    keys = [row[key] for row in found]
+    listed = spark.createDataFrame(found, hits.schema)
+    return images.filter(F.col(key).isin(keys)).select(key, *columns).join(F.broadcast(listed), key)
 
 
 def as_text_rows(hits: DataFrame, columns: Sequence[str] = RESULT_COLUMNS) -> DataFrame:
