@@ -14,6 +14,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -48,18 +49,19 @@ class HashEncoder:
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
 
-    def _encode(self, content: bytes) -> list[float]:
+    def _encode(self, content: bytes) -> np.ndarray:
         digest = b""
         block = 0
         while len(digest) < self.dimension:
             digest += hashlib.sha256(f"{block}:".encode() + content).digest()
             block += 1
-        return [(byte - 127.5) / 127.5 for byte in digest[: self.dimension]]
+        values = np.frombuffer(digest, dtype=np.uint8)[: self.dimension]
+        return ((values - 127.5) / 127.5).astype(np.float32)
 
-    def encode_text(self, texts: list[str]) -> list[list[float]]:
+    def encode_text(self, texts: list[str]) -> list[np.ndarray]:
         return [self._encode(text.encode()) for text in texts]
 
-    def encode_image(self, images: list[bytes]) -> list[list[float]]:
+    def encode_image(self, images: list[bytes]) -> list[np.ndarray]:
         return [self._encode(image) for image in images]
 
 

@@ -88,7 +88,7 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths != 0)
 
 
 def closeness(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:

@@ -25,6 +25,10 @@ def input_column(df: DataFrame, name: str | None = None) -> str:
     return "input" if "input" in df.columns else df.columns[0]
 
 
+def _over_tasks(df: DataFrame, tasks: int | None) -> DataFrame:
+    return df if tasks is None else df.repartition(tasks)
+
+
 def embed_texts(
     df: DataFrame,
     factory: Callable[[], Encoder],
@@ -32,12 +36,17 @@ def embed_texts(
     output: str = "embeddings",
     on_error: str = "null",
     max_chars: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Add the vector of a text column. NULL stays NULL; see `text_encoder` for errors."""
+    """Add the vector of a text column. NULL stays NULL; see `text_encoder` for errors.
+
+    The model runs where the rows are read. ``tasks`` spreads them first, which
+    costs a shuffle of the rows: for slow models on tables of few partitions.
+    """
     text = F.col(input_column(df, column))
     if max_chars is not None:
         text = model_text(text, max_chars)
-    return df.withColumn(output, text_encoder(factory, on_error)(text))
+    return _over_tasks(df, tasks).withColumn(output, text_encoder(factory, on_error)(text))
 
 
 def image_bytes(df: DataFrame, column: str, on_error: str) -> Column:
@@ -54,14 +63,15 @@ def embed_images(
     column: str | None = None,
     output: str = "embeddings",
     on_error: str = "null",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add the vector of an image column (base64 text or bytes).
 
     Under "null" a NULL, undecodable or unencodable image gives a NULL vector;
-    under "fail" the latter two end the job.
+    under "fail" the latter two end the job. ``tasks`` as in `embed_texts`.
     """
     name = input_column(df, column)
-    return df.withColumn(output, image_encoder(factory, on_error)(image_bytes(df, name, on_error)))
+    return _over_tasks(df, tasks).withColumn(output, image_encoder(factory, on_error)(image_bytes(df, name, on_error)))
 
 
 def preview_embeddings(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one key a task may take beside its fair share. A key with more is
 #: hot and is cut into pieces of about this size.
@@ -39,7 +40,7 @@ def salted_join(
     """
     if not hot:
         return rows.join(groups, [*on], how)
-    schema = groups.select(*on).schema.add("_pieces", "int")
+    schema = groups.select(*on).schema.add("_pieces", T.IntegerType())
     listed = F.broadcast(rows.sparkSession.createDataFrame([tuple(key) for key in hot], schema))
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     salted = rows.join(listed, [*on], "left").withColumn("_salt", F.pmod(F.xxhash64(spread), pieces).cast("int"))

@@ -1,0 +1,111 @@
+import base64
+import math
+import os
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from framesift.functions import encoding, paths, vectors
+
+PATHS = [
+    "/data/a/b.jpg",
+    "/data/b.jpg",
+    "/data/a/data/c d.JPG",
+    "/data/data/x.jpeg",
+    "b.jpg",
+    "/b.jpg",
+    "/data/a//b.jpg",
+    "/other/data/x/y.JpEg",
+    "/data/price_list/q.png",
+    "/data/été/ü.gif",
+]
+
+
+def python_folder(path, root):
+    return os.path.dirname(path).replace(root, "").lstrip("/")
+
+
+def test_paths_equal_python(spark):
+    rng = random.Random(5)
+    made = ["/" + "/".join(rng.choice(["data", "a", "data2", "x y", "é"]) for _ in range(rng.randint(1, 5))) for _ in range(200)]
+    rows = [(p,) for p in PATHS + made]
+    c = F.col("p")
+    got = spark.createDataFrame(rows, "p string").select(
+        "p",
+        paths.base_name(c).alias("name"),
+        paths.folder_below(c, "/data").alias("folder"),
+        paths.has_extension(c, ("jpg", "jpeg")).alias("jpeg"),
+    )
+    for row in got.collect():
+        assert row["name"] == os.path.basename(row.p)
+        assert row.folder == python_folder(row.p, "/data")
+        assert row.jpeg == row.p.lower().endswith((".jpg", ".jpeg"))
+
+
+def test_scheme_is_removed(spark):
+    rows = [("file:/a/b",), ("file:///a/b",), ("/a/b",), ("s3://a/b",)]
+    got = spark.createDataFrame(rows, "p string").select(paths.without_scheme(F.col("p"))).collect()
+    assert [r[0] for r in got] == ["/a/b", "/a/b", "/a/b", "s3://a/b"]
+
+
+def test_folder_terms_are_substrings(spark):
+    rows = [("price_list",), ("Rice",), ("",), (None,), ("wheat/RICE",), ("maize",)]
+    frame = spark.createDataFrame(rows, "f string")
+    got = [r[0] for r in frame.select(paths.matches_any_term(F.col("f"), ["Rice"])).collect()]
+    assert got == [True, True, False, False, True, False]
+
+
+def test_base64_equals_python_and_rejects_junk(spark):
+    contents = [b"", b"a", os.urandom(57), os.urandom(1000), "été\n".encode()]
+    frame = spark.createDataFrame([(c,) for c in contents], "c binary")
+    for chunked in ("true", "false"):
+        spark.conf.set("spark.sql.chunkBase64String.enabled", chunked)
+        got = frame.select(encoding.to_base64(F.col("c")).alias("b")).collect()
+        assert [r.b for r in got] == [base64.b64encode(c).decode() for c in contents]
+    texts = spark.createDataFrame([("QUJD",), ("%QUJD",), ("no base64!",), (None,)], "t string")
+    assert [r[0] for r in texts.select(encoding.from_base64(F.col("t"))).collect()] == [b"ABC", None, None, None]
+
+
+def test_text_helpers(spark):
+    frame = spark.createDataFrame([("é" * 200,), ("é" * 201,), ("x",), (None,)], "t string")
+    got = frame.select(encoding.shorten(F.col("t")).alias("s"), encoding.model_text(F.col("t")).alias("m")).collect()
+    assert [r.s for r in got] == ["é" * 200, "é" * 200 + "...", "x", None]
+    assert [r.m for r in got] == ["é" * 77, "é" * 77, "x", None]
+    record = spark.createDataFrame([(1, None)], "a int, b string").select(encoding.json_record(["a", "b"])).first()[0]
+    assert record == '{"a":1,"b":null}'
+
+
+def test_norm_and_searchable(spark):
+    rows = [
+        (1, [3.0, 4.0]),
+        (2, [0.0, 0.0]),
+        (3, None),
+        (4, [1.0]),
+        (5, [float("nan"), 1.0]),
+        (6, [None, 1.0]),
+        (7, []),
+        (8, [float("inf"), 1.0]),
+        (9, [-0.0, 2.0]),
+    ]
+    frame = spark.createDataFrame(rows, "key int, vec array<float>")
+    got = {r.key: r.norm for r in vectors.searchable_vectors(frame, "vec", 2).collect()}
+    assert got == {1: 5.0, 9: 2.0}
+    any_length = {r.key for r in vectors.searchable_vectors(frame, "vec").collect()}
+    assert any_length == {1, 4, 9}
+
+
+def test_scores_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    matrix = rng.normal(size=(50, 8)).astype(np.float32)
+    query = rng.normal(size=8)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)], "key int, vec array<float>")
+    expected = {
+        "dot": matrix.astype(float) @ query,
+        "l2": np.linalg.norm(matrix.astype(float) - query, axis=1),
+        "cosine": matrix.astype(float) @ query / np.linalg.norm(matrix.astype(float), axis=1) / np.linalg.norm(query),
+    }
+    for metric, values in expected.items():
+        score = vectors.similarity_to(list(query), metric)
+        got = frame.select("key", score("vec").alias("s")).orderBy("key").collect()
+        assert all(math.isclose(r.s, v, abs_tol=1e-6) for r, v in zip(got, values))
