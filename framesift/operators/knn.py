@@ -25,17 +25,32 @@ def best_per_query(queries: np.ndarray, keys: np.ndarray, scores: np.ndarray, k:
     return order[np.arange(len(order)) - starts < k]
 
 
-def _candidates(queries: np.ndarray, matrix: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) entries that can be among the ``k`` best of their query, ties included."""
+def _candidates(
+    queries: np.ndarray, keys: np.ndarray, matrix: np.ndarray, k: int, metric: str
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the ``k`` best rows of every query; equal scores go by key.
+
+    Never more than ``k`` entries a query, even where all rows are copies.
+    """
+    if metric == "cosine":
+        queries, matrix, metric = unit_rows(queries), unit_rows(matrix), "dot"
+    by_key = np.argsort(keys, kind="stable")
+    matrix = matrix[by_key]
     found = []
     for part in B.row_steps(len(queries), len(matrix)):
-        scores = closeness(queries[part], matrix, metric)
+        scores = rounded(closeness(queries[part], matrix, metric))
         if scores.shape[1] > k:
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            query, row = np.nonzero(scores >= kth - BOUND_SLACK)
+            kth = np.partition(scores, -k, axis=1)[:, -k, None]
+            chosen = scores >= kth
+            crowded = np.flatnonzero(chosen.sum(axis=1) > k)
+            if len(crowded):
+                level = scores[crowded] == kth[crowded]
+                room = k - (scores[crowded] > kth[crowded]).sum(axis=1, keepdims=True)
+                chosen[crowded] &= ~level | (np.cumsum(level, axis=1) <= room)
         else:
-            query, row = np.nonzero(np.ones(scores.shape, dtype=bool))
-        found.append((query + part.start, row, rounded(scores[query, row])))
+            chosen = np.ones(scores.shape, dtype=bool)
+        query, row = np.nonzero(chosen)
+        found.append((query + part.start, by_key[row], scores[query, row]))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
@@ -110,7 +125,7 @@ def _knn_by_broadcast(probe: pa.Table, vectors: DataFrame, k: int, metric: str)
                 continue
             key_arrow = batch.column("key").type
             keys = _as_array(batch.column("key"))
-            query, row, score = _candidates(queries, to_matrix(batch.column("vec")), k, metric)
+            query, row, score = _candidates(queries, keys, to_matrix(batch.column("vec")), k, metric)
             entries = (query, keys[row], score)
             if kept is not None:
                 entries = tuple(np.concatenate(pair) for pair in zip(kept, entries))
@@ -242,7 +257,7 @@ def _knn_by_cells(
 
     def nearest(left_keys, left, right_keys, right, same) -> Iterator[pa.RecordBatch]:
         keys = _as_array(right_keys.field("key"))
-        query, row, score = _candidates(left, right, k, metric)
+        query, row, score = _candidates(left, keys, right, k, metric)
         best = best_per_query(query, keys[row], score, k)
         yield pa.RecordBatch.from_arrays(
             [
