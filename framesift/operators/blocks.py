@@ -24,8 +24,8 @@ BLOCK_ROWS = 8192
 #: Pairs of blocks a task compares, at most.
 PAIRS_PER_TASK = 16
 
-#: Largest score matrix held at a time, in entries (4 MB of doubles, within reach of a cache).
-MATRIX_ENTRIES = 500_000
+#: Largest score matrix held at a time, in entries (8 MB of doubles, within reach of a cache).
+MATRIX_ENTRIES = 1_000_000
 
 #: Bytes of pivots or queries sent to every task, at most.
 BROADCAST_BYTES = 32 * 1024 * 1024

@@ -43,19 +43,39 @@ def distinct_vectors(table: DataFrame, key: str, vector: str, dim: int | None =
     )
 
 
+def _exact(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Scores of chosen rows, in double."""
+    step = max(1, B.MATRIX_ENTRIES // left.shape[1])
+    parts = [
+        np.einsum("nd,nd->n", left[i[at : at + step]], right[j[at : at + step]]) for at in range(0, len(i), step)
+    ]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def _hits(
     left: np.ndarray, right: np.ndarray, threshold: float, same: bool
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Close rows as (left, right, score). Single precision finds them, double decides."""
     left, right = unit_rows(left), unit_rows(right)
+    quick_left, quick_right = left.astype(np.float32), np.ascontiguousarray(right.astype(np.float32).T)
+    # No sum of products of unit vectors is further off than this in single precision.
+    floor = np.float32(threshold - 1e-6 - 1e-7 * (left.shape[1] + 4))
     for part in B.row_steps(len(left), len(right)):
-        scores = left[part] @ right.T
-        close = scores >= threshold - 1e-6
+        quick = quick_left[part] @ quick_right
+        if same:
+            quick[np.arange(len(quick)), np.arange(part.start, part.stop)] = -2.0
+        rows = np.flatnonzero(quick.max(axis=1) >= floor)
+        i, j = np.nonzero(quick[rows] >= floor)
+        i = rows[i]
         if same:
-            close &= np.arange(part.start, part.stop)[:, None] < np.arange(len(right))[None, :]
-        i, j = np.nonzero(close)
-        exact = rounded(scores[i, j])
-        kept = exact >= threshold
-        yield i[kept] + part.start, j[kept], exact[kept]
+            ahead = i + part.start < j
+            i, j = i[ahead], j[ahead]
+        if len(i) * 8 > quick.size:
+            score = rounded((left[part] @ right.T)[i, j])
+        else:
+            score = rounded(_exact(left[part], right, i, j))
+        kept = score >= threshold
+        yield i[kept] + part.start, j[kept], score[kept]
 
 
 def _emit_pairs(threshold: float):
