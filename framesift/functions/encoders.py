@@ -2,12 +2,13 @@
 
 An encoder is any object with ``dimension``, ``encode_text(list[str])`` and
 ``encode_image(list[bytes])``; a tagger has ``tag(list[str])``. Jobs take a
-factory, which each Python worker calls once, so weights load on executors
-and never travel with the plan.
+factory, which each Python worker process calls once, so weights load on the
+executors and never travel with the plan.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections import OrderedDict
@@ -16,8 +17,10 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framesift.schemas import ENTITY_TYPE, VECTOR_TYPE
 
@@ -128,9 +131,45 @@ def _check_on_error(on_error: str) -> str:
     return on_error
 
 
-def _model_column(load: Callable[[], Callable[[list], Sequence]], spark_type, arrow_type, on_error, batch_size, empty_is_null):
+#: Models a worker process keeps between tasks.
+RESIDENT_MODELS = 2
+
+_resident: OrderedDict[str, Any] = OrderedDict()
+
+
+def _identity(factory: Callable[[], Any]) -> str:
+    """Same factory, same name, whichever task it arrives in."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def _load(identity: str, factory: Callable[[], Any]) -> Any:
+    """The model of ``factory``, made on first use in this worker process.
+
+    Python workers outlive their tasks, so weights load once per process, not
+    once per task.
+    """
+    if identity not in _resident:
+        _resident[identity] = factory()
+    _resident.move_to_end(identity)
+    while len(_resident) > RESIDENT_MODELS:
+        _resident.popitem(last=False)
+    return _resident[identity]
+
+
+def _model_column(
+    factory: Callable[[], Any],
+    method: str,
+    spark_type: T.DataType,
+    arrow_type: pa.DataType,
+    on_error: str,
+    batch_size: int,
+    empty_is_null: bool,
+):
+    identity = _identity(factory)
+    _check_on_error(on_error)
+
     def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        apply = _reusing(load(), on_error, batch_size)
+        apply = _reusing(getattr(_load(identity, factory), method), on_error, batch_size)
         for batch in batches:
             results = apply(batch.to_pylist())
             if empty_is_null:
@@ -144,16 +183,12 @@ def _model_column(load: Callable[[], Callable[[list], Sequence]], spark_type, ar
 
 def text_encoder(factory: Callable[[], Encoder], on_error: str = "null", batch_size: int = 256):
     """Column function ``string -> array<float>``."""
-    return _model_column(
-        lambda: factory().encode_text, VECTOR_TYPE, pa.list_(pa.float32()), _check_on_error(on_error), batch_size, True
-    )
+    return _model_column(factory, "encode_text", VECTOR_TYPE, pa.list_(pa.float32()), on_error, batch_size, True)
 
 
 def image_encoder(factory: Callable[[], Encoder], on_error: str = "null", batch_size: int = 32):
     """Column function ``binary -> array<float>``."""
-    return _model_column(
-        lambda: factory().encode_image, VECTOR_TYPE, pa.list_(pa.float32()), _check_on_error(on_error), batch_size, True
-    )
+    return _model_column(factory, "encode_image", VECTOR_TYPE, pa.list_(pa.float32()), on_error, batch_size, True)
 
 
 def entity_tagger(factory: Callable[[], Tagger], on_error: str = "fail", batch_size: int = 256):
@@ -169,9 +204,7 @@ def entity_tagger(factory: Callable[[], Tagger], on_error: str = "fail", batch_s
             ]
         )
     )
-    return _model_column(
-        lambda: factory().tag, ENTITY_TYPE, arrow_type, _check_on_error(on_error), batch_size, False
-    )
+    return _model_column(factory, "tag", ENTITY_TYPE, arrow_type, on_error, batch_size, False)
 
 
 def register_ai_query(
@@ -187,15 +220,13 @@ def register_ai_query(
     embeddings are served here.
     """
     _check_on_error(on_error)
-    chosen = dict(models)
+    chosen = {name: (kind, factory, _identity(factory)) for name, (kind, factory) in models.items()}
 
     def loader(endpoint: str) -> Callable[[list[str]], Sequence]:
-        import base64
-
         if endpoint not in chosen:
             raise ValueError(f"unknown model {endpoint!r}; known: {sorted(chosen)}")
-        kind, factory = chosen[endpoint]
-        encoder = factory()
+        kind, factory, identity = chosen[endpoint]
+        encoder = _load(identity, factory)
         if kind == "text":
             return encoder.encode_text
         return lambda requests: encoder.encode_image([base64.b64decode(r, validate=True) for r in requests])

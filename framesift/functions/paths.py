@@ -19,8 +19,7 @@ def base_name(path: Column) -> Column:
 
 def folder_below(path: Column, root: str) -> Column:
     """Directory of ``path`` with every occurrence of ``root`` removed and no leading slash."""
-    directory = F.regexp_replace(path, r"/+[^/]*$", "")
-    directory = F.when(path.contains("/"), directory).otherwise(F.lit(""))
+    directory = F.rtrim(F.substring(path, F.lit(1), F.length(path) - F.length(base_name(path))), F.lit("/"))
     if root:
         directory = F.replace(directory, F.lit(root), F.lit(""))
     return F.ltrim(directory, F.lit("/"))

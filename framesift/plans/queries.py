@@ -65,7 +65,7 @@ def image_paths(spark, sf):
 def rejected_files(spark, sf):
     readable = I.table(spark, sf, "documents").select(
         F.concat(F.lit("file:/data/"), "source", F.lit("/"), "doc_id", F.lit(".jpg")).alias("path"),
-        F.when(F.col("lang") != "es", F.col("text").cast("binary")).alias("content"),
+        F.when(F.col("lang") != "es", F.octet_length("text")).alias("length"),
     )
     return ingest.rejected_files(readable)
 

@@ -1,4 +1,5 @@
 import base64
+import os
 import sys
 
 import pytest
@@ -71,6 +72,21 @@ def test_repeats_are_encoded_once_a_task(spark, tmp_path):
     assert open(log).read().split() == ["same"]
 
 
+def test_models_load_once_a_process(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def factory():
+        with open(log, "a") as file:
+            file.write(f"{os.getpid()}\n")
+        return Fragile()
+
+    frame = texts(spark, ["a", "b", "c"]).repartition(8)
+    for _ in range(3):
+        assert embed.embed_texts(frame, factory, "text").filter("embeddings IS NOT NULL").count() == 3
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads))
+
+
 def test_once_per_value_even_if_all_rows_are_equal(spark, tmp_path):
     log = str(tmp_path / "calls")
     values = ["same"] * 300 + ["other", None, "other"]
