@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions.encoding import json_record
+from framesift.operators.keys import filter_by_keys
 
 
 def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -38,8 +39,8 @@ def snapshot_changes(old: DataFrame, new: DataFrame, key: str, columns: Sequence
 
 def rows_to_write(new: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of the new snapshot that were inserted or updated: what has to be embedded again."""
-    touched = changes.filter(F.col("change") != "delete").select(key)
-    return new.join(touched, key, "left_semi")
+    touched = changes.filter(F.col("change") != "delete")
+    return filter_by_keys(new, touched, key, keep=True)
 
 
 def apply_changes(index: DataFrame, fresh: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -47,5 +48,5 @@ def apply_changes(index: DataFrame, fresh: DataFrame, changes: DataFrame, key: s
 
     ``fresh`` holds the index rows of `rows_to_write`.
     """
-    untouched = index.join(changes.select(key), key, "left_anti")
+    untouched = filter_by_keys(index, changes, key, keep=False)
     return untouched.unionByName(fresh.select(*index.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.operators.components import connected_groups
+from framesift.operators.keys import filter_by_keys
 from framesift.operators.near_duplicates import equal_members, near_duplicate_links
 from framesift.operators.skew import hot_keys, salted_join
 from framesift.session import cut_lineage
@@ -86,4 +87,4 @@ def savings_report(decided: DataFrame, folder: str = "folder", size: str = "size
 def without_dropped(images: DataFrame, decided: DataFrame, key: str) -> DataFrame:
     """The table after clean-up: every row except the dropped ones."""
     dropped = decided.filter(~F.col("kept")).select(F.col("key").alias(key))
-    return images.join(dropped, key, "left_anti")
+    return filter_by_keys(images, dropped, key, keep=False)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.encoders import Encoder, Tagger, entity_tagger, image_encoder, text_encoder
 from framesift.functions.encoding import from_base64, model_text
+from framesift.operators.keys import KEY_BYTES, filter_by_keys, fits_broadcast
 from framesift.operators.skew import hot_keys, salted_join
 from framesift.schemas import PREVIEW_ROWS
 from framesift.session import cut_lineage
@@ -82,9 +83,20 @@ def preview_embeddings(
     return embed(df.limit(n)).select(column, output, *others)
 
 
-def not_yet_embedded(images: DataFrame, embedded: DataFrame, key: str = "file_path") -> DataFrame:
-    """Rows of ``images`` without a row in ``embedded``; only keys of the latter are read."""
-    return images.join(embedded.select(key), key, "left_anti")
+def not_yet_embedded(
+    images: DataFrame, embedded: DataFrame, key: str = "file_path", limit: int = KEY_BYTES
+) -> DataFrame:
+    """Rows of ``images`` without a row in ``embedded``.
+
+    Image rows are wide, so whichever list of keys is short, done or pending,
+    goes to them; the pending keys are found from keys alone. Only if both
+    lists are long do the images themselves take part in a shuffle.
+    """
+    done = embedded.select(key)
+    if fits_broadcast(done, key, limit):
+        return images.join(F.broadcast(done), key, "left_anti")
+    pending = images.select(key).join(done, key, "left_anti")
+    return filter_by_keys(images, pending, key, keep=True, limit=limit)
 
 
 def apply_once_per_value(df: DataFrame, column: str, output: str, model: Callable[[Column], Column]) -> DataFrame:

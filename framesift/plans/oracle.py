@@ -227,7 +227,7 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
     "knn_single": _knn(10),
     "knn_metric_dot": _knn(10, "dot"),
     "knn_metric_l2": _knn(10, "l2"),
-    "knn_prefilter": _knn(10, where="label IN (3, 5) AND vec_id >= 10"),
+    "knn_prefilter": _knn(10, where="label IN (3, 5)"),
     "knn_exclude": _knn(2, where="vec_id NOT IN (0, 137)"),
     "knn_exclude_sql": _knn(2, where="vec_id NOT IN (0, 137)"),
     "knn_batch": _knn_batch(),

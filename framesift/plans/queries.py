@@ -254,7 +254,7 @@ def knn_metric_l2(spark, sf):
 
 @query
 def knn_prefilter(spark, sf):
-    return _search_first(spark, sf, filters={"label": (3, 5), "vec_id >=": 10})
+    return _search_first(spark, sf, filters={"label": (3, 5)})
 
 
 @query

@@ -124,7 +124,10 @@ def test_max_chars_and_preview(spark):
 def test_not_yet_embedded(spark):
     images = spark.createDataFrame([("a",), ("b",), ("c",)], "file_path string")
     done = images.filter("file_path <> 'b'").withColumn("embeddings", F.lit(None))
-    assert [r.file_path for r in embed.not_yet_embedded(images, done).collect()] == ["b"]
+    for limit in (10**6, 100, 1):  # done keys sent, pending keys sent, both joined
+        assert [r.file_path for r in embed.not_yet_embedded(images, done, limit=limit).collect()] == ["b"]
+    assert embed.not_yet_embedded(images, done.limit(0)).count() == 3
+    assert embed.not_yet_embedded(images, images).count() == 0
 
 
 def test_ai_query(spark):

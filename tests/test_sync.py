@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.encoders import HashEncoder
 from framesift.operators import changes, embed, index
+from framesift.operators.keys import filter_by_keys
 from framesift.sources import tables
 from framesift.streaming.sync import arriving_rows, sync_index
 
@@ -27,6 +28,14 @@ def test_changes_compare_values(spark):
     assert sorted(map(str, after.collect())) == sorted(map(str, new.collect()))
 
 
+@pytest.mark.parametrize("limit", [10**6, 1], ids=["sent", "joined"])
+def test_filter_by_keys(spark, limit):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int").repartition(2)
+    keys = spark.createDataFrame([("b",), ("b",), ("z",)], "k string")
+    assert [r.v for r in filter_by_keys(rows, keys, "k", True, limit).collect()] == [2]
+    assert sorted(r.v for r in filter_by_keys(rows, keys, "k", False, limit).collect()) == [1, 3]
+
+
 def test_digest_has_no_seams(spark):
     schema = "k int, a string, b string"
     old = spark.createDataFrame([(1, "ab", "c"), (2, "-", None)], schema)
