@@ -82,6 +82,9 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.empty((0, 0))
+    lengths = pc.min_max(column.value_lengths()).as_py()
+    if column.null_count or lengths["min"] != lengths["max"]:
+        raise ValueError("vectors are NULL or differ in length; give the dimension to leave such rows out")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 

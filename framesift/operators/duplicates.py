@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framesift.operators.components import connected_groups
 from framesift.operators.keys import filter_by_keys
 from framesift.operators.near_duplicates import equal_members, near_duplicate_links
-from framesift.operators.skew import hot_keys, salted_join
+from framesift.operators.skew import HOT_ROWS, hot_keys, salted_join
 from framesift.session import cut_lineage
 
 
@@ -33,14 +33,16 @@ def exact_duplicate_groups(images: DataFrame, key: str, content: Column, size: C
     )
 
 
-def exact_duplicate_members(images: DataFrame, key: str, content: Column) -> DataFrame:
+def exact_duplicate_members(
+    images: DataFrame, key: str, content: Column, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """(key, group_id) for every row whose content occurs more than once; group id is the lowest key.
 
     The content is read once, and only key and digest are shuffled; see
     `equal_members` for contents that are very frequent.
     """
     hashed = images.select(F.col(key).alias("key"), F.unhex(content_digest(content)).alias("digest"))
-    return equal_members(hashed, "digest").select("key", F.col("root").alias("group_id"))
+    return equal_members(hashed, "digest", hot_rows).select("key", F.col("root").alias("group_id"))
 
 
 def near_duplicate_groups(
@@ -51,7 +53,10 @@ def near_duplicate_groups(
 
 
 def keep_one(
-    members: DataFrame, prefer: Sequence[Column | str] = (), descending: Sequence[bool] = ()
+    members: DataFrame,
+    prefer: Sequence[Column | str] = (),
+    descending: Sequence[bool] = (),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``keep_key`` and ``kept``: one row stays per group.
 
@@ -70,7 +75,8 @@ def keep_one(
     members = cut_lineage(members)
     winners = members.groupBy("group_id").agg(F.min(order).alias("best"), F.count("*").alias("n"))
     winners = cut_lineage(winners.select("group_id", F.col("best.key").alias("keep_key"), "n"))
-    joined = salted_join(members, winners.drop("n"), ["group_id"], hot_keys(winners, ["group_id"]), F.col("key"))
+    hot = hot_keys(winners, ["group_id"], hot_rows)
+    joined = salted_join(members, winners.drop("n"), ["group_id"], hot, F.col("key"))
     return joined.withColumn("kept", F.col("key") == F.col("keep_key"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.vectors import as_vector, rounded, searchable_vectors, to_matrix, unit_rows, vector_digest
 from framesift.operators import blocks as B
-from framesift.operators.skew import hot_keys, salted_join
+from framesift.operators.skew import HOT_ROWS, hot_keys, salted_join
 from framesift.session import cut_lineage
 
 #: Slack of the pruning test; larger than any rounding of scores.
@@ -249,7 +249,7 @@ def exact_vector_copies(table: DataFrame, key: str, vector: str, dim: int | None
     return members.filter(F.col("key") != F.col("root")).select("key", "root")
 
 
-def equal_members(rows: DataFrame, value: str) -> DataFrame:
+def equal_members(rows: DataFrame, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(key, root) for every row whose ``value`` occurs more than once; root is the lowest such key.
 
     ``rows`` has the key and a digest. They are written out once, narrow as
@@ -260,7 +260,7 @@ def equal_members(rows: DataFrame, value: str) -> DataFrame:
     rows = cut_lineage(rows.select("key", value))
     groups = rows.groupBy(value).agg(F.min("key").alias("root"), F.count("*").alias("n")).filter("n > 1")
     groups = cut_lineage(groups)
-    joined = salted_join(rows, groups.drop("n"), [value], hot_keys(groups, [value]), F.col("key"))
+    joined = salted_join(rows, groups.drop("n"), [value], hot_keys(groups, [value], hot_rows), F.col("key"))
     return joined.select("key", "root")
 
 

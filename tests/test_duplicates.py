@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from helpers import VECTORS, components, planted, scores, vector_rows
 from pyspark.sql import functions as F
 
@@ -137,6 +138,29 @@ def test_exact_duplicates(spark):
     assert {(r.key, r.group_id) for r in members.collect()} == {("a", "a"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "e")}
 
 
+def test_one_content_holds_a_third(spark):
+    rows = [(f"k{i:04d}", b"hot" if i % 3 == 0 else b"%d" % (i // 2)) for i in range(600)]
+    files = spark.createDataFrame(rows, "path string, content binary").repartition(4)
+    lowest, counts = {}, {}
+    for key, content in rows:
+        lowest[content] = min(key, lowest.get(content, key))
+        counts[content] = counts.get(content, 0) + 1
+    want = {(k, lowest[c]) for k, c in rows if counts[c] > 1}
+    members = duplicates.exact_duplicate_members(files, "path", F.col("content"), hot_rows=30)
+    assert {(r.key, r.group_id) for r in members.collect()} == want
+    decided = duplicates.keep_one(members, hot_rows=30)
+    assert {r.key for r in decided.filter("kept").collect()} == {g for _, g in want}
+    assert decided.count() == len(want)
+
+
+def test_mixed_lengths_need_a_dimension(spark):
+    frame = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0]), (4, [2.0, 4.1])], VECTORS)
+    with pytest.raises(PySparkException):
+        near_duplicates.near_duplicate_pairs(frame, "key", "vec", 0.9).collect()
+    pairs = near_duplicates.near_duplicate_pairs(frame, "key", "vec", 0.9, dim=2).collect()
+    assert [(r.key_a, r.key_b) for r in pairs] == [(1, 4)]
+
+
 def test_keep_one_and_savings(spark):
     rows = [("a", "g", 5, "x"), ("b", "g", 9, "x"), ("c", "g", 9, "y"), ("d", "h", 1, "y"), ("e", "h", 1, "y")]
     members = spark.createDataFrame(rows, "key string, group_id string, size_bytes bigint, folder string")
