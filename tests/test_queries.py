@@ -4,9 +4,10 @@ import pytest
 from check_queries import compare, connect
 
 import __spark_entry__ as entry
+from framesift.plans.oracle import ORACLE as SQL
+from framesift.plans.queries import QUERIES
 from framesift.session import new_shared_path, shared_dir
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 EMPTY_AT_THIS_SCALE = {"embed_pending"}  # every document has a vector in the smallest tables
 
 
@@ -26,6 +27,10 @@ def test_sql_belongs_to_queries():
     assert set(QUERIES) - set(SQL) == {"kmeans_sizes", "near_duplicates_lsh"}
 
 
+def test_entry_registers_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(5).count() == 5
 
