@@ -1,0 +1,112 @@
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+
+from framesift.llm import simhash
+
+SCHEMA = "doc_id long, text string, fingerprint string"
+
+
+def brute_fingerprint(text, words=3):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    listed = [w for w in re.split("[\x20\x09-\x0d]+", lowered) if w]
+    if len(listed) >= words:
+        shingles = [" ".join(listed[i : i + words]) for i in range(len(listed) - words + 1)]
+    else:
+        shingles = [" ".join(listed)] if listed else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(ids, values, limit=2):
+    values = np.array(values, dtype=np.uint64)
+    close = np.bitwise_count(values[:, None] ^ values[None, :]) <= limit
+    label = list(range(len(ids)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(ids)):
+            low = min(label[j] for j in np.flatnonzero(close[i]))
+            if low < label[i]:
+                label[i], changed = low, True
+    return {i: ids[label[n]] for n, i in enumerate(ids)}
+
+
+def edited(base, n, rng):
+    words = base.split()
+    words[rng.integers(len(words))] = f"edit{n}"
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(5)
+    base = " ".join(f"w{i}" for i in rng.integers(0, 400, 600))
+    planted = [None, "", " \n", "One two", "one  TWO", "one", "a b c", "A\tB\nC", base, base.upper()]
+    planted += [edited(base, n, rng) for n in range(60)] + [" ".join(f"v{i}" for i in rng.integers(0, 900, 300)) for _ in range(20)]
+    planted += ["x" * 300, "long " * 5000, "ßÄ ÉÊ x"]
+    return [(i, t, "clash") for i, t in enumerate(planted)]
+
+
+@pytest.mark.parametrize("node_fingerprints", [simhash.NODE_FINGERPRINTS, 4])
+def test_components(spark, rows, node_fingerprints):
+    got = simhash.simhash_near_duplicates(spark.createDataFrame(rows, SCHEMA), node_fingerprints=node_fingerprints)
+    values = [brute_fingerprint(t) for _, t, _ in rows]
+    want = brute_components([i for i, _, _ in rows], values)
+    seen = got.collect()
+    assert {r.doc_id: r.fingerprint for r in seen} == {i: f"{v:016x}" for (i, _, _), v in zip(rows, values)}
+    assert {r.doc_id: r.component_id for r in seen} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in seen) and len(set(want.values())) < len(want) - 20
+
+
+def test_pieces_of_long_texts(monkeypatch, rows):
+    monkeypatch.setattr(simhash, "PIECE_BYTES", 64)
+    assert all(simhash.fingerprint(t) == brute_fingerprint(t) for _, t, _ in rows)
+    assert simhash.fingerprint("a b c d e f", 5) == brute_fingerprint("a b c d e f", 5)
+
+
+@pytest.mark.parametrize("count", [1, 2, 17, 700])
+def test_index_finds_all_pairs(count):
+    rng = np.random.default_rng(count)
+    values = rng.integers(0, 2**63, count, dtype=np.uint64)
+    values = np.unique(np.concatenate([values, values ^ np.uint64(1 << 7), values ^ np.uint64(1 << 63 | 1 << 2)]))
+    index = simhash.GrayIndex(values)
+    query, place = index.search(index.values, 2)
+    want = np.bitwise_count(index.values[:, None] ^ index.values[None, :]) <= 2
+    assert len(query) == want.sum() and want[query, place].all()
+
+
+def test_gray_order_changes_one_bit_at_a_time():
+    values = np.arange(64, dtype=np.uint64)
+    ordered = values[np.argsort(simhash.gray_rank(values))]
+    assert (np.bitwise_count(ordered[1:] ^ ordered[:-1]) == 1).all()
+
+
+def test_masks_cover_all_pairs():
+    for count in (10, 10**8, 10**11):
+        masks = simhash._masks(count, 2)
+        for i in range(64):
+            for j in range(i, 64):
+                assert any(not mask >> i & 1 and not mask >> j & 1 for mask in masks)
+
+
+def test_odd_ids_and_empty_table(spark):
+    rows = [(None, "a b c d", "1"), (None, "a b c d", "2"), (7, "a b c d", "3"), (7, "zz yy xx", "4")]
+    got = simhash.simhash_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in got) == [
+        ("7", 7, True), ("7", 7, True), ("None", 7, False), ("None", 7, False),
+    ]
+    stay = simhash.without_near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r.fingerprint for r in stay.collect()) == ["3", "4"] and stay.columns == ["doc_id", "text", "fingerprint"]
+    assert simhash.simhash_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_whole_table(spark, sf):
+    from framesift.llm.queries import op3_simhash_dedup
+
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    want = brute_components(list(docs.doc_id), [brute_fingerprint(t) for t in docs.text])
+    assert {r.doc_id: r.component_id for r in op3_simhash_dedup(spark, sf).collect()} == want
