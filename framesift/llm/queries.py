@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framesift.llm.exact_dedup import exact_duplicates
+from framesift.llm.language_id import identify_languages
+from framesift.llm.packing import pack
 from framesift.llm.simhash import simhash_near_duplicates
 
 
@@ -22,9 +24,19 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_language_id": op4_language_id,
+    "op7_packing": op7_packing,
 }
 
 ORACLE: dict[str, str] = {
