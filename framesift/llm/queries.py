@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from framesift.llm.exact_dedup import exact_duplicates
 from framesift.llm.language_id import identify_languages
+from framesift.llm.mixing import mix, quality_domains
 from framesift.llm.packing import pack
 from framesift.llm.simhash import simhash_near_duplicates
 
@@ -28,6 +30,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the domains by tokens.
+MIXTURE = {"high": 0.86, "low": 0.12, "toxic": 0.02}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = quality_domains(table(spark, sf_dir, "labels"))
+    return mix(table(spark, sf_dir, "documents"), labels, MIXTURE)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -36,10 +47,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
     "op7_packing": op7_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op1_exact_dedup": r"""
         WITH squeezed AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_points,

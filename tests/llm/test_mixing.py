@@ -1,0 +1,114 @@
+import numpy as np
+import pandas as pd
+import pytest
+
+from framesift.llm import mixing
+from framesift.llm.common import ROW
+
+SCHEMA = "doc_id long, text string, rate string"
+
+
+def brute_rates(p, tokens, weight, steps):
+    """The same accelerated projected gradient on whole arrays."""
+    there = tokens @ p
+    goal = np.array(weight) / sum(weight) * min(t * sum(weight) / w for t, w in zip(there, weight) if w)
+    scale = 1 / np.maximum(goal, 0.01 * goal.sum())
+    gram = (p * tokens[:, None]).T @ p * np.sqrt(np.outer(scale, scale))
+    rate = ahead = np.ones(len(tokens))
+    pace = 1.0
+    for _ in range(steps):
+        expected = (rate * tokens) @ p
+        if (np.abs(expected - goal) <= mixing.TOLERANCE * np.maximum(goal, 0.01 * goal.sum())).all():
+            break
+        new = np.maximum(0, ahead - p @ (scale * ((ahead * tokens) @ p - goal)) / np.linalg.eigvalsh(gram).max())
+        if (scale * ((new * tokens) @ p - goal) ** 2).sum() > (scale * (expected - goal) ** 2).sum():
+            pace = 1.0
+        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        ahead, rate, pace = new + (pace - 1) / faster * (new - rate), new, faster
+    return rate, goal, (rate * tokens) @ p
+
+
+@pytest.mark.parametrize("weight, spread", [([0.2, 0.5, 0.3], 0.3), ([0.86, 0.12, 0.02], 0.02), ([1, 1, 0], 0.3)])
+def test_rates_equal_brute_force(spark, weight, spread):
+    rng = np.random.default_rng(3)
+    p, tokens = rng.dirichlet([spread] * 3, 400), rng.integers(0, 500, 400)
+    rows = spark.createDataFrame([(i, i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))], f"{ROW} long, _id long, _tokens long, _p array<double>")
+    fitted, report = mixing.fit_rates(rows, ["a", "b", "c"], dict(zip("abc", weight)), most_steps=70)
+    want, goal, expected = brute_rates(p, tokens, weight, 70)
+    got = np.array([r.rate for r in fitted.orderBy(ROW).collect()])
+    assert (got >= 0).all()
+    if weight[2]:  # where the targets can't be met, rounding may restart the pace at another step
+        assert np.allclose(got, want, atol=1e-6)
+    assert np.allclose([r["target"] for r in report], goal) and np.allclose([r["expected"] for r in report], expected, atol=goal.sum() / 50)
+    assert all(r["met"] for r in report) == (weight[2] > 0)
+
+
+def corpus(n=60):
+    kinds = {"good": "fine words are read here ", "bad": "spam offer click now ", "hard": "fine spam words offer "}
+    docs = [(i, kinds[["good", "bad", "hard"][i % 3]] * (1 + i % 7), None) for i in range(n)]
+    labels = [(i, "good" if i % 3 == 0 else "bad") for i in range(0, n, 2) if i % 3 < 2]
+    return docs, labels
+
+
+def test_memberships_and_rates(spark):
+    docs, labels = corpus()
+    docs += [(1000, None, "x"), (1001, "", None), (1002, " \n", None), (1003, "w" * 100_000, None), (None, "spam offer", None), (5, "spam offer", None)]
+    labelled = spark.createDataFrame([*labels, (None, "good"), (3, None), (99999, "bad")], "doc_id long, domain string")
+    got = mixing.mix(spark.createDataFrame(docs, SCHEMA), labelled, {"good": 3, "bad": 1}).collect()
+    assert len(got) == len(docs)
+    total = {"good": 0.0, "bad": 0.0}
+    for r in got:
+        assert abs(sum(r.memberships.values()) - 1) < 1e-9 and r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1)
+        for domain, p in r.memberships.items():
+            total[domain] += r.rate * r.n_tokens * p
+        if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 3 < 2 and r.doc_id != 5:
+            assert r.memberships["good" if r.doc_id % 3 == 0 else "bad"] > 0.9
+    assert abs(total["good"] / total["bad"] - 3) < 0.01
+    assert all(r.n_tokens == 0 for r in got if r.doc_id in (1000, 1001, 1002))
+
+
+def test_drawn_keeps_columns(spark):
+    docs, labels = corpus()
+    frame = spark.createDataFrame(docs, SCHEMA)
+    labelled = spark.createDataFrame(labels, "doc_id long, domain string")
+    stay = mixing.drawn(frame, labelled, {"good": 9, "bad": 1})
+    assert stay.columns == frame.columns
+    ids = {r.doc_id for r in stay.collect()}
+    assert len(ids & set(range(0, 60, 3))) > 15 and len(ids & set(range(1, 60, 3))) < 12
+
+
+def test_no_labels_no_rows_bad_targets(spark):
+    docs, labels = corpus(6)
+    frame = spark.createDataFrame(docs, SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    labelled = spark.createDataFrame(labels, "doc_id long, domain string")
+    assert [r.rate for r in mixing.mix(frame, none, {"good": 1}).collect()] == [1.0] * 6
+    assert mixing.mix(spark.createDataFrame([], SCHEMA), labelled, {"good": 1, "bad": 1}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(frame, labelled, {"good": -1, "bad": 2})
+
+
+def test_held_out_toxic_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = mixing.quality_domains(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    told = mixing.mix(docs, labels.filter("doc_id % 2 = 0"), {"high": 0.8, "low": 0.15, "toxic": 0.05})
+    rows = told.join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    best = [max(r.memberships, key=r.memberships.get) == r.domain for r in rows]
+    assert np.mean(best) > 0.85
+
+
+def test_whole_table_meets_targets(spark, sf):
+    from framesift.llm.queries import MIXTURE, op5_mixing
+
+    rows = op5_mixing(spark, sf).collect()
+    assert len(rows) == len(pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id"]))
+    got = {d: sum(r.rate * r.n_tokens * r.memberships[d] for r in rows) for d in MIXTURE}
+    for domain, weight in MIXTURE.items():
+        assert abs(got[domain] / sum(got.values()) - weight) < 1e-3
+
+
+def test_plan_has_no_python(spark, sf):
+    from framesift.llm.queries import op5_mixing
+
+    plan = op5_mixing(spark, sf)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
