@@ -12,6 +12,7 @@ from framesift.llm.language_id import identify_languages
 from framesift.llm.mixing import mix, quality_domains
 from framesift.llm.packing import pack
 from framesift.llm.simhash import simhash_near_duplicates
+from framesift.llm.warc import archived_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archived_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_warc": op2_warc,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
@@ -66,4 +73,14 @@ ORACLE: dict[str, str] = {
                sha256(body) AS text_sha256,
                n_points
         FROM squeezed""",
+    "op2_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        latest AS (
+            SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+                   max(page_id) OVER (PARTITION BY body) AS last_id
+            FROM payloads)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND last_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND last_id <> page_id THEN last_id END AS refers_to
+        FROM latest""",
 }
