@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from framesift.llm.exact_dedup import exact_duplicates
+from framesift.llm.html_text import extract_text
 from framesift.llm.language_id import identify_languages
 from framesift.llm.mixing import mix, quality_domains
 from framesift.llm.packing import pack
@@ -45,6 +46,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), labels, MIXTURE)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
+    "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "pipeline": corpus_pipeline.run,
 }

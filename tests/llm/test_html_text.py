@@ -1,0 +1,79 @@
+import html
+import re
+
+import pandas as pd
+import pytest
+
+from framesift.llm import html_text
+
+SCHEMA = "page_id long, url string, html string, text string"
+PARA = "A first sentence, with commas, and more. Then a second one; it is longer! "
+
+
+def page(body, head=""):
+    return f"<!DOCTYPE html><html><head><title>Title</title>{head}</head><body>{body}</body></html>"
+
+
+ARTICLE = f"<article><h1>Head</h1><p>{PARA}</p><p>Short.</p><ul><li>one, item</li><li>two <b>bold</b></li></ul></article>"
+WANT = f"Head\n{PARA.strip()}\nShort.\none, item\ntwo bold"
+
+CASES = {
+    "plain": (page(f"<nav><a href='/'>Home</a></nav>{ARTICLE}<footer>&copy; x</footer>"), WANT),
+    "script": (page(f"<script>var a = '</p><p>{PARA}';</script><style>p {{}}</style>{ARTICLE}"), WANT),
+    "advert": (page(f"<div class='ad-box'>{PARA}</div>{ARTICLE}<div id=\"sidebar\">{PARA * 3}</div>"), WANT),
+    "notice": (page(f"<div class='cookie-notice'><p>{PARA * 2}</p></div>{ARTICLE}"), WANT),
+    "reader comments": (page(f"{ARTICLE}<section class='comments'><p>{PARA}</p><p>{PARA}</p></section>"), WANT),
+    "comments within": (page(ARTICLE.replace("</article>", f"<div id='comments'><p>{PARA * 9}</p></div></article>")), WANT),
+    "form": (page(f"<form><p>{PARA}</p><input name=q><button>Go, now.</button></form>{ARTICLE}"), WANT),
+    "header": (page(f"<header><h2>Site, name.</h2><p>{PARA}</p></header>{ARTICLE}"), WANT),
+    "comment": (page(f"<!-- <article><p>{PARA}</p></article> -->{ARTICLE}<!-- open"), WANT),
+    "no closing tags": (f"<body><nav><li><a>x</a></nav><article><h1>Head</h1><p>{PARA}<p>Short.<ul><li>one, item<li>two <b>bold", WANT),
+    "bold left open": (page(f"<article><h1>Head</h1><p><b>{PARA}<br><p>Short.</p><p>one, item<p>two bold</article>"), WANT),
+    "references": (page("<article><p>a &amp; b &lt;i&gt; &eacute; &#8364; &#x41; &nbsp; c, d.</p></article>"), "a & b <i> é € A c, d."),
+    "white space": (page("<article><p>a\n\t b,<br>c <i>d</i>e.</p></article>"), "a b, c de."),
+    "no article": (page(f"<ul class='menu'><li><a href=x>m</a></li></ul><div class='c'><h2>Head</h2><p>{PARA}</p><p>{PARA}</p></div><div><a href=y>more, of.</a></div>"), "\n".join(["Head", PARA.strip(), PARA.strip()])),
+    "bare text": ("only text, no tags. a < b", "only text, no tags. a < b"),
+    "empty": ("", ""),
+    "null": (None, ""),
+    "only menu": (page("<nav><a href=x>a, b.</a></nav>"), ""),
+    "quoted sign": (page(f"<nav title='a > b'>x</nav><p title=\"</article>\">{PARA}</p>"), PARA.strip()),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_cases(name):
+    given, want = CASES[name]
+    assert html_text.main_text(given) == want
+
+
+def test_long_and_deep_pages():
+    assert html_text.main_text("<div>" * 50_000 + PARA) == PARA.strip()
+    assert html_text.main_text("</b>" * 50_000 + "<p>" + PARA * 5000) == " ".join((PARA * 5000).split())
+    assert html_text.main_text("<i " * 20_000 + PARA) is not None
+    assert html_text.main_text("<a b=\"" * 20_000) is not None
+    assert html_text.main_text("<!--" * 20_000 + PARA) == ""
+
+
+def test_rows(spark):
+    rows = [(1, "u", CASES["plain"][0], "clash"), (None, None, None, None), (1, "v", "", None)]
+    got = html_text.extract_text(spark.createDataFrame(rows, SCHEMA))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in got.collect()) == [
+        ("1", "u", WANT, len(WANT)), ("1", "v", "", 0), ("None", "None", "", 0),
+    ]
+    assert html_text.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_whole_table(spark, sf):
+    """These pages have their article in one element, of headings and paragraphs."""
+    from framesift.llm.queries import op6_html_extraction
+
+    def brute(given):
+        inner = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", given, re.DOTALL)[1].replace("<br>", " "))
+        blocks = (" ".join(html.unescape(b).split()) for b in re.split(r"</?(?:p|h1)>", inner))
+        return "\n".join(b for b in blocks if b)
+
+    pages = pd.read_parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r for r in op6_html_extraction(spark, sf).collect()}
+    assert {i: brute(h) for i, h in zip(pages.page_id, pages.html)} == {i: r.text for i, r in got.items()}
+    assert all(r.n_chars == len(r.text) for r in got.values())
