@@ -28,7 +28,8 @@ def _split(state: DataFrame, width: int, consumed: int) -> DataFrame:
     A group is counted with a combine on the map side, so copies meet as one
     row per task. Rows are then joined with the groups of two and more; a group
     with many rows is an uneven partition of a sort-merge join, which adaptive
-    execution cuts into pieces.
+    execution cuts into pieces; the groups are written first, since it can only
+    cut where both sides are shuffled for the join itself.
     """
     digit = F.substring("_rest", 1, width)
     groups = (
@@ -36,7 +37,8 @@ def _split(state: DataFrame, width: int, consumed: int) -> DataFrame:
         .agg(F.count("*").alias("_n"), F.min(ROW).alias("_next"))
         .filter("_n > 1")
     )
-    joined = state.withColumn("_digit", digit).join(groups, ["_group", "_bytes", "_digit"], "left")
+    groups = write_shared(groups, "radix-groups")
+    joined = state.withColumn("_digit", digit).join(groups.hint("merge"), ["_group", "_bytes", "_digit"], "left")
     open_group = F.col("_next").isNotNull() & (F.col("_bytes") > consumed + width)
     return joined.select(
         ROW,
@@ -101,6 +103,7 @@ def exact_duplicates(
         .agg(first.alias("best"), F.count("*").alias("group_size"))
         .select("_group", F.col("best._id").alias("keep_id"), F.col(f"best.{ROW}").alias("_keep"), "group_size")
     )
+    best = write_shared(best, "radix-best")
     columns = [
         ROW,
         F.col("_id").alias(id_col),
