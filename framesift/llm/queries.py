@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from framesift.llm.embedding_dedup import embedding_near_duplicates
 from framesift.llm.exact_dedup import exact_duplicates
 from framesift.llm.html_text import extract_text
 from framesift.llm.language_id import identify_languages
@@ -54,6 +55,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -1,0 +1,97 @@
+import numpy as np
+import pandas as pd
+import pytest
+
+from framesift.llm import embedding_dedup as dedup
+
+SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
+
+
+def brute(rows, threshold=0.93):
+    def unit(v):
+        if not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+            return None
+        v = np.array(v, dtype=np.float32).astype(np.float64)
+        return v / np.linalg.norm(v)
+
+    units = [unit(v) if lab is not None else None for _, v, lab, *_ in rows]
+    linked = {i: set() for i in range(len(rows))}
+    for i in range(len(rows)):
+        for j in range(i):
+            if units[i] is not None and units[j] is not None and rows[i][2] == rows[j][2] and len(units[i]) == len(units[j]):
+                if units[i] @ units[j] >= threshold:
+                    linked[i].add(j)
+                    linked[j].add(i)
+    label = [r[0] for r in rows]
+    changed = True
+    while changed:
+        changed = False
+        for i, others in linked.items():
+            low = min([label[i], *(label[j] for j in others)])
+            changed |= low < label[i]
+            label[i] = low
+    return {r[0]: (len(linked[i]), label[i], label[i] == r[0]) for i, r in enumerate(rows)}
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(2)
+    made = []
+    for label in (1, 2):
+        for _ in range(12):
+            centre = rng.normal(size=8)
+            for _ in range(rng.integers(1, 7)):
+                made.append(((centre + rng.normal(size=8) * rng.choice([0.05, 0.2, 0.4])) * rng.choice([1, 10]), label))
+        made += [(rng.normal(size=8), label) for _ in range(25)]
+    listed = [([float(x) for x in np.float32(v)], label) for v, label in made]
+    listed += [(listed[0][0], 1)] * 30 + [(listed[0][0], 2), (listed[0][0], None)]
+    listed += [(None, 1), ([0.0] * 8, 1), ([1.0, None] + [0.0] * 6, 1), ([float("nan")] * 8, 1), ([float("inf")] + [1.0] * 7, 1), ([], 1)]
+    listed += [([1.0, 2.0], 1), ([2.0, 4.0], 1), ([1e-30] * 8, 2), ([1e30] * 8, 2)]
+    order = rng.permutation(len(listed))
+    return [(int(i), *listed[n], "clash") for i, n in enumerate(order)]
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 8}, {"cell_rows": 8, "block_rows": 3}, {"block_rows": 4}])
+def test_equals_brute_force(spark, rows, options):
+    got = dedup.embedding_near_duplicates(spark.createDataFrame(rows, SCHEMA), **options)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == brute(rows)
+
+
+def test_cells_are_many_and_prune(spark, rows):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(rows, SCHEMA).filter("label is not null and size(embedding) = 8")
+    distinct = frame.select(F.col("label").cast("string").alias("_label"), F.lit(8).alias("_dim"), F.col("vec_id").alias("node"),
+                            F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("vec")).filter(dedup._usable(F.col("vec")))
+    sizes = distinct.groupBy("_label", "_dim").agg(F.count("*").alias("n"))
+    centres = dedup._fit_cells(distinct, sizes, 8)
+    assert len(centres) == 2 and all(len(c) > 4 for c in centres.values())
+    placed = dedup._place(distinct, centres, 0.999)
+    homes = placed.filter("home").count()
+    assert homes == distinct.count() and placed.count() < 2 * homes
+
+
+def test_odd_ids_and_empty_table(spark):
+    v = [1.0, 0.5]
+    rows = [(None, v, 1, None), (None, [2.0, 1.0], 1, None), (4, v, 1, None), (4, [0.0, 1.0], 1, None), (None, None, None, None)]
+    got = dedup.embedding_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == [
+        ("4", 0, "4", True), ("4", 2, "4", True), ("None", 0, "None", True), ("None", 2, "4", False), ("None", 2, "4", False),
+    ]
+    assert dedup.embedding_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_close_calls_are_exact():
+    x = np.array([[0.6, 0.8]])
+    y = np.array([[0.8, 0.6], [1.0, 0.0]])
+    found = list(dedup.block_links(x, y, 0.96))
+    assert [(a.tolist(), b.tolist()) for a, b in found] == [([0], [0])]
+
+
+def test_whole_table(spark, sf):
+    from framesift.llm.queries import op9_embedding_dedup
+
+    table = pd.read_parquet(f"{sf}/embeddings.parquet")
+    want = brute([(i, v.tolist(), l) for i, v, l in zip(table.vec_id, table.embedding, table.label)])
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op9_embedding_dedup(spark, sf).collect()} == want
