@@ -13,6 +13,7 @@ from framesift.llm.html_text import extract_text
 from framesift.llm.language_id import identify_languages
 from framesift.llm.mixing import mix, quality_domains
 from framesift.llm.packing import pack
+from framesift.llm.pii import replace_personal_data
 from framesift.llm.simhash import simhash_near_duplicates
 from framesift.llm.warc import archived_pages
 
@@ -59,6 +60,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(table(spark, sf_dir, "documents"), key="key of the registered query")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_pii_surrogates": op10_pii_surrogates,
     "pipeline": corpus_pipeline.run,
 }
 
