@@ -15,6 +15,7 @@ from framesift.llm.mixing import mix, quality_domains
 from framesift.llm.packing import pack
 from framesift.llm.pii import replace_personal_data
 from framesift.llm.simhash import simhash_near_duplicates
+from framesift.llm.suffix_dedup import remove_repeats
 from framesift.llm.warc import archived_pages
 
 
@@ -56,6 +57,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_pii_surrogates": op10_pii_surrogates,
     "pipeline": corpus_pipeline.run,
