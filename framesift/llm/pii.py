@@ -112,7 +112,9 @@ def _canonical(kind: Column, body: Column, gender: Column) -> Column:
 
 def mentions(rows: DataFrame) -> DataFrame:
     """(row key, place, kind, value, body, canonical) of each match in ``_text``, in order."""
-    found = rows.select(ROW, F.posexplode(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).alias("place", "value"))
+    # the outer form: for the inner one Spark looks for the matches twice, once to see if there are any
+    matches = F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))
+    found = rows.select(ROW, F.posexplode_outer(matches).alias("place", "value")).filter("value IS NOT NULL")
     found = found.withColumn("kind", _kind(F.col("value"))).withColumn("head", _head(F.col("kind"), F.col("value")))
     found = found.withColumn("body", F.expr("substring(value, length(head) + 1)"))
     # a key is the same entity with and without its name before it
