@@ -39,8 +39,15 @@ def _norms(vectors: pa.Array) -> pa.Array:
     if vectors.null_count == 0 and lengths["min"] is not None and lengths["min"] == lengths["max"]:
         values = np.linalg.norm(to_matrix(vectors), axis=1)
     else:
-        rows = (None if row is None else np.asarray(row, dtype=np.float64) for row in vectors.to_pylist())
-        values = np.array([np.nan if row is None else np.linalg.norm(row) for row in rows], dtype=np.float64)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        lengths = pc.fill_null(vectors.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        sums = np.zeros(len(vectors))
+        if len(flat):
+            ends = np.cumsum(lengths)
+            some = lengths > 0
+            sums[some] = np.add.reduceat(flat * flat, (ends - lengths)[some])
+        values = np.sqrt(sums)
+        values[pc.is_null(vectors).to_numpy(zero_copy_only=False)] = np.nan
     return pa.array(values, type=pa.float64(), from_pandas=True)
 
 
@@ -105,6 +112,21 @@ def closeness(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.maximum(squares, 0.0))
 
 
+def square_error(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How far off a squared distance by the product of two matrices can be, for each row of ``left``.
+
+    The squares and the product are each off by a few roundings per component,
+    in proportion to the squared lengths.
+    """
+    lengths = (left**2).sum(axis=1) + (right**2).sum(axis=1).max(initial=0.0)
+    return 4 * np.finfo(np.float64).eps * (left.shape[1] + 4) * lengths
+
+
+def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows in pairs, by difference."""
+    return np.sqrt(((left - right) ** 2).sum(axis=1))
+
+
 def rounded(values: np.ndarray) -> np.ndarray:
     return np.round(values, SCORE_DIGITS) + 0.0
 
@@ -126,6 +148,8 @@ def similarity_to(query: Sequence[float], metric: str = "cosine"):
             values = np.linalg.norm(matrix - target[None, :], axis=1)
         else:
             values = closeness(matrix, target[None, :], metric)[:, 0]
+        lengths = np.linalg.norm(matrix, axis=1)
+        values[~(lengths > 0) | ~np.isfinite(lengths)] = np.nan  # not searchable, as in an index
         return pa.array(rounded(values), type=pa.float64(), from_pandas=True)
 
     return F.arrow_udf(score, "double")

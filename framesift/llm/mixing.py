@@ -32,16 +32,16 @@ TRAIN_ROWS = 200_000
 TOLERANCE, MOST_STEPS = 1e-4, 300
 
 #: Steps after which the rates are written out, which keeps the expression short.
-STEPS_PER_WRITE = 12
+STEPS_PER_WRITE = 8
 
 #: Least share of all tokens that a target's weight in the least squares is taken from.
 LEAST_SHARE = 0.01
 
 
 def _words(text: Column) -> Column:
-    """Lower-case words and runs of other signs. One empty word if there are none."""
-    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([^\p{L}\p{N}\s]+)", " $1 ")
-    return F.split(F.trim(F.regexp_replace(apart, r"\s+", " ")), " ")
+    """Lower-case words and runs of ASCII signs, with an empty word at either end perhaps, and if there are none."""
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([!-/:-@\[-`{-~]+)", " $1 ")
+    return F.split(apart, r"\s+")
 
 
 def _bucket(word: Column, buckets: int) -> Column:
@@ -70,7 +70,8 @@ def fit_domains(
     texts = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("_text"))
     # about train_rows rows of an id and a short name: bounded by that parameter
     labelled = texts.join(F.broadcast(chosen), "_label_id").select("_domain", _words(F.col("_text")).alias("words"))
-    exploded = labelled.select("_domain", F.explode("words").alias("word"))
+    # the outer form: for the inner one Spark splits the text a second time, to see if there are words
+    exploded = labelled.select("_domain", F.explode_outer("words").alias("word"))
     counts = write_shared(
         exploded.groupBy("_domain", _bucket(F.col("word"), buckets).alias("bucket")).agg(F.count("*").alias("n")),
         "domain-words",
@@ -108,7 +109,7 @@ def memberships(
     shares of the labelled documents.
     """
     rows = keyed(docs, id_col, _text=text_col)
-    words = rows.select(ROW, "_id", F.explode(_words(F.col("_text"))).alias("word"))
+    words = rows.select(ROW, "_id", F.explode_outer(_words(F.col("_text"))).alias("word"))
     some = F.col("word") != ""
     told = words.withColumn("bucket", _bucket(F.col("word"), buckets)).join(F.broadcast(weights), "bucket")
     sums = [
@@ -200,11 +201,15 @@ def fit_rates(
             written = fitted
             if last is not None:
                 drop_written(last)
+    # written in any case: a filter on the rate would otherwise repeat the steps wherever it names it
+    fitted = write_shared(fitted.drop("_ahead"), "rates")
+    if written is not None:
+        drop_written(written)
     report = [
         {"domain": d, "tokens": t, "target": g, "expected": e, "met": abs(e - g) <= n}
         for d, t, g, e, n in zip(domains, there, goal, expected, near)
     ]
-    return fitted.drop("_ahead"), report
+    return fitted, report
 
 
 def mix(

@@ -164,12 +164,6 @@ def _partitions(spark: SparkSession, pairs: int) -> int:
     return max(1, min(pairs, max(usual, -(-pairs // PAIRS_PER_TASK))))
 
 
-def compare_one_block(rows: DataFrame, compare: Compare, schema: str) -> DataFrame:
-    """``compare`` on all rows (key, vec) together; for tables known to fit one block."""
-    placed = rows.select((F.size("vec") * 0).alias("cell"), F.lit("B").alias("side"), "key", "vec")
-    return placed.groupBy("cell").applyInArrow(_group_function(compare), schema)
-
-
 def _group_function(compare: Compare):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)

@@ -20,9 +20,13 @@ def content_digest(content: Column) -> Column:
 
 
 def exact_duplicate_groups(images: DataFrame, key: str, content: Column, size: Column) -> DataFrame:
-    """One row per content that occurs more than once: digest, copies, first key, bytes to save."""
+    """One row per content that occurs more than once: digest, copies, first key, bytes to save.
+
+    A NULL content (a file that could not be read) is like no other.
+    """
     return (
         images.select(F.col(key).alias("key"), content_digest(content).alias("digest"), size.alias("size"))
+        .filter("digest IS NOT NULL")
         .groupBy("digest")
         .agg(
             F.count("*").alias("copies"),
@@ -63,13 +67,17 @@ def keep_one(
     ``members`` has (key, group_id) and whatever ``prefer`` reads, and is best
     kept to that, as it is written out once. The first
     preference decides, then the next, then the lowest key; ``descending`` marks
-    numeric preferences where larger is better. The winner is the minimum of an
+    numeric preferences where larger is better. Unknown values come last. The winner is the minimum of an
     ordering struct, which combines on the map side: no task sorts a group.
     """
     flags = list(descending) or [False] * len(prefer)
     values = [F.col(column) if isinstance(column, str) else column for column in prefer]
     order = F.struct(
-        *((-value if down else value).alias(f"p{n}") for n, (value, down) in enumerate(zip(values, flags))),
+        *(
+            part
+            for n, (value, down) in enumerate(zip(values, flags))
+            for part in (value.isNull().alias(f"unknown{n}"), (-value if down else value).alias(f"p{n}"))
+        ),
         F.col("key"),
     )
     members = cut_lineage(members)

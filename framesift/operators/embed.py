@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.encoders import Encoder, Tagger, entity_tagger, image_encoder, text_encoder
 from framesift.functions.encoding import from_base64, model_text
+from framesift.functions.filters import Filters, filtered
 from framesift.operators.keys import KEY_BYTES, filter_by_keys, fits_broadcast
 from framesift.operators.skew import hot_keys, salted_join
 from framesift.schemas import PREVIEW_ROWS
@@ -38,12 +39,16 @@ def embed_texts(
     on_error: str = "null",
     max_chars: int | None = None,
     tasks: int | None = None,
+    filters: Filters = None,
 ) -> DataFrame:
     """Add the vector of a text column. NULL stays NULL; see `text_encoder` for errors.
 
     The model runs where the rows are read. ``tasks`` spreads them first, which
     costs a shuffle of the rows: for slow models on tables of few partitions.
+    ``filters`` (see `filter_condition`) choose rows before the model runs; a
+    filter on the result would come after it, since Spark moves none below it.
     """
+    df = filtered(df, filters)
     text = F.col(input_column(df, column))
     if max_chars is not None:
         text = model_text(text, max_chars)
@@ -65,12 +70,15 @@ def embed_images(
     output: str = "embeddings",
     on_error: str = "null",
     tasks: int | None = None,
+    filters: Filters = None,
 ) -> DataFrame:
     """Add the vector of an image column (base64 text or bytes).
 
     Under "null" a NULL, undecodable or unencodable image gives a NULL vector;
-    under "fail" the latter two end the job. ``tasks`` as in `embed_texts`.
+    under "fail" the latter two end the job. ``tasks`` and ``filters`` as in
+    `embed_texts`.
     """
+    df = filtered(df, filters)
     name = input_column(df, column)
     return _over_tasks(df, tasks).withColumn(output, image_encoder(factory, on_error)(image_bytes(df, name, on_error)))
 
@@ -84,15 +92,16 @@ def preview_embeddings(
 
 
 def not_yet_embedded(
-    images: DataFrame, embedded: DataFrame, key: str = "file_path", limit: int = KEY_BYTES
+    images: DataFrame, embedded: DataFrame, key: str = "file_path", limit: int = KEY_BYTES, vector: str | None = None
 ) -> DataFrame:
-    """Rows of ``images`` without a row in ``embedded``.
+    """Rows of ``images`` without a vector in ``embedded``.
 
-    Image rows are wide, so whichever list of keys is short, done or pending,
+    With a ``vector`` column of ``embedded`` named, a row whose vector is NULL,
+    because encoding failed, is pending again. Image rows are wide, so whichever list of keys is short, done or pending,
     goes to them; the pending keys are found from keys alone. Only if both
     lists are long do the images themselves take part in a shuffle.
     """
-    done = embedded.select(key)
+    done = (embedded if vector is None else embedded.filter(F.col(vector).isNotNull())).select(key)
     if fits_broadcast(done, key, limit):
         return images.join(F.broadcast(done), key, "left_anti")
     pending = images.select(key).join(done, key, "left_anti")

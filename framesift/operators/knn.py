@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.functions.vectors import check_metric, closeness, rounded, to_matrix, unit_rows
+from framesift.functions.vectors import (
+    check_metric,
+    closeness,
+    distances,
+    rounded,
+    searchable_vectors,
+    square_error,
+    to_matrix,
+    unit_rows,
+)
 from framesift.operators import blocks as B
+from framesift.session import cut_lineage
 
-#: Slack when a bound decides whether a cell is visited; covers score rounding.
+#: Slack for the rounding of scores when a bound decides whether a cell is visited.
 BOUND_SLACK = 2e-6
 
 
+#: Groups of tasks up to which their results are merged in one step.
+MERGE_AT_ONCE = 16
+
+
 def best_per_query(queries: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` best entries of each query; equal scores go by key."""
     _, key_rank = np.unique(keys, return_inverse=True)
@@ -36,6 +51,8 @@ def _candidates(
         queries, matrix, metric = unit_rows(queries), unit_rows(matrix), "dot"
     by_key = np.argsort(keys, kind="stable")
     matrix = matrix[by_key]
+    if metric == "l2":
+        return _nearest_by_distance(queries, matrix, by_key, k)
     found = []
     for part in B.row_steps(len(queries), len(matrix)):
         scores = rounded(closeness(queries[part], matrix, metric))
@@ -54,13 +71,45 @@ def _candidates(
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
+def _nearest_by_distance(
+    queries: np.ndarray, matrix: np.ndarray, by_key: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_candidates` for L2: squares by one product choose rows, with room for its error, differences decide."""
+    found = []
+    for part in B.row_steps(len(queries), len(matrix)):
+        asked = queries[part]
+        squares = (asked**2).sum(axis=1)[:, None] + (matrix**2).sum(axis=1)[None, :] - 2.0 * (asked @ matrix.T)
+        if squares.shape[1] > k:
+            error = square_error(asked, matrix)
+            kth = np.maximum(np.partition(squares, k - 1, axis=1)[:, k - 1], 0.0)
+            limit = (np.sqrt(kth + error) + BOUND_SLACK) ** 2 + error
+            query, row = np.nonzero(squares <= limit[:, None])
+        else:
+            query, row = np.nonzero(np.ones(squares.shape, dtype=bool))
+        step = max(1, B.MATRIX_ENTRIES // max(1, matrix.shape[1]))
+        score = [distances(asked[query[at : at + step]], matrix[row[at : at + step]]) for at in range(0, len(query), step)]
+        score = rounded(-np.concatenate(score)) if score else np.empty(0)
+        best = best_per_query(query, row, score, k)  # rows are in key order, so ties go by key
+        found.append((query[best] + part.start, by_key[row[best]], score[best]))
+    return tuple(np.concatenate(column) for column in zip(*found))
+
+
 def _as_array(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)
 
 
-def _rank(scored: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+def _rank(scored: DataFrame, k: int, metric: str, exclude_self: bool, groups: int = 1) -> DataFrame:
+    """Ranks of each query's best. With ``groups`` the tasks' results are merged in two steps.
+
+    Each task hands over k rows per query; with very many tasks, first groups
+    of them are merged, so that no query's rows meet in one place at once.
+    """
     if exclude_self:
         scored = scored.filter(F.col("query_key") != F.col("key"))
+    if groups > 1:
+        scored = scored.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        within = Window.partitionBy("query_key", "_group").orderBy(F.desc("score"), "key")
+        scored = scored.withColumn("_place", F.row_number().over(within)).filter(F.col("_place") <= k).drop("_place", "_group")
     order = Window.partitionBy("query_key").orderBy(F.desc("score"), "key")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.withColumn("score", F.abs("score")) if metric == "l2" else ranked
@@ -78,8 +127,9 @@ def knn_join(
 ) -> DataFrame:
     """The ``k`` nearest ``vectors`` of every row of ``queries``.
 
-    Both inputs have columns (key, vec) with unique keys and valid vectors of
-    one length. Returns (query_key, key, score, rank); score is the distance
+    Both inputs have columns (key, vec) with unique keys. As in an index, rows
+    whose vector is NULL, zero, of another length or has NULL, NaN or infinity
+    inside neither ask nor are found. Returns (query_key, key, score, rank); score is the distance
     for "l2". Few queries, as measured, are sent to every task: one pass over
     the vectors that never shuffles them and leaves ``k`` rows per query and
     task. More queries go through `_knn_by_cells`, which is just as exact.
@@ -87,16 +137,20 @@ def knn_join(
     check_metric(metric)
     wanted = k + 1 if exclude_self else k
     if dim is None:
-        first = queries.select(F.size("vec").alias("dim")).first()
+        first = queries.filter("vec IS NOT NULL").select(F.size("vec").alias("dim")).first()
         dim = first.dim if first else 1
+    # the queries are used more than once, so they are written out; a model behind them runs once
+    queries = cut_lineage(searchable_vectors(queries.select("key", "vec"), "vec", dim).select("key", "vec"))
+    vectors = searchable_vectors(vectors.select("key", "vec"), "vec", dim).select("key", "vec")
     limit = B.rows_within_budget(dim, max_broadcast_bytes)
     asked = queries.count()
     if asked == 0:
-        scored = _empty(queries, vectors)
-    elif asked <= limit:
-        scored = _knn_by_broadcast(queries.select("key", "vec").toArrow(), vectors, wanted, metric)
-    else:
-        scored = _knn_by_cells(queries, vectors, wanted, metric, dim, block_rows)
+        return _rank(_empty(queries, vectors), k, metric, exclude_self)
+    if asked <= limit:
+        scored = _knn_by_broadcast(queries, vectors, wanted, metric)
+        groups = math.ceil(math.sqrt(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        return _rank(scored, k, metric, exclude_self, groups if groups > MERGE_AT_ONCE else 1)
+    scored = _knn_by_cells(queries, cut_lineage(vectors), wanted, metric, dim, block_rows)
     return _rank(scored, k, metric, exclude_self)
 
 
@@ -110,11 +164,12 @@ def _empty(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return queries.sparkSession.createDataFrame([], _types(queries, vectors))
 
 
-def _knn_by_broadcast(probe: pa.Table, vectors: DataFrame, k: int, metric: str) -> DataFrame:
+def _knn_by_broadcast(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
     spark = vectors.sparkSession
+    schema = _types(queries, vectors)
+    probe = queries.toArrow()
     query_keys = probe.column("key").combine_chunks()
     shared = spark.sparkContext.broadcast((query_keys, to_matrix(probe.column("vec"))))
-    key_type = vectors.schema["key"].dataType.simpleString()
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_keys, queries = shared.value
@@ -137,16 +192,7 @@ def _knn_by_broadcast(probe: pa.Table, vectors: DataFrame, k: int, metric: str)
                 names=["query_key", "key", "score"],
             )
 
-    query_type = _spark_type(query_keys.type)
-    return vectors.select("key", "vec").mapInArrow(
-        nearest, f"query_key {query_type}, key {key_type}, score double"
-    )
-
-
-def _spark_type(arrow: pa.DataType) -> str:
-    if pa.types.is_string(arrow) or pa.types.is_large_string(arrow):
-        return "string"
-    return "int" if pa.types.is_int32(arrow) else "bigint"
+    return vectors.mapInArrow(nearest, schema)
 
 
 def _knn_by_cells(
@@ -221,11 +267,15 @@ def _knn_by_cells(
                 if metric == "dot":
                     spread = spread * np.linalg.norm(rows, axis=1, keepdims=True)
                 lowest, highest = middle - spread, middle + spread
+                if metric == "l2":  # a small distance by the product is off by up to the root of its square's error
+                    slack = BOUND_SLACK + np.sqrt(2 * square_error(rows, pivots))
+                else:
+                    slack = BOUND_SLACK + square_error(rows, pivots)
                 order = np.argsort(-lowest, axis=1)
                 reached = np.cumsum(count[order], axis=1) >= k
                 at = np.where(reached.any(axis=1), reached.argmax(axis=1), len(cell) - 1)
                 sure = np.take_along_axis(lowest, np.take_along_axis(order, at[:, None], 1), 1)
-                query, column = np.nonzero(highest >= sure - BOUND_SLACK)
+                query, column = np.nonzero(highest >= sure - 2 * slack[:, None])
                 for some in B.row_steps(len(query), 256):
                     taken = pa.array(query[some] + part.start)
                     yield pa.RecordBatch.from_arrays(

@@ -8,8 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +34,11 @@ def distinct_vectors(table: DataFrame, key: str, vector: str, dim: int | None =
     Copies collapse on the map side before the shuffle, so a vector that fills
     a third of the table costs one row per task.
     """
-    return (
-        _valid(table, key, vector, dim)
-        .groupBy("vec")
-        .agg(F.min("key").alias("key"), F.count("*").alias("copies"))
-    )
+    return _distinct(_valid(table, key, vector, dim))
+
+
+def _distinct(valid: DataFrame) -> DataFrame:
+    return valid.groupBy("vec").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
 
 
 def _exact(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -196,9 +194,6 @@ def _similarity_join(vectors: DataFrame, threshold: float, links: bool, block_ro
     if not size.n:
         return spark.createDataFrame([], schema)
     count = B.cell_count(size.n, size.dim, block_rows)
-    if count == 1:
-        return B.compare_one_block(vectors, compare, schema)
-
     pivot_keys, pivots = B.choose_pivots(vectors, count, size.n)
     narrow = _assign(vectors, pivots, threshold, key_type, mark_core=links, narrow=True)
     if links:
@@ -244,7 +239,11 @@ def near_duplicate_pairs(
 
 def exact_vector_copies(table: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
     """Links (key, root) from every further copy of a vector to its lowest key."""
-    hashed = _valid(table, key, vector, dim).select("key", vector_digest(F.col("vec")).alias("digest"))
+    return _copies(_valid(table, key, vector, dim))
+
+
+def _copies(valid: DataFrame) -> DataFrame:
+    hashed = valid.select("key", vector_digest(F.col("vec")).alias("digest"))
     members = equal_members(hashed, "digest")
     return members.filter(F.col("key") != F.col("root")).select("key", "root")
 
@@ -275,13 +274,64 @@ def near_duplicate_links(
     """Links (key, root) that connect exactly the rows chains of close pairs connect.
 
     For grouping this replaces the pair list, whose length is quadratic in the
-    size of a duplicate cluster; the links are linear in it.
+    size of a duplicate cluster; the links are linear in it. ``table`` is read
+    once, so vectors made on the way by a model are made once.
     """
-    distinct = cut_lineage(distinct_vectors(table, key, vector, dim))
+    valid = cut_lineage(_valid(table, key, vector, dim))
+    distinct = cut_lineage(_distinct(valid))
     close = _similarity_join(distinct.select("key", "vec"), threshold, True, block_rows)
     if distinct.filter("copies > 1").isEmpty():
         return close
-    return close.unionByName(exact_vector_copies(table, key, vector, dim))
+    return close.unionByName(_copies(valid))
+
+
+#: Share of the pairs at the threshold that the LSH form is set up to find.
+RECALL = 0.99
+
+#: Bits of a band at most, and rows per bucket that one band's own work is worth.
+MOST_BITS, BUCKET_WORTH = 30, 32
+
+
+def band_plan(n_rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits per band, bands) for the least work at which a pair at the threshold is found with ``recall``.
+
+    One bit is the side of a random plane; a pair at angle t shares it with
+    probability 1 - t / pi, a band of r bits with its r-th power, and any of b
+    bands with 1 - (1 - that)^b. Unrelated rows share a band of r bits with
+    probability 2^-r.
+    """
+    same = 1.0 - math.acos(min(1.0, threshold)) / math.pi
+    best = None
+    for bits in range(1, MOST_BITS + 1):
+        chance = same**bits
+        bands = 1 if chance >= recall else math.ceil(math.log(1.0 - recall) / math.log1p(-chance))
+        work = bands * (BUCKET_WORTH + n_rows / 2.0**bits)
+        if best is None or work < best[0]:
+            best = (work, bits, bands)
+    return best[1], best[2]
+
+
+def _bands(vectors: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
+    """(cell, role, key, vec): each row once per band, in the bucket of its bits there."""
+    key_type = vectors.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for batch in batches:
+            matrix = unit_rows(to_matrix(batch.column("vec")))
+            if not len(matrix):
+                continue
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(matrix.shape[1], bits * bands))
+            sides = (matrix @ planes > 0).reshape(len(matrix), bands, bits)
+            codes = sides @ (1 << np.arange(bits, dtype=np.int64))
+            for band in range(bands):
+                columns = [pa.array([f"{band}:{code}" for code in codes[:, band]]), pa.array(["hn"] * len(matrix))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, batch.column("key"), batch.column("vec")], names=["cell", "role", "key", "vec"]
+                )
+
+    return vectors.select("key", "vec").mapInArrow(run, f"cell string, role string, key {key_type}, vec array<float>")
 
 
 def near_duplicate_pairs_lsh(
@@ -289,34 +339,29 @@ def near_duplicate_pairs_lsh(
     key: str,
     vector: str,
     threshold: float,
-    bucket_length: float = 0.5,
-    tables: int = 4,
+    recall: float = RECALL,
     seed: int = 7,
     block_rows: int = B.BLOCK_ROWS,
+    bits: int | None = None,
+    bands: int | None = None,
 ) -> DataFrame:
     """Approximate form of `near_duplicate_pairs` for tables too large for it.
 
-    Only vectors that share a random-projection bucket are compared, so pairs
-    can be missed; every pair returned is checked exactly. Buckets are compared
-    block by block like any cell, hot ones included.
+    Rows are compared if they lie on the same side of all random planes of one
+    band; `band_plan` chooses bits and bands from the threshold, the rows and
+    the ``recall`` wanted at the threshold (closer pairs are found more
+    surely). Every pair returned is checked exactly. Buckets are compared block
+    by block like any cell, hot ones included.
     """
     vectors = cut_lineage(distinct_vectors(table, key, vector).select("key", "vec"))
     key_type = vectors.schema["key"].dataType.simpleString()
     schema = PAIR_COLUMNS.format(key_type)
-    if vectors.isEmpty():
+    n_rows = vectors.count()
+    if not n_rows:
         return vectors.sparkSession.createDataFrame([], schema)
-    points = vectors.withColumn("point", array_to_vector("vec"))
-    unit = Normalizer(p=2.0, inputCol="point", outputCol="features").transform(points)
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    hashed = lsh.fit(unit).transform(unit)
-    rows = hashed.select("key", "vec", F.posexplode("hashes").alias("table", "bucket")).select(
-        F.concat_ws(":", F.col("table"), F.col("bucket").cast("string")).alias("cell"),
-        F.lit("hn").alias("role"),
-        "key",
-        "vec",
-    )
+    if bits is None or bands is None:
+        bits, bands = band_plan(n_rows, threshold, recall)
+    rows = _bands(vectors, bits, bands, seed)
     sizes = cut_lineage(rows.groupBy("cell", "role").agg(F.count("*").alias("n")))
     found = B.compare_blocks(
         rows, sizes, [("hn", "hn", 0)], _emit_pairs(threshold), schema, block_rows, few_cells=False

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.encoders import Encoder, text_encoder
 from framesift.functions.encoding import document_of
+from framesift.functions.filters import Filters, filter_condition, filtered
 from framesift.functions.paths import has_extension, matches_any_term
 from framesift.functions.vectors import check_metric, similarity_to
 from framesift.schemas import (
@@ -19,39 +20,8 @@ from framesift.schemas import (
     SEARCH_DEPTH,
 )
 
-Filters = str | Mapping[str, Any] | Column | None
-
-
-def filter_condition(filters: Filters) -> Column | None:
-    """Condition from a SQL string, a Column, or a mapping.
-
-    Mapping keys are a column name, optionally followed by NOT, <, <=, > or >=;
-    a list, tuple or set of values means any of them.
-    """
-    if filters is None or isinstance(filters, Column):
-        return filters
-    if isinstance(filters, str):
-        return F.expr(filters)
-    tests = {
-        "<": lambda c, v: c < v,
-        "<=": lambda c, v: c <= v,
-        ">": lambda c, v: c > v,
-        ">=": lambda c, v: c >= v,
-    }
-    condition = F.lit(True)
-    for spelled, value in filters.items():
-        name, _, operator = spelled.strip().partition(" ")
-        operator = operator.strip().upper()
-        column = F.col(name)
-        values = list(value) if isinstance(value, (list, tuple, set, frozenset)) else [value]
-        if operator in tests:
-            condition = condition & tests[operator](column, value)
-        elif operator in ("", "NOT"):
-            member = column.isin(values)
-            condition = condition & (~member if operator else member)
-        else:
-            raise ValueError(f"unknown filter operator in {spelled!r}")
-    return condition
+#: Hits whose keys are fetched and given to a scan, at most.
+LISTED_HITS = 1000
 
 
 def _best_first(metric: str, key: str) -> list[Column]:
@@ -60,7 +30,7 @@ def _best_first(metric: str, key: str) -> list[Column]:
     return [score.asc_nulls_last() if metric == "l2" else score.desc_nulls_last(), F.col(key)]
 
 
-def add_rank(results: DataFrame, key: str, metric: str = "cosine") -> DataFrame:
+def _add_rank(results: DataFrame, key: str, metric: str = "cosine") -> DataFrame:
     """1-based position. ``results`` is a top-k list, so one task orders k rows."""
     return results.withColumn("rank", F.row_number().over(Window.orderBy(*_best_first(metric, key))))
 
@@ -79,15 +49,16 @@ def search(
     """The ``k`` rows nearest to ``query_vector``: requested columns, score, rank.
 
     Filters apply before the ranking and reach the file scan. Each task keeps
-    its own best ``k``; nothing else is shuffled. Equal scores go by key. Rows
-    whose vector is NULL or of another length are not searched.
+    its own best ``k``; nothing else is shuffled. Equal scores go by key. As in
+    an index, rows whose vector is NULL, zero, of another length or has NULL,
+    NaN or infinity inside are not searched. ``columns`` are the key alone
+    unless named, so that nothing wide goes through the ranking.
     """
     check_metric(metric)
     if len(query_vector) == 0:
         raise ValueError("empty query vector")
-    wanted = list(columns) if columns is not None else [c for c in table.columns if c != vector]
-    condition = filter_condition(filters)
-    rows = table if condition is None else table.filter(condition)
+    wanted = list(columns) if columns is not None else [key]
+    rows = filtered(table, filters)
     if exclude_key is not None:
         rows = rows.filter(F.col(key) != F.lit(exclude_key))
     carried = list(dict.fromkeys([*wanted, key]))
@@ -95,7 +66,7 @@ def search(
         *carried, similarity_to(query_vector, metric)(F.col(vector)).alias("score")
     )
     best = scored.orderBy(*_best_first(metric, key)).limit(k).filter(F.col("score").isNotNull())
-    return add_rank(best, key, metric).select(*wanted, "score", "rank")
+    return _add_rank(best, key, metric).select(*wanted, "score", "rank")
 
 
 def stored_vector(table: DataFrame, key: str, value: Any, vector: str = "embeddings") -> list[float]:
@@ -153,7 +124,7 @@ def search_images(
     )
     if chosen is not None:
         hits = hits.filter(chosen).orderBy("rank").limit(shown)
-    return add_rank(hits.drop("rank"), key, metric).select(*columns, "score", "rank")
+    return _add_rank(hits.drop("rank"), key, metric).select(*columns, "score", "rank")
 
 
 def displayable(hits: DataFrame, path: str = "file_path") -> DataFrame:
@@ -164,15 +135,18 @@ def displayable(hits: DataFrame, path: str = "file_path") -> DataFrame:
 def with_content(hits: DataFrame, images: DataFrame, columns: Sequence[str], key: str = "file_path") -> DataFrame:
     """Add columns of the image table to a result list.
 
-    ``hits`` is the output of a search, at most ``k`` rows. They are fetched
-    first, so that the image scan is given their keys and can pass over files
-    and row groups that hold none; only then are the wide columns read.
+    A short result list, as a search gives, is fetched first, so that the image
+    scan is given its keys and can pass over files and row groups that hold
+    none; only then are the wide columns read. A list of more than
+    `LISTED_HITS` rows is joined instead.
     """
     spark = images.sparkSession
-    found = hits.collect()
-    keys = [row[key] for row in found]
+    found = hits.limit(LISTED_HITS + 1).collect()
+    wide = images.select(key, *columns)
+    if len(found) > LISTED_HITS:
+        return wide.join(hits, key)
     listed = spark.createDataFrame(found, hits.schema)
-    return images.filter(F.col(key).isin(keys)).select(key, *columns).join(F.broadcast(listed), key)
+    return wide.filter(F.col(key).isin([row[key] for row in found])).join(F.broadcast(listed), key)
 
 
 def as_text_rows(hits: DataFrame, columns: Sequence[str] = RESULT_COLUMNS) -> DataFrame:

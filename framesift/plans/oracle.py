@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from framesift.plans.inputs import EXTENSIONS
-from framesift.plans.queries import QUERY_TEXT, SAMPLE_TEXT, THRESHOLD
+from framesift.plans.queries import QUERY_TEXT, SAMPLE_TEXT, SHIFTED_FROM, THRESHOLD
 from framesift.schemas import FOLDER_TERMS
 
 
@@ -61,14 +61,14 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY {order}, vec_id)::INTEGER AS ra
 SELECT vec_id, label, score, rank FROM ranked WHERE rank <= {k}"""
 
 
-def _knn_batch(where: str = "true") -> str:
+def _knn_batch(where: str = "true", metric: str = "cosine") -> str:
     return f"""
 WITH scored AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-         {_score('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} AS score
+         {_score('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]', metric)} AS score
   FROM embeddings a, embeddings b WHERE {where}),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {"" if metric == "l2" else "DESC"}, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 10"""
 
 
@@ -232,6 +232,10 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
     "knn_exclude_sql": _knn(2, where="vec_id NOT IN (0, 137)"),
     "knn_batch": _knn_batch(),
     "knn_batch_by_cells": _knn_batch(),
+    "knn_batch_dot": _knn_batch(metric="dot"),
+    "knn_batch_dot_by_cells": _knn_batch(metric="dot"),
+    "knn_batch_l2": _knn_batch(metric="l2"),
+    "knn_batch_l2_by_cells": _knn_batch(metric="l2"),
     "knn_batch_others": _knn_batch("a.vec_id <> b.vec_id"),
     "search_text": _text_search("doc_id, text, lang, source, n_chars"),
     "search_text_excluding": _text_search("doc_id, lang", "source NOT IN ('src7', 'src13')"),
@@ -276,6 +280,14 @@ FROM old FULL OUTER JOIN new USING (file_path) WHERE old.text IS DISTINCT FROM n
     "sync_available_now": """
 SELECT vec_id, label, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm
 FROM embeddings""",
+    "sync_updates": """
+WITH v AS (SELECT *, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS length FROM embeddings),
+twice AS (SELECT vec_id, sqrt(list_inner_product(d, d)) AS length FROM (
+  SELECT vec_id, [(x * 2)::FLOAT::DOUBLE for x in embedding] AS d FROM embeddings))
+SELECT v.vec_id, label,
+       round(CASE WHEN v.vec_id % 5 = 0 AND v.vec_id % 35 <> 7 THEN twice.length ELSE v.length END, 5) AS norm
+FROM v JOIN twice USING (vec_id)
+WHERE (v.vec_id % 5 <> 1 AND (v.vec_id % 7 <> 0 OR v.vec_id % 5 = 0)) OR v.vec_id % 35 = 7""",
     "exact_duplicates": f"""
 SELECT sha256(text) AS digest, count(*) AS copies, min('file:' || {PATH}) AS first_key,
        (sum(octet_length(encode(text))) - max(octet_length(encode(text))))::BIGINT AS redundant_bytes
@@ -290,6 +302,17 @@ WITH {EXACT}
 SELECT doc_id, source, n_chars FROM documents
 WHERE doc_id NOT IN (SELECT key FROM decided WHERE key <> keep_key)""",
     "near_duplicates": f"WITH {PAIRS} SELECT key_a, key_b, score FROM pairs",
+    "near_duplicates_by_cells": f"WITH {PAIRS} SELECT key_a, key_b, score FROM pairs",
+    "near_duplicates_lsh": f"""
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  UNION ALL
+  SELECT vec_id + {SHIFTED_FROM},
+         [(embedding[i + 1]::DOUBLE + CASE WHEN (i + vec_id) % 2 = 0 THEN 0.005 ELSE -0.005 END)::FLOAT::DOUBLE for i in range(64)]
+  FROM embeddings)
+SELECT a.vec_id AS key_a, b.vec_id AS key_b, {_score('a.e', 'b.e')} AS score
+FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE {_score('a.e', 'b.e')} >= 0.95""",
+    "duplicate_groups_by_cells": f"WITH RECURSIVE {GROUPS} SELECT key, group_id FROM groups",
     "duplicate_groups": f"WITH RECURSIVE {GROUPS} SELECT key, group_id FROM groups",
     "embedded_duplicate_groups": """
 SELECT doc_id AS key, min(doc_id) OVER (PARTITION BY text) AS group_id FROM documents

@@ -14,7 +14,7 @@ from framesift.operators import near_duplicates as near
 from framesift.operators.knn import knn_join
 from framesift.plans import inputs as I
 from framesift.schemas import FOLDER_TERMS
-from framesift.session import cut_lineage, new_shared_path, ship_package
+from framesift.session import cut_lineage, drop_shared_path, new_shared_path, ship_package
 from framesift.streaming.sync import arriving_rows, sync_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 THRESHOLD = 0.4
+SHIFTED_FROM = 10_000_000
 QUERY_TEXT = "farmer's wheat field at dusk"
 SAMPLE_TEXT = "Greek myths"
 
@@ -267,6 +268,12 @@ def knn_exclude_sql(spark, sf):
     return _search_first(spark, sf, k=2, filters="vec_id NOT IN (0, 137)")
 
 
+#: Rows per block so small that these tables make many cells, as large ones do of ordinary blocks.
+SMALL_BLOCKS = 32
+
+CELLS = {"max_broadcast_bytes": 8 * I.DIMENSION * 64, "block_rows": SMALL_BLOCKS}
+
+
 def _batch(spark, sf, **options):
     vectors = I.keyed_vectors(spark, sf)
     joined = knn_join(vectors, vectors, 10, dim=I.DIMENSION, **options)
@@ -281,7 +288,27 @@ def knn_batch(spark, sf):
 @query
 def knn_batch_by_cells(spark, sf):
     """`knn_batch` as it runs once the queries outgrow the broadcast budget."""
-    return _batch(spark, sf, max_broadcast_bytes=8 * I.DIMENSION * 64, block_rows=512)
+    return _batch(spark, sf, **CELLS)
+
+
+@query
+def knn_batch_dot(spark, sf):
+    return _batch(spark, sf, metric="dot")
+
+
+@query
+def knn_batch_dot_by_cells(spark, sf):
+    return _batch(spark, sf, metric="dot", **CELLS)
+
+
+@query
+def knn_batch_l2(spark, sf):
+    return _batch(spark, sf, metric="l2")
+
+
+@query
+def knn_batch_l2_by_cells(spark, sf):
+    return _batch(spark, sf, metric="l2", **CELLS)
 
 
 @query
@@ -290,19 +317,25 @@ def knn_batch_others(spark, sf):
     return _batch(spark, sf, exclude_self=True)
 
 
+def _text_index(spark, sf):
+    """Documents with their vectors, built once and stored: what text searches read."""
+    path = new_shared_path(spark, "text-index")
+    rows = index.text_index_rows(I.table(spark, sf, "documents"), "doc_id", "text", I.encoder, I.DIMENSION)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query
 def search_text(spark, sf):
-    documents = embed.embed_texts(I.table(spark, sf, "documents"), I.encoder, "text")
     return search.search_text(
-        documents, I.encoder, SAMPLE_TEXT, 2, "doc_id", columns=["doc_id", "text", "lang", "source", "n_chars"]
+        _text_index(spark, sf), I.encoder, SAMPLE_TEXT, 2, "doc_id", columns=["doc_id", "text", "lang", "source", "n_chars"]
     )
 
 
 @query
 def search_text_excluding(spark, sf):
-    documents = embed.embed_texts(I.table(spark, sf, "documents"), I.encoder, "text")
     return search.search_text(
-        documents,
+        _text_index(spark, sf),
         I.encoder,
         SAMPLE_TEXT,
         2,
@@ -418,11 +451,44 @@ def synced_snapshot(spark, sf):
 
 @query
 def sync_available_now(spark, sf):
-    arriving = arriving_rows(spark, sf, _vectors(spark, sf).schema, glob="embeddings.parquet")
-    synced = sync_index(
-        arriving, new_shared_path(spark, "index"), new_shared_path(spark, "progress"), "vec_id", "embedding", I.DIMENSION
+    arriving = arriving_rows(spark, f"{sf}/embeddings.parquet", _vectors(spark, sf).schema)
+    return _synced(spark, [lambda: arriving])
+
+
+def _synced(spark, runs, **options):
+    """The index after one sync per stream of ``runs``; its folders are deleted."""
+    index_path, progress = new_shared_path(spark, "index"), new_shared_path(spark, "progress")
+    for arriving in runs:
+        synced = sync_index(arriving(), index_path, progress, "vec_id", "embedding", I.DIMENSION, **options)
+    result = cut_lineage(synced.select("vec_id", "label", F.round("norm", 5).alias("norm")))
+    drop_shared_path(spark, index_path)
+    drop_shared_path(spark, progress)
+    return result
+
+
+@query
+def sync_updates(spark, sf):
+    """Rows arrive, then some of them again with other vectors, some to be deleted and some new."""
+    vectors = _vectors(spark, sf)
+    inbox = new_shared_path(spark, "inbox")
+
+    def arrives(rows):
+        def run():
+            rows.write.mode("append").parquet(inbox)
+            return arriving_rows(spark, inbox, rows.schema)
+
+        return run
+
+    kept = vectors.withColumn("gone", F.lit(False))
+    doubled = vectors.withColumn("embedding", F.transform("embedding", lambda x: x * 2))
+    later = doubled.filter("vec_id % 5 IN (0, 1)").withColumn("gone", F.col("vec_id") % 5 == 1)
+    result = _synced(
+        spark,
+        [arrives(kept.filter("vec_id % 7 != 0")), arrives(later), arrives(kept.filter("vec_id % 35 = 7"))],
+        deleted="gone",
     )
-    return synced.select("vec_id", "label", F.round("norm", 5).alias("norm"))
+    drop_shared_path(spark, inbox)
+    return result
 
 
 # --- duplicates -------------------------------------------------------------
@@ -470,13 +536,27 @@ def near_duplicates(spark, sf):
     return near.near_duplicate_pairs(_vectors(spark, sf), "vec_id", "embedding", THRESHOLD)
 
 
+@query
+def near_duplicates_by_cells(spark, sf):
+    return near.near_duplicate_pairs(_vectors(spark, sf), "vec_id", "embedding", THRESHOLD, block_rows=SMALL_BLOCKS)
+
+
 @query
 def near_duplicates_lsh(spark, sf):
-    return near.near_duplicate_pairs_lsh(_vectors(spark, sf), "vec_id", "embedding", THRESHOLD)
+    """Vectors and copies of them shifted by 0.005 a component: the copies are found by bands of bits."""
+    vectors = _vectors(spark, sf).select("vec_id", "embedding")
+    shift = F.transform("embedding", lambda x, i: (x + F.when((i + F.col("vec_id")) % 2 == 0, 0.005).otherwise(-0.005)).cast("float"))
+    shifted = vectors.select((F.col("vec_id") + SHIFTED_FROM).alias("vec_id"), shift.alias("embedding"))
+    return near.near_duplicate_pairs_lsh(vectors.unionByName(shifted), "vec_id", "embedding", 0.95)
 
 
-def _groups(spark, sf):
-    return duplicates.near_duplicate_groups(_vectors(spark, sf), "vec_id", "embedding", THRESHOLD)
+def _groups(spark, sf, **options):
+    return duplicates.near_duplicate_groups(_vectors(spark, sf), "vec_id", "embedding", THRESHOLD, **options)
+
+
+@query
+def duplicate_groups_by_cells(spark, sf):
+    return _groups(spark, sf, block_rows=SMALL_BLOCKS)
 
 
 @query
@@ -493,7 +573,9 @@ def embedded_duplicate_groups(spark, sf):
 
 
 def _decided_near(spark, sf):
-    facts = I.image_embeddings(spark, sf).select(F.col("doc_id").alias("key"), "folder", "size_bytes")
+    facts = I.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("key"), F.col("source").alias("folder"), F.octet_length("text").cast("long").alias("size_bytes")
+    )
     return duplicates.keep_one(_groups(spark, sf).join(facts, "key"), ["size_bytes"], [True])
 
 

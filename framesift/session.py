@@ -75,6 +75,12 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_shared_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of `new_shared_path` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: written to the shared folder, so it outlives executors."""
     shared_dir(df.sparkSession)

@@ -81,13 +81,40 @@ def test_lsh_splits_hot_buckets(spark):
     frame = spark.createDataFrame(vector_rows(matrix), VECTORS)
     want = brute_pairs(matrix, 0.99)
     got = near_duplicates.near_duplicate_pairs_lsh(
-        frame, "key", "vec", 0.99, bucket_length=50.0, tables=4, block_rows=20
-    ).collect()  # two buckets a table, by the sign of the projection: both hot
+        frame, "key", "vec", 0.99, bits=1, bands=4, block_rows=20
+    ).collect()  # two buckets a band: both hot
     found = {(r.key_a, r.key_b) for r in got}
     assert len(found) == len(got)
     assert found <= set(want) and len(found) >= 0.95 * len(want)
 
 
+def test_lsh_bands_are_small(spark, sf):
+    """On vectors without structure no bucket holds more than a small share, and few pairs are compared."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS key", "embedding AS vec")
+    n = vectors.count()
+    bits, bands = near_duplicates.band_plan(n, 0.95)
+    sizes = [r["count"] for r in near_duplicates._bands(vectors, bits, bands, 7).groupBy("cell").count().collect()]
+    assert max(sizes) < 0.1 * n and sum(s * (s - 1) / 2 for s in sizes) < 0.2 * n * (n - 1) / 2
+    same = 1 - np.arccos(0.95) / np.pi
+    for rows in (10, 10**4, 10**9):
+        bits, bands = near_duplicates.band_plan(rows, 0.95)
+        assert 1 - (1 - same**bits) ** bands >= near_duplicates.RECALL
+    assert near_duplicates.band_plan(10**9, 0.95)[0] > near_duplicates.band_plan(10**3, 0.95)[0]
+
+
+def test_links_read_the_table_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(vector_rows(planted()), VECTORS)
+    groups = duplicates.near_duplicate_groups(rows.mapInArrow(counted, VECTORS), "key", "vec", 0.9, block_rows=25)
+    assert groups.count() and runs.value == rows.count()
+
+
 def test_negative_zero_is_a_copy(spark):
     frame = spark.createDataFrame([("b", [0.0, 1.0]), ("a", [-0.0, 1.0]), ("c", [1.0, 0.0])], "key string, vec array<float>")
     groups = duplicates.near_duplicate_groups(frame, "key", "vec", 0.95)
@@ -126,6 +153,19 @@ def test_salted_join(spark):
         assert joined.count() == 1000 and joined.filter("low <> k").count() == 0
 
 
+def test_unreadable_contents_are_no_copies(spark):
+    files = spark.createDataFrame([("a", None), ("b", None), ("c", b"x"), ("d", b"x")], "path string, content binary")
+    groups = duplicates.exact_duplicate_groups(files, "path", F.col("content"), F.length("content"))
+    assert [(r.first_key, r.copies) for r in groups.collect()] == [("c", 2)]
+
+
+def test_rows_of_unknown_size_are_not_preferred(spark):
+    members = spark.createDataFrame([("a", "g", None), ("b", "g", 500), ("c", "g", 900)], "key string, group_id string, size_bytes bigint")
+    for descending, want in ((True, "c"), (False, "b")):
+        kept = duplicates.keep_one(members, ["size_bytes"], [descending]).filter("kept").collect()
+        assert [r.key for r in kept] == [want]
+
+
 CONTENTS = [("c", b"x"), ("a", b"x"), ("b", b"yy"), ("d", b"x"), ("e", b"zz"), ("f", b"zz"), ("g", None)]
 
 

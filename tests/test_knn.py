@@ -57,6 +57,45 @@ def test_text_keys_and_other_queries(spark, options):
     same(got, want)
 
 
+@pytest.mark.parametrize("scale", [1, 30, 1000])
+def test_distances_of_long_vectors(spark, scale):
+    """Both ways give the distances by difference, to themselves 0, however long the vectors."""
+    rng = np.random.default_rng(3)
+    matrix = (scale * rng.normal(size=(120, 16)) / 4).astype(np.float32)
+    matrix[60:] = matrix[:60] + np.float32(scale * 1e-6)
+    vectors = spark.createDataFrame(vector_rows(matrix), VECTORS)
+    exact = np.sqrt(((matrix[:, None].astype(float) - matrix[None].astype(float)) ** 2).sum(axis=2))
+    exact = np.round(exact, 6)
+    found = []
+    for options in ({}, SMALL):
+        found.append({(r.query_key, r["rank"]): (r.key, r.score) for r in knn_join(vectors, vectors, 3, "l2", **options).collect()})
+        for q in range(120):
+            order = np.lexsort((np.arange(120), exact[q]))[:3]
+            assert [found[-1][q, n + 1] for n in range(3)] == [(i, exact[q, i]) for i in order.tolist()]
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 1, "block_rows": 4}], ids=["broadcast", "cells"])
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_unusable_vectors_are_left_out(spark, options, metric):
+    rng = np.random.default_rng(1)
+    good = vector_rows(rng.normal(size=(20, 4)).astype(np.float32))
+    bad = [(100, [float("nan")] * 4), (101, None), (102, [0.0] * 4), (103, [1.0]), (104, [None, 1.0, 1.0, 1.0]), (105, [float("inf")] * 4)]
+    clean = spark.createDataFrame(good, VECTORS)
+    mixed = spark.createDataFrame(good + bad, VECTORS)
+    assert answer(knn_join(mixed, mixed, 3, metric, dim=4, **options)) == answer(knn_join(clean, clean, 3, metric, **options))
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 1, "block_rows": 4}], ids=["broadcast", "cells"])
+@pytest.mark.parametrize("kind", ["smallint", "date", "string"])
+def test_key_types(spark, options, kind):
+    keyed = "CAST(date_add(DATE'2020-01-01', key) AS date)" if kind == "date" else f"CAST(key AS {kind})"
+    rows = spark.createDataFrame([(i, [float(i + 1), 1.0, 0.0, 0.0]) for i in range(12)], "key int, vec array<float>")
+    rows = rows.selectExpr(f"{keyed} AS key", "vec")
+    got = knn_join(rows, rows, 1, **options)
+    assert got.schema["key"].dataType == rows.schema["key"].dataType and got.filter("query_key = key").count() == 12
+
+
 @pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 1, "block_rows": 2}], ids=["broadcast", "cells"])
 def test_more_neighbours_than_rows(spark, options):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], VECTORS)

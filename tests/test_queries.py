@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, con, sf, name):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"kmeans_sizes", "near_duplicates_lsh"}
+    assert set(QUERIES) - set(SQL) == {"kmeans_sizes"}
 
 
 def test_entry_registers_all():

@@ -66,6 +66,60 @@ def test_sync_reads_only_new_files(spark, tmp_path):
     assert run().count() == 2
 
 
+def test_sync_replaces_and_deletes(spark, tmp_path):
+    source, built, progress = (str(tmp_path / name) for name in ("source", "index", "progress"))
+    schema = "file_path string, embeddings array<float>, at int, gone boolean"
+
+    def run(*rows):
+        frame = spark.createDataFrame(list(rows), schema)
+        frame.coalesce(1).write.mode("append").parquet(source)
+        arriving = arriving_rows(spark, source, frame.schema)
+        synced = sync_index(arriving, built, progress, "file_path", "embeddings", 2, newest="at", deleted="gone")
+        return sorted((r.file_path, r.embeddings) for r in synced.collect())
+
+    assert run(("a", [1.0, 0.0], 1, False), ("b", [1.0, 0.0], 1, None), ("b", [2.0, 0.0], 2, None)) == [("a", [1.0, 0.0]), ("b", [2.0, 0.0])]
+    assert run(("a", [0.0, 5.0], 3, False), ("b", None, 3, True), ("c", [1.0, 1.0], 3, False)) == [("a", [0.0, 5.0]), ("c", [1.0, 1.0])]
+    assert run(("b", [3.0, 3.0], 4, False), ("c", None, 4, False), ("d", [0.0, 0.0], 4, False)) == [("a", [0.0, 5.0]), ("b", [3.0, 3.0])]
+    again = spark.read.parquet(built)
+    assert again.count() == 8  # the log keeps what was written; readers take the last
+
+
+def test_sync_of_one_file_and_of_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "id int, v array<float>").repartition(5)
+    rows.write.parquet(str(tmp_path / "table.parquet"))
+    pandas = rows.toPandas()
+    pandas.to_parquet(tmp_path / "one.parquet")
+    for name in ("table.parquet", "one.parquet"):
+        arriving = arriving_rows(spark, f"{tmp_path}/{name}", rows.schema)
+        assert sync_index(arriving, f"{tmp_path}/i-{name}", f"{tmp_path}/p-{name}", "id", "v", 2).count() == 50
+
+
+def test_sync_of_nothing_fails(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    arriving = arriving_rows(spark, str(tmp_path / "empty"), spark.createDataFrame([], "id int, v array<float>").schema)
+    with pytest.raises(FileNotFoundError):
+        sync_index(arriving, str(tmp_path / "i"), str(tmp_path / "p"), "id", "v", 2)
+
+
+def test_one_row_per_key_breaks_ties(spark):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", None, "x"), ("b", None, "x"), ("c", 1, None)]
+    schema = "key string, at int, value string"
+    found = []
+    for parts in (1, 3, 5):
+        frame = spark.createDataFrame(rows, schema).repartition(parts)
+        found.append(sorted(map(str, index.one_row_per_key(frame, "key", "at").collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+    assert index.one_row_per_key(spark.createDataFrame(rows, schema), "key").count() == 3
+
+
+def test_failed_embeddings_are_pending(spark):
+    images = spark.createDataFrame([("a",), ("b",), ("c",)], "file_path string")
+    done = spark.createDataFrame([("a", [1.0]), ("b", None)], "file_path string, embeddings array<float>")
+    for limit in (10**6, 1):
+        pending = embed.not_yet_embedded(images, done, limit=limit, vector="embeddings")
+        assert sorted(r.file_path for r in pending.collect()) == ["b", "c"]
+
+
 def test_sync_embeds_on_the_way(spark, tmp_path):
     source = str(tmp_path / "source")
     texts = spark.createDataFrame([("a", "x"), ("b", None)], "file_path string, text string")
