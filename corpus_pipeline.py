@@ -15,8 +15,9 @@ from framesift.llm.mixing import drawn, quality_domains
 from framesift.llm.packing import pack
 from framesift.llm.simhash import without_near_duplicates
 
-#: Target weights of the domains by tokens. The corpus is as large as its scarcest domain allows.
-MIXTURE = {"high": 0.86, "low": 0.12, "toxic": 0.02}
+#: Target weights of the domains, as multiples of their own shares of the tokens: toxic text is
+#: to make up a twentieth of what it does, and the corpus is as large as that leaves it.
+MIXTURE = {"high": 1.0, "low": 1.0, "toxic": 0.05}
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn at rates that meet `MIXTURE`, each at most once."""
     labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return drawn(docs, labels, MIXTURE)
+    return drawn(docs, labels, MIXTURE, relative=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

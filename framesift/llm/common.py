@@ -15,6 +15,19 @@ ROW = "__row"
 SPACE = "\\x20\\x09-\\x0D"
 
 
+#: Rows of whole texts handed to Python at a time. Spark's own number is meant
+#: for narrow rows; of pages or documents it makes batches of tens of megabytes,
+#: which a task holds several times over.
+TEXT_ROWS = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Have this session hand rows to Python in batches of at most `TEXT_ROWS`."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the written table.
 

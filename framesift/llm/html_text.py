@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from framesift.llm.common import ROW, keyed
+from framesift.llm.common import ROW, keyed, text_batches
 
 #: Share of the fused ratios' spread that content paths are above, and the width of the smoothing in blocks.
 SPREAD, WIDTH = 0.3, 1.0
@@ -323,6 +323,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null and repeated ids, and null urls, are passed on as they are. Other
     columns are not read.
     """
+    text_batches(pages.sparkSession)
     rows = keyed(pages, id_col, _url=url_col, _html=html_col)
     id_type = rows.schema["_id"].dataType.simpleString()
     keep = [ROW] if ROW in pages.columns else []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ROW, keyed, with_row_key, write_shared
+from framesift.llm.common import ROW, keyed, text_batches, with_row_key, write_shared
 from framesift.operators.keys import filter_by_keys
 
 #: Lengths of n-grams, n-grams per profile, and letters of a text counted at a time.
@@ -127,6 +127,7 @@ def learn_profiles(docs: DataFrame, text_col: str, lang_col: str, size: int = PR
 
     Rows whose text or language is null are left out. Equal counts are ordered by the n-gram.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +180,7 @@ def predict_language(
     """
     rows = keyed(docs, id_col, _text=text_col)
     id_type = rows.schema["_id"].dataType.simpleString()
+    text_batches(docs.sparkSession)
     models = Profiles(profiles, size) if profiles else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,7 @@ def fit_rates(
     domains: list[str],
     targets: Mapping[str, float],
     budget: float | None = None,
+    relative: bool = False,
     tolerance: float = TOLERANCE,
     most_steps: int = MOST_STEPS,
 ) -> tuple[DataFrame, list[dict]]:
@@ -146,9 +147,10 @@ def fit_rates(
     Minimises the sum over domains of (expected tokens - target)^2 / target
     over rates that are not negative, starting from 1. Distances between rates
     count by the documents' tokens, so that one step moves equal documents
-    alike whatever their length. ``targets`` are weights of the domains; with
-    no ``budget`` of tokens it is the largest at which no domain needs more
-    than it has.
+    alike whatever their length. ``targets`` are weights of the domains, or with
+    ``relative`` what their own shares of the tokens are multiplied by; with no
+    ``budget`` of tokens it is the largest at which no domain needs more than
+    it has.
     """
     unknown = set(targets) - set(domains)
     if unknown or (domains and not sum(targets.values()) > 0) or any(w < 0 for w in targets.values()):
@@ -162,9 +164,10 @@ def fit_rates(
         *(F.coalesce(F.sum(F.col("_tokens") * share[i] * share[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in pairs),
     ).first()
     there = [seen[f"t{i}"] for i in range(len(domains))]
-    weight = [targets.get(d, 0.0) / sum(targets.values()) for d in domains]
+    weight = [targets.get(d, 0.0) * (t if relative else 1.0) for d, t in zip(domains, there)]
+    weight = [w / (sum(weight) or 1.0) for w in weight]
     if budget is None:
-        budget = min(t / w for t, w in zip(there, weight) if w > 0)
+        budget = min((t / w for t, w in zip(there, weight) if w > 0), default=0.0)
     goal = [w * budget for w in weight]
     if not sum(there) or not budget:
         return rows.withColumn("rate", F.lit(1.0)), [
@@ -220,6 +223,7 @@ def mix(
     text_col: str = "text",
     domain_col: str = "domain",
     budget: float | None = None,
+    relative: bool = False,
     buckets: int = BUCKETS,
     train_rows: int = TRAIN_ROWS,
 ) -> DataFrame:
@@ -238,7 +242,7 @@ def mix(
     rows = with_row_key(docs.select(*dict.fromkeys([id_col, text_col, *({ROW} & set(docs.columns))])), id_col)
     domains, priors, weights = fit_domains(rows, labels, id_col, text_col, domain_col, buckets, train_rows)
     told = write_shared(memberships(rows, domains, priors, weights, id_col, text_col, buckets), "memberships")
-    fitted, _ = fit_rates(told, domains, {d: w for d, w in targets.items() if d in domains}, budget)
+    fitted, _ = fit_rates(told, domains, {d: w for d, w in targets.items() if d in domains}, budget, relative)
     rate = F.round("rate", 6)
     chance = F.pmod(F.xxhash64(ROW, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     named = F.map_from_arrays(F.array(*(F.lit(d) for d in domains)).cast("array<string>"), "_p")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ROW, keyed, write_shared
+from framesift.llm.common import ROW, keyed, text_batches, write_shared
 
 SEQUENCE_TOKENS, END_OF_DOCUMENT = 1024, 0
 
@@ -128,6 +128,7 @@ def pack(
     result. Other columns are not read.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     tokens = _tokens(docs, id_col, text_col, path)
     id_type = tokens.schema["_id"].dataType.simpleString()

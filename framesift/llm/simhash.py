@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ROW, keyed, shuffle_partitions, with_row_key, write_shared
+from framesift.llm.common import ROW, keyed, shuffle_partitions, text_batches, with_row_key, write_shared
 from framesift.operators.components import connected_groups
 from framesift.operators.keys import filter_by_keys
 
@@ -95,6 +95,7 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(row key, _id, _fp) with the fingerprint as a signed long."""
+    text_batches(docs.sparkSession)
     rows = keyed(docs, id_col, _text=text_col)
     id_type = rows.schema["_id"].dataType.simpleString()
 

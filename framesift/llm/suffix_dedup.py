@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ROW, drop_written, keyed, shuffle_partitions, write_shared
+from framesift.llm.common import ROW, drop_written, keyed, shuffle_partitions, text_batches, write_shared
 from framesift.llm.suffix_array import suffix_array
 
 #: Bytes of a window and of an anchor.
@@ -349,6 +349,7 @@ def remove_repeats(
     they were numbered when read (`with_row_key`). Long texts are read in
     pieces. An empty table gives an empty result. Other columns are not read.
     """
+    text_batches(docs.sparkSession)
     rows = keyed(docs, id_col, _text=text_col)
     id_type = rows.schema["_id"].dataType.simpleString()
     spans = repeated_spans(rows, length, anchor, most_contexts)

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ROW, keyed, write_shared
+from framesift.llm.common import ROW, keyed, text_batches, write_shared
 from framesift.operators.keys import fits_broadcast
 from framesift.session import new_shared_path
 
@@ -341,6 +341,7 @@ def archive_pages(
     a null or repeated id makes records of their own. An empty table gives no
     archive. Other columns are not read.
     """
+    text_batches(pages.sparkSession)
     folder = folder or new_shared_path(pages.sparkSession, "warc")
     whole = write_archives(page_records(pages, id_col, url_col, html_col, revisit_bytes), f"{folder}/whole", level)
     normalised = normalise_archives(whole, f"{folder}/records", level)
