@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -17,11 +18,17 @@ from framesift.functions.vectors import as_vector, check_metric, closeness, roun
 from framesift.operators.blocks import BROADCAST_BYTES, rows_within_budget
 from framesift.operators.knn import knn_join
 
+log = logging.getLogger(__name__)
+
 
 def kmeans_clusters(
-    table: DataFrame, key: str, vector: str, k: int, seed: int = 17, max_iter: int = 20
+    table: DataFrame, key: str, vector: str, k: int, seed: int = 17, max_iter: int = 100
 ) -> DataFrame:
-    """(key, cluster) by MLlib k-means with cosine distance; only centres leave the executors."""
+    """(key, cluster) by MLlib k-means with cosine distance; only centres leave the executors.
+
+    Rounds go on until the centres stand still, ``max_iter`` of them at most;
+    stopping there with the centres still moving is logged as a warning.
+    """
     rows = table.select(F.col(key).alias("key"), as_vector(F.col(vector)).alias("vec"))
     points = searchable_vectors(rows, "vec").select("key", array_to_vector("vec").alias("features"))
     kmeans = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure="cosine", predictionCol="cluster")
@@ -30,6 +37,8 @@ def kmeans_clusters(
         model = kmeans.fit(held)
     finally:
         held.unpersist()
+    if model.summary.numIter >= max_iter:
+        log.warning("the centres still moved after %d rounds", max_iter)
     return model.transform(points).select("key", "cluster")
 
 
