@@ -30,15 +30,21 @@ HEADLINE = [
     "knn_single",
     "knn_prefilter",
     "knn_batch",
+    "knn_batch_by_cells",
+    "knn_batch_l2_by_cells",
     "search_text",
     "search_postfilter",
     "hits_with_content",
     "change_feed",
     "sync_available_now",
+    "sync_updates",
     "exact_duplicates",
     "exact_duplicate_members",
     "near_duplicates",
+    "near_duplicates_by_cells",
+    "near_duplicates_lsh",
     "duplicate_groups",
+    "duplicate_groups_by_cells",
     "savings",
     "zero_shot_label",
     "kmeans_sizes",

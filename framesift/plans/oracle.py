@@ -288,6 +288,29 @@ SELECT v.vec_id, label,
        round(CASE WHEN v.vec_id % 5 = 0 AND v.vec_id % 35 <> 7 THEN twice.length ELSE v.length END, 5) AS norm
 FROM v JOIN twice USING (vec_id)
 WHERE (v.vec_id % 5 <> 1 AND (v.vec_id % 7 <> 0 OR v.vec_id % 5 = 0)) OR v.vec_id % 35 = 7""",
+    "table_overwritten": "SELECT doc_id, source, n_chars FROM documents WHERE n_chars > 1000",
+    "table_created_once": """
+SELECT source, count(*) AS files, true AS refused, 'true' AS change_feed,
+       (SELECT count(*) FROM documents)::INTEGER AS table_rows FROM documents GROUP BY source""",
+    "table_replaced": "SELECT doc_id, source, n_chars * 2 AS n_chars FROM documents WHERE n_chars > 1000",
+    "index_table": """
+SELECT label, count(*) AS vectors, 1::INTEGER AS created, true AS ready, false AS still_there
+FROM embeddings GROUP BY label""",
+    "preview_through_pandas": "SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT 10",
+    "embedded_preview": f"""
+WITH hashed AS (SELECT *, {_digest('text')} AS h FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 10))
+SELECT doc_id, lang, source, {_components('h')} AS components FROM hashed""",
+    "embed_images_strictly": f"""
+WITH {IMAGES}, hashed AS (SELECT *, {_digest('text')} AS h FROM images)
+SELECT file_path, 64::INTEGER AS dim, {_components('h')} AS components FROM hashed""",
+    "retried_embeddings": f"""
+WITH hashed AS (
+  SELECT doc_id, {_digest('text')} AS h FROM documents
+  WHERE doc_id % 4 = 0 OR doc_id NOT IN (SELECT vec_id FROM embeddings))
+SELECT doc_id, 64::INTEGER AS dim, {_components('h')} AS components FROM hashed""",
+    "kmeans_planted": """
+SELECT vec_id % 8 AS corner, count(*) AS vectors, 1::BIGINT AS clusters, 1::INTEGER AS corners_per_cluster
+FROM embeddings GROUP BY 1""",
     "exact_duplicates": f"""
 SELECT sha256(text) AS digest, count(*) AS copies, min('file:' || {PATH}) AS first_key,
        (sum(octet_length(encode(text))) - max(octet_length(encode(text))))::BIGINT AS redundant_bytes

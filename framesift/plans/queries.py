@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from framesift.operators import near_duplicates as near
 from framesift.operators.knn import knn_join
 from framesift.plans import inputs as I
 from framesift.schemas import FOLDER_TERMS
+from framesift.sources import tables
 from framesift.session import cut_lineage, drop_shared_path, new_shared_path, ship_package
 from framesift.streaming.sync import arriving_rows, sync_index
 
@@ -491,6 +495,122 @@ def sync_updates(spark, sf):
     return result
 
 
+# --- tables -----------------------------------------------------------------
+
+
+@contextmanager
+def _table_name(spark):
+    """A table name of its own for one query, dropped afterwards."""
+    name = f"framesift_query_{uuid.uuid4().hex}"
+    try:
+        yield name
+    finally:
+        tables.drop_table(spark, name)
+
+
+def _narrow(spark, sf):
+    return I.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+
+
+@query
+def table_overwritten(spark, sf):
+    """Saved twice; the second rows are the table."""
+    rows = _narrow(spark, sf)
+    with _table_name(spark) as name:
+        tables.save_table(rows, name)
+        tables.save_table(rows.filter("n_chars > 1000"), name)
+        return cut_lineage(tables.read_table(spark, name))
+
+
+@query
+def table_created_once(spark, sf):
+    """Created, refused a second time, given a property; by source, what the table holds then."""
+    rows = _narrow(spark, sf)
+    with _table_name(spark) as name:
+        made = tables.create_table(rows, name)
+        try:
+            tables.create_table(rows, name)
+            refused = False
+        except AnalysisException:
+            refused = True
+        tables.set_properties(spark, name, tables.CHANGE_FEED)
+        shown = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {tables.quoted(name)}").collect()}
+        count = tables.row_count(made)
+        return cut_lineage(
+            made.groupBy("source").agg(
+                F.count("*").alias("files"),
+                F.lit(refused).alias("refused"),
+                F.lit(shown.get("delta.enableChangeDataFeed")).alias("change_feed"),
+                F.lit(count).alias("table_rows"),
+            )
+        )
+
+
+@query
+def table_replaced(spark, sf):
+    """Replaced by rows made from itself."""
+    with _table_name(spark) as name:
+        old = tables.create_table(_narrow(spark, sf), name)
+        longer = old.filter("n_chars > 1000").withColumn("n_chars", F.col("n_chars") * 2)
+        return cut_lineage(tables.replace_table(longer, name))
+
+
+@query
+def index_table(spark, sf):
+    """An index got or created twice, asked whether it is ready, and deleted; by label, what it held."""
+    vectors = _vectors(spark, sf)
+    doubled = vectors.unionAll(vectors.filter("vec_id % 3 = 0"))  # repeated keys get one row
+    made = []
+    with _table_name(spark) as source, _table_name(spark) as name:
+        tables.save_table(doubled, source)
+
+        def create():
+            made.append(name)
+            return index.create_index(spark, source, name, "vec_id", "embedding", I.DIMENSION)
+
+        index.get_or_create_index(spark, name, create)
+        held = index.get_or_create_index(spark, name, create).groupBy("label").agg(F.count("*").alias("vectors"))
+        ready = index.is_ready(spark, name)
+        held = cut_lineage(held.withColumns({"created": F.lit(len(made)), "ready": F.lit(ready)}))
+        index.delete_index(spark, name)
+        return held.withColumn("still_there", F.lit(spark.catalog.tableExists(name)))
+
+
+@query
+def preview_through_pandas(spark, sf):
+    """The first documents as a small local table, and back."""
+    shown = tables.preview(_narrow(spark, sf).orderBy("doc_id"))
+    shown.createOrReplaceTempView("framesift_preview")
+    local = tables.query_to_pandas(spark, "SELECT * FROM framesift_preview WHERE n_chars > :least", {"least": 0})
+    spark.catalog.dropTempView("framesift_preview")
+    return tables.rows_to_frame(spark, local, shown.schema)
+
+
+@query
+def embedded_preview(spark, sf):
+    documents = I.table(spark, sf, "documents").select("doc_id", "text", "lang", "source").orderBy("doc_id")
+    shown = embed.preview_embeddings(documents, lambda rows: embed.embed_texts(rows, I.encoder, "text"), "text")
+    return shown.select("doc_id", "lang", "source", I.components(F.col("embeddings")).alias("components"))
+
+
+@query
+def embed_images_strictly(spark, sf):
+    """Images under the failing policy, from the column a model reads when none is named."""
+    images = I.images(spark, sf).select("file_path", F.col("image_base64").alias("input"))
+    return _components(embed.embed_images(images, I.encoder, on_error="fail"), "file_path")
+
+
+@query
+def retried_embeddings(spark, sf):
+    """Documents whose vector is missing or NULL are encoded, the others are not."""
+    documents = I.table(spark, sf, "documents").select("doc_id", "text")
+    embedded = I.image_embeddings(spark, sf).select(
+        "doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("embeddings")).alias("embeddings")
+    )
+    pending = embed.not_yet_embedded(documents, embedded, "doc_id", vector="embeddings")
+    return _components(embed.embed_texts(pending, I.encoder, "text"), "doc_id")
+
+
 # --- duplicates -------------------------------------------------------------
 
 
@@ -598,6 +718,19 @@ def kmeans_sizes(spark, sf):
     return clusters.groupBy("cluster").agg(F.count("*").alias("rows"))
 
 
+@query
+def kmeans_planted(spark, sf):
+    """Vectors drawn to eight far corners: each corner becomes one cluster, and every vector is in one."""
+    corner = F.pmod("vec_id", F.lit(8))
+    drawn = F.transform("embedding", lambda x, i: (x * 0.1 + F.when(i == corner, 5.0).otherwise(0.0)).cast("float"))
+    planted = _vectors(spark, sf).select("vec_id", drawn.alias("embedding"))
+    clusters = labels.kmeans_clusters(planted, "vec_id", "embedding", 8)
+    found = clusters.select(F.pmod("key", F.lit(8)).alias("corner"), "key", "cluster")
+    by_corner = found.groupBy("corner").agg(F.count("*").alias("vectors"), F.countDistinct("cluster").alias("clusters"))
+    shared = found.groupBy("cluster").agg(F.countDistinct("corner").alias("corners")).agg(F.max("corners").alias("corners"))
+    return by_corner.withColumn("corners_per_cluster", F.lit(shared.first().corners))
+
+
 @query
 def zero_shot_label(spark, sf):
     vectors = _vectors(spark, sf)

@@ -163,3 +163,21 @@ def test_hash_encoder():
     one, two = HashEncoder(64).encode_text(["a", "b"])
     assert len(one) == 64 and list(one) != list(two) and max(abs(one)) <= 1
     assert list(HashEncoder(40).encode_image([b"a"])[0]) == list(one[:40])
+
+
+def test_filters_come_before_the_model(spark, sf):
+    from framesift.operators import index
+
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    chosen = {"source NOT": ("src7", "src13")}
+    made = {
+        "texts": (embed.embed_texts(documents, HashEncoder, "text", filters=chosen), "source"),
+        "index": (index.text_index_rows(documents, "doc_id", "text", HashEncoder, 64, filters=chosen), "source"),
+        "vectors": (index.index_rows(vectors, "vec_id", "embedding", 64, filters="label = 3"), "label"),
+    }
+    for name, (frame, column) in made.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+        assert column in pushed, (name, plan)
+        assert plan.index("ArrowEvalPython") < plan.index("Filter") < plan.index("FileScan"), (name, plan)

@@ -27,6 +27,18 @@ def test_sql_belongs_to_queries():
     assert set(QUERIES) - set(SQL) == {"kmeans_sizes"}
 
 
+def test_cells_are_many(spark):
+    """The queries by cells run over more than one cell."""
+    from framesift.operators import blocks
+    from framesift.plans import inputs, queries
+
+    vectors = inputs.keyed_vectors(spark, "/root/testdata/sf0.01")
+    count = vectors.count()
+    cells = blocks.cell_count(count, inputs.DIMENSION, queries.SMALL_BLOCKS)
+    assert cells >= 16 and len(blocks.choose_pivots(vectors, cells, count)[0]) >= 12
+    assert count > blocks.rows_within_budget(inputs.DIMENSION, queries.CELLS["max_broadcast_bytes"])
+
+
 def test_entry_registers_all():
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
