@@ -180,4 +180,4 @@ def test_filters_come_before_the_model(spark, sf):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         pushed = plan.split("PushedFilters: [")[1].split("]")[0]
         assert column in pushed, (name, plan)
-        assert plan.rindex("ArrowEvalPython") < plan.rindex("Filter (") < plan.index("FileScan"), (name, plan)
+        assert plan.rindex("ArrowEvalPython") < plan.rindex("Filter ") < plan.index("FileScan"), (name, plan)
