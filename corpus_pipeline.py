@@ -14,6 +14,7 @@ from framesift.llm.language_id import with_known_language
 from framesift.llm.mixing import drawn, quality_domains
 from framesift.llm.packing import pack
 from framesift.llm.simhash import without_near_duplicates
+from framesift.session import ship_package
 
 #: Target weights of the domains, as multiples of their own shares of the tokens: toxic text is
 #: to make up a twentieth of what it does, and the corpus is as large as that leaves it.
@@ -22,27 +23,32 @@ MIXTURE = {"high": 1.0, "low": 1.0, "toxic": 0.05}
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents some language was found for."""
+    ship_package(spark)
     return with_known_language(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    ship_package(spark)
     return without_exact_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that SimHash links connect."""
+    ship_package(spark)
     return without_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn at rates that meet `MIXTURE`, each at most once."""
+    ship_package(spark)
     labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return drawn(docs, labels, MIXTURE, relative=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 1024 tokens, with their tokens."""
+    ship_package(spark)
     return pack(docs)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ from framesift.llm.pii import replace_personal_data
 from framesift.llm.simhash import simhash_near_duplicates
 from framesift.llm.suffix_dedup import remove_repeats
 from framesift.llm.warc import archived_pages
+from framesift.session import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +71,15 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(table(spark, sf_dir, "documents"), key="key of the registered query")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(build: Query) -> Query:
+    """``build``, with this package sent to the Python workers first."""
+    return wraps(build)(lambda spark, sf_dir: build(ship_package(spark), sf_dir))
+
+
+QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
     "op3_simhash_dedup": op3_simhash_dedup,
@@ -82,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii_surrogates": op10_pii_surrogates,
     "pipeline": corpus_pipeline.run,
 }
+QUERIES = {name: _shipped(build) for name, build in QUERIES.items()}
 
 ORACLE: dict[str, str] = {
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
