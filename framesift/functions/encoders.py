@@ -10,12 +10,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
-import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -42,50 +40,6 @@ class Tagger(Protocol):
     def tag(self, texts: list[str]) -> list[list[dict[str, Any]]]: ...
 
 
-class HashEncoder:
-    """Stand-in model: components are SHA-256 bytes scaled to [-1, 1].
-
-    Equal inputs get equal vectors and different ones unrelated vectors. It has
-    no meaning beyond that; it makes jobs testable where no weights exist.
-    """
-
-    def __init__(self, dimension: int = 64) -> None:
-        self.dimension = dimension
-
-    def _encode(self, content: bytes) -> np.ndarray:
-        digest = b""
-        block = 0
-        while len(digest) < self.dimension:
-            digest += hashlib.sha256(f"{block}:".encode() + content).digest()
-            block += 1
-        values = np.frombuffer(digest, dtype=np.uint8)[: self.dimension]
-        return ((values - 127.5) / 127.5).astype(np.float32)
-
-    def encode_text(self, texts: list[str]) -> list[np.ndarray]:
-        return [self._encode(text.encode()) for text in texts]
-
-    def encode_image(self, images: list[bytes]) -> list[np.ndarray]:
-        return [self._encode(image) for image in images]
-
-
-class PatternTagger:
-    """Stand-in tagger: each pattern's matches become entities, left to right."""
-
-    def __init__(self, patterns: Mapping[str, str]) -> None:
-        self.patterns = {entity: re.compile(pattern) for entity, pattern in patterns.items()}
-
-    def tag(self, texts: list[str]) -> list[list[dict[str, Any]]]:
-        tagged = []
-        for text in texts:
-            found = [
-                {"entity": entity, "word": m.group(), "start": m.start(), "end": m.end(), "score": 1.0}
-                for entity, pattern in self.patterns.items()
-                for m in pattern.finditer(text)
-            ]
-            tagged.append(sorted(found, key=lambda hit: (hit["start"], hit["end"], hit["entity"])))
-        return tagged
-
-
 def _run(call: Callable[[list], Sequence], inputs: list, on_error: str) -> list:
     """Call a model on a batch; under "null", retry one by one so only bad inputs fail."""
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.functions.encoders import HashEncoder, PatternTagger
+from framesift.plans.stand_ins import HashEncoder, PatternTagger
 from framesift.operators.ingest import image_records
 
 ROOT = "/data"

@@ -7,7 +7,8 @@ from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from framesift.functions.encoders import HashEncoder, PatternTagger, register_ai_query, text_encoder
+from framesift.functions.encoders import register_ai_query, text_encoder
+from framesift.plans.stand_ins import HashEncoder, PatternTagger
 from framesift.operators import embed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not have the tests

@@ -3,7 +3,7 @@ import pytest
 from helpers import nearest
 from pyspark.sql import functions as F
 
-from framesift.functions.encoders import HashEncoder
+from framesift.plans.stand_ins import HashEncoder
 from framesift.operators import search
 
 

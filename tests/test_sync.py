@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from framesift.functions.encoders import HashEncoder
+from framesift.plans.stand_ins import HashEncoder
 from framesift.operators import changes, embed, index
 from framesift.operators.keys import filter_by_keys
 from framesift.sources import tables
