@@ -32,10 +32,14 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the written table.
 
     The plan behind it is evaluated once, and a lost executor costs none of it.
+    The folder is deleted when the application ends, unless `drop_written` did.
     """
-    path = new_shared_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = new_shared_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(table: DataFrame) -> None:
