@@ -103,8 +103,10 @@ def _places(rows: DataFrame, length: int, anchor: int) -> DataFrame:
                 for h, place, start, end in contexts(data, length, anchor):
                     size = end - start + length
                     c = np.array([digest(data[s : s + n]) for s, n in zip(start.tolist(), size.tolist())], dtype=np.uint64)
-                    repeat = np.ones(len(h), dtype=bool)
-                    repeat[np.unique(np.stack([h, c]), axis=1, return_index=True)[1]] = False
+                    order = np.lexsort((c, h))  # keeps the order of equal contexts
+                    equal = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+                    repeat = np.zeros(len(h), dtype=bool)
+                    repeat[order[1:][equal]] = True
                     held.append((h.view(np.int64), c.view(np.int64), np.full(len(h), row), place, start, size, repeat))
                     count += len(h)
                 if count > 65536:
@@ -121,6 +123,40 @@ def _places(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     return rows.select(ROW, "_text").mapInArrow(run, _PLACES)
 
 
+def _window_keys(text: bytes, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each place of ``text`` on."""
+    size = 1 << (length.bit_length() - 1)
+    part = _hashes(np.frombuffer(text, dtype=np.uint8), size)
+    with np.errstate(over="ignore"):
+        return part[: len(text) - length + 1] * np.uint64(_MIX) + part[length - size :]
+
+
+def may_share(groups: np.ndarray, items: list[bytes], length: int) -> np.ndarray:
+    """Whether an item may have a window in common with another of its group, by hashes of all windows.
+
+    Items for which this is false need no place in a suffix array.
+    """
+    text = b"".join(items)
+    sizes = np.array([len(data) for data in items])
+    kept = np.zeros(len(items), dtype=bool)
+    if len(text) < length:
+        return kept
+    ends = np.cumsum(sizes)
+    item = np.repeat(np.arange(len(items)), sizes)[: len(text) - length + 1]
+    inside = np.arange(len(item)) + length <= ends[item]
+    keys, item = _window_keys(text, length)[inside], item[inside]
+    order = np.lexsort((keys, groups[item]))
+    keys, item = keys[order], item[order]
+    same = (keys[1:] == keys[:-1]) & (groups[item[1:]] == groups[item[:-1]])
+    kept[item[1:][same]] = True
+    kept[item[:-1][same]] = True
+    return kept
+
+
+#: Codes of bytes in a suffix array: 0 ends it and 1 ends an item. No UTF-8 text has the two highest bytes.
+_CODES = bytes(min(c + 2, 255) for c in range(256))
+
+
 def shared_windows(items: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
     """(item, from, to): spans of windows that an earlier item has too.
 
@@ -128,38 +164,31 @@ def shared_windows(items: list[tuple[int, int, bytes]], length: int) -> list[tup
     same with a smaller start of the window. Only windows wholly inside an item
     are compared; all of them are, by their neighbours in the suffix array.
     """
-    codes: list[int] = []
-    owner: list[int] = []
-    begins: list[int] = []
-    for number, (_, _, data) in enumerate(items):
-        begins.append(len(codes))
-        codes.extend([c + 2 for c in data])
-        codes.append(1)
-        owner.extend([number] * (len(data) + 1))
-    codes.append(0)
-    owner.append(-1)
+    text = b"\x01".join(data.translate(_CODES) for _, _, data in items) + b"\x01\x00"
+    sizes = np.array([len(data) + 1 for _, _, data in items] + [1])
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(items) + 1), sizes)
+    at = np.arange(len(text)) - begins[owner]
+    whole = at + length < sizes[owner]  # a size counts the end of the item
+    order = np.array(suffix_array(list(text)))
+    order = order[whole[order]]
+
     found: list[tuple[int, int]] = []
     same: list[tuple[int, int, int]] = []  # (row, start, item) of equal windows
-    last = b""
 
     def settle() -> None:
         if len(same) > 1:
-            first = min(same)
-            found.extend((item, start) for row, start, item in same if (row, start) != first[:2])
-
-    for suffix in suffix_array(codes):
-        item = owner[suffix]
-        if item < 0:
-            continue
-        row, start, data = items[item]
-        at = suffix - begins[item]
-        if at + length > len(data):
-            continue
-        window = data[at : at + length]
+            first = min(same)[:2]
+            found.extend((item, start) for row, start, item in same if (row, start) != first)
+
+    last = b""
+    for suffix, item, place in zip(order.tolist(), owner[order].tolist(), at[order].tolist()):
+        window = text[suffix : suffix + length]
         if window != last:
             settle()
             same, last = [], window
-        same.append((row, start + at, item))
+        row, start, _ = items[item]
+        same.append((row, start + place, item))
     settle()
 
     spans: list[tuple[int, int, int]] = []
@@ -199,6 +228,27 @@ def _read_contexts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"anchor long, {ROW} long, place int, start int, data binary")
 
 
+def _sharing(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[str, int, int, bytes]]:
+    """The rows (group, row key, start, data), in order of their groups, that `may_share` with another."""
+    held: list[tuple] = []
+    size = 0
+
+    def kept() -> list[tuple]:
+        names = np.unique([group for group, _, _, _ in held], return_inverse=True)[1]
+        chosen = may_share(names, [data for _, _, _, data in held], length)
+        return [row for row, some in zip(held, chosen) if some]
+
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in ("group", ROW, "start", "data"))):
+            if size > TASK_BYTES and row[0] != held[-1][0]:
+                yield from kept()
+                held, size = [], 0
+            held.append(row)
+            size += len(row[3])
+    if held:
+        yield from kept()
+
+
 def _sorted_spans(groups: DataFrame, length: int, tasks: int) -> DataFrame:
     """(row key, start, end) from the suffix arrays of groups (group, row key, start, data)."""
 
@@ -214,15 +264,14 @@ def _sorted_spans(groups: DataFrame, length: int, tasks: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [ROW, "start", "end"])
 
-        for batch in batches:
-            for group, row, start, data in zip(*(batch[c].to_pylist() for c in ("group", ROW, "start", "data"))):
-                if group != current and size > ARRAY_BYTES:
-                    if (made := out(waiting)) is not None:
-                        yield made
-                    waiting, size = [], 0
-                current = group
-                waiting.append((row, start, data))
-                size += len(data)
+        for group, row, start, data in _sharing(batches, length):
+            if group != current and size > ARRAY_BYTES:
+                if (made := out(waiting)) is not None:
+                    yield made
+                waiting, size = [], 0
+            current = group
+            waiting.append((row, start, data))
+            size += len(data)
         if waiting and (made := out(waiting)) is not None:
             yield made
 
@@ -230,7 +279,7 @@ def _sorted_spans(groups: DataFrame, length: int, tasks: int) -> DataFrame:
     return dealt.mapInArrow(run, f"{ROW} long, start long, end long")
 
 
-def _large_groups(found: DataFrame, length: int, anchor: int, most: int, tasks: int) -> list[DataFrame]:
+def _large_groups(found: DataFrame, length: int, anchor: int, most: int) -> list[DataFrame]:
     """Spans from anchors with more than ``most`` contexts, told apart by the bytes around the anchor.
 
     ``found`` has (anchor, row key, place, start, data). Each round knows
@@ -249,6 +298,8 @@ def _large_groups(found: DataFrame, length: int, anchor: int, most: int, tasks:
         sizes = write_shared(sizes, "group-sizes")
         rows = rows.join(sizes.hint("merge"), "group")
         rows = write_shared(rows, "groups")
+        total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        tasks = max(1, -(-total // TASK_BYTES))
         spans.append(_sorted_spans(rows.filter(F.col("n") <= most), length, tasks))
         slack = F.lit(length - anchor) - F.col("left") - F.col("right")
         large = rows.filter(F.col("n") > most).withColumn("slack", slack)
@@ -321,7 +372,7 @@ def repeated_spans(
     many = mixed.filter(F.col("kinds") > most_contexts)
     if not many.isEmpty():
         many = write_shared(_read_contexts(many, rows), "large-groups")
-        spans += [write_shared(s, "sorted-spans") for s in _large_groups(many, length, anchor, most_contexts, tasks)]
+        spans += [write_shared(s, "sorted-spans") for s in _large_groups(many, length, anchor, most_contexts)]
         _free_shuffles(spark)
     result = spans[0]
     for some in spans[1:]:
