@@ -12,6 +12,7 @@ Everything here is DataFrame and SQL expressions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 import numpy as np
@@ -21,8 +22,16 @@ from pyspark.sql import functions as F
 from framesift.llm.common import ROW, drop_written, keyed, with_row_key, write_shared
 from framesift.operators.keys import filter_by_keys
 
-#: Buckets that words are hashed to, and what is added to every count.
-BUCKETS, SMOOTHING = 1 << 15, 0.1
+#: Buckets that words are hashed to.
+BUCKETS = 1 << 17
+
+#: Documents added to those seen of a bucket in a domain and those expected from the
+#: other domains, the least logarithm of their ratio that tells something, and the least
+#: excess over the expected number in its standard deviations, times the root of the
+#: logarithm of the number of buckets.
+#: What is only a little more frequent in one domain, as the words of a language may be,
+#: or was seen a few times by chance, would add up over a long text.
+ADDED, LEAST_LOG, LEAST_EXCESS = 0.5, 1.6, 1.7
 
 #: Labelled rows the classifier is fitted on, about, where there are more: the
 #: first in the order of a hash of their id.
@@ -44,8 +53,15 @@ def _words(text: Column) -> Column:
     return F.split(apart, r"\s+")
 
 
-def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+def _buckets(words: Column, buckets: int) -> Column:
+    """The buckets of a text's words, each once."""
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+
+
+def _count(words: Column) -> Column:
+    """How many of `_words` are words."""
+    ends = (F.element_at(words, 1) == "").cast("long") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("long")
+    return F.size(words) - ends
 
 
 def fit_domains(
@@ -56,12 +72,14 @@ def fit_domains(
     domain_col: str = "domain",
     buckets: int = BUCKETS,
     train_rows: int = TRAIN_ROWS,
-) -> tuple[list[str], list[float], DataFrame]:
-    """Naive Bayes over hashed words: domains, the logarithms of their shares, and (bucket, weights).
-
-    ``weights`` has a logarithm per domain; the table has exactly ``buckets``
-    rows. Labels with a null id or domain are left out, and so are those of
-    unknown documents; a document labelled twice counts for both labels.
+) -> tuple[list[str], DataFrame, DataFrame]:
+    """Naive Bayes on hashed words: domains, the labels it was fitted on, and (bucket, weights).
+
+    A bucket tells of a domain whose documents have it much more often than those
+    of the others. ``weights`` has the logarithm of how much, or 0, per domain; the
+    table has at most ``buckets`` rows. Labels with a null id or domain are left
+    out, and so are those of unknown documents; a document labelled twice counts
+    for both labels.
     """
     known = labels.select(F.col(id_col).alias("_label_id"), F.col(domain_col).cast("string").alias("_domain")).dropna()
     known = known.distinct()
@@ -71,33 +89,33 @@ def fit_domains(
     # about train_rows rows of an id and a short name: bounded by that parameter
     labelled = texts.join(F.broadcast(chosen), "_label_id").select("_domain", _words(F.col("_text")).alias("words"))
     # the outer form: for the inner one Spark splits the text a second time, to see if there are words
-    exploded = labelled.select("_domain", F.explode_outer("words").alias("word"))
-    counts = write_shared(
-        exploded.groupBy("_domain", _bucket(F.col("word"), buckets).alias("bucket")).agg(F.count("*").alias("n")),
-        "domain-words",
-    )
-    totals = counts.groupBy("_domain").agg(F.sum("n").alias("n")).orderBy("_domain").collect()  # a row per domain
-    shares = {r._domain: r.n for r in labelled.groupBy("_domain").agg(F.count("*").alias("n")).collect()}
-    domains = [r._domain for r in totals]
-    priors = F.array(*(F.lit(float(shares[d])) for d in domains)) if domains else None
-    by_domain = [F.sum(F.when(F.col("_domain") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)]
+    exploded = labelled.select("_domain", F.explode_outer(_buckets(F.col("words"), buckets)).alias("bucket"))
+    counts = write_shared(exploded.groupBy("_domain", "bucket").agg(F.count("*").alias("n")), "domain-words")
+    sizes = texts.join(F.broadcast(chosen), "_label_id").groupBy("_domain").agg(F.count("*").alias("n"))
+    sizes = {r._domain: r.n for r in sizes.collect()}  # a row per domain
+    domains = sorted(sizes)
     spark = docs.sparkSession
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     if not domains:
-        return [], [], every.withColumn("weights", F.array().cast("array<double>"))
-    logs = [
-        F.log((F.coalesce(f"n{i}", F.lit(0)) + SMOOTHING) / F.lit(r.n + SMOOTHING * buckets)) for i, r in enumerate(totals)
-    ]
-    seen = counts.groupBy("bucket").agg(*by_domain)
-    weights = every.join(seen, "bucket", "left").select("bucket", F.array(*logs).alias("weights"))
-    logged = F.transform(priors, lambda x: F.log(x / float(sum(shares.values()))))
-    return domains, spark.range(1).select(logged.alias("p")).first().p, write_shared(weights, "domain-weights")
+        none = spark.range(0).select(F.col("id").cast("int").alias("bucket"), F.array().cast("array<double>").alias("weights"))
+        return [], chosen, none
+    total = float(sum(sizes.values()))
+    by_domain = [F.sum(F.when(F.col("_domain") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)]
+    seen = counts.groupBy("bucket").agg(F.sum("n").alias("n"), *by_domain)
+    excess = LEAST_EXCESS * math.sqrt(math.log(max(2, seen.count())))
+    logs = []
+    for i, domain in enumerate(domains):
+        expected = (F.col("n") - F.col(f"n{i}")) * (sizes[domain] / max(1.0, total - sizes[domain]))
+        log = F.log((F.col(f"n{i}") + ADDED) / (expected + ADDED))
+        telling = (log >= LEAST_LOG) & (F.col(f"n{i}") - expected >= excess * F.sqrt(F.greatest(expected, F.lit(ADDED))))
+        logs.append(F.when(telling, log).otherwise(0.0))
+    weights = seen.select("bucket", F.array(*logs).alias("weights")).filter(F.exists("weights", lambda x: x != 0))
+    return domains, chosen, write_shared(weights, "domain-weights")
 
 
 def memberships(
     docs: DataFrame,
     domains: list[str],
-    priors: list[float],
+    chosen: DataFrame,
     weights: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -105,19 +123,29 @@ def memberships(
 ) -> DataFrame:
     """(row key, _id, _tokens, _p) with the probability of each domain, in order.
 
-    Tokens are the words the classifier sees. A text without any has the
-    shares of the labelled documents.
+    Tokens are the words the classifier sees. A text with words that tell of a
+    domain has their weights there; for one without any, what counts is how
+    often the labelled documents of the domain have none, beside all of them.
     """
-    rows = keyed(docs, id_col, _text=text_col)
-    words = rows.select(ROW, "_id", F.explode_outer(_words(F.col("_text"))).alias("word"))
-    some = F.col("word") != ""
-    told = words.withColumn("bucket", _bucket(F.col("word"), buckets)).join(F.broadcast(weights), "bucket")
-    sums = [
-        (F.sum(F.when(some, F.col("weights")[i]).otherwise(0.0)) + F.lit(prior)).alias(f"s{i}")
-        for i, prior in enumerate(priors)
-    ]
-    scored = told.groupBy(ROW, "_id").agg(F.sum(some.cast("long")).alias("_tokens"), *sums)
-    scores = [F.col(f"s{i}") for i in range(len(domains))]
+    rows = keyed(docs, id_col, _text=text_col).select(ROW, "_id", _words(F.col("_text")).alias("words"))
+    exploded = rows.select(
+        ROW, "_id", _count(F.col("words")).alias("_tokens"), F.explode_outer(_buckets(F.col("words"), buckets)).alias("bucket")
+    )
+    told = exploded.join(F.broadcast(weights), "bucket", "left")
+    sums = [F.sum(F.coalesce(F.col("weights")[i], F.lit(0.0))).alias(f"s{i}") for i in range(len(domains))]
+    scored = told.groupBy(ROW, "_id").agg(F.max("_tokens").alias("_tokens"), *sums)
+    scores = []
+    if domains:
+        scored = write_shared(scored, "scores")
+        without = [F.sum((F.col(f"s{i}") == 0).cast("long")).alias(f"none{i}") for i in range(len(domains))]
+        labelled = scored.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))  # bounded as in fit_domains
+        known = {r._domain: r for r in labelled.groupBy("_domain").agg(F.count("*").alias("n"), *without).collect()}
+        total = sum(r.n for r in known.values())
+        for i, domain in enumerate(domains):
+            every = sum(r[f"none{i}"] for r in known.values())
+            none = math.log((known[domain][f"none{i}"] + 1) / (known[domain].n + 2)) - math.log((every + 1) / (total + 2))
+            score = F.when(F.col(f"s{i}") != 0, F.col(f"s{i}")).otherwise(none) + math.log(known[domain].n / total)
+            scores.append(score)
     most = F.greatest(*scores) if len(scores) > 1 else scores[0] if scores else F.lit(0.0)
     shares = F.array(*(F.exp(s - most) for s in scores)).cast("array<double>")
     total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
@@ -234,14 +262,14 @@ def mix(
     the id, that its fraction says. Targets that no rates can meet are missed by
     as little as the least squares allow; `fit_rates` reports it.
 
-    Null and empty texts have no tokens and the memberships of an average
-    labelled document. Repeated ids are rows of their own, rows with a null id
+    Null and empty texts have no tokens and the memberships of a text without
+    any telling word. Repeated ids are rows of their own, rows with a null id
     too. Without any labels every rate is 1. An empty table gives an empty
     result. Other columns are not read.
     """
     rows = with_row_key(docs.select(*dict.fromkeys([id_col, text_col, *({ROW} & set(docs.columns))])), id_col)
-    domains, priors, weights = fit_domains(rows, labels, id_col, text_col, domain_col, buckets, train_rows)
-    told = write_shared(memberships(rows, domains, priors, weights, id_col, text_col, buckets), "memberships")
+    domains, chosen, weights = fit_domains(rows, labels, id_col, text_col, domain_col, buckets, train_rows)
+    told = write_shared(memberships(rows, domains, chosen, weights, id_col, text_col, buckets), "memberships")
     fitted, _ = fit_rates(told, domains, {d: w for d, w in targets.items() if d in domains}, budget, relative)
     rate = F.round("rate", 6)
     chance = F.pmod(F.xxhash64(ROW, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
