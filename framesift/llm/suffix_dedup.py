@@ -37,6 +37,9 @@ PIECE = 1 << 20
 #: Contexts of an anchor in one suffix array at most, and bytes after which contexts of the next anchor go to another one.
 MOST_CONTEXTS, ARRAY_BYTES = 4096, 4096
 
+#: Contexts handed on together.
+BATCH_CONTEXTS = 1 << 16
+
 #: Bytes of contexts in one task.
 TASK_BYTES = 1 << 20
 
@@ -68,10 +71,13 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
     return np.where(values[b] < values[a], b, a)
 
 
-def contexts(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+def contexts(
+    data: bytes, length: int = LENGTH, anchor: int = ANCHOR, piece: int | None = None
+) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor hash, anchor place, first window, last window) of each run of windows with the same anchor."""
-    for first in range(0, max(0, len(data) - length + 1), PIECE):
-        some = np.frombuffer(data, dtype=np.uint8, offset=first, count=min(len(data) - first, PIECE + length - 1))
+    piece = piece or PIECE
+    for first in range(0, max(0, len(data) - length + 1), piece):
+        some = np.frombuffer(data, dtype=np.uint8, offset=first, count=min(len(data) - first, piece + length - 1))
         values = _hashes(some, anchor)
         place = _least(values, length - anchor + 1)
         start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
@@ -91,7 +97,11 @@ _PLACES = f"anchor long, digest long, {ROW} long, place int, start int, size int
 
 
 def _places(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Each document's contexts; of those it repeats itself only the first, and the others as ``repeat``."""
+    """Each document's contexts; of those it repeats itself only the first, and the others as ``repeat``.
+
+    Contexts are read in pieces, but repeats looked for in all pieces of a document.
+    """
+    piece = PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -100,20 +110,28 @@ def _places(rows: DataFrame, length: int, anchor: int) -> DataFrame:
             count = 0
             for row, text in zip(batch[ROW].to_pylist(), batch["_text"]):
                 data = (text.as_py() or "").encode()
-                for h, place, start, end in contexts(data, length, anchor):
-                    size = end - start + length
+                read: list[tuple] = []
+                for h, place, start, end in contexts(data, length, anchor, piece):
+                    size = (end - start + length).astype(np.int32)
                     c = np.array([digest(data[s : s + n]) for s, n in zip(start.tolist(), size.tolist())], dtype=np.uint64)
-                    order = np.lexsort((c, h))  # keeps the order of equal contexts
-                    equal = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
-                    repeat = np.zeros(len(h), dtype=bool)
-                    repeat[order[1:][equal]] = True
-                    held.append((h.view(np.int64), c.view(np.int64), np.full(len(h), row), place, start, size, repeat))
-                    count += len(h)
-                if count > 65536:
-                    yield _arrow(held)
+                    read.append((h, c, place.astype(np.int32), start.astype(np.int32), size))
+                if not read:
+                    continue
+                h, c, place, start, size = read[0] if len(read) == 1 else map(np.concatenate, zip(*read))
+                order = np.lexsort((c, h))  # keeps the order of equal contexts
+                equal = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+                repeat = np.zeros(len(h), dtype=bool)
+                repeat[order[1:][equal]] = True
+                held.append((h.view(np.int64), c.view(np.int64), np.full(len(h), row), place, start, size, repeat))
+                count += len(h)
+                if count > BATCH_CONTEXTS:
+                    yield from _cut(_arrow(held))
                     held, count = [], 0
             if held:
-                yield _arrow(held)
+                yield from _cut(_arrow(held))
+
+    def _cut(made: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return (made.slice(i, BATCH_CONTEXTS) for i in range(0, made.num_rows, BATCH_CONTEXTS))
 
     def _arrow(held: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]

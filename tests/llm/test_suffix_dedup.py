@@ -92,6 +92,26 @@ def test_pieces_of_long_texts(monkeypatch):
     assert (np.repeat(whole[0], whole[3] - whole[2] + 1) == np.repeat(cut[0], cut[3] - cut[2] + 1)).all()
 
 
+@pytest.mark.parametrize("length, anchor, most", [(100, 32, 4096), (24, 8, 3)])
+def test_equals_brute_force_in_pieces(spark, length, anchor, most, monkeypatch):
+    monkeypatch.setattr(dedup, "PIECE", 64)
+    rows = rows_of(length, length)
+    rng = random.Random(5)
+    once = "".join(rng.choice("abcdefgh") for _ in range(20 * length))
+    rows += [(200, once + rows[20][1] + "-" * 3 + once, None), (201, "".join(reversed(once)) * 3, None)]
+    got = dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), length=length, anchor=anchor, most_contexts=most)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == brute(rows, length)
+
+
+def test_repeats_within_a_document_longer_than_a_piece(spark):
+    rng = random.Random(2)
+    passage, between = ("".join(rng.choices("abcdefghijkl ", k=n)) for n in (3000, dedup.PIECE + 1000))
+    rows = [(1, passage + between + passage + between[:500], None), (2, "other " + passage[:400], None)]
+    got = dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    seen = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got}
+    assert seen[1][1] == 3500 and seen == brute(rows, 100)
+
+
 def test_odd_ids_and_empty_table(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abc") for _ in range(150))
