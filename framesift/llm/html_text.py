@@ -50,6 +50,13 @@ OUTSIDE_WORDS = frozenset(
     "toolbar widget widgets skip hidden".split()
 )
 
+#: Of these, words of readers' comments; and words beside one that make it say how a page is made, not what an element is.
+READERS_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
+STATE_WORDS = frozenset("has no not with without open opened closed enabled disabled allowed on off overflow".split())
+
+#: Text of an element left out for a part of a class or id, as a multiple of the text of the rest, above which it is read.
+OVERRULES = 3
+
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements that begin and end blocks.
@@ -77,7 +84,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？\"'()«»„“”‘’–—-]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -90,6 +97,7 @@ class Element:
     path: int
     depth: int
     outside: bool
+    doubt: int  # the start tag that it is outside for a part of a class or id of, and nothing else; or 0
 
 
 @dataclass(slots=True)
@@ -100,40 +108,48 @@ class Block:
     linked: int  # characters in links
 
 
-def _outside(name: str, attributes: str, parent: Element | None) -> tuple[bool, str]:
-    """Whether an element is not article text, and its class or id as part of its path."""
+def _outside(name: str, attributes: str, parent: Element | None) -> tuple[bool, bool, str]:
+    """Whether an element is not article text, whether it may not be, and its class or id as part of its path."""
     found = name in OUTSIDE
+    doubtful = False
     label = ""
     if attributes and name not in ("html", "body"):
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id"):
                 label = label or value.strip().split(" ")[0]
-                words = {w.lower() for w in _WORD.findall(value)} & OUTSIDE_WORDS
-                if name in ("article", "main"):
-                    words &= {"comment", "comments", "reply"}
-                found = found or bool(words)
+                for token in value.split():
+                    every = {w.lower() for w in _WORD.findall(token)}
+                    words = every & OUTSIDE_WORDS
+                    if name in ("article", "main"):
+                        words &= {"comment", "comments", "reply"}
+                    if words and (token.lower() in words or (words & READERS_WORDS and not every & STATE_WORDS)):
+                        found = True
+                    doubtful = doubtful or bool(words)
             elif key == "role":
                 found = found or value.lower() in OUTSIDE_ROLES
             elif key == "style":
                 found = found or bool(_HIDDEN.search(value))
-            else:
+            elif key in ("hidden", "aria-hidden"):
                 found = found or key == "hidden" or value.lower() == "true"
     if name == "header":  # a page's header is not text; an article's may hold its headline
         above = parent
         while above is not None and above.name not in ("article", "main"):
             above = above.parent
         found = found or above is None
-    return found, label
+    return found, doubtful, label
 
 
 class _Reader:
-    """Reads a page into blocks."""
+    """Reads a page into blocks. Start tags of ``overruled``, by number, are not outside for a part of their class or id."""
 
-    def __init__(self):
+    def __init__(self, overruled: frozenset[int] = frozenset()):
+        self.overruled = overruled
+        self.tags = 0
+        self.doubted: Counter[int] = Counter()  # characters left out by start tag, those of links not counted
         self.blocks: list[Block] = []
         self.paths: dict[tuple[int, str, str], int] = {}
-        self.open: list[Element] = [Element("", None, 0, 0, False)]
+        self.open: list[Element] = [Element("", None, 0, 0, False, 0)]
         self.names: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
@@ -143,6 +159,8 @@ class _Reader:
             self.parts.append(raw)
             if self.names["a"]:
                 self.linked += len(raw.strip())
+        elif raw and self.open[-1].doubt and not self.names["a"]:
+            self.doubted[self.open[-1].doubt] += len(raw.strip())
 
     def end_block(self) -> None:
         if self.parts:
@@ -189,9 +207,12 @@ class _Reader:
         if name in HEADINGS and self.open[-1].name in HEADINGS:
             self.pop()
         parent = self.open[-1]
-        outside, label = _outside(name, attributes, parent)
+        self.tags += 1
+        outside, doubtful, label = _outside(name, attributes, parent)
+        doubtful = doubtful and self.tags not in self.overruled
+        doubt = 0 if outside else parent.doubt if parent.outside else self.tags if doubtful else 0
         path = self.paths.setdefault((parent.path, name, label), len(self.paths) + 1)
-        self.open.append(Element(name, parent, path, parent.depth + 1, outside or parent.outside))
+        self.open.append(Element(name, parent, path, parent.depth + 1, outside or doubtful or parent.outside, doubt))
         self.names[name] += 1
 
     def end_tag(self, name: str) -> None:
@@ -287,7 +308,15 @@ def _within(element: Element | None, region: Element) -> bool:
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in order, one to a line. Empty if there is none."""
-    blocks = _Reader().read(page or "")
+    overruled: frozenset[int] = frozenset()
+    while True:
+        reader = _Reader(overruled)
+        blocks = reader.read(page or "")
+        # most of a page's text is not left out for a part of a class or id, such as has-sidebar
+        tag, size = max(reader.doubted.items(), key=lambda d: d[1], default=(0, 0))
+        if size <= OVERRULES * sum(len(b.text) - b.linked for b in blocks):
+            break
+        overruled |= {tag}
     if not blocks:
         return ""
     paths = content_paths(blocks)

@@ -46,6 +46,28 @@ def test_cases(name):
     assert html_text.main_text(given) == want
 
 
+WRAPPERS = ["overflow-hidden", "content has-sidebar", "container no-sidebar", "share-enabled"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_words_about_the_page_do_not_discard_it(name):
+    side = f"<div class='side-box'><p>{PARA}</p></div><div class='comment-list'><p>{PARA * 9}</p></div>"
+    body = f"<div class='{name}'><div class='overflow-hidden'>{ARTICLE}{side}</div></div><p>End.</p>"
+    assert html_text.main_text(page(body)) == WANT
+
+
+def test_article_open_to_comments():
+    opened = ARTICLE.replace("<article>", "<article class='post comments-open'>")
+    assert html_text.main_text(page(opened)) == WANT
+    assert html_text.main_text(page(f"{ARTICLE}<article class='comment-body'><p>{PARA * 9}</p></article>")) == WANT
+
+
+@pytest.mark.parametrize("given", ["href='/hidden-gems'", "data-state='hidden'", "data-id='search'", "href='?id=comments'", "title='id=search hidden'"])
+def test_attributes_within_others(given):
+    assert html_text.main_text(page(f"<article><p>See <a {given}>these words</a>. {PARA}</p></article>")) == f"See these words. {PARA.strip()}"
+    assert html_text.main_text(page(f"{ARTICLE}<p hidden {given}>{PARA}</p><p {given} id=search>{PARA}</p>")) == WANT
+
+
 def test_long_and_deep_pages():
     assert html_text.main_text("<div>" * 50_000 + PARA) == PARA.strip()
     assert html_text.main_text("</b>" * 50_000 + "<p>" + PARA * 5000) == " ".join((PARA * 5000).split())
