@@ -25,18 +25,20 @@ OTHER_TITLES = ("Dr", "Prof")
 
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
 
-#: What is looked for, in order of precedence. All repetitions are bounded, so a
-#: long text takes time in proportion to its length.
+#: What is looked for, in order of precedence. Repetitions are bounded where the
+#: entity's length is, and possessive where it is not (secrets, keys, names), so a
+#: long text takes time in proportion to its length. A name goes on as long as
+#: capitalised words follow.
 PATTERNS = {
-    "secret": r"(?i:(?<![\p{L}\p{N}])(?:token|api[_-]?key|secret|password|passwd)\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_\-]{12,128}(?![A-Za-z0-9_\-])",
+    "secret": r"(?i:(?<![\p{L}\p{N}])(?:token|api[_-]?key|secret|password|passwd)\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_\-]{12,}+",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?=[A-Z0-9]{0,30}\d)[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "phone": r"(?<![\w+])\+?\d{0,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)",
     "card": r"(?<!\d)\d{4}(?:[ \-]\d{4}){3}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
     "national": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "hex": r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]{0,63}\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?:[ \-]\p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}(?!\p{{L}})",
+    "hex": r"(?<![A-Za-z0-9])(?=[a-fA-F]*+\d)(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
+    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}++(?:[ \-]\p{{Lu}}\p{{Ll}}++(?!\p{{L}}))*+(?!\p{{L}})",
 }
 
 _NUMBERS = ("ip", "phone", "card", "national")
@@ -74,6 +76,9 @@ NAMES = {
     "greek": ("βα βε δο φε γα κα λε λι μα μι να νε ρα ρο σα το".split(), {"f": "λια", "m": "ρος", "n": "λεν"}),
 }
 
+#: Characters of an entity above which its surrogate is made from its digest, in time proportional to its length.
+LONG = 128
+
 #: Attempts after which a surrogate may grow longer than its original.
 SAME_LENGTH_ATTEMPTS = 4
 
@@ -190,13 +195,13 @@ def _name(canonical: Column, digest: Column, more: Column) -> Column:
 
 
 def _surrogate(key: str, attempt: Column) -> Column:
-    """The surrogate of (kind, canonical) in canonical form."""
+    """The surrogate of (kind, canonical) in canonical form. The digest is made again for each sign, from the short ``told``."""
     kind, canonical = F.col("kind"), F.col("canonical")
 
     def digest(*parts: Column) -> Column:
         return F.sha2(F.concat_ws("|", F.lit(key), *parts).cast("binary"), 512)
 
-    own = digest(kind, canonical, attempt.cast("string"))
+    own = digest(kind, F.col("told"), attempt.cast("string"))
     more = F.greatest(F.lit(0), attempt - SAME_LENGTH_ATTEMPTS + 1)
     extra = F.substring(F.translate(own, "0123456789", "ghijklmnop"), F.lit(1), more)
     local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
@@ -207,7 +212,7 @@ def _surrogate(key: str, attempt: Column) -> Column:
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", *octet))
         .when(kind == "card", _card(canonical, own))
-        .when(kind == "hex", F.substring(F.concat(own, own), F.lit(1), F.length(canonical)))
+        .when(kind == "hex", F.substring(F.repeat(own, F.ceil(F.length(canonical) / 128).cast("int")), F.lit(1), F.length(canonical)))
         .when(kind == "person", _name(canonical, own, more))
         .when(kind == "iban", F.concat(F.substring(canonical, 1, 2), _shaped(F.expr("substring(canonical, 3)"), own)))
         .otherwise(_shaped(canonical, own))
@@ -221,7 +226,10 @@ def surrogates(entities: DataFrame, key: str, most_attempts: int = 64) -> DataFr
     the first in order keeps it and the others try again; the joins are on the
     entities alone and end when all have one.
     """
-    entities = write_shared(entities.select("kind", "canonical").distinct(), "entities")
+    entities = entities.select("kind", "canonical").distinct()
+    long = F.length("canonical") > LONG
+    told = F.when(long, F.sha2(F.col("canonical").cast("binary"), 512)).otherwise(F.col("canonical"))
+    entities = write_shared(entities.withColumn("told", told), "entities")
     originals = entities.select("kind", F.lower(_plain(F.col("kind"), F.col("canonical"))).alias("low")).distinct()
     accepted: list[DataFrame] = []
     pending = entities

@@ -62,6 +62,29 @@ def test_formats(told):
     assert told[11].text.endswith(a) and told[11].text[:-len(a)] == TEXTS[11].removesuffix("und.34@mail7.example.com")
 
 
+def test_long_entities_are_replaced_whole(spark):
+    secret, name = "aB3_" * 75, "Anna Maria Luisa Elena Petrova"
+    keys = ["0f" * 64, "9E" * 300, "a" * 70 + "1" * 70]
+    texts = [f"api_key={secret} end", *(f"key {k}." for k in keys), f"Mrs {name} came", "Mr " + "Xa" + "b" * 60 + " Petrov came"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_personal_data(frame, "k").collect()}
+    assert [got[i].n_replaced for i in range(6)] == [1] * 6
+    assert re.fullmatch(r"api_key=(?:[a-z][A-Z]\d_){75} end", got[0].text) and secret not in got[0].text
+    for i, k in enumerate(keys, 1):
+        made = re.fullmatch(r"key (\w+)\.", got[i].text)[1]
+        assert len(made) == len(k) and made != k and made.isupper() == k.isupper()
+        assert re.fullmatch("[0-9a-f]+|[0-9A-F]+", made) and not any(k[j : j + 32] in made for j in range(0, len(k) - 32, 32))
+    woman = re.fullmatch(r"Mrs (\w+(?: \w+){4}) came", got[4].text)[1]
+    assert not set(name.split()) & set(woman.split())
+    assert re.fullmatch(r"Mr \w+ \w+ came", got[5].text) and "Petrov" not in got[5].text
+
+
+def test_long_runs_take_linear_time(spark):
+    runs = ["api_key=" + "a" * 40_000 + "!", "1f" * 40_000 + "g", "Mr" + " Ab" * 10_000 + "C", "ab" * 40_000, "Mr A" + "b" * 40_000]
+    frame = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    assert [r.n_replaced for r in pii.replace_personal_data(frame, "k").orderBy("doc_id").collect()] == [1, 0, 1, 0, 1]
+
+
 def test_distinct_surrogates_in_a_small_space(spark):
     """All 26 one-letter names at a host: there are just as many surrogates of that shape, so attempts collide."""
     entities = [("email", f"{c}@b.co") for c in "abcdefghijklmnopqrstuvwxyz"] + [("ip", f"1.1.1.{i}") for i in range(200)]
