@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn at rates that meet `MIXTURE`, each at most once."""
+    """The documents drawn at rates of at most 1 that come closest to `MIXTURE`, each at most once."""
     ship_package(spark)
     labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return drawn(docs, labels, MIXTURE, relative=True)

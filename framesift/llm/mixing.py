@@ -169,11 +169,12 @@ def fit_rates(
     relative: bool = False,
     tolerance: float = TOLERANCE,
     most_steps: int = MOST_STEPS,
+    most_rate: float | None = None,
 ) -> tuple[DataFrame, list[dict]]:
     """``rows`` (of `memberships`, written) with a ``rate``, and what became of each domain.
 
     Minimises the sum over domains of (expected tokens - target)^2 / target
-    over rates that are not negative, starting from 1. Distances between rates
+    over rates that are not negative, nor above ``most_rate``, starting from 1. Distances between rates
     count by the documents' tokens, so that one step moves equal documents
     alike whatever their length. ``targets`` are weights of the domains, or with
     ``relative`` what their own shares of the tokens are multiplied by; with no
@@ -216,7 +217,8 @@ def fit_rates(
         if all(abs(e - g) <= n for e, g, n in zip(expected, goal, near)):
             break
         pull = _dot([step * s * (e - g) for s, e, g in zip(scale, ahead, goal)])
-        fitted = fitted.withColumn("_new", F.greatest(F.lit(0.0), F.col("_ahead") - pull))
+        new = F.greatest(F.lit(0.0), F.col("_ahead") - pull)
+        fitted = fitted.withColumn("_new", new if most_rate is None else F.least(F.lit(float(most_rate)), new))
         sums = [F.sum(F.col("_new") * F.col("_tokens") * s).alias(f"t{i}") for i, s in enumerate(share)]
         before, expected = expected, list(fitted.agg(*sums).first())
         loss = [sum(s * (e - g) ** 2 for s, e, g in zip(scale, total, goal)) for total in (before, expected)]
@@ -254,13 +256,15 @@ def mix(
     relative: bool = False,
     buckets: int = BUCKETS,
     train_rows: int = TRAIN_ROWS,
+    most_rate: float | None = None,
 ) -> DataFrame:
     """One row per document: (id, n_tokens, memberships, rate, copies).
 
     ``memberships`` maps domains to probabilities. ``copies`` realises the
     rate: its whole part, and one more for the share of documents, by a hash of
     the id, that its fraction says. Targets that no rates can meet are missed by
-    as little as the least squares allow; `fit_rates` reports it.
+    as little as the least squares allow; `fit_rates` reports it. No rate is above
+    ``most_rate``.
 
     Null and empty texts have no tokens and the memberships of a text without
     any telling word. Repeated ids are rows of their own, rows with a null id
@@ -270,7 +274,7 @@ def mix(
     rows = with_row_key(docs.select(*dict.fromkeys([id_col, text_col, *({ROW} & set(docs.columns))])), id_col)
     domains, chosen, weights = fit_domains(rows, labels, id_col, text_col, domain_col, buckets, train_rows)
     told = write_shared(memberships(rows, domains, chosen, weights, id_col, text_col, buckets), "memberships")
-    fitted, _ = fit_rates(told, domains, {d: w for d, w in targets.items() if d in domains}, budget, relative)
+    fitted, _ = fit_rates(told, domains, {d: w for d, w in targets.items() if d in domains}, budget, relative, most_rate=most_rate)
     rate = F.round("rate", 6)
     chance = F.pmod(F.xxhash64(ROW, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     named = F.map_from_arrays(F.array(*(F.lit(d) for d in domains)).cast("array<string>"), "_p")
@@ -285,9 +289,9 @@ def mix(
 
 
 def drawn(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that get a copy, once each and with all their columns."""
+    """The documents that get a copy, once each and with all their columns. Rates are fitted to be at most 1, as one copy can carry out."""
     rows = with_row_key(docs, id_col)
-    left = mix(rows, labels, targets, id_col, **options).filter("copies = 0")
+    left = mix(rows, labels, targets, id_col, most_rate=1.0, **options).filter("copies = 0")
     return filter_by_keys(rows, left, ROW, keep=False).select(*docs.columns)
 
 

@@ -77,6 +77,29 @@ def test_drawn_keeps_columns(spark):
     assert len(ids & set(range(0, 60, 3))) > 15 and len(ids & set(range(1, 60, 3))) < 12
 
 
+def test_rates_of_documents_drawn_once(spark):
+    rng = np.random.default_rng(4)
+    p, tokens = rng.dirichlet([0.4] * 3, 400), rng.integers(1, 500, 400)
+    rows = spark.createDataFrame([(i, i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))], f"{ROW} long, _id long, _tokens long, _p array<double>")
+    targets = {"a": 1.0, "b": 1.0, "c": 0.3}
+    free = mixing.fit_rates(rows, list("abc"), targets, relative=True, most_steps=30)[0]
+    assert max(r.rate for r in free.collect()) > 1
+    fitted, report = mixing.fit_rates(rows, list("abc"), targets, relative=True, most_steps=30, most_rate=1.0)
+    rate = np.array([r.rate for r in fitted.orderBy(ROW).collect()])
+    assert (rate >= 0).all() and (rate <= 1).all()
+    assert np.allclose([r["expected"] for r in report], (rate * tokens) @ p, rtol=1e-6)
+    assert not all(r["met"] for r in report)  # mixed documents can't be made up for
+
+
+def test_drawn_asks_for_rates_of_at_most_one(spark, monkeypatch):
+    docs, labels = corpus()
+    frame, labelled = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, domain string")
+    asked, fit = [], mixing.fit_rates
+    monkeypatch.setattr(mixing, "fit_rates", lambda *a, **k: asked.append(k.get("most_rate")) or fit(*a, **k))
+    mixing.drawn(frame, labelled, {"good": 1.0, "bad": 0.5}, relative=True)
+    assert asked == [1.0]
+
+
 def test_no_labels_no_rows_bad_targets(spark):
     docs, labels = corpus(6)
     frame = spark.createDataFrame(docs, SCHEMA)
