@@ -6,17 +6,20 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framesift.llm.embedding_dedup import embedding_near_duplicates
 from framesift.llm.exact_dedup import exact_duplicates
 from framesift.llm.html_text import extract_text
 from framesift.llm.language_id import identify_languages
+from framesift.llm.lexical_search import rank_documents
 from framesift.llm.mixing import mix, quality_domains
 from framesift.llm.packing import pack
 from framesift.llm.pii import replace_personal_data
 from framesift.llm.simhash import simhash_near_duplicates
 from framesift.llm.suffix_dedup import remove_repeats
+from framesift.llm.topk_search import top_k_search
 from framesift.llm.warc import archived_pages
 from framesift.session import ship_package
 
@@ -71,6 +74,14 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(table(spark, sf_dir, "documents"), key="key of the registered query")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -90,6 +101,8 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_topk_search": op13_topk_search,
     "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: _shipped(build) for name, build in QUERIES.items()}
@@ -118,4 +131,45 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND last_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND last_id <> page_id THEN last_id END AS refers_to
         FROM latest""",
+    "op11_lexical_search": r"""
+        WITH doc_terms AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY doc_id, term),
+        sizes AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id),
+        whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, whole GROUP BY term),
+        middles AS (SELECT doc_id, 100 - 90 + (90 * n * n_docs) // length AS m FROM sizes, whole),
+        item_terms AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        scores AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM item_terms JOIN tf USING (term) JOIN weights USING (term) JOIN middles USING (doc_id)
+            GROUP BY item_id, doc_id),
+        ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+                   doc_id, score
+            FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_topk_search": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS parts
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+        scores AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.parts, v.parts) AS BIGINT) AS score
+            FROM whole q JOIN whole v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+        ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM scores)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
