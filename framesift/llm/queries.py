@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from framesift.llm.collocations import mine_collocations
 from framesift.llm.embedding_dedup import embedding_near_duplicates
 from framesift.llm.exact_dedup import exact_duplicates
 from framesift.llm.html_text import extract_text
@@ -78,6 +79,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
     "op13_topk_search": op13_topk_search,
     "pipeline": corpus_pipeline.run,
 }
@@ -158,6 +164,48 @@ ORACLE: dict[str, str] = {
                    doc_id, score
             FROM scores WHERE score > 0)
         SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT row_number() OVER () AS piece, lang, words
+            FROM (
+                SELECT lang, list_filter(string_split_regex(body, '[\x20\x09]+'), lambda w: w <> '') AS words
+                FROM (
+                    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[.,;:!?\x0A-\x0D]')) AS body
+                    FROM documents))
+            WHERE len(words) > 0),
+        places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS at FROM pieces),
+        occurrences AS (
+            SELECT lang, size, list_slice(words, at, at + size - 1) AS phrase
+            FROM places, (VALUES (1), (2), (3), (4), (5)) sizes(size)
+            WHERE at + size - 1 <= len(words)),
+        counts AS (SELECT lang, phrase, size, count(*) AS f FROM occurrences GROUP BY ALL HAVING count(*) >= 100),
+        totals AS (SELECT lang, sum(len(words)) AS n FROM pieces GROUP BY lang),
+        candidates AS (SELECT lang, phrase, size, f AS a FROM counts WHERE size > 1),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.size, c.a, k, h.f AS l, t.f AS r, n,
+                   (1000 * CAST(c.a AS HUGEINT) * CAST(n AS HUGEINT)) // (CAST(h.f AS HUGEINT) * CAST(t.f AS HUGEINT)) AS score
+            FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+            JOIN counts h ON h.lang = c.lang AND h.phrase = list_slice(c.phrase, 1, k)
+            JOIN counts t ON t.lang = c.lang AND t.phrase = list_slice(c.phrase, k + 1, c.size)
+            JOIN totals ON totals.lang = c.lang),
+        scored AS (
+            SELECT * FROM (
+                SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS first_cut FROM cuts)
+            WHERE first_cut = 1),
+        shorter AS (
+            SELECT lang, a, list_slice(phrase, at, at + inner_size - 1) AS phrase
+            FROM (SELECT *, unnest(range(2, size)) AS inner_size FROM candidates) c, (VALUES (1), (2), (3), (4)) places(at)
+            WHERE at + inner_size - 1 <= size),
+        held AS (SELECT lang, phrase, max(a) AS longer FROM shorter GROUP BY lang, phrase),
+        ranked AS (
+            SELECT s.lang, row_number() OVER (
+                       PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.phrase, ' ')) AS rank,
+                   array_to_string(s.phrase, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+            FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+            WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
     "op13_topk_search": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS parts
