@@ -175,11 +175,11 @@ ORACLE: dict[str, str] = {
                                '[.,;:!?\x0A-\x0D]')) AS body
                     FROM documents))
             WHERE len(words) > 0),
-        places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS at FROM pieces),
+        places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS spot FROM pieces),
         occurrences AS (
-            SELECT lang, size, list_slice(words, at, at + size - 1) AS phrase
+            SELECT lang, size, list_slice(words, spot, spot + size - 1) AS phrase
             FROM places, (VALUES (1), (2), (3), (4), (5)) sizes(size)
-            WHERE at + size - 1 <= len(words)),
+            WHERE spot + size - 1 <= len(words)),
         counts AS (SELECT lang, phrase, size, count(*) AS f FROM occurrences GROUP BY ALL HAVING count(*) >= 100),
         totals AS (SELECT lang, sum(len(words)) AS n FROM pieces GROUP BY lang),
         candidates AS (SELECT lang, phrase, size, f AS a FROM counts WHERE size > 1),
@@ -195,9 +195,9 @@ ORACLE: dict[str, str] = {
                 SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS first_cut FROM cuts)
             WHERE first_cut = 1),
         shorter AS (
-            SELECT lang, a, list_slice(phrase, at, at + inner_size - 1) AS phrase
-            FROM (SELECT *, unnest(range(2, size)) AS inner_size FROM candidates) c, (VALUES (1), (2), (3), (4)) places(at)
-            WHERE at + inner_size - 1 <= size),
+            SELECT lang, a, list_slice(phrase, spot, spot + inner_size - 1) AS phrase
+            FROM (SELECT *, unnest(range(2, size)) AS inner_size FROM candidates) c, (VALUES (1), (2), (3), (4)) places(spot)
+            WHERE spot + inner_size - 1 <= size),
         held AS (SELECT lang, phrase, max(a) AS longer FROM shorter GROUP BY lang, phrase),
         ranked AS (
             SELECT s.lang, row_number() OVER (
