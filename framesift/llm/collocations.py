@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +33,16 @@ MOST_WORDS, LEAST_COUNT, FIRST = 5, 100, 2000
 #: Occurrences whose suffixes one group may hold, which bounds a task's memory.
 GROUP_WORDS = 1 << 20
 
-#: Slots per group that prefixes are dealt to, and slots of a depth at most.
-SLOTS_PER_GROUP, MOST_SLOTS = 64, 1 << 18
+#: Slots that prefixes are dealt to: at least so many, or so many per group, and at most.
+LEAST_SLOTS, SLOTS_PER_GROUP, MOST_SLOTS = 1 << 12, 8, 1 << 18
 
 #: Bits per frequent word of the table that sorts out rare ones, and bits at least and at most.
 WORD_BITS, LEAST_BITS, MOST_BITS = 64, 1 << 15, 1 << 27
 
-#: Different words or suffixes a task counts before it passes them on, and rows of a batch.
-HELD, BATCH_ROWS = 1 << 19, 1 << 16
+#: Different words a task counts before it passes them on, words of text it looks at together, and rows of a batch.
+HELD, HELD_WORDS, BATCH_ROWS = 1 << 19, 1 << 21, 1 << 16
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 NO_LANGUAGE = "und"
 
@@ -116,105 +119,144 @@ class Plan:
     most_words: int
     groups: list[np.ndarray]
 
-    def frequent(self, lang: str, cache: dict[bytes, bool], word: bytes) -> bool:
-        found = cache.get(word)
-        if found is None:
-            place = _key(lang, word) % (8 * len(self.bits))
-            if len(cache) > HELD:
-                cache.clear()
-            found = cache[word] = bool(self.bits[place >> 3] >> (place & 7) & 1)
-        return found
-
-    def runs(self, lang: str, cache: dict[bytes, bool], text: str | None) -> Iterator[list[bytes]]:
-        """Two or more frequent words next to each other in a piece."""
-        for words in pieces(text):
-            run: list[bytes] = []
-            for word in words:
-                if cache[word] if word in cache else self.frequent(lang, cache, word):
-                    run.append(word)
-                else:
-                    if len(run) > 1:
-                        yield run
-                    run = []
-            if len(run) > 1:
-                yield run
-
-    def place(self, lang: str, suffix: bytes) -> tuple[int, int]:
-        """(depth, slot) of the prefix by which a suffix is dealt, at the first depth whose slot is not divided."""
-        end = suffix.find(b" ")
-        for depth, groups in enumerate(self.groups):
-            end = suffix.find(b" ", end + 1) if end >= 0 else end
-            slot = _key(lang, suffix if end < 0 else suffix[:end]) % len(groups)
-            if groups[slot] >= 0:
-                return depth, slot
-        return len(self.groups), -1
-
-
-def _suffixes(plan: Plan, emit: Callable[[dict[str, Counter]], Iterator[pa.RecordBatch]]):
-    """Counts each task's truncated suffixes by language and hands them on before they grow too many."""
+    def frequent(self, lang: str, word: bytes) -> bool:
+        place = _key(lang, word) % (8 * len(self.bits))
+        return bool(self.bits[place >> 3] >> (place & 7) & 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        caches: dict[str, dict[bytes, bool]] = {}
-        most = plan.most_words
-        for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"]):
-                lang = lang.as_py()
-                counts, cache = held.setdefault(lang, Counter()), caches.setdefault(lang, {})
-                for words in plan.runs(lang, cache, text.as_py()):
-                    counts.update([b" ".join(words[at : at + most]) for at in range(len(words) - 1)])
-                if sum(map(len, held.values())) > HELD:
-                    yield from emit(held)
-                    held.clear()
-                    caches.clear()
-        yield from emit(held)
+    def dealt(self, suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(depth, slot, group) of each suffix: of its prefix at the first depth whose slot is not divided."""
+        depth, slot = np.full(len(suffixes.words), len(self.groups)), np.full(len(suffixes.words), -1)
+        group, left = np.full(len(suffixes.words), -1), np.arange(len(suffixes.words))
+        for at, groups in enumerate(self.groups):
+            places = (suffixes.hashes(at + 2, left) % np.uint64(len(groups))).astype(np.int64)
+            depth[left], slot[left], group[left] = at, places, groups[places]
+            left = left[groups[places] < 0]
+        return depth, slot, group
+
+
+class _Numbers(dict):
+    """Numbers of the frequent words of one language in the order they are met; rare words have -1."""
+
+    def __init__(self, plan: Plan, lang: str):
+        super().__init__()
+        self.plan, self.lang, self.words = plan, lang, []
+
+    def __missing__(self, word: bytes) -> int:
+        number = -1
+        if self.plan.frequent(self.lang, word):
+            number = len(self.words)
+            self.words.append(word)
+        self[word] = number
+        return number
 
-    return run
+
+@dataclass
+class Suffixes:
+    """Truncated suffixes of two words or more in texts of one language: numbers of ``names``, -1 after the end."""
+
+    lang: str
+    names: list[bytes]
+    words: np.ndarray
+
+    def hashes(self, length: int, some: np.ndarray) -> np.ndarray:
+        """A hash of the first ``length`` words of some suffixes, or of all they have."""
+        seed = zlib.crc32(self.lang.encode())
+        single = np.array([xxhash.xxh3_64_intdigest(name, seed) for name in self.names] + [0], dtype=np.uint64)
+        total = single[self.words[some, 0]]
+        for column in self.words[some, 1:length].T:
+            total = np.where(column >= 0, total * _MIX + single[column], total)
+        return (total ^ (total >> np.uint64(29))) * _MIX >> np.uint64(20)
+
+
+def _suffixes(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
+    """All suffixes of a task's texts, some texts of a language at a time."""
+    held: dict[str, tuple[_Numbers, list[int]]] = {}
+
+    def out() -> Iterator[Suffixes]:
+        for lang, (numbers, line) in held.items():
+            line = np.array(line + [-1] * plan.most_words, dtype=np.int32)
+            starts = np.flatnonzero((line[:-1] >= 0) & (line[1:] >= 0))
+            words = line[starts[:, None] + np.arange(plan.most_words)]
+            words[np.logical_or.accumulate(words < 0, axis=1)] = -1
+            if len(words):
+                yield Suffixes(lang, numbers.words, words)
+        held.clear()
+
+    for batch in batches:
+        for text, lang in zip(batch["text"], batch["lang"]):
+            lang = lang.as_py()
+            if lang not in held:
+                held[lang] = _Numbers(plan, lang), []
+            numbers, line = held[lang]
+            for words in pieces(text.as_py()):
+                line.extend(map(numbers.__getitem__, words))
+                line.append(-1)
+            if sum(len(line) for _, line in held.values()) > HELD_WORDS:
+                yield from out()
+    yield from out()
 
 
 def _loads(plan: Plan):
     """(slot, n): occurrences in each slot of the plan's last depth, among those that get there."""
-    depth, slots = len(plan.groups) - 1, len(plan.groups[-1])
 
-    def emit(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, slots = len(plan.groups) - 1, len(plan.groups[-1])
         loads = np.zeros(slots, dtype=np.int64)
-        ahead = Plan(plan.bits, plan.most_words, [*plan.groups[:-1], np.zeros(slots, dtype=np.int32)])
-        for lang, counts in held.items():
-            for suffix, n in counts.items():
-                at, slot = ahead.place(lang, suffix)
-                if at == depth:
-                    loads[slot] += n
+        for suffixes in _suffixes(plan, batches):
+            depth, slot, _ = plan.dealt(suffixes)
+            loads += np.bincount(slot[depth == last], minlength=slots)
         some = np.flatnonzero(loads)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(loads[some])], ["slot", "n"])
 
-    return emit
+    return run
+
+
+def _order(words: np.ndarray, *before: np.ndarray) -> np.ndarray:
+    """Order of rows of words, by ``before`` first; as many numbers of words make one key as fit into 63 bits."""
+    bits = int(words.max(initial=0) + 1).bit_length()
+    keys = []
+    for first in range(0, words.shape[1], 63 // bits):
+        key = np.zeros(len(words), dtype=np.int64)
+        for column in words[:, first : first + 63 // bits].T:
+            key = key << bits | (column + 1)
+        keys.append(key)
+    return np.lexsort([*reversed(keys), *reversed(before)])
 
 
 def _blobs(plan: Plan):
-    """(group, lang, suffixes, counts): a task's suffixes of one group, sorted and compressed."""
-    levels = [groups.tolist() for groups in plan.groups]
+    """(group, lang, names, words, counts): a task's different suffixes of one group, sorted and compressed."""
 
-    def emit(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        rows, size = [], 0
-        names, kinds = ["group", "lang", "suffixes", "counts"], [pa.int32(), pa.string(), pa.binary(), pa.binary()]
-        for lang, counts in held.items():
-            dealt: dict[int, list[bytes]] = {}
-            for suffix in counts:
-                depth, slot = plan.place(lang, suffix)
-                dealt.setdefault(levels[depth][slot], []).append(suffix)
-            for group, some in dealt.items():
-                some.sort()
-                numbers = np.array([counts[suffix] for suffix in some], dtype="<u4")
-                rows.append((group, lang, pack.compress(b"\n".join(some)), pack.compress(numbers.tobytes())))
-                size += len(rows[-1][2])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        columns = ["group", "lang", "names", "words", "counts"]
+        kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+        for suffixes in _suffixes(plan, batches):
+            group = plan.dealt(suffixes)[2]
+            order = _order(suffixes.words, group)
+            words, group = suffixes.words[order], group[order]
+            fresh = np.append(True, (words[1:] != words[:-1]).any(axis=1))  # equal words are in one group
+            starts = np.flatnonzero(fresh)
+            words, group, counts = words[starts], group[starts], np.diff(np.append(starts, len(words)))
+            rows, size = [], 0
+            for first, end in zip(*_runs(group)):
+                used, numbers = np.unique(words[first:end], return_inverse=True)
+                used, shift = (used[1:], 0) if used[0] < 0 else (used, 1)  # 0 stands for no word
+                numbers = (numbers.reshape(-1, plan.most_words) + shift).astype("<i4")
+                names = b"\n".join([suffixes.names[n] for n in used])
+                parts = [names, numbers.tobytes(order="F"), counts[first:end].astype("<u4").tobytes()]
+                rows.append((group[first], suffixes.lang, *map(pack.compress, parts)))
+                size += sum(map(len, rows[-1][2:]))
+                if size > 4 << 20 or end == len(group):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], columns)
                     rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return emit
+    return run
+
+
+def _runs(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of equal values begin and end."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist()
+    return starts, [*starts[1:], len(values)]
 
 
 def packed(loads: np.ndarray, budget: int, first: int) -> np.ndarray:
@@ -231,17 +273,19 @@ def packed(loads: np.ndarray, budget: int, first: int) -> np.ndarray:
     return groups
 
 
-def _plan(texts: DataFrame, words: DataFrame, least: int, most_words: int, group_words: int) -> Plan:
+def _plan(
+    texts: DataFrame, words: DataFrame, least: int, most_words: int, group_words: int, least_slots: int = LEAST_SLOTS
+) -> Plan:
     """Slots are divided depth by depth, until none is over the budget or prefixes are as long as suffixes."""
     spark = texts.sparkSession
     frequent = words.filter(F.col("f") >= least).agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    slots = min(MOST_SLOTS, SLOTS_PER_GROUP * (frequent // group_words + 1))
+    slots = min(MOST_SLOTS, max(least_slots, SLOTS_PER_GROUP * (frequent // group_words + 1)))
     plan = Plan(_frequent_bits(words, least), most_words, [])
     first = 0
     for depth in range(2, most_words + 1):
-        plan.groups.append(np.zeros(slots, dtype=np.int32))
+        plan.groups.append(np.full(slots, -1, dtype=np.int32))
         shared = spark.sparkContext.broadcast(plan)
-        counted = texts.mapInArrow(lambda b, s=shared: _suffixes(s.value, _loads(s.value))(b), "slot int, n long")
+        counted = texts.mapInArrow(lambda b, s=shared: _loads(s.value)(b), "slot int, n long")
         loads = np.zeros(slots, dtype=np.int64)
         for r in counted.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row per slot
             loads[r.slot] = r.n
@@ -255,39 +299,28 @@ def _plan(texts: DataFrame, words: DataFrame, least: int, most_words: int, group
     return plan
 
 
-def subtree(suffixes: list[bytes], counts: np.ndarray, most_words: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(words, phrases, counts) of the nodes of the suffixes' tree, for each depth from two words on.
+def subtree(words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, nodes, counts) of the suffixes' tree, for each depth from two words on.
 
     The suffixes are sorted by their words; a node is a run of equal beginnings
     and counts as often as its leaves do together.
     """
-    split = pc.split_pattern(pa.array(suffixes, pa.binary()).cast(pa.string()), " ")
-    sizes = split.value_lengths().to_numpy()
-    encoded = split.flatten().dictionary_encode()
-    numbers = encoded.indices.to_numpy()
-    ends = np.cumsum(sizes)
-    matrix = np.full((len(sizes), most_words), -1, dtype=np.int32)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    matrix[row, np.arange(len(numbers)) - np.repeat(ends - sizes, sizes)] = numbers
-    order = np.lexsort(matrix.T[::-1])
-    matrix, counts, sizes = matrix[order], counts[order], sizes[order]
-    words = encoded.dictionary.to_pylist()
-    fresh = np.ones(len(matrix), dtype=bool)
-    fresh[1:] = matrix[1:, 0] != matrix[:-1, 0]
-    for depth in range(2, most_words + 1):
-        fresh[1:] |= matrix[1:, depth - 1] != matrix[:-1, depth - 1]
+    order = _order(words)
+    words, counts = words[order], counts[order]
+    fresh = np.append(True, words[1:, 0] != words[:-1, 0])
+    for depth in range(2, words.shape[1] + 1):
+        fresh[1:] |= words[1:, depth - 1] != words[:-1, depth - 1]
         starts = np.flatnonzero(fresh)
-        totals = np.add.reduceat(counts, starts)
-        deep = sizes[starts] >= depth  # others end before this depth
-        yield depth, matrix[starts[deep], :depth], totals[deep], words
+        deep = words[starts, depth - 1] >= 0  # others end before this depth
+        yield depth, words[starts[deep], :depth], np.add.reduceat(counts, starts)[deep]
 
 
 def _count_phrases(texts: DataFrame, plan: Plan, least: int) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of two words and more that occur ``least`` times."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(plan)
-    schema = "group int, lang string, suffixes binary, counts binary"
-    blobs = texts.mapInArrow(lambda b: _suffixes(shared.value, _blobs(shared.value))(b), schema)
+    schema = "group int, lang string, names binary, words binary, counts binary"
+    blobs = texts.mapInArrow(lambda b: _blobs(shared.value)(b), schema)
     depth_of = np.zeros(int(max((g.max(initial=-1) for g in plan.groups), default=-1)) + 1, dtype=np.int32)
     for depth, groups in enumerate(plan.groups, 2):
         depth_of[np.unique(groups[groups >= 0])] = depth
@@ -299,13 +332,19 @@ def _count_phrases(texts: DataFrame, plan: Plan, least: int) -> DataFrame:
         columns: list[list] = [[], [], [], []]
         for lang in pc.unique(table["lang"]).to_pylist():
             some = table.filter(pc.equal(table["lang"], lang))
-            suffixes = [s for blob in some["suffixes"] for s in unpack.decompress(blob.as_py()).split(b"\n")]
-            counts = np.concatenate([np.frombuffer(unpack.decompress(blob.as_py()), dtype="<u4") for blob in some["counts"]])
-            for depth, nodes, totals, words in subtree(suffixes, counts.astype(np.int64), most_words):
+            numbers: dict[bytes, int] = {}
+            words, counts = [], []
+            for names, ids, n in zip(*(some[c].to_pylist() for c in ("names", "words", "counts"))):
+                listed = [numbers.setdefault(name, len(numbers)) for name in unpack.decompress(names).split(b"\n")]
+                ids = np.frombuffer(unpack.decompress(ids), dtype="<i4").reshape((-1, most_words), order="F")
+                words.append(np.array([-1, *listed], dtype=np.int32)[ids])
+                counts.append(np.frombuffer(unpack.decompress(n), dtype="<u4"))
+            spelled = [name.decode() for name in numbers]
+            for depth, nodes, totals in subtree(np.concatenate(words), np.concatenate(counts).astype(np.int64)):
                 # Shorter prefixes than the group's own lie in other groups as well.
                 kept = np.flatnonzero((totals >= least) | (depth < known))
                 columns[0] += [lang] * len(kept)
-                columns[1] += [" ".join(words[w] for w in node) for node in nodes[kept].tolist()]
+                columns[1] += [" ".join([spelled[w] for w in node]) for node in nodes[kept].tolist()]
                 columns[2] += [depth] * len(kept)
                 columns[3] += totals[kept].tolist()
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]

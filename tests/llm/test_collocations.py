@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from framesift.llm import collocations as col
@@ -72,17 +73,19 @@ def test_equals_brute_force(spark, rows, options):
 
 def test_prefixes_are_divided(spark, rows):
     """Groups stay within the budget; slots over it go on to longer prefixes."""
-    texts = col._texts(spark.createDataFrame(rows, SCHEMA), "text", "lang")
-    plan = col._plan(texts, col._count_words(texts), 8, 5, 60)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    texts = col._texts(frame, "text", "lang")
+    plan = col._plan(texts, col._count_words(texts), 8, 5, 60, 128)
     assert len(plan.groups) == 4 and all((g < 0).any() for g in plan.groups[:-1])
     loads = Counter()
-    for text, lang, *_ in rows:
-        lang = "und" if lang is None else lang
-        for words in plan.runs(lang, {}, text):
-            for at in range(len(words) - 1):
-                depth, slot = plan.place(lang, b" ".join(words[at : at + 5]))
-                loads[plan.groups[depth][slot], depth] += 1
+    for batch in texts.toArrow().to_batches():
+        for suffixes in col._suffixes(plan, [batch]):
+            depth, _, group = plan.dealt(suffixes)
+            loads.update(zip(group.tolist(), depth.tolist()))
     assert len(loads) > 20 and all(n <= 60 for (_, depth), n in loads.items() if depth < 3)
+    counted = col._count_phrases(texts, plan, 8)
+    whole = col.Plan(plan.bits, 5, [np.zeros(1, dtype=np.int32)])
+    assert sorted(counted.collect()) == sorted(col._count_phrases(texts, whole, 8).collect())
 
 
 def test_packing():
@@ -93,26 +96,19 @@ def test_packing():
 
 
 def test_small_holds(rows, monkeypatch):
-    """Passing counts on early changes no sum."""
-    import pyarrow as pa
-
+    """Looking at few texts at a time finds the same suffixes."""
     plan = col.Plan(np.full(8, 255, dtype=np.uint8), 5, [np.zeros(16, dtype=np.int32)])
     batch = pa.RecordBatch.from_pydict({"text": [r[0] for r in rows], "lang": [r[1] or "und" for r in rows]})
 
     def summed():
         total = Counter()
-
-        def emit(held):
-            for lang, counts in held.items():
-                total.update({(lang, s): n for s, n in counts.items()})
-            return iter(())
-
-        list(col._suffixes(plan, emit)([batch.slice(i, 20) for i in range(0, len(rows), 20)]))
+        for s in col._suffixes(plan, [batch.slice(i, 20) for i in range(0, len(rows), 20)]):
+            total.update((s.lang, *(s.names[w] for w in row if w >= 0)) for row in s.words.tolist())
         return total
 
     whole = summed()
-    monkeypatch.setattr(col, "HELD", 30)
-    assert summed() == whole and sum(whole.values()) > 1000
+    monkeypatch.setattr(col, "HELD_WORDS", 30)
+    assert summed() == whole and sum(whole.values()) > 1000 and {len(k) for k in whole} == {3, 4, 5, 6}
 
 
 def test_arithmetic_is_exact(spark):
