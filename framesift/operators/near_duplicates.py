@@ -1,4 +1,4 @@
-"""Near duplicates: an exact cosine similarity join, and its LSH variant."""
+"""Near duplicates: an exact cosine similarity join. `lsh` has the approximate form."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.vectors import as_vector, rounded, searchable_vectors, to_matrix, unit_rows, vector_digest
 from framesift.operators import blocks as B
+from framesift.operators.keys import filter_by_keys
 from framesift.operators.skew import HOT_ROWS, hot_keys, salted_join
 from framesift.session import cut_lineage
 
@@ -29,16 +30,19 @@ def _valid(table: DataFrame, key: str, vector: str, dim: int | None) -> DataFram
 
 
 def distinct_vectors(table: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
-    """One row per distinct valid vector: (key, vec, copies), key being the lowest.
+    """One row per distinct valid vector: (key, vec), key being the lowest."""
+    return representatives(cut_lineage(_valid(table, key, vector, dim)))[0]
 
-    Copies collapse on the map side before the shuffle, so a vector that fills
-    a third of the table costs one row per task.
-    """
-    return _distinct(_valid(table, key, vector, dim))
 
+def representatives(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lowest key of every distinct vector with its vector, and links (key, root) from the others to it.
 
-def _distinct(valid: DataFrame) -> DataFrame:
-    return valid.groupBy("vec").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
+    Vectors are told apart by their digests, so only keys and digests are
+    shuffled to find the copies, and a vector that fills a third of the table
+    is one row per task there. ``valid`` is written out already.
+    """
+    copies = cut_lineage(_copies(valid))
+    return filter_by_keys(valid, copies, "key", keep=False), copies
 
 
 def _exact(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -234,7 +238,7 @@ def near_duplicate_pairs(
     other copies are an exact-duplicate matter (`exact_vector_copies`).
     """
     vectors = cut_lineage(distinct_vectors(table, key, vector, dim))
-    return _similarity_join(vectors.select("key", "vec"), threshold, False, block_rows)
+    return _similarity_join(vectors, threshold, False, block_rows)
 
 
 def exact_vector_copies(table: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
@@ -278,92 +282,5 @@ def near_duplicate_links(
     once, so vectors made on the way by a model are made once.
     """
     valid = cut_lineage(_valid(table, key, vector, dim))
-    distinct = cut_lineage(_distinct(valid))
-    close = _similarity_join(distinct.select("key", "vec"), threshold, True, block_rows)
-    if distinct.filter("copies > 1").isEmpty():
-        return close
-    return close.unionByName(_copies(valid))
-
-
-#: Share of the pairs at the threshold that the LSH form is set up to find.
-RECALL = 0.99
-
-#: Bits of a band at most, and rows per bucket that one band's own work is worth.
-MOST_BITS, BUCKET_WORTH = 30, 32
-
-
-def band_plan(n_rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """(bits per band, bands) for the least work at which a pair at the threshold is found with ``recall``.
-
-    One bit is the side of a random plane; a pair at angle t shares it with
-    probability 1 - t / pi, a band of r bits with its r-th power, and any of b
-    bands with 1 - (1 - that)^b. Unrelated rows share a band of r bits with
-    probability 2^-r.
-    """
-    same = 1.0 - math.acos(min(1.0, threshold)) / math.pi
-    best = None
-    for bits in range(1, MOST_BITS + 1):
-        chance = same**bits
-        bands = 1 if chance >= recall else math.ceil(math.log(1.0 - recall) / math.log1p(-chance))
-        work = bands * (BUCKET_WORTH + n_rows / 2.0**bits)
-        if best is None or work < best[0]:
-            best = (work, bits, bands)
-    return best[1], best[2]
-
-
-def _bands(vectors: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
-    """(cell, role, key, vec): each row once per band, in the bucket of its bits there."""
-    key_type = vectors.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
-        for batch in batches:
-            matrix = unit_rows(to_matrix(batch.column("vec")))
-            if not len(matrix):
-                continue
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(matrix.shape[1], bits * bands))
-            sides = (matrix @ planes > 0).reshape(len(matrix), bands, bits)
-            codes = sides @ (1 << np.arange(bits, dtype=np.int64))
-            for band in range(bands):
-                columns = [pa.array([f"{band}:{code}" for code in codes[:, band]]), pa.array(["hn"] * len(matrix))]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, batch.column("key"), batch.column("vec")], names=["cell", "role", "key", "vec"]
-                )
-
-    return vectors.select("key", "vec").mapInArrow(run, f"cell string, role string, key {key_type}, vec array<float>")
-
-
-def near_duplicate_pairs_lsh(
-    table: DataFrame,
-    key: str,
-    vector: str,
-    threshold: float,
-    recall: float = RECALL,
-    seed: int = 7,
-    block_rows: int = B.BLOCK_ROWS,
-    bits: int | None = None,
-    bands: int | None = None,
-) -> DataFrame:
-    """Approximate form of `near_duplicate_pairs` for tables too large for it.
-
-    Rows are compared if they lie on the same side of all random planes of one
-    band; `band_plan` chooses bits and bands from the threshold, the rows and
-    the ``recall`` wanted at the threshold (closer pairs are found more
-    surely). Every pair returned is checked exactly. Buckets are compared block
-    by block like any cell, hot ones included.
-    """
-    vectors = cut_lineage(distinct_vectors(table, key, vector).select("key", "vec"))
-    key_type = vectors.schema["key"].dataType.simpleString()
-    schema = PAIR_COLUMNS.format(key_type)
-    n_rows = vectors.count()
-    if not n_rows:
-        return vectors.sparkSession.createDataFrame([], schema)
-    if bits is None or bands is None:
-        bits, bands = band_plan(n_rows, threshold, recall)
-    rows = _bands(vectors, bits, bands, seed)
-    sizes = cut_lineage(rows.groupBy("cell", "role").agg(F.count("*").alias("n")))
-    found = B.compare_blocks(
-        rows, sizes, [("hn", "hn", 0)], _emit_pairs(threshold), schema, block_rows, few_cells=False
-    )
-    return found.distinct()
+    distinct, copies = representatives(valid)
+    return _similarity_join(distinct, threshold, True, block_rows).unionByName(copies)

@@ -127,7 +127,7 @@ PAIRS = f"""pairs AS (
   FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
   WHERE {_score('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} >= {THRESHOLD})"""
 
-GROUPS = f"""{PAIRS}, links AS (
+REACH = """links AS (
   SELECT key_a AS a, key_b AS b FROM pairs UNION SELECT key_b, key_a FROM pairs),
 reach(key, seen) AS (
   SELECT DISTINCT a, a FROM links
@@ -135,6 +135,15 @@ reach(key, seen) AS (
   SELECT links.b, reach.seen FROM reach JOIN links ON links.a = reach.key),
 groups AS (SELECT key, min(seen) AS group_id FROM reach GROUP BY key)"""
 
+GROUPS = f"{PAIRS}, {REACH}"
+
+SHIFTED = f"""v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  UNION ALL
+  SELECT vec_id + {SHIFTED_FROM},
+         [(embedding[i + 1]::DOUBLE + CASE WHEN (i + vec_id) % 2 = 0 THEN 0.005 ELSE -0.005 END)::FLOAT::DOUBLE for i in range(64)]
+  FROM embeddings)"""
+
 DECIDED = f"""{GROUPS}, decided AS (
   SELECT g.key, g.group_id, d.source AS folder, octet_length(encode(d.text))::BIGINT AS size_bytes,
          first_value(g.key) OVER (
@@ -327,14 +336,16 @@ WHERE doc_id NOT IN (SELECT key FROM decided WHERE key <> keep_key)""",
     "near_duplicates": f"WITH {PAIRS} SELECT key_a, key_b, score FROM pairs",
     "near_duplicates_by_cells": f"WITH {PAIRS} SELECT key_a, key_b, score FROM pairs",
     "near_duplicates_lsh": f"""
-WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  UNION ALL
-  SELECT vec_id + {SHIFTED_FROM},
-         [(embedding[i + 1]::DOUBLE + CASE WHEN (i + vec_id) % 2 = 0 THEN 0.005 ELSE -0.005 END)::FLOAT::DOUBLE for i in range(64)]
-  FROM embeddings)
+WITH {SHIFTED}
 SELECT a.vec_id AS key_a, b.vec_id AS key_b, {_score('a.e', 'b.e')} AS score
 FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE {_score('a.e', 'b.e')} >= 0.95""",
+    "duplicate_groups_lsh": f"""
+WITH RECURSIVE {SHIFTED},
+w AS (SELECT * FROM v UNION ALL SELECT vec_id + {2 * SHIFTED_FROM}, e FROM v WHERE vec_id % 3 = 0),
+pairs AS (
+  SELECT a.vec_id AS key_a, b.vec_id AS key_b
+  FROM w a JOIN w b ON a.vec_id < b.vec_id WHERE {_score('a.e', 'b.e')} >= 0.95),
+{REACH} SELECT key, group_id FROM groups""",
     "duplicate_groups_by_cells": f"WITH RECURSIVE {GROUPS} SELECT key, group_id FROM groups",
     "duplicate_groups": f"WITH RECURSIVE {GROUPS} SELECT key, group_id FROM groups",
     "embedded_duplicate_groups": """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import encoding, paths
 from framesift.functions.encoders import register_ai_query, text_encoder
-from framesift.operators import changes, duplicates, embed, index, ingest, labels, search
+from framesift.operators import changes, duplicates, embed, index, ingest, labels, lsh, search
 from framesift.operators import near_duplicates as near
 from framesift.operators.knn import knn_join
 from framesift.plans import inputs as I
@@ -661,13 +661,26 @@ def near_duplicates_by_cells(spark, sf):
     return near.near_duplicate_pairs(_vectors(spark, sf), "vec_id", "embedding", THRESHOLD, block_rows=SMALL_BLOCKS)
 
 
-@query
-def near_duplicates_lsh(spark, sf):
-    """Vectors and copies of them shifted by 0.005 a component: the copies are found by bands of bits."""
+def _shifted(spark, sf):
+    """Vectors and copies of them shifted by 0.005 a component."""
     vectors = _vectors(spark, sf).select("vec_id", "embedding")
     shift = F.transform("embedding", lambda x, i: (x + F.when((i + F.col("vec_id")) % 2 == 0, 0.005).otherwise(-0.005)).cast("float"))
     shifted = vectors.select((F.col("vec_id") + SHIFTED_FROM).alias("vec_id"), shift.alias("embedding"))
-    return near.near_duplicate_pairs_lsh(vectors.unionByName(shifted), "vec_id", "embedding", 0.95)
+    return vectors.unionByName(shifted)
+
+
+@query
+def near_duplicates_lsh(spark, sf):
+    """The shifted copies are found by bands of bits."""
+    return lsh.near_duplicate_pairs_lsh(_shifted(spark, sf), "vec_id", "embedding", 0.95)
+
+
+@query
+def duplicate_groups_lsh(spark, sf):
+    """Vectors, shifted copies and exact copies: groups from candidates, without all cells."""
+    rows = _shifted(spark, sf)
+    copies = rows.filter("vec_id % 3 = 0").withColumn("vec_id", F.col("vec_id") + 2 * SHIFTED_FROM)
+    return lsh.near_duplicate_groups_lsh(rows.unionByName(copies), "vec_id", "embedding", 0.95)
 
 
 def _groups(spark, sf, **options):

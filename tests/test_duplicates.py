@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.errors import PySparkException
 from helpers import VECTORS, components, planted, scores, vector_rows
 from pyspark.sql import functions as F
 
-from framesift.operators import duplicates, near_duplicates
+from framesift.operators import duplicates, lsh, near_duplicates
 from framesift.operators.components import connected_groups
 from framesift.operators.skew import hot_keys, salted_join
 
@@ -71,8 +72,8 @@ def test_shifted_vectors_are_found(spark):
     frame = spark.createDataFrame(rows, VECTORS)
     got = {(r.key_a, r.key_b) for r in near_duplicates.near_duplicate_pairs(frame, "key", "vec", 0.95, dim=64).collect()}
     assert got == {(i, 1000 + i) for i in range(50)}
-    lsh = near_duplicates.near_duplicate_pairs_lsh(frame.filter("size(vec) = 64"), "key", "vec", 0.95)
-    found = {(r.key_a, r.key_b) for r in lsh.collect()}
+    pairs = lsh.near_duplicate_pairs_lsh(frame.filter("size(vec) = 64"), "key", "vec", 0.95)
+    found = {(r.key_a, r.key_b) for r in pairs.collect()}
     assert found <= got and len(found) >= 45
 
 
@@ -80,7 +81,7 @@ def test_lsh_splits_hot_buckets(spark):
     matrix = planted()
     frame = spark.createDataFrame(vector_rows(matrix), VECTORS)
     want = brute_pairs(matrix, 0.99)
-    got = near_duplicates.near_duplicate_pairs_lsh(
+    got = lsh.near_duplicate_pairs_lsh(
         frame, "key", "vec", 0.99, bits=1, bands=4, block_rows=20
     ).collect()  # two buckets a band: both hot
     found = {(r.key_a, r.key_b) for r in got}
@@ -92,14 +93,74 @@ def test_lsh_bands_are_small(spark, sf):
     """On vectors without structure no bucket holds more than a small share, and few pairs are compared."""
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS key", "embedding AS vec")
     n = vectors.count()
-    bits, bands = near_duplicates.band_plan(n, 0.95)
-    sizes = [r["count"] for r in near_duplicates._bands(vectors, bits, bands, 7).groupBy("cell").count().collect()]
+    bits, bands = lsh.band_plan(n, 0.95)
+    sizes = [r["count"] for r in lsh.band_rows(vectors, bits, bands, 7).groupBy("cell").count().collect()]
     assert max(sizes) < 0.1 * n and sum(s * (s - 1) / 2 for s in sizes) < 0.2 * n * (n - 1) / 2
     same = 1 - np.arccos(0.95) / np.pi
     for rows in (10, 10**4, 10**9):
-        bits, bands = near_duplicates.band_plan(rows, 0.95)
-        assert 1 - (1 - same**bits) ** bands >= near_duplicates.RECALL
-    assert near_duplicates.band_plan(10**9, 0.95)[0] > near_duplicates.band_plan(10**3, 0.95)[0]
+        bits, bands = lsh.band_plan(rows, 0.95)
+        assert 1 - (1 - same**bits) ** bands >= lsh.RECALL
+    assert lsh.band_plan(10**9, 0.95)[0] > lsh.band_plan(10**3, 0.95)[0]
+
+
+def pairs_at(cosines, dim=64, seed=11):
+    """A vector and one at just this cosine to it, for each of ``cosines``; pairs are unrelated."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for cosine in cosines:
+        a, b = rng.normal(size=(2, dim))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        rows += [a, cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b)]
+    return np.array(rows)
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.95])
+def test_lsh_recall_at_the_threshold(spark, threshold):
+    """Nearly all pairs that are barely close enough are found, as pairs and as groups."""
+    matrix = pairs_at([threshold + 2e-6] * 300)
+    frame = spark.createDataFrame(vector_rows(matrix), VECTORS)
+    want = {(2 * i, 2 * i + 1) for i in range(300)}
+    found = {(r.key_a, r.key_b) for r in lsh.near_duplicate_pairs_lsh(frame, "key", "vec", threshold).collect()}
+    assert len(found & want) >= 0.97 * len(want)
+    groups = {r.key: r.group_id for r in lsh.near_duplicate_groups_lsh(frame, "key", "vec", threshold).collect()}
+    assert sum(groups.get(b) == a for a, b in want) >= 0.97 * len(want)
+    below = spark.createDataFrame(vector_rows(pairs_at([threshold - 1e-4] * 100)), VECTORS)
+    assert lsh.near_duplicate_links_lsh(below, "key", "vec", threshold).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 20, "block_rows": 25}, {"bits": 2, "bands": 6}])
+def test_lsh_groups(spark, options):
+    """Clusters, a hot vector and chains: the groups of brute force, from links linear in the rows."""
+    matrix = planted(spread=0.03)
+    frame = spark.createDataFrame(vector_rows(matrix) + [(9000, None), (9001, [0.0] * 16)], VECTORS)
+    want = components(zip(*np.nonzero(np.triu(scores(matrix, matrix) >= 0.98, 1))))
+    links = lsh.near_duplicate_links_lsh(frame, "key", "vec", 0.98, dim=16, **options)
+    assert links.count() < 3 * len(matrix)
+    assert {r.key: r.group_id for r in connected_groups(links).collect()} == want
+
+
+def test_candidates_carry_no_vectors(spark):
+    vectors = spark.createDataFrame(vector_rows(planted()), VECTORS)
+    assert lsh.band_rows(vectors, 8, 5, 7).columns == ["cell", "key", "sketch"]
+
+
+def test_vectors_are_fetched_for_survivors_only(spark, monkeypatch):
+    """Unrelated rows share buckets, but hardly one of them has its vector fetched."""
+    rng = np.random.default_rng(4)
+    matrix = np.concatenate([rng.normal(size=(400, 64)), pairs_at([0.99] * 10)])
+    frame = spark.createDataFrame(vector_rows(matrix), VECTORS)
+    checked = []
+    plain = lsh.verified
+    monkeypatch.setattr(lsh, "verified", lambda pairs, *rest: checked.append(pairs.count()) or plain(pairs, *rest))
+    links = lsh.near_duplicate_links_lsh(frame, "key", "vec", 0.95, bits=4, bands=30)
+    assert {(r.key, r.root) for r in links.collect()} == {(401 + 2 * i, 400 + 2 * i) for i in range(10)}
+    chance = sum(math.comb(64, i) for i in range(lsh.sketch_limit(0.95) + 1)) / 2**64
+    assert sum(checked) < 10 + 3 * chance * 420 * 419 / 2  # nearly all 87,990 pairs share a bucket somewhere
+
+
+def test_sketch_limit():
+    assert lsh.sketch_limit(1.0) == 0 and 10 < lsh.sketch_limit(0.95) < lsh.sketch_limit(0.9) < 32
 
 
 def test_links_read_the_table_once(spark):
@@ -124,7 +185,8 @@ def test_negative_zero_is_a_copy(spark):
 def test_empty_and_wrong_threshold(spark):
     frame = spark.createDataFrame([], VECTORS)
     assert near_duplicates.near_duplicate_pairs(frame, "key", "vec", 0.9).count() == 0
-    assert near_duplicates.near_duplicate_pairs_lsh(frame, "key", "vec", 0.9).count() == 0
+    assert lsh.near_duplicate_pairs_lsh(frame, "key", "vec", 0.9).count() == 0
+    assert lsh.near_duplicate_groups_lsh(frame, "key", "vec", 0.9).count() == 0
     assert duplicates.near_duplicate_groups(frame, "key", "vec", 0.9).count() == 0
     with pytest.raises(ValueError):
         near_duplicates.near_duplicate_pairs(frame, "key", "vec", 1.5)
