@@ -206,10 +206,11 @@ def near_duplicate_links_lsh(
     placed = cut_lineage(placed.withColumn("close", _apart("sketch", "hub") <= limit).drop("hub"))
 
     to_hubs = cut_lineage(placed.filter("close and key != other").select("key", "other").distinct())
-    first = to_hubs.groupBy("key").agg(F.min("other").alias("other"))
+    first = cut_lineage(to_hubs.groupBy("key").agg(F.min("other").alias("other")))
     links = cut_lineage(verified(first, vectors, threshold, hot_rows).select("key", "other"))
     groups = cut_lineage(connected_groups(links, "key", "other", hot_rows))
-    more = verified(_between_groups(to_hubs, groups, hot_rows), vectors, threshold, hot_rows).select("key", "other")
+    others = to_hubs.join(first, ["key", "other"], "left_anti")
+    more = verified(_between_groups(others, groups, hot_rows), vectors, threshold, hot_rows).select("key", "other")
     links = cut_lineage(links.unionByName(more))
     groups = cut_lineage(connected_groups(links, "key", "other", hot_rows))
 
@@ -217,7 +218,7 @@ def near_duplicate_links_lsh(
     several = placed.filter("n > 2").join(apart, ["key", "other"], "left")
     settled = F.col("close") & F.col("apart").isNull()
     several = cut_lineage(several.select("cell", F.when(settled, "c").otherwise("n").alias("role"), "key", "sketch"))
-    rest = _alike(several, [("n", "n", 0), ("n", "c", 1)], limit, block_rows)
+    rest = _alike(several, [("n", "n", 0), ("n", "c", 1)], limit, block_rows).join(to_hubs, ["key", "other"], "left_anti")
     more = verified(_between_groups(rest, groups, hot_rows), vectors, threshold, hot_rows).select("key", "other")
     return links.unionByName(more).withColumnRenamed("other", "root").unionByName(copies)
 
