@@ -110,6 +110,15 @@ new AS (
   UNION ALL
   SELECT '/data/benchmark/' || item_id || '.jpg', text FROM benchmark)"""
 
+SYNCED = """
+WITH v AS (SELECT *, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS length FROM embeddings),
+twice AS (SELECT vec_id, sqrt(list_inner_product(d, d)) AS length FROM (
+  SELECT vec_id, [(x * 2)::FLOAT::DOUBLE for x in embedding] AS d FROM embeddings))
+SELECT v.vec_id, label,
+       round(CASE WHEN v.vec_id % 5 = 0 AND v.vec_id % 35 <> 7 THEN twice.length ELSE v.length END, 5) AS norm
+FROM v JOIN twice USING (vec_id)
+WHERE (v.vec_id % 5 <> 1 AND (v.vec_id % 7 <> 0 OR v.vec_id % 5 = 0)) OR v.vec_id % 35 = 7"""
+
 EXACT = """
 grouped AS (
   SELECT doc_id AS key, min(doc_id) OVER (PARTITION BY sha256(text)) AS group_id,
@@ -285,18 +294,18 @@ SELECT vec_id, score, rank, vec_id = (SELECT vec_id FROM q) AS is_self FROM rank
 WITH {SNAPSHOTS}
 SELECT file_path, CASE WHEN old.text IS NULL THEN 'insert' WHEN new.text IS NULL THEN 'delete' ELSE 'update' END AS change
 FROM old FULL OUTER JOIN new USING (file_path) WHERE old.text IS DISTINCT FROM new.text""",
+    "logged_changes": f"""
+WITH {SNAPSHOTS}
+SELECT file_path, CASE WHEN old.text IS NULL THEN 'insert' WHEN new.text IS NULL THEN 'delete' ELSE 'update' END AS change,
+       0 AS changed_by_last
+FROM old FULL OUTER JOIN new USING (file_path) WHERE old.text IS DISTINCT FROM new.text""",
+    "logged_index": f"WITH {SNAPSHOTS} SELECT file_path, text FROM new",
     "synced_snapshot": f"WITH {SNAPSHOTS} SELECT file_path, text FROM new",
     "sync_available_now": """
 SELECT vec_id, label, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm
 FROM embeddings""",
-    "sync_updates": """
-WITH v AS (SELECT *, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS length FROM embeddings),
-twice AS (SELECT vec_id, sqrt(list_inner_product(d, d)) AS length FROM (
-  SELECT vec_id, [(x * 2)::FLOAT::DOUBLE for x in embedding] AS d FROM embeddings))
-SELECT v.vec_id, label,
-       round(CASE WHEN v.vec_id % 5 = 0 AND v.vec_id % 35 <> 7 THEN twice.length ELSE v.length END, 5) AS norm
-FROM v JOIN twice USING (vec_id)
-WHERE (v.vec_id % 5 <> 1 AND (v.vec_id % 7 <> 0 OR v.vec_id % 5 = 0)) OR v.vec_id % 35 = 7""",
+    "sync_updates": SYNCED,
+    "sync_compacted": SYNCED,
     "table_overwritten": "SELECT doc_id, source, n_chars FROM documents WHERE n_chars > 1000",
     "table_created_once": """
 SELECT source, count(*) AS files, true AS refused, 'true' AS change_feed,

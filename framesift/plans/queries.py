@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from framesift.functions import encoding, paths
 from framesift.functions.encoders import register_ai_query, text_encoder
-from framesift.operators import changes, duplicates, embed, index, ingest, labels, lsh, search
+from framesift.operators import change_log, changes, duplicates, embed, index, ingest, labels, lsh, search
 from framesift.operators import near_duplicates as near
 from framesift.operators.knn import knn_join
 from framesift.plans import inputs as I
 from framesift.schemas import FOLDER_TERMS
 from framesift.sources import tables
 from framesift.session import cut_lineage, drop_shared_path, new_shared_path, ship_package
-from framesift.streaming.sync import arriving_rows, sync_index
+from framesift.streaming.sync import arriving_rows, compact_index, read_index, sync_index, vacuum_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -453,26 +453,57 @@ def synced_snapshot(spark, sf):
     return changes.apply_changes(old, changes.rows_to_write(new, feed, "file_path"), feed, "file_path")
 
 
+@query
+def logged_changes(spark, sf):
+    """A table written three times, the last time unchanged: its log since the first write."""
+    old, new = _snapshots(spark, sf)
+    with _table_name(spark) as name:
+        for snapshot in (old, new, new):
+            version = change_log.write_logged(snapshot, name, "file_path")
+        unchanged = change_log.changes_since(spark, name, "file_path", version - 1).count()
+        found = change_log.changes_since(spark, name, "file_path", 1)
+        result = cut_lineage(found.withColumn("changed_by_last", F.lit(unchanged)))
+        change_log.drop_logged(spark, name)
+    return result
+
+
+@query
+def logged_index(spark, sf):
+    """An index of a logged table brought up to date from the rows its log names."""
+    old, new = _snapshots(spark, sf)
+    with _table_name(spark) as name:
+        before = change_log.write_logged(old, name, "file_path")
+        held = cut_lineage(spark.table(name))  # the index as of that version
+        change_log.write_logged(new, name, "file_path")
+        feed = cut_lineage(change_log.changes_since(spark, name, "file_path", before))
+        fresh = change_log.rows_since(spark, name, "file_path", before)
+        result = cut_lineage(changes.apply_changes(held, fresh, feed, "file_path"))
+        change_log.drop_logged(spark, name)
+    return result
+
+
 @query
 def sync_available_now(spark, sf):
     arriving = arriving_rows(spark, f"{sf}/embeddings.parquet", _vectors(spark, sf).schema)
     return _synced(spark, [lambda: arriving])
 
 
-def _synced(spark, runs, **options):
+def _synced(spark, runs, compacted=False, **options):
     """The index after one sync per stream of ``runs``; its folders are deleted."""
     index_path, progress = new_shared_path(spark, "index"), new_shared_path(spark, "progress")
     for arriving in runs:
         synced = sync_index(arriving(), index_path, progress, "vec_id", "embedding", I.DIMENSION, **options)
+        if compacted:
+            compact_index(spark, index_path, "vec_id", "embedding")
+            vacuum_index(spark, index_path)
+            synced = read_index(spark, index_path, "vec_id", "embedding")
     result = cut_lineage(synced.select("vec_id", "label", F.round("norm", 5).alias("norm")))
     drop_shared_path(spark, index_path)
     drop_shared_path(spark, progress)
     return result
 
 
-@query
-def sync_updates(spark, sf):
-    """Rows arrive, then some of them again with other vectors, some to be deleted and some new."""
+def _updates(spark, sf, **options):
     vectors = _vectors(spark, sf)
     inbox = new_shared_path(spark, "inbox")
 
@@ -486,15 +517,24 @@ def sync_updates(spark, sf):
     kept = vectors.withColumn("gone", F.lit(False))
     doubled = vectors.withColumn("embedding", F.transform("embedding", lambda x: x * 2))
     later = doubled.filter("vec_id % 5 IN (0, 1)").withColumn("gone", F.col("vec_id") % 5 == 1)
-    result = _synced(
-        spark,
-        [arrives(kept.filter("vec_id % 7 != 0")), arrives(later), arrives(kept.filter("vec_id % 35 = 7"))],
-        deleted="gone",
-    )
+    runs = [arrives(kept.filter("vec_id % 7 != 0")), arrives(later), arrives(kept.filter("vec_id % 35 = 7"))]
+    result = _synced(spark, runs, deleted="gone", **options)
     drop_shared_path(spark, inbox)
     return result
 
 
+@query
+def sync_updates(spark, sf):
+    """Rows arrive, then some of them again with other vectors, some to be deleted and some new."""
+    return _updates(spark, sf)
+
+
+@query
+def sync_compacted(spark, sf):
+    """The same rows, the log compacted and what it replaced deleted after every run."""
+    return _updates(spark, sf, compacted=True)
+
+
 # --- tables -----------------------------------------------------------------
 
 

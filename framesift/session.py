@@ -70,9 +70,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or folder
 
 
+def new_name(label: str) -> str:
+    return f"{label}-{uuid.uuid4().hex}"
+
+
 def new_shared_path(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{new_name(label)}"
 
 
 def drop_shared_path(spark: SparkSession, path: str) -> None:

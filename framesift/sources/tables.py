@@ -72,8 +72,14 @@ def replace_table(df: DataFrame, name: str, fmt: str | None = None) -> DataFrame
     it, `recover_table` brings the old one back.
     """
     spark = df.sparkSession
-    staged, aside = f"{name}__next", f"{name}__old"
+    staged = f"{name}__next"
     df.write.format(fmt or table_format(spark)).mode("overwrite").saveAsTable(staged)
+    return replace_by(spark, staged, name)
+
+
+def replace_by(spark: SparkSession, staged: str, name: str) -> DataFrame:
+    """Give the table ``staged`` the name of another one, which is dropped; see `replace_table`."""
+    aside = f"{name}__old"
     if spark.catalog.tableExists(name):
         drop_table(spark, aside)
         spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(aside)}")

@@ -1,0 +1,159 @@
+import uuid
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from framesift.operators import change_log, changes
+from framesift.sources import manifests, tables
+from framesift.streaming import sync
+
+SCHEMA = "k string, a string, b int"
+
+
+@pytest.fixture
+def name(spark):
+    made = f"logged_{uuid.uuid4().hex}"
+    yield made
+    change_log.drop_logged(spark, made)
+
+
+def rows(spark, *listed):
+    return spark.createDataFrame(list(listed), SCHEMA)
+
+
+FIRST = [("same", "x", 1), ("edit", "x", 1), ("gone", None, 1), ("null", None, None)]
+SECOND = [("same", "x", 1), ("edit", "x", 2), ("new", "", 1), ("null", "", None)]
+
+
+def test_log_equals_snapshots(spark, name):
+    assert change_log.write_logged(rows(spark, *FIRST), name, "k") == 1
+    assert change_log.write_logged(rows(spark, *SECOND), name, "k") == 2
+    want = changes.snapshot_changes(rows(spark, *FIRST), rows(spark, *SECOND), "k", ["a", "b"])
+    assert sorted(change_log.changes_since(spark, name, "k", 1).collect()) == sorted(want.collect())
+    assert {r.k: r.change for r in change_log.changes_since(spark, name, "k", 0).collect()} == dict.fromkeys(
+        ["same", "edit", "new", "null"], "insert"
+    )
+    assert {r.k for r in change_log.rows_since(spark, name, "k", 1).collect()} == {"edit", "new", "null"}
+    assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, rows(spark, *SECOND).collect()))
+
+
+def test_unchanged_table_logs_nothing(spark, name):
+    change_log.write_logged(rows(spark, *FIRST), name, "k", columns=["a"])
+    assert change_log.write_logged(spark.table(name), name, "k", columns=["a"]) == 2  # may read itself
+    assert change_log.changes_since(spark, name, "k", 1).count() == 0
+    assert change_log.write_logged(spark.table(name).withColumn("b", F.lit(9)), name, "k", columns=["a"]) == 3
+    assert change_log.changes_since(spark, name, "k", 1).count() == 0
+
+
+def test_changes_add_up(spark, name):
+    """Came and went, edited twice, went and came back."""
+    for listed in (FIRST, SECOND, FIRST[:1] + [("gone", "back", 1)]):
+        change_log.write_logged(rows(spark, *listed), name, "k")
+    found = {r.k: r.change for r in change_log.changes_since(spark, name, "k", 1).collect()}
+    assert found == {"edit": "delete", "gone": "update", "null": "delete"}
+
+
+@pytest.mark.parametrize("step", ["replace_by", "log"])
+def test_stopped_writes_are_repeated(spark, name, monkeypatch, step):
+    change_log.write_logged(rows(spark, *FIRST), name, "k")
+    with monkeypatch.context() as m:
+        if step == "replace_by":
+            m.setattr(tables, "replace_by", lambda *args: 1 / 0)
+        else:
+            m.setattr(change_log, "VERSION", "x' = 'y', 'stopped")
+            m.setattr(change_log, "logged_version", lambda *args: 1)
+            plain = tables.replace_by
+            m.setattr(tables, "replace_by", lambda *args: plain(*args) and 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            change_log.write_logged(rows(spark, *SECOND), name, "k")
+    assert change_log.logged_version(spark, name) == 1
+    assert change_log.changes_since(spark, name, "k", 1).count() == 0
+    assert change_log.write_logged(rows(spark, *SECOND), name, "k") == 2
+    want = changes.snapshot_changes(rows(spark, *FIRST), rows(spark, *SECOND), "k", ["a", "b"])
+    assert sorted(change_log.changes_since(spark, name, "k", 1).collect()) == sorted(want.collect())
+
+
+def test_old_rows_are_not_read(spark, name, monkeypatch):
+    """The stored digests stand in for the old table: it may be gone."""
+    change_log.write_logged(rows(spark, *FIRST), name, "k")
+    tables.drop_table(spark, name)
+    change_log.write_logged(rows(spark, *SECOND), name, "k")
+    assert change_log.changes_since(spark, name, "k", 1).count() == 4
+
+
+VECTORS = "k string, v array<float>, gone boolean"
+
+
+@pytest.fixture
+def log(spark, tmp_path):
+    source, index, progress = (str(tmp_path / part) for part in ("source", "index", "progress"))
+
+    def run(*listed):
+        frame = spark.createDataFrame(list(listed), VECTORS)
+        frame.coalesce(1).write.mode("append").parquet(source)
+        arriving = sync.arriving_rows(spark, source, frame.schema)
+        sync.sync_index(arriving, index, progress, "k", "v", 2, deleted="gone")
+        return index
+
+    return run
+
+
+def held(spark, index, version=None):
+    return sorted((r.k, r.v) for r in sync.read_index(spark, index, "k", "v", version).collect())
+
+
+def test_compaction_keeps_the_index(spark, log):
+    log(("a", [1.0, 0.0], False), ("b", [1.0, 1.0], False), ("c", [1.0, 2.0], False))
+    index = log(("a", [2.0, 0.0], False), ("b", None, True))
+    want = [("a", [2.0, 0.0]), ("c", [1.0, 2.0])]
+    assert held(spark, index) == want
+    assert sync.compact_index(spark, index, "k", "v") == 1 and held(spark, index) == want
+    assert sync.compact_index(spark, index, "k", "v") == 1  # nothing new
+    base = manifests.read(spark, index, 1)["base"]
+    assert spark.read.parquet(f"{index}/{sync.BASES}/{base}").count() == 2  # a row per key, no deleted ones
+    log(("c", [5.0, 0.0], False), ("b", [3.0, 0.0], False))
+    later = [("a", [2.0, 0.0]), ("b", [3.0, 0.0]), ("c", [5.0, 0.0])]
+    assert held(spark, index) == later
+    assert sync.compact_index(spark, index, "k", "v") == 2 and held(spark, index) == later
+    assert len(held(spark, index, version=1)) == 3  # an older manifest is still readable
+    sync.vacuum_index(spark, index)
+    assert held(spark, index) == later
+    names = manifests.names_below(spark, index)
+    assert not [n for n in names if n.startswith(sync.BATCH)] and len(manifests.names_below(spark, f"{index}/{sync.BASES}")) == 1
+    log(("a", None, True))
+    assert held(spark, index) == later[1:]
+
+
+@pytest.mark.parametrize("step", ["base", "manifest"])
+def test_stopped_compaction_changes_nothing(spark, log, monkeypatch, step):
+    log(("a", [1.0, 0.0], False))
+    index = log(("a", None, True), ("b", [2.0, 0.0], False))
+    with monkeypatch.context() as m:
+        if step == "base":
+            m.setattr(sync, "read_index", lambda *args: spark.range(3).select(F.raise_error(F.lit("stopped"))))
+        else:
+            m.setattr(manifests, "publish", lambda *args: 1 / 0)
+        with pytest.raises((ZeroDivisionError, PySparkException)):
+            sync.compact_index(spark, index, "k", "v")
+    assert held(spark, index) == [("b", [2.0, 0.0])]
+    assert sync.compact_index(spark, index, "k", "v") == 1
+    sync.vacuum_index(spark, index)
+    assert len(manifests.names_below(spark, f"{index}/{sync.BASES}")) == 1 and held(spark, index) == [("b", [2.0, 0.0])]
+
+
+def test_manifests_are_written_once(spark, tmp_path):
+    folder = str(tmp_path)
+    assert manifests.newest(spark, folder) == (0, {})
+    for n in range(1, 12):
+        manifests.publish(spark, folder, n, {"base": str(n)})
+    assert manifests.newest(spark, folder) == (11, {"base": "11"})
+    with pytest.raises(FileExistsError):
+        manifests.publish(spark, folder, 11, {"base": "other"})
+    assert manifests.read(spark, folder, 11) == {"base": "11"} and len(manifests.names_below(spark, f"{folder}/{manifests.FOLDER}")) >= 11
+
+
+def test_unfinished_batches_are_not_read(spark, log, tmp_path):
+    index = log(("a", [1.0, 0.0], False))
+    (tmp_path / "index" / f"{sync.BATCH}=7").mkdir()
+    assert held(spark, index) == [("a", [1.0, 0.0])]
