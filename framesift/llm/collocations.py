@@ -31,7 +31,10 @@ from framesift.operators.skew import HOT_ROWS, hot_keys, salted_join
 MOST_WORDS, LEAST_COUNT, FIRST = 5, 100, 2000
 
 #: Occurrences whose suffixes one group may hold, which bounds a task's memory.
-GROUP_WORDS = 1 << 20
+GROUP_WORDS = 1 << 21
+
+#: Groups a task builds one after the other, about.
+GROUPS_PER_TASK = 2
 
 #: Slots that prefixes are dealt to: at least so many, or so many per group, and at most.
 LEAST_SLOTS, SLOTS_PER_GROUP, MOST_SLOTS = 1 << 12, 8, 1 << 18
@@ -223,6 +226,22 @@ def _order(words: np.ndarray, *before: np.ndarray) -> np.ndarray:
     return np.lexsort([*reversed(keys), *reversed(before)])
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Rows of numbers by column and place of the byte, highest bytes that are all 0 left out; this packs better."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    single = np.ascontiguousarray(numbers.T.astype("<u4")).view(np.uint8).reshape(*numbers.shape[::-1], 4)
+    return bytes([width]) + single[:, :, :width].transpose(0, 2, 1).tobytes()
+
+
+def _from_planes(data: bytes, columns: int) -> np.ndarray:
+    """What `_planes` was given."""
+    width = data[0]
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(columns, width, -1)
+    single = np.zeros((columns, planes.shape[2], 4), dtype=np.uint8)
+    single[:, :, :width] = planes.transpose(0, 2, 1)
+    return single.view("<u4")[:, :, 0].T
+
+
 def _blobs(plan: Plan):
     """(group, lang, names, words, counts): a task's different suffixes of one group, sorted and compressed."""
 
@@ -241,9 +260,9 @@ def _blobs(plan: Plan):
             for first, end in zip(*_runs(group)):
                 used, numbers = np.unique(words[first:end], return_inverse=True)
                 used, shift = (used[1:], 0) if used[0] < 0 else (used, 1)  # 0 stands for no word
-                numbers = (numbers.reshape(-1, plan.most_words) + shift).astype("<i4")
+                numbers = numbers.reshape(-1, plan.most_words) + shift
                 names = b"\n".join([suffixes.names[n] for n in used])
-                parts = [names, numbers.tobytes(order="F"), counts[first:end].astype("<u4").tobytes()]
+                parts = [names, _planes(numbers), counts[first:end].astype("<u4").tobytes()]
                 rows.append((group[first], suffixes.lang, *map(pack.compress, parts)))
                 size += sum(map(len, rows[-1][2:]))
                 if size > 4 << 20 or end == len(group):
@@ -336,8 +355,7 @@ def _count_phrases(texts: DataFrame, plan: Plan, least: int) -> DataFrame:
             words, counts = [], []
             for names, ids, n in zip(*(some[c].to_pylist() for c in ("names", "words", "counts"))):
                 listed = [numbers.setdefault(name, len(numbers)) for name in unpack.decompress(names).split(b"\n")]
-                ids = np.frombuffer(unpack.decompress(ids), dtype="<i4").reshape((-1, most_words), order="F")
-                words.append(np.array([-1, *listed], dtype=np.int32)[ids])
+                words.append(np.array([-1, *listed], dtype=np.int32)[_from_planes(unpack.decompress(ids), most_words)])
                 counts.append(np.frombuffer(unpack.decompress(n), dtype="<u4"))
             spelled = [name.decode() for name in numbers]
             for depth, nodes, totals in subtree(np.concatenate(words), np.concatenate(counts).astype(np.int64)):
@@ -350,7 +368,8 @@ def _count_phrases(texts: DataFrame, plan: Plan, least: int) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "phrase", "words", "f"])
 
-    found = blobs.groupBy("group").applyInArrow(build, "lang string, phrase string, words int, f long")
+    tasks = max(1, len(depth_of) // GROUPS_PER_TASK)
+    found = blobs.repartition(tasks, "group").groupBy("group").applyInArrow(build, "lang string, phrase string, words int, f long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 

@@ -111,6 +111,13 @@ def test_small_holds(rows, monkeypatch):
     assert summed() == whole and sum(whole.values()) > 1000 and {len(k) for k in whole} == {3, 4, 5, 6}
 
 
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 70000, 2**30])
+def test_planes(most):
+    numbers = np.random.default_rng(1).integers(0, most + 1, (17, 5))
+    numbers[3, 2] = most
+    assert (col._from_planes(col._planes(numbers), 5) == numbers).all()
+
+
 def test_arithmetic_is_exact(spark):
     big = 10**14 - 3
     frame = spark.createDataFrame([(big, big - 5, 10**5 + 7, 10**5 + 9)], "a long, n long, l long, r long")
