@@ -50,17 +50,22 @@ def _score(a: str, b: str, metric: str = "cosine") -> str:
     return f"round({function}({a}, {b}), 6)"
 
 
-def _knn(k: int, metric: str = "cosine", where: str = "true") -> str:
+def _knn(k: int, metric: str = "cosine", where: str = "true", vector: str = "embedding::DOUBLE[]") -> str:
     order = "score" if metric == "l2" else "score DESC"
     return f"""
-WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+WITH vectors AS (SELECT vec_id, label, {vector} AS v FROM embeddings),
+q AS (SELECT v FROM vectors WHERE vec_id = 0),
 scored AS (
-  SELECT vec_id, label, {_score('embedding::DOUBLE[]', '(SELECT v FROM q)', metric)} AS score
-  FROM embeddings WHERE {where}),
+  SELECT vec_id, label, {_score('v', '(SELECT v FROM q)', metric)} AS score
+  FROM vectors WHERE {where}),
 ranked AS (SELECT *, row_number() OVER (ORDER BY {order}, vec_id)::INTEGER AS rank FROM scored)
 SELECT vec_id, label, score, rank FROM ranked WHERE rank <= {k}"""
 
 
+#: Vectors drawn to eight far corners.
+CORNERED = "[(embedding[i + 1] + CASE WHEN i = vec_id % 8 THEN 2.0 ELSE 0.0 END)::FLOAT::DOUBLE for i in range(64)]"
+
+
 def _knn_batch(where: str = "true", metric: str = "cosine") -> str:
     return f"""
 WITH scored AS (
@@ -243,6 +248,11 @@ FROM embedded""",
 SELECT conv_id, turn, role, text FROM conversations
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
     "knn_single": _knn(10),
+    "knn_single_by_cell_index": _knn(10),
+    "search_cells": _knn(10, vector=CORNERED),
+    "search_cells_dot": _knn(10, "dot", vector=CORNERED),
+    "search_cells_l2": _knn(10, "l2", vector=CORNERED),
+    "search_cells_prefilter": _knn(10, where="label IN (3, 5)", vector=CORNERED),
     "knn_metric_dot": _knn(10, "dot"),
     "knn_metric_l2": _knn(10, "l2"),
     "knn_prefilter": _knn(10, where="label IN (3, 5)"),

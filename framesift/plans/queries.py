@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import encoding, paths
 from framesift.functions.encoders import register_ai_query, text_encoder
-from framesift.operators import change_log, changes, duplicates, embed, index, ingest, labels, lsh, search
+from framesift.operators import cell_index, change_log, changes, duplicates, embed, index, ingest, labels, lsh, search
 from framesift.operators import near_duplicates as near
 from framesift.operators.knn import knn_join
 from framesift.plans import inputs as I
@@ -321,6 +321,47 @@ def knn_batch_others(spark, sf):
     return _batch(spark, sf, exclude_self=True)
 
 
+def _search_cells(spark, sf, vectors, **options):
+    """The first vector's neighbours, from an index stored in cells: from those that can matter."""
+    path = new_shared_path(spark, "cells")
+    cell_index.write_cell_index(vectors, path, "vec_id", "embedding", cells=16)
+    stored = cell_index.read_cell_index(spark, path)
+    query = search.stored_vector(vectors, "vec_id", 0, "embedding")
+    return cell_index.search_cells(stored, query, 10, "vec_id", "embedding", ["vec_id", "label"], **options)
+
+
+def _cornered(spark, sf):
+    """Vectors drawn to eight far corners."""
+    corner = F.pmod("vec_id", F.lit(8))
+    drawn = F.transform("embedding", lambda x, i: (x + F.when(i == corner, 2.0).otherwise(0.0)).cast("float"))
+    return _vectors(spark, sf).withColumn("embedding", drawn)
+
+
+@query
+def knn_single_by_cell_index(spark, sf):
+    return _search_cells(spark, sf, _vectors(spark, sf))
+
+
+@query
+def search_cells(spark, sf):
+    return _search_cells(spark, sf, _cornered(spark, sf))
+
+
+@query
+def search_cells_dot(spark, sf):
+    return _search_cells(spark, sf, _cornered(spark, sf), metric="dot")
+
+
+@query
+def search_cells_l2(spark, sf):
+    return _search_cells(spark, sf, _cornered(spark, sf), metric="l2")
+
+
+@query
+def search_cells_prefilter(spark, sf):
+    return _search_cells(spark, sf, _cornered(spark, sf), filters={"label": [3, 5]})
+
+
 def _text_index(spark, sf):
     """Documents with their vectors, built once and stored: what text searches read."""
     path = new_shared_path(spark, "text-index")
