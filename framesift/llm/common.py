@@ -54,12 +54,14 @@ def drop_written(table: DataFrame) -> None:
 
 
 def with_row_key(df: DataFrame, id_col: str) -> DataFrame:
-    """``df`` and a `ROW` column, a long that no two rows share.
+    """``df`` and a `ROW` column, a long that no two rows share and that is in the order of the ids.
 
     Where the ids are whole numbers, all present and distinct, they are the
-    key. Otherwise (null or repeated ids) the table is written out with
-    numbers of its own, which stay the same for every later read. A frame that
-    has the column already is returned as it is.
+    key. Otherwise (null or repeated ids, or ids of another type) the table is
+    sorted by id, null ids last, rows of one id by a hash of all their columns,
+    and written out with numbers in that order, which stay the same for every
+    later read; rows alike in everything may change places. A frame that has
+    the column already, from an earlier call, is returned as it is.
     """
     if ROW in df.columns:
         return df
@@ -67,7 +69,10 @@ def with_row_key(df: DataFrame, id_col: str) -> DataFrame:
         counted = df.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
         if counted.filter("id IS NULL OR n > 1").isEmpty():
             return df.withColumn(ROW, F.col(id_col).cast("long"))
-    return write_shared(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    # A sort deals ranges to partitions in order, and these numbers grow with the partition and the row in it.
+    whole = F.xxhash64(*(F.col(c) for c, kind in df.dtypes if not kind.startswith("map")))
+    ordered = df.withColumn("__whole", whole).orderBy(F.col(id_col).asc_nulls_last(), "__whole").drop("__whole")
+    return write_shared(ordered.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def keyed(df: DataFrame, id_col: str, **columns: str) -> DataFrame:

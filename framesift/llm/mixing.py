@@ -4,16 +4,20 @@ A classifier fitted on a table of labelled documents gives each document the
 probabilities of its domains. Nonnegative rates for the documents are then
 fitted by least squares, so that the tokens expected of each domain (rate x
 tokens x probability, summed) meet their targets. The fit is a projected
-gradient: a step needs only the domains' totals, one aggregate over the
-documents, and moves each document by itself.
+gradient with steps that take the gradient at their own end, which lets them be
+long: a step is found from the domains' totals alone, some aggregates over the
+documents, and moves each document by itself. Documents of equal memberships
+move alike, so the aggregates are over distinct ones.
 
 Everything here is DataFrame and SQL expressions.
 """
 
 from __future__ import annotations
 
+import logging
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from framesift.llm.common import ROW, drop_written, keyed, with_row_key, write_shared
 from framesift.operators.keys import filter_by_keys
 
+log = logging.getLogger(__name__)
+
 #: Buckets that words are hashed to.
 BUCKETS = 1 << 17
 
@@ -37,11 +43,21 @@ ADDED, LEAST_LOG, LEAST_EXCESS = 0.5, 1.6, 1.7
 #: first in the order of a hash of their id.
 TRAIN_ROWS = 200_000
 
-#: Largest miss of a target, as a share of it, and steps that may be taken to get there.
-TOLERANCE, MOST_STEPS = 1e-4, 300
+#: Largest miss of a target, as a share of it, at which the fit is done; and the
+#: largest share by which the least squares may be above their minimum, where targets are missed.
+TOLERANCE, GAP = 1e-4, 0.01
+
+#: Length of the first step beside that of a plain gradient step, and of each step beside the one before.
+FIRST_STEP, LONGER = 10.0, 10.0
+
+#: Steps, and aggregates for one step, after which the fit is given up as not converging.
+MOST_STEPS, MOST_TRIES = 16, 60
+
+#: Shares of a Newton step that are tried together.
+TRIED = (1.0, 0.3, 0.1)
 
-#: Steps after which the rates are written out, which keeps the expression short.
-STEPS_PER_WRITE = 8
+#: How much shorter they are where none of them comes nearer.
+SHORTER = (1.0, 0.03, 0.001, 3e-5)
 
 #: Least share of all tokens that a target's weight in the least squares is taken from.
 LEAST_SHARE = 0.01
@@ -154,13 +170,61 @@ def memberships(
     )
 
 
-def _dot(factors: list[float]) -> Column:
+def _dot(factors: Sequence[float]) -> Column:
     total = F.lit(0.0)
     for i, factor in enumerate(factors):
-        total = total + F.col("_p")[i] * F.lit(factor)
+        total = total + F.col("_p")[i] * F.lit(float(factor))
     return total
 
 
+def _within(rate: Column, most_rate: float | None) -> Column:
+    rate = F.greatest(F.lit(0.0), rate)
+    return rate if most_rate is None else F.least(F.lit(float(most_rate)), rate)
+
+
+@dataclass
+class _Step:
+    """What a step of length ``length`` along the gradient given by ``pull`` (one number per domain) comes to."""
+
+    dual: float  # least at the step's own end
+    expected: np.ndarray
+    free: np.ndarray  # gram matrix of the documents that no bound holds
+
+
+def _tried(kinds: DataFrame, rate: Column, length: float, pulls: list[np.ndarray], goal: np.ndarray, scale: np.ndarray, most_rate: float | None) -> list[_Step]:
+    """One aggregate over the memberships for several pulls."""
+    domains = range(len(goal))
+    pairs = [(i, j) for i in domains for j in range(i, len(goal))]
+    rows, sums = kinds.withColumn("_rate", rate), []
+    for n, pull in enumerate(pulls):
+        along = _dot(pull)
+        raw = F.col("_rate") - F.lit(length) * along
+        new = _within(raw, most_rate)
+        cost = new * along + (new - F.col("_rate")) * (new - F.col("_rate")) / (2 * length)
+        free = (raw > 0) if most_rate is None else (raw > 0) & (raw < most_rate)
+        sums.append(F.sum(F.col("_tokens") * cost).alias(f"c{n}"))
+        sums += [F.sum(F.col("_tokens") * new * F.col("_p")[i]).alias(f"e{n}_{i}") for i in domains]
+        freed = F.when(free, F.col("_tokens")).otherwise(0)
+        sums += [F.sum(freed * F.col("_p")[i] * F.col("_p")[j]).alias(f"g{n}_{i}_{j}") for i, j in pairs]
+    seen = rows.agg(*sums).first()
+    found = []
+    for n, pull in enumerate(pulls):
+        gram = np.array([[seen[f"g{n}_{min(i, j)}_{max(i, j)}"] for j in domains] for i in domains], dtype=float)
+        dual = float((pull**2 / (4 * scale)).sum() + pull @ goal - seen[f"c{n}"])
+        found.append(_Step(dual, np.array([seen[f"e{n}_{i}"] for i in domains], dtype=float), gram))
+    return found
+
+
+def _gap(kinds: DataFrame, rate: Column, expected: np.ndarray, goal: np.ndarray, scale: np.ndarray, most_rate: float | None) -> float:
+    """By how much the loss can be above its minimum at most: what the gradient promises within the bounds."""
+    slope = _dot(2 * scale * (expected - goal))
+    up = F.lit(0.0) if most_rate is None else F.col("_rate") - F.lit(float(most_rate))
+    promised = F.when(slope > 0, slope * F.col("_rate")).otherwise(slope * up)
+    endless = F.lit(False) if most_rate is not None else slope < 0
+    seen = kinds.withColumn("_rate", rate).agg(F.sum(F.col("_tokens") * promised).alias("gap"), F.max(endless).alias("endless")).first()
+    return math.inf if seen.endless else float(seen.gap)
+
+
 def fit_rates(
     rows: DataFrame,
     domains: list[str],
@@ -168,6 +232,7 @@ def fit_rates(
     budget: float | None = None,
     relative: bool = False,
     tolerance: float = TOLERANCE,
+    gap: float = GAP,
     most_steps: int = MOST_STEPS,
     most_rate: float | None = None,
 ) -> tuple[DataFrame, list[dict]]:
@@ -180,69 +245,71 @@ def fit_rates(
     ``relative`` what their own shares of the tokens are multiplied by; with no
     ``budget`` of tokens it is the largest at which no domain needs more than
     it has.
+
+    A step goes from the rates r to P(r - c g), P being the projection onto the
+    bounds and g the gradient at the new rates. As the gradient is made of one
+    number per domain, these are found by Newton's method on as many unknowns.
+    The fit ends when every target is met up to ``tolerance``, or when the loss
+    is proven to be within a share ``gap`` of its minimum; a report with
+    ``converged`` false says that neither happened in ``most_steps`` steps.
     """
     unknown = set(targets) - set(domains)
     if unknown or (domains and not sum(targets.values()) > 0) or any(w < 0 for w in targets.values()):
         raise ValueError(f"targets must be weights of known domains, not {dict(targets)} of {domains}")
     if not domains:
         return rows.withColumn("rate", F.lit(1.0)), []
-    pairs = [(i, j) for i in range(len(domains)) for j in range(i, len(domains))]
-    share = [F.col("_p")[i] for i in range(len(domains))]
-    seen = rows.agg(
-        *(F.coalesce(F.sum(F.col("_tokens") * share[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(domains))),
-        *(F.coalesce(F.sum(F.col("_tokens") * share[i] * share[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in pairs),
-    ).first()
-    there = [seen[f"t{i}"] for i in range(len(domains))]
+    kinds = write_shared(rows.groupBy("_p").agg(F.sum("_tokens").alias("_tokens")).filter("_tokens > 0"), "kinds")
+    ones = [np.zeros(len(domains))]
+    seen = _tried(kinds, F.lit(1.0), 1.0, ones, np.zeros(len(domains)), np.ones(len(domains)), None)[0] if not kinds.isEmpty() else None
+    there = seen.expected if seen else np.zeros(len(domains))
     weight = [targets.get(d, 0.0) * (t if relative else 1.0) for d, t in zip(domains, there)]
     weight = [w / (sum(weight) or 1.0) for w in weight]
     if budget is None:
         budget = min((t / w for t, w in zip(there, weight) if w > 0), default=0.0)
-    goal = [w * budget for w in weight]
-    if not sum(there) or not budget:
+    goal = np.array([w * budget for w in weight])
+    if not there.sum() or not budget:
         return rows.withColumn("rate", F.lit(1.0)), [
-            {"domain": d, "tokens": t, "target": g, "expected": t, "met": t == g} for d, t, g in zip(domains, there, goal)
+            {"domain": d, "tokens": t, "target": g, "expected": t, "met": t == g, "gap": 0.0, "steps": 0, "converged": True}
+            for d, t, g in zip(domains, there.tolist(), goal.tolist())
         ]
-    scale = [1 / max(g, LEAST_SHARE * sum(goal)) for g in goal]
-    near = [tolerance * max(g, LEAST_SHARE * sum(goal)) for g in goal]
-    gram = [
-        [seen[f"g{min(i, j)}_{max(i, j)}"] * (scale[i] * scale[j]) ** 0.5 for j in range(len(domains))]
-        for i in range(len(domains))
-    ]
-    step = 1 / float(np.linalg.eigvalsh(np.array(gram)).max())
-
-    # ``_ahead`` is the rate carried on in the direction of the last step (Nesterov); its totals follow from the rates'
-    fitted = rows.withColumns({"rate": F.lit(1.0), "_ahead": F.lit(1.0)})
-    expected, ahead, pace, written = there, there, 1.0, None
-    for k in range(1, most_steps + 1):
-        if all(abs(e - g) <= n for e, g, n in zip(expected, goal, near)):
-            break
-        pull = _dot([step * s * (e - g) for s, e, g in zip(scale, ahead, goal)])
-        new = F.greatest(F.lit(0.0), F.col("_ahead") - pull)
-        fitted = fitted.withColumn("_new", new if most_rate is None else F.least(F.lit(float(most_rate)), new))
-        sums = [F.sum(F.col("_new") * F.col("_tokens") * s).alias(f"t{i}") for i, s in enumerate(share)]
-        before, expected = expected, list(fitted.agg(*sums).first())
-        loss = [sum(s * (e - g) ** 2 for s, e, g in zip(scale, total, goal)) for total in (before, expected)]
-        if loss[1] > loss[0]:
-            pace = 1.0
-        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
-        carry, pace = (pace - 1) / faster, faster
-        ahead = [e + carry * (e - b) for e, b in zip(expected, before)]
-        carried = F.col("_new") + F.lit(carry) * (F.col("_new") - F.col("rate"))
-        fitted = fitted.select(ROW, "_id", "_tokens", "_p", F.col("_new").alias("rate"), carried.alias("_ahead"))
-        if k % STEPS_PER_WRITE == 0:
-            last, fitted = written, write_shared(fitted, "rates")
-            written = fitted
-            if last is not None:
-                drop_written(last)
-    # written in any case: a filter on the rate would otherwise repeat the steps wherever it names it
-    fitted = write_shared(fitted.drop("_ahead"), "rates")
-    if written is not None:
-        drop_written(written)
+    scale = 1 / np.maximum(goal, LEAST_SHARE * goal.sum())
+    near = tolerance / scale
+    root = np.sqrt(scale)
+    length = FIRST_STEP / float(np.linalg.eigvalsh(seen.free * np.outer(root, root)).max())
+
+    rate, expected, pull = F.lit(1.0), there, np.zeros(len(domains))
+    steps, above, converged = 0, math.inf, bool((np.abs(expected - goal) <= near).all())
+    while not converged and steps < most_steps:
+        best = _tried(kinds, rate, length, [pull], goal, scale, most_rate)[0]
+        for _ in range(MOST_TRIES):
+            miss = pull / (2 * scale) + goal - best.expected  # zero at the step's own end
+            if (np.abs(miss) <= 1e-3 * near).all():
+                break
+            bend = (np.diag(1 / (2 * scale)) + length * best.free) * np.outer(root, root)
+            newton = -root * np.linalg.solve(bend, root * miss)
+            for shorter in SHORTER:
+                pulls = [pull + shorter * share * newton for share in TRIED]
+                tried = _tried(kinds, rate, length, pulls, goal, scale, most_rate)
+                least = min(range(len(tried)), key=lambda n: tried[n].dual)
+                if tried[least].dual < best.dual:
+                    break
+            else:
+                break
+            pull, best = pulls[least], tried[least]
+        rate = _within(rate - F.lit(length) * _dot(pull), most_rate)
+        expected, steps, length = best.expected, steps + 1, LONGER * length
+        loss = float((scale * (expected - goal) ** 2).sum())
+        above = _gap(kinds, rate, expected, goal, scale, most_rate)
+        converged = bool((np.abs(expected - goal) <= near).all()) or above <= gap * max(loss - above, 0.0)
+    drop_written(kinds)
     report = [
-        {"domain": d, "tokens": t, "target": g, "expected": e, "met": abs(e - g) <= n}
-        for d, t, g, e, n in zip(domains, there, goal, expected, near)
+        {"domain": d, "tokens": t, "target": g, "expected": e, "met": abs(e - g) <= n, "gap": above, "steps": steps, "converged": converged}
+        for d, t, g, e, n in zip(domains, there.tolist(), goal.tolist(), expected.tolist(), near.tolist())
     ]
-    return fitted, report
+    for line in report:
+        if not line["met"]:
+            log.warning("target of %(domain)s missed: %(expected).0f tokens for %(target).0f; fit converged: %(converged)s", line)
+    return rows.withColumn("rate", rate), report
 
 
 def mix(
@@ -257,14 +324,15 @@ def mix(
     buckets: int = BUCKETS,
     train_rows: int = TRAIN_ROWS,
     most_rate: float | None = None,
+    report: list[dict] | None = None,
 ) -> DataFrame:
     """One row per document: (id, n_tokens, memberships, rate, copies).
 
     ``memberships`` maps domains to probabilities. ``copies`` realises the
     rate: its whole part, and one more for the share of documents, by a hash of
     the id, that its fraction says. Targets that no rates can meet are missed by
-    as little as the least squares allow; `fit_rates` reports it. No rate is above
-    ``most_rate``.
+    as little as the least squares allow, up to a share `GAP`; they are logged, and
+    ``report`` is given the lines of `fit_rates`. No rate is above ``most_rate``.
 
     Null and empty texts have no tokens and the memberships of a text without
     any telling word. Repeated ids are rows of their own, rows with a null id
@@ -274,7 +342,10 @@ def mix(
     rows = with_row_key(docs.select(*dict.fromkeys([id_col, text_col, *({ROW} & set(docs.columns))])), id_col)
     domains, chosen, weights = fit_domains(rows, labels, id_col, text_col, domain_col, buckets, train_rows)
     told = write_shared(memberships(rows, domains, chosen, weights, id_col, text_col, buckets), "memberships")
-    fitted, _ = fit_rates(told, domains, {d: w for d, w in targets.items() if d in domains}, budget, relative, most_rate=most_rate)
+    wanted = {d: w for d, w in targets.items() if d in domains}
+    fitted, lines = fit_rates(told, domains, wanted, budget, relative, most_rate=most_rate)
+    if report is not None:
+        report += lines
     rate = F.round("rate", 6)
     chance = F.pmod(F.xxhash64(ROW, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     named = F.map_from_arrays(F.array(*(F.lit(d) for d in domains)).cast("array<string>"), "_p")

@@ -28,6 +28,9 @@ from framesift.llm.common import ROW, keyed, text_batches, write_shared
 
 SEQUENCE_TOKENS, END_OF_DOCUMENT = 1024, 0
 
+#: Names of tokens that are one id wherever they occur in a text.
+NAMED_TOKENS = {"<|endoftext|>": 50256}
+
 #: The ranks of the same vocabulary as byte_bpe_50k.json; `tests/llm` holds the ids against that file's.
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -39,14 +42,14 @@ PIECE_CHARS, ROW_TOKENS, BATCH_BYTES = 1 << 16, 1 << 16, 4 << 20
 def _encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=NAMED_TOKENS)
 
 
 def _pieces(text: str) -> Iterator[str]:
     """``text`` cut where the vocabulary's pattern always begins a new word.
 
-    That is at a single space between other characters. A text without one is
-    one piece.
+    That is at a single space between other characters, so never inside the
+    name of a token. A text without one is one piece.
     """
     first = 0
     while len(text) - first > PIECE_CHARS:
@@ -65,9 +68,9 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def encode(text: str | None, path: str) -> np.ndarray:
-    """The ids of a text and the end of the document. Names of special tokens are ordinary text."""
+    """The ids of a text, named tokens being their own ids, and the end of the document."""
     encoding = _encoding(path)
-    parts = [np.array(encoding.encode_ordinary(piece), dtype="<u4") for piece in _pieces(text or "")]
+    parts = [np.array(encoding.encode(piece, allowed_special="all"), dtype="<u4") for piece in _pieces(text or "")]
     return np.concatenate([*parts, np.array([END_OF_DOCUMENT], dtype="<u4")])
 
 

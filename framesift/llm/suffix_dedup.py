@@ -414,9 +414,9 @@ def remove_repeats(
     ``kept`` has the bytes that remain, one after the other; they may be no
     valid UTF-8.
 
-    A null text is empty. Where ids are null or repeated, rows are ordered as
-    they were numbered when read (`with_row_key`). Long texts are read in
-    pieces. An empty table gives an empty result. Other columns are not read.
+    A null text is empty. Null ids come after all others; rows of one id, or
+    with none, are ordered by a hash of their contents (`with_row_key`), whatever order
+    they are read in. Long texts are read in pieces. An empty table gives an empty result. Other columns are not read.
     """
     text_batches(docs.sparkSession)
     rows = keyed(docs, id_col, _text=text_col)

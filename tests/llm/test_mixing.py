@@ -8,39 +8,57 @@ from framesift.llm.common import ROW
 SCHEMA = "doc_id long, text string, rate string"
 
 
-def brute_rates(p, tokens, weight, steps):
-    """The same accelerated projected gradient on whole arrays."""
-    there = tokens @ p
-    goal = np.array(weight) / sum(weight) * min(t * sum(weight) / w for t, w in zip(there, weight) if w)
+def brute_loss(p, tokens, goal, most=np.inf, steps=20000):
+    """The least squares after very many plain accelerated projected-gradient steps on whole arrays."""
     scale = 1 / np.maximum(goal, 0.01 * goal.sum())
     gram = (p * tokens[:, None]).T @ p * np.sqrt(np.outer(scale, scale))
     rate = ahead = np.ones(len(tokens))
-    pace = 1.0
+    pace, loss = 1.0, np.inf
     for _ in range(steps):
-        expected = (rate * tokens) @ p
-        if (np.abs(expected - goal) <= mixing.TOLERANCE * np.maximum(goal, 0.01 * goal.sum())).all():
-            break
-        new = np.maximum(0, ahead - p @ (scale * ((ahead * tokens) @ p - goal)) / np.linalg.eigvalsh(gram).max())
-        if (scale * ((new * tokens) @ p - goal) ** 2).sum() > (scale * (expected - goal) ** 2).sum():
+        new = np.clip(ahead - p @ (scale * ((ahead * tokens) @ p - goal)) / np.linalg.eigvalsh(gram).max(), 0, most)
+        before, loss = loss, (scale * ((new * tokens) @ p - goal) ** 2).sum()
+        if loss > before:
             pace = 1.0
         faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         ahead, rate, pace = new + (pace - 1) / faster * (new - rate), new, faster
-    return rate, goal, (rate * tokens) @ p
+    return loss
+
 
+def member_rows(spark, p, tokens):
+    listed = [(i, i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))]
+    return spark.createDataFrame(listed, f"{ROW} long, _id long, _tokens long, _p array<double>")
 
+
+@pytest.mark.parametrize("most", [None, 1.0])
 @pytest.mark.parametrize("weight, spread", [([0.2, 0.5, 0.3], 0.3), ([0.86, 0.12, 0.02], 0.02), ([1, 1, 0], 0.3)])
-def test_rates_equal_brute_force(spark, weight, spread):
+def test_least_squares_equal_brute_force(spark, weight, spread, most):
     rng = np.random.default_rng(3)
     p, tokens = rng.dirichlet([spread] * 3, 400), rng.integers(0, 500, 400)
-    rows = spark.createDataFrame([(i, i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))], f"{ROW} long, _id long, _tokens long, _p array<double>")
-    fitted, report = mixing.fit_rates(rows, ["a", "b", "c"], dict(zip("abc", weight)), most_steps=70)
-    want, goal, expected = brute_rates(p, tokens, weight, 70)
-    got = np.array([r.rate for r in fitted.orderBy(ROW).collect()])
-    assert (got >= 0).all()
-    if weight[2]:  # where the targets can't be met, rounding may restart the pace at another step
-        assert np.allclose(got, want, atol=1e-6)
-    assert np.allclose([r["target"] for r in report], goal) and np.allclose([r["expected"] for r in report], expected, atol=goal.sum() / 50)
-    assert all(r["met"] for r in report) == (weight[2] > 0)
+    p[200:] = p[rng.integers(0, 20, 200)]  # many of equal memberships
+    fitted, report = mixing.fit_rates(member_rows(spark, p, tokens), ["a", "b", "c"], dict(zip("abc", weight)), most_rate=most)
+    rate = np.array([r.rate for r in fitted.orderBy(ROW).collect()])
+    assert (rate >= 0).all() and (most is None or (rate <= most).all())
+    goal, expected = np.array([r["target"] for r in report]), (rate * tokens) @ p
+    there = tokens @ p
+    assert np.allclose(goal, np.array(weight) / sum(weight) * min(t * sum(weight) / w for t, w in zip(there, weight) if w))
+    assert np.allclose([r["expected"] for r in report], expected, rtol=1e-9)
+    scale = 1 / np.maximum(goal, 0.01 * goal.sum())
+    loss = (scale * (expected - goal) ** 2).sum()
+    assert all(r["converged"] for r in report)
+    if not all(r["met"] for r in report):
+        assert loss <= 1.01 * brute_loss(p, tokens, goal, np.inf if most is None else most) + 1e-9
+    else:
+        assert (np.abs(expected - goal) <= mixing.TOLERANCE / scale).all()
+    alike = {}
+    for x, r in zip(map(tuple, p.tolist()), rate):
+        assert abs(alike.setdefault(x, r) - r) < 1e-12
+
+
+def test_giving_up_is_reported(spark):
+    rng = np.random.default_rng(3)
+    p, tokens = rng.dirichlet([0.3] * 3, 300), rng.integers(1, 500, 300)
+    fitted, report = mixing.fit_rates(member_rows(spark, p, tokens), list("abc"), {"a": 1, "b": 1, "c": 0.1}, relative=True, most_rate=1.0, most_steps=1)
+    assert not any(r["converged"] for r in report) and report[0]["steps"] == 1 and report[0]["gap"] > 0
 
 
 def corpus(n=60):
@@ -80,11 +98,11 @@ def test_drawn_keeps_columns(spark):
 def test_rates_of_documents_drawn_once(spark):
     rng = np.random.default_rng(4)
     p, tokens = rng.dirichlet([0.4] * 3, 400), rng.integers(1, 500, 400)
-    rows = spark.createDataFrame([(i, i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))], f"{ROW} long, _id long, _tokens long, _p array<double>")
+    rows = member_rows(spark, p, tokens)
     targets = {"a": 1.0, "b": 1.0, "c": 0.3}
-    free = mixing.fit_rates(rows, list("abc"), targets, relative=True, most_steps=30)[0]
+    free = mixing.fit_rates(rows, list("abc"), targets, relative=True)[0]
     assert max(r.rate for r in free.collect()) > 1
-    fitted, report = mixing.fit_rates(rows, list("abc"), targets, relative=True, most_steps=30, most_rate=1.0)
+    fitted, report = mixing.fit_rates(rows, list("abc"), targets, relative=True, most_rate=1.0)
     rate = np.array([r.rate for r in fitted.orderBy(ROW).collect()])
     assert (rate >= 0).all() and (rate <= 1).all()
     assert np.allclose([r["expected"] for r in report], (rate * tokens) @ p, rtol=1e-6)
@@ -111,14 +129,20 @@ def test_no_labels_no_rows_bad_targets(spark):
         mixing.mix(frame, labelled, {"good": -1, "bad": 2})
 
 
-@pytest.mark.xfail(reason="0.843 at sf0.1 since only telling words count; the classifier before had more here, but took half of check_l for toxic")
-def test_held_out_toxic_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+def test_held_out_documents(spark):
+    """Labels the classifier has not seen. Only telling words count, so it may overlook, but is seldom wrong in what it tells."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = mixing.quality_domains(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
-    told = mixing.mix(docs, labels.filter("doc_id % 2 = 0"), {"high": 0.8, "low": 0.15, "toxic": 0.05})
-    rows = told.join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
-    best = [max(r.memberships, key=r.memberships.get) == r.domain for r in rows]
-    assert np.mean(best) > 0.85
+    keyed = mixing.with_row_key(docs, "doc_id")
+    domains, chosen, weights = mixing.fit_domains(keyed, labels.filter("doc_id % 2 = 0"))
+    told = mixing.memberships(keyed, domains, chosen, weights).withColumnRenamed("_id", "doc_id")
+    rows = told.join(labels.filter("doc_id % 2 = 1"), "doc_id").select("domain", "_p").collect()
+    pairs = [(r.domain, domains[int(np.argmax(r._p))]) for r in rows]
+    shares = [np.mean([true == d for true, _ in pairs]) for d in domains]
+    assert np.mean([true == best for true, best in pairs]) > max(shares) + 0.05
+    assert np.mean([true == "toxic" for true, best in pairs if best == "toxic"]) > 0.95
+    assert np.mean([true != "high" for true, best in pairs if best != "high"]) > 0.95
+    assert np.mean([best == "high" for true, best in pairs if true == "high"]) > 0.98
 
 
 def test_whole_table_meets_targets(spark, sf):

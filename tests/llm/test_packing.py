@@ -14,9 +14,7 @@ LONG = "Wörter und words\n\nof 12,5 text  here. " * 400
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def checked(rows, texts, tokenizer, size=1024):
@@ -55,6 +53,19 @@ def test_planted(spark, tokenizer, monkeypatch):
     assert sum(r.n_tokens for r in joined) * 4 == len(stream)
 
 
+def test_named_tokens(tokenizer, monkeypatch):
+    """At starts, ends and cuts of pieces, next to spaces, repeated and in part."""
+    name = "<|endoftext|>"
+    texts = [name, f"a{name}b", f"{name} b  {name}", f"{name}{name}", f"x  {name}  y\n{name}\n\nz", name[:-2], f" {name[1:]} {name}"]
+    path = public_tokenizers.path(packing.TOKENIZER)
+    for size in (1 << 16, 3, 20):
+        monkeypatch.setattr(packing, "PIECE_CHARS", size)
+        for text in [*texts, f"one two {name} three four{name}five six " * 40]:
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert packing.encode(text, path).tolist() == [*want, 0]
+    assert 50256 in packing.encode(f"a{name}b", path)
+
+
 def test_cuts_do_not_change_ids(tokenizer, monkeypatch):
     path = public_tokenizers.path(packing.TOKENIZER)
     whole = packing.encode(LONG, path)

@@ -127,3 +127,35 @@ def test_whole_table(spark, sf):
     docs = pd.read_parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op8_suffix_dedup(spark, sf).collect()}
     assert got == brute(list(zip(docs.doc_id, docs.text)), 100)
+
+
+@pytest.mark.parametrize("kind", ["null", "repeated", "string"])
+def test_earlier_is_by_id_not_by_read_order(spark, kind):
+    """Equal texts read in falling order of their ids: the smallest id keeps its text, null ids are last."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    other = "".join(rng.choice("ijklmnop ") for _ in range(150))
+    ids = {"null": [None, 9, 5, 3, 1], "repeated": [7, 7, 5, 3, 1], "string": ["b", "aa", "a", "Z", "B"]}[kind]
+    schema = f"doc_id {'string' if kind == 'string' else 'long'}, text string, kept string"
+    rows = [(i, text, None) for i in ids] + [(ids[1], other, None), (ids[0], other, None)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        frame = spark.createDataFrame(order, schema).repartition(1).unionAll(spark.createDataFrame([], schema))
+        got = [(r.doc_id, r.n_bytes, r.n_removed) for r in dedup.remove_repeats(frame).collect()]
+        whole = {(i, n == 0) for i, size, n in got if size == 300}
+        first = min(i for i in ids if i is not None)
+        assert whole == {(i, i == first) for i in ids} and all(n in (0, size) for _, size, n in got)
+        again = sorted((n, str(i)) for i, size, n in got if size == 150)
+        assert [n for n, _ in again] == [0, 150]
+        if kind == "null":
+            assert again == [(0, "9"), (150, "None")]
+
+
+def test_row_keys_are_in_order_of_ids(spark):
+    from framesift.llm.common import ROW, with_row_key
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *range(40)]), str(rng.random())) for _ in range(500)] + [(3, "x")] * 200
+    frame = spark.createDataFrame(rows, "id long, t string").repartition(7)
+    keyed = sorted((r[ROW], r.id) for r in with_row_key(frame, "id").collect())
+    ids = [i for _, i in keyed]
+    assert ids == sorted(ids, key=lambda i: (i is None, i)) and len({k for k, _ in keyed}) == 700
