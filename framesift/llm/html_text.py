@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text is not parsed for tags.
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
 
-#: Elements that are never article text.
+#: Elements that are never article text, and one that is none unless it holds most of the page.
 OUTSIDE = frozenset(
-    "head nav footer aside form button select option input label fieldset dialog menu svg math canvas object "
+    "head nav footer aside button select option input label fieldset dialog menu svg math canvas object "
     "audio video map datalist".split()
 )
+DOUBTFUL = "form"
 
 #: Roles that say the same of any element.
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -54,7 +56,7 @@ OUTSIDE_WORDS = frozenset(
 READERS_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 STATE_WORDS = frozenset("has no not with without open opened closed enabled disabled allowed on off overflow".split())
 
-#: Text of an element left out for a part of a class or id, as a multiple of the text of the rest, above which it is read.
+#: Text of an element left out as a form or for its class or id, as a multiple of the text of the rest, above which it is read.
 OVERRULES = 3
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -81,10 +83,10 @@ CLOSES = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*+)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？\"'()«»„“”‘’–—-]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -97,7 +99,7 @@ class Element:
     path: int
     depth: int
     outside: bool
-    doubt: int  # the start tag that it is outside for a part of a class or id of, and nothing else; or 0
+    doubt: int  # the nearest start tag that it may be outside for, if for nothing that is certain; or 0
 
 
 @dataclass(slots=True)
@@ -110,8 +112,7 @@ class Block:
 
 def _outside(name: str, attributes: str, parent: Element | None) -> tuple[bool, bool, str]:
     """Whether an element is not article text, whether it may not be, and its class or id as part of its path."""
-    found = name in OUTSIDE
-    doubtful = False
+    found, doubtful = name in OUTSIDE, name == DOUBTFUL
     label = ""
     if attributes and name not in ("html", "body"):
         for key, *values in _ATTRIBUTE.findall(attributes):
@@ -123,8 +124,7 @@ def _outside(name: str, attributes: str, parent: Element | None) -> tuple[bool,
                     words = every & OUTSIDE_WORDS
                     if name in ("article", "main"):
                         words &= {"comment", "comments", "reply"}
-                    if words and (token.lower() in words or (words & READERS_WORDS and not every & STATE_WORDS)):
-                        found = True
+                    found = found or bool(words & READERS_WORDS and (token.lower() in words or not every & STATE_WORDS))
                     doubtful = doubtful or bool(words)
             elif key == "role":
                 found = found or value.lower() in OUTSIDE_ROLES
@@ -141,12 +141,13 @@ def _outside(name: str, attributes: str, parent: Element | None) -> tuple[bool,
 
 
 class _Reader:
-    """Reads a page into blocks. Start tags of ``overruled``, by number, are not outside for a part of their class or id."""
+    """Reads a page into blocks. Start tags of ``overruled``, by number, are not outside as a form or for their class or id."""
 
     def __init__(self, overruled: frozenset[int] = frozenset()):
         self.overruled = overruled
         self.tags = 0
-        self.doubted: Counter[int] = Counter()  # characters left out by start tag, those of links not counted
+        self.doubted: Counter[int] = Counter()  # characters left out, by the nearest doubtful start tag; not those of links
+        self.within: dict[int, int] = {}  # the doubtful start tag around each
         self.blocks: list[Block] = []
         self.paths: dict[tuple[int, str, str], int] = {}
         self.open: list[Element] = [Element("", None, 0, 0, False, 0)]
@@ -210,7 +211,10 @@ class _Reader:
         self.tags += 1
         outside, doubtful, label = _outside(name, attributes, parent)
         doubtful = doubtful and self.tags not in self.overruled
-        doubt = 0 if outside else parent.doubt if parent.outside else self.tags if doubtful else 0
+        certain = outside or (parent.outside and not parent.doubt)
+        if doubtful and not certain:
+            self.within[self.tags] = parent.doubt
+        doubt = 0 if certain else self.tags if doubtful else parent.doubt
         path = self.paths.setdefault((parent.path, name, label), len(self.paths) + 1)
         self.open.append(Element(name, parent, path, parent.depth + 1, outside or doubtful or parent.outside, doubt))
         self.names[name] += 1
@@ -306,17 +310,37 @@ def _within(element: Element | None, region: Element) -> bool:
     return False
 
 
+def _overruled(reader: _Reader) -> frozenset[int]:
+    """Doubtful start tags that hold far more text than the rest of the page, and so are read all the same.
+
+    The outermost ones first; what is within one that is read stays doubtful by itself.
+    """
+    total = Counter(reader.doubted)
+    inner: dict[int, list[int]] = {}
+    for tag in sorted(reader.within, reverse=True):  # those within a tag come after it
+        around = reader.within[tag]
+        inner.setdefault(around, []).append(tag)
+        if around:
+            total[around] += total[tag]
+    rest = sum(len(b.text) - b.linked for b in reader.blocks)
+    outermost = [(-total[tag], tag) for tag in inner.get(0, [])]
+    heapify(outermost)
+    found = set()
+    while outermost and -outermost[0][0] > OVERRULES * rest:
+        tag = heappop(outermost)[1]
+        found.add(tag)
+        rest += reader.doubted[tag]
+        for more in inner.get(tag, []):
+            heappush(outermost, (-total[more], more))
+    return frozenset(found)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in order, one to a line. Empty if there is none."""
-    overruled: frozenset[int] = frozenset()
-    while True:
-        reader = _Reader(overruled)
-        blocks = reader.read(page or "")
-        # most of a page's text is not left out for a part of a class or id, such as has-sidebar
-        tag, size = max(reader.doubted.items(), key=lambda d: d[1], default=(0, 0))
-        if size <= OVERRULES * sum(len(b.text) - b.linked for b in blocks):
-            break
-        overruled |= {tag}
+    reader = _Reader()
+    blocks = reader.read(page or "")
+    if overruled := _overruled(reader):
+        blocks = _Reader(overruled).read(page or "")
     if not blocks:
         return ""
     paths = content_paths(blocks)
@@ -334,10 +358,12 @@ def main_text(page: str | None) -> str:
                 kept.append(block)
         kept.reverse()
     else:
+        # an article or main is one by its name; what stands in any other element has to be on a content path
+        named = region.name in ("article", "main")
         kept = [
             b
             for b in blocks
-            if _within(b.element, region) and (b.element.path in paths or b.heading or 2 * b.linked < len(b.text))
+            if _within(b.element, region) and (b.element.path in paths or b.heading or (named and 2 * b.linked < len(b.text)))
         ]
     return "\n".join(b.text for b in kept)
 

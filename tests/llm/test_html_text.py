@@ -56,6 +56,45 @@ def test_words_about_the_page_do_not_discard_it(name):
     assert html_text.main_text(page(body)) == WANT
 
 
+FIVE = "".join(f"<p>{n} {PARA * 4}</p>" for n in range(5))
+WANT_FIVE = "\n".join(f"{n} {(PARA * 4).strip()}" for n in range(5))
+
+
+@pytest.mark.parametrize(
+    "opening", ["<form id=aspnetForm>", "<div class='hidden lg:block'>", "<div class='widget'>", "<div data-a=it's>", "<div title=\"it's\" data-b=a'b\"c>"]
+)
+def test_wrappers_do_not_lose_the_article(opening):
+    closing = "</form>" if opening.startswith("<form") else "</div>"
+    menu = "<div class='menu'><a href=x>one</a> <a href=y>two</a></div>"
+    assert html_text.main_text(page(f"{opening}{menu}{FIVE}{closing}")) == WANT_FIVE
+    deep = opening * 200 + FIVE + closing * 200
+    assert html_text.main_text(page(deep)) == WANT_FIVE
+
+
+def test_doubtful_elements_are_decided_from_outside_in():
+    inner = f"<div class='widget'><p>{PARA}</p></div>"
+    assert html_text.main_text(page(f"<form><div class='hidden'>{FIVE}{inner}</div></form>")) == WANT_FIVE
+    search = f"<form><p>{PARA}</p></form>"
+    assert html_text.main_text(page(f"<div class='widget'>{FIVE}{search}</div>")) == WANT_FIVE
+
+
+#: Pages without an article element: what stands beside the text, in the same element, is no content by its path alone.
+BESIDE = [
+    "<span><a href=x>Share</a> 12 likes</span>", "<ul><li>Tag</li><li>Other</li></ul>", "<table><tr><td>a</td><td>b</td></tr></table>",
+    "<div>By Some One</div>", "<div><span>3 min</span></div>", "<ol><li>x</li><li>y</li><li>z</li></ol>",
+]
+INSIDE = ["<div id=c>", "<div class='entry body'>", "<section>", "<table><tr><td>", "<center>"]
+
+
+def test_the_threshold_decides(monkeypatch):
+    """On 30 pages the text changes if every path is taken for content."""
+    pages = [page(f"<div id=top><a href=/>Home</a></div>{opening}{FIVE}{beside}{FIVE}") for opening in INSIDE for beside in BESIDE]
+    got = [html_text.main_text(p) for p in pages]
+    assert all(g == f"{WANT_FIVE}\n{WANT_FIVE}" for g in got)
+    monkeypatch.setattr(html_text, "content_paths", lambda blocks: {b.element.path for b in blocks})
+    assert all(html_text.main_text(p) != g for p, g in zip(pages, got)) and len(pages) == 30
+
+
 def test_article_open_to_comments():
     opened = ARTICLE.replace("<article>", "<article class='post comments-open'>")
     assert html_text.main_text(page(opened)) == WANT
