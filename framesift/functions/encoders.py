@@ -14,6 +14,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -24,6 +25,12 @@ from framesift.schemas import ENTITY_TYPE, VECTOR_TYPE
 
 ON_ERROR = ("null", "fail")
 
+_ENTITY_ARROW = pa.list_(
+    pa.struct(
+        [("entity", pa.string()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float32())]
+    )
+)
+
 #: Results a task keeps for inputs it has seen already.
 REUSE_ENTRIES = 4096
 
@@ -55,6 +62,32 @@ def _run(call: Callable[[list], Sequence], inputs: list, on_error: str) -> list:
         return [result for one in inputs for result in _run(call, [one], on_error)]
 
 
+def _run_reporting(call: Callable[[list], Sequence], inputs: list, dim: int | None) -> list[tuple]:
+    """(vector, reason) for each input of a batch: one of the two is None.
+
+    A batch that fails is halved, so the good inputs of a batch with one bad
+    one are run a few times more, not one by one.
+    """
+    try:
+        results = list(call(inputs))
+        if len(results) != len(inputs):
+            raise ValueError(f"model returned {len(results)} results for {len(inputs)} inputs")
+    except Exception as error:
+        if len(inputs) == 1:
+            return [(None, f"{type(error).__name__}: {error}")]
+        half = len(inputs) // 2
+        return _run_reporting(call, inputs[:half], dim) + _run_reporting(call, inputs[half:], dim)
+    reasons = []
+    for result in results:
+        if result is None or not len(result):
+            reasons.append("empty vector")
+        elif dim is not None and len(result) != dim:
+            reasons.append(f"{len(result)} components, not {dim}")
+        else:
+            reasons.append(None)
+    return [(None, reason) if reason else (result, None) for result, reason in zip(results, reasons)]
+
+
 def _reusing(call: Callable[[list], Sequence], on_error: str, batch_size: int) -> Callable[[list], list]:
     """Run ``call`` once per distinct input, remembering recent results within the task."""
     known: OrderedDict[bytes, Any] = OrderedDict()
@@ -145,20 +178,100 @@ def image_encoder(factory: Callable[[], Encoder], on_error: str = "null", batch_
     return _model_column(factory, "encode_image", VECTOR_TYPE, pa.list_(pa.float32()), on_error, batch_size, True)
 
 
+REPORT_TYPE = T.StructType([T.StructField("vector", VECTOR_TYPE), T.StructField("error", T.StringType())])
+
+
+def reporting_encoder(factory: Callable[[], Encoder], method: str, dim: int | None = None, batch_size: int = 256):
+    """Column function ``string or binary -> struct<vector, error>``: a vector, or the reason why there is none.
+
+    ``method`` is the encoder's, encode_text or encode_image. A NULL input has
+    the reason "no input". With ``dim`` a vector of another length has one too.
+    """
+    identity = _identity(factory)
+
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        call = getattr(_load(identity, factory), method)
+        for batch in batches:
+            values = batch.to_pylist()
+            places = [i for i, value in enumerate(values) if value is not None]
+            results: list[tuple] = [(None, "no input")] * len(values)
+            for first in range(0, len(places), batch_size):
+                part = places[first : first + batch_size]
+                for i, result in zip(part, _run_reporting(call, [values[i] for i in part], dim)):
+                    results[i] = result
+            vectors = pa.array([v for v, _ in results], type=pa.list_(pa.float32()))
+            yield pa.StructArray.from_arrays([vectors, pa.array([e for _, e in results], pa.string())], names=["vector", "error"])
+
+    return F.arrow_udf(column, REPORT_TYPE).asNondeterministic()
+
+
+def pooled_text_encoder(factory: Callable[[], Encoder], batch_size: int = 256):
+    """Column function ``array<string> -> array<float>``: the mean of the vectors of a text's windows, by their lengths.
+
+    Windows of all rows of a batch go to the model together; no row is
+    shuffled. NULL or no windows give NULL.
+    """
+    identity = _identity(factory)
+
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        call = _load(identity, factory).encode_text
+        for batch in batches:
+            rows = batch.to_pylist()
+            flat = [text for row in rows for text in row or []]
+            vectors = [v for at in range(0, len(flat), batch_size) for v in _run(call, flat[at : at + batch_size], "fail")]
+            pooled, place = [], 0
+            for row in rows:
+                if not row:
+                    pooled.append(None)
+                    continue
+                weights = np.array([max(1, len(text)) for text in row], dtype=np.float64)
+                some = np.array(vectors[place : place + len(row)], dtype=np.float64)
+                pooled.append((weights @ some / weights.sum()).astype(np.float32))
+                place += len(row)
+            yield pa.array(pooled, type=pa.list_(pa.float32()))
+
+    return F.arrow_udf(column, VECTOR_TYPE).asNondeterministic()
+
+
+def stitching_tagger(factory: Callable[[], Tagger], step: int, overlap: int, batch_size: int = 256):
+    """Column function ``array<string> -> array<entity>``: the entities of a text from those of its windows.
+
+    Window n begins at character n * ``step`` and shares ``overlap`` characters
+    with the next. An entity that touches a window's edge inside the text may
+    be cut there, and is taken from the window that has it whole. Any that is
+    shorter than the overlap is found once, at its place in the text.
+    """
+    identity = _identity(factory)
+    size = step + overlap
+
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        call = _load(identity, factory).tag
+        for batch in batches:
+            rows = batch.to_pylist()
+            flat = [text for row in rows for text in row or []]
+            tagged = [t for at in range(0, len(flat), batch_size) for t in _run(call, flat[at : at + batch_size], "fail")]
+            results, place = [], 0
+            for row in rows:
+                if row is None:
+                    results.append(None)
+                    continue
+                found: dict[tuple, dict] = {}
+                for n, (text, hits) in enumerate(zip(row, tagged[place : place + len(row)])):
+                    for hit in hits:
+                        cut = (hit["start"] == 0 and n > 0) or (hit["end"] == size == len(text) and n + 1 < len(row))
+                        if not cut:
+                            start, end = hit["start"] + n * step, hit["end"] + n * step
+                            found.setdefault((start, end, hit["entity"]), {**hit, "start": start, "end": end})
+                results.append([found[key] for key in sorted(found)])
+                place += len(row)
+            yield pa.array(results, type=_ENTITY_ARROW)
+
+    return F.arrow_udf(column, ENTITY_TYPE).asNondeterministic()
+
+
 def entity_tagger(factory: Callable[[], Tagger], on_error: str = "fail", batch_size: int = 256):
     """Column function ``string -> array<struct<entity, word, start, end, score>>``."""
-    arrow_type = pa.list_(
-        pa.struct(
-            [
-                ("entity", pa.string()),
-                ("word", pa.string()),
-                ("start", pa.int32()),
-                ("end", pa.int32()),
-                ("score", pa.float32()),
-            ]
-        )
-    )
-    return _model_column(factory, "tag", ENTITY_TYPE, arrow_type, on_error, batch_size, False)
+    return _model_column(factory, "tag", ENTITY_TYPE, _ENTITY_ARROW, on_error, batch_size, False)
 
 
 def register_ai_query(

@@ -25,6 +25,19 @@ def model_text(text: Column, max_chars: int = MAX_TEXT_CHARS) -> Column:
     return F.substring(text, 1, max_chars)
 
 
+def text_windows(text: Column, size: int, overlap: int) -> Column:
+    """The text in windows of ``size`` characters, each sharing ``overlap`` with the next; NULL stays NULL.
+
+    A text of no more than ``size`` characters is one window, the empty one too.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be shorter than the window")
+    step = size - overlap
+    last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step).cast("int"))
+    windows = F.transform(F.sequence(F.lit(0), last), lambda n: F.substring(text, n * step + 1, F.lit(size)))
+    return F.when(text.isNotNull(), windows)
+
+
 def shorten(value: Column, limit: int = PREVIEW_CHARS) -> Column:
     text = value.cast("string")
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from framesift.functions.encoders import Encoder, Tagger, entity_tagger, image_encoder, text_encoder
-from framesift.functions.encoding import from_base64, model_text
+from framesift.functions.encoders import (
+    Encoder,
+    Tagger,
+    entity_tagger,
+    image_encoder,
+    pooled_text_encoder,
+    reporting_encoder,
+    stitching_tagger,
+    text_encoder,
+)
+from framesift.functions.encoding import from_base64, model_text, text_windows
 from framesift.functions.filters import Filters, filtered
 from framesift.operators.keys import KEY_BYTES, filter_by_keys, fits_broadcast
 from framesift.operators.skew import hot_keys, salted_join
-from framesift.schemas import PREVIEW_ROWS
+from framesift.schemas import MAX_TEXT_CHARS, PREVIEW_ROWS
 from framesift.session import cut_lineage
 
 
@@ -55,6 +64,52 @@ def embed_texts(
     return _over_tasks(df, tasks).withColumn(output, text_encoder(factory, on_error)(text))
 
 
+def embed_long_texts(
+    df: DataFrame,
+    factory: Callable[[], Encoder],
+    column: str | None = None,
+    output: str = "embeddings",
+    window_chars: int = MAX_TEXT_CHARS,
+    overlap_chars: int = 0,
+) -> DataFrame:
+    """Add a vector of the whole text, however long: the mean over windows the model can take, by their lengths.
+
+    The windows of a row stay in its task. A text of one window has the
+    model's own vector; NULL stays NULL.
+    """
+    windows = text_windows(F.col(input_column(df, column)), window_chars, overlap_chars)
+    return df.withColumn(output, pooled_text_encoder(factory)(windows))
+
+
+def embed_reporting(
+    df: DataFrame,
+    factory: Callable[[], Encoder],
+    column: str | None = None,
+    kind: str = "text",
+    output: str = "embeddings",
+    dim: int | None = None,
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(good rows with their vector, rejected rows with the reason ``error``, counts of both).
+
+    ``kind`` is text or image; images are bytes or base64. The model runs once
+    over the rows, whose results are written to the shared folder; the counts
+    come from that same run.
+    """
+    if kind not in ("text", "image"):
+        raise ValueError(f"kind must be text or image, not {kind!r}")
+    name = input_column(df, column)
+    given = F.col(name) if kind == "text" else image_bytes(df, name, "null")
+    reported = df.withColumn("_report", reporting_encoder(factory, f"encode_{kind}", dim)(given))
+    broken = F.col(name).isNotNull() & (F.col("_report.error") == "no input")
+    error = F.when(broken, "not base64").otherwise(F.col("_report.error"))
+    told = reported.select(*df.columns, F.col("_report.vector").alias(output), error.alias("error"))
+    counts = Observation()
+    failed = F.coalesce(F.sum(F.col("error").isNotNull().cast("long")), F.lit(0))
+    told = cut_lineage(told.observe(counts, F.count("*").alias("rows"), failed.alias("rejected")))
+    good = told.filter("error IS NULL").drop("error")
+    return good, told.filter("error IS NOT NULL").drop(output), dict(counts.get)
+
+
 def image_bytes(df: DataFrame, column: str, on_error: str) -> Column:
     """Bytes of an image column holding either bytes or base64 text."""
     if df.schema[column].dataType.typeName() == "binary":
@@ -126,10 +181,27 @@ def apply_once_per_value(df: DataFrame, column: str, output: str, model: Callabl
 
 
 def tag_entities(
-    df: DataFrame, factory: Callable[[], Tagger], column: str = "text", output: str = "ner", once_per_value: bool = False
+    df: DataFrame,
+    factory: Callable[[], Tagger],
+    column: str = "text",
+    output: str = "ner",
+    once_per_value: bool = False,
+    window_chars: int | None = None,
+    overlap_chars: int = 0,
 ) -> DataFrame:
-    """Add the entities of a text column as an array of structs."""
+    """Add the entities of a text column as an array of structs.
+
+    With ``window_chars`` texts are tagged in windows of so many characters,
+    for taggers that take no more; entities of up to ``overlap_chars`` are
+    found whole wherever the windows end.
+    """
     tagger = entity_tagger(factory)
+    if window_chars is not None:
+        windowed = stitching_tagger(factory, window_chars - overlap_chars, overlap_chars)
+
+        def tagger(text: Column) -> Column:
+            return windowed(text_windows(text, window_chars, overlap_chars))
+
     if once_per_value:
         return apply_once_per_value(df, column, output, tagger)
     return df.withColumn(output, tagger(F.col(column)))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.vectors import (
@@ -27,6 +27,9 @@ from framesift.session import cut_lineage
 BOUND_SLACK = 2e-6
 
 
+#: Tasks per core that search vectors against broadcast queries, at most. Each returns k rows a query.
+TASKS_PER_CORE = 8
+
 #: Groups of tasks up to which their results are merged in one step.
 MERGE_AT_ONCE = 16
 
@@ -147,13 +150,20 @@ def knn_join(
     if asked == 0:
         return _rank(_empty(queries, vectors), k, metric, exclude_self)
     if asked <= limit:
-        scored = _knn_by_broadcast(queries, vectors, wanted, metric)
-        groups = math.ceil(math.sqrt(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        tasks = search_tasks(vectors.sparkSession)
+        # a task reads several partitions one after the other and merges their results before any row is shuffled
+        scored = _knn_by_broadcast(queries, vectors.coalesce(tasks), wanted, metric)
+        groups = math.ceil(math.sqrt(tasks))
         return _rank(scored, k, metric, exclude_self, groups if groups > MERGE_AT_ONCE else 1)
     scored = _knn_by_cells(queries, cut_lineage(vectors), wanted, metric, dim, block_rows)
     return _rank(scored, k, metric, exclude_self)
 
 
+def search_tasks(spark: SparkSession) -> int:
+    """How many tasks may return rows: by the cores or the shuffle's partitions, not by the size of the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def _types(queries: DataFrame, vectors: DataFrame) -> str:
     query_type = queries.schema["key"].dataType.simpleString()
     key_type = vectors.schema["key"].dataType.simpleString()

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import struct
+import zlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.plans.stand_ins import HashEncoder, PatternTagger
+from framesift.plans.stand_ins import HashEncoder, PatternTagger, PickyEncoder
 from framesift.operators.ingest import image_records
+from framesift.session import new_shared_path
 
 ROOT = "/data"
 DIMENSION = 64
@@ -23,6 +30,10 @@ def encoder() -> HashEncoder:
     return HashEncoder(DIMENSION)
 
 
+def picky_encoder() -> PickyEncoder:
+    return PickyEncoder(DIMENSION, 2000)
+
+
 def tagger() -> PatternTagger:
     return PatternTagger({"NAME": "[A-Z][a-z]+", "NUMBER": "[0-9]+"})
 
@@ -75,3 +86,38 @@ def keyed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def components(vector: Column) -> Column:
     """A vector of the stand-in encoder as readable text: its bytes, comma separated."""
     return F.array_join(F.transform(vector, lambda x: F.round(x * 127.5 + 127.5).cast("int").cast("string")), ",")
+
+
+def png(number: int) -> bytes:
+    """A picture of 1 to 7 by 1 to 3 pixels, grey or in colour, by the number."""
+    width, height, colour = 1 + number % 7, 1 + number % 3, number % 2
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    lines = (b"\0" + bytes(width * (3 if colour else 1))) * height
+    header = struct.pack(">IIBBBBB", width, height, 8, 2 if colour else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def written_files(
+    spark: SparkSession, sf_dir: str, ending: str = ".jpg", content: Callable[[int, str], bytes] = lambda number, text: text.encode()
+) -> str:
+    """`documents` written by tasks as <root>/<source>/<id><ending>, below the shared folder; returns the root.
+
+    The shared folder is a mounted path here, as the file sources need one.
+    """
+    root = new_shared_path(spark, "files").removeprefix("file://").removeprefix("file:")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, source, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "source", "text"))):
+                folder = os.path.join(root, source)
+                os.makedirs(folder, exist_ok=True)
+                with open(os.path.join(folder, f"{number}{ending}"), "wb") as file:
+                    file.write(content(number, text or ""))
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return root

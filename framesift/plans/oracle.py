@@ -124,6 +124,17 @@ SELECT v.vec_id, label,
 FROM v JOIN twice USING (vec_id)
 WHERE (v.vec_id % 5 <> 1 AND (v.vec_id % 7 <> 0 OR v.vec_id % 5 = 0)) OR v.vec_id % 35 = 7"""
 
+FILES = """
+SELECT doc_id || '.jpg' AS file_name, source AS folder, octet_length(encode(text))::BIGINT AS length, sha256(text) AS digest FROM documents"""
+
+MENTIONS = """
+WITH hits AS (
+  SELECT doc_id, 'NAME' AS entity, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word FROM documents
+  UNION ALL
+  SELECT doc_id, 'NUMBER', unnest(regexp_extract_all(text, '[0-9]+')) FROM documents)
+SELECT doc_id, entity, word, count(*) AS mentions, sum(length(word))::BIGINT AS mentioned_chars
+FROM hits GROUP BY ALL"""
+
 EXACT = """
 grouped AS (
   SELECT doc_id AS key, min(doc_id) OVER (PARTITION BY sha256(text)) AS group_id,
@@ -178,6 +189,33 @@ SELECT {keys}, 64::INTEGER AS dim, {_components('h')} AS components FROM hashed"
 
 
 ORACLE: dict[str, str] = {
+    "scanned_files": f"{FILES} WHERE octet_length(encode(text)) > 0",
+    "scanned_files_strict": FILES,
+    "listed_files": "SELECT doc_id || '.jpg' AS file_name, source AS folder, octet_length(encode(text))::BIGINT AS size_bytes FROM documents",
+    "hit_files": f"{FILES} WHERE octet_length(encode(text)) > 0 ORDER BY doc_id LIMIT 20",
+    "image_sizes": """
+SELECT doc_id || '.png' AS file_name, (1 + doc_id % 3)::INTEGER AS height, (1 + doc_id % 7)::INTEGER AS width,
+       CASE WHEN doc_id % 2 = 1 THEN 3 ELSE 1 END AS channels, doc_id % 2 = 0 AS needs_rgb FROM documents""",
+    "synced_files": f"""
+WITH files AS (SELECT *, CASE WHEN doc_id % 5 = 1 THEN text || 'more' ELSE text END AS body FROM documents WHERE doc_id % 5 <> 0),
+hashed AS (SELECT *, {_digest('body')} AS h FROM files WHERE octet_length(encode(body)) > 0)
+SELECT doc_id || '.jpg' AS file_name, source AS folder, octet_length(encode(body))::BIGINT AS size_bytes, {_components('h')} AS components
+FROM hashed""",
+    "embed_reasons": """
+WITH told AS (
+  SELECT CASE lang WHEN 'de' THEN 'no input' WHEN 'es' THEN 'not base64'
+              ELSE CASE WHEN octet_length(encode(text)) > 2000 THEN 'ValueError: more than 2000 bytes' ELSE '' END END AS error
+  FROM documents)
+SELECT error, count(*) AS rows, (SELECT count(*) FROM told WHERE error <> '') AS rejected, (SELECT count(*) FROM told) AS all_rows
+FROM told GROUP BY error""",
+    "embed_long_texts": f"""
+WITH windows AS (
+  SELECT doc_id, substring(text, (n * 77 + 1)::BIGINT, 77) AS piece
+  FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil(length(text) / 77.0)::BIGINT))) AS n FROM documents)),
+hashed AS (SELECT doc_id, greatest(1, length(piece)) AS w, {_digest('piece')} AS h FROM windows),
+summed AS (SELECT doc_id, w, list_sum({_vector('h')}) AS total FROM hashed)
+SELECT doc_id, round(sum(w * total) / sum(w), 3) AS total FROM summed GROUP BY doc_id""",
+    "empty_query_refused": "SELECT label, count(*) AS vectors, true AS refused FROM embeddings GROUP BY label",
     "image_records": f"""
 WITH {IMAGES}
 SELECT file_path, file_name, folder, size_bytes, (doc_id * 3600)::BIGINT AS created_epoch,
@@ -219,13 +257,8 @@ SELECT file_path, 64::INTEGER AS dim, {_components('h')} AS components FROM hash
 WITH hashed AS (
   SELECT doc_id, {_digest('text')} AS h FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))
 SELECT doc_id, 64::INTEGER AS dim, {_components('h')} AS components FROM hashed""",
-    "entities": """
-WITH hits AS (
-  SELECT doc_id, 'NAME' AS entity, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word FROM documents
-  UNION ALL
-  SELECT doc_id, 'NUMBER', unnest(regexp_extract_all(text, '[0-9]+')) FROM documents)
-SELECT doc_id, entity, word, count(*) AS mentions, sum(length(word))::BIGINT AS mentioned_chars
-FROM hits GROUP BY ALL""",
+    "entities": MENTIONS,
+    "entities_in_windows": MENTIONS,
     "entity_counts": """
 SELECT conv_id, turn,
        (len(regexp_extract_all(text, '[A-Z][a-z]+')) + len(regexp_extract_all(text, '[0-9]+')))::INTEGER AS entities

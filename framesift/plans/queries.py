@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -17,8 +18,9 @@ from framesift.operators import near_duplicates as near
 from framesift.operators.knn import knn_join
 from framesift.plans import inputs as I
 from framesift.schemas import FOLDER_TERMS
-from framesift.sources import tables
+from framesift.sources import image_files, tables
 from framesift.session import cut_lineage, drop_shared_path, new_shared_path, ship_package
+from framesift.streaming.files import sync_files
 from framesift.streaming.sync import arriving_rows, compact_index, read_index, sync_index, vacuum_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +45,92 @@ def query(build: Query) -> Query:
     return run
 
 
+# --- files ------------------------------------------------------------------
+
+
+@contextmanager
+def _written_files(spark, sf, *kind):
+    root = I.written_files(spark, sf, *kind)
+    try:
+        yield root
+    finally:
+        drop_shared_path(spark, f"file:{root}")
+
+
+def _file_facts(files, root):
+    """Folder, name, length and digest of scanned files, read before the files are deleted."""
+    content = F.sha2(F.col("content"), 256).alias("digest")
+    folder = paths.folder_below(F.col("path"), root).alias("folder")
+    return cut_lineage(files.select(paths.base_name(F.col("path")).alias("file_name"), folder, "length", content))
+
+
+@query
+def scanned_files(spark, sf):
+    with _written_files(spark, sf) as root:
+        return _file_facts(image_files.scan_files(spark, root), root)
+
+
+@query
+def scanned_files_strict(spark, sf):
+    """By the POSIX source: read and stat in tasks; every file was changed since it was made."""
+    with _written_files(spark, sf) as root:
+        return _file_facts(image_files.scan_files_strict(spark, root).filter("changeTime >= modificationTime"), root)
+
+
+@query
+def listed_files(spark, sf):
+    """Records of the files without a look at their contents."""
+    with _written_files(spark, sf) as root:
+        records = ingest.image_records(image_files.scan_files_strict(spark, root, with_content=False), root)
+        return cut_lineage(records.select("file_name", "folder", "size_bytes"))
+
+
+@query
+def hit_files(spark, sf):
+    """The files of a result list."""
+    with _written_files(spark, sf) as root:
+        lowest = I.table(spark, sf, "documents").filter("octet_length(text) > 0").orderBy("doc_id").limit(20)
+        path = F.concat(F.lit(f"{root}/"), "source", F.lit("/"), "doc_id", F.lit(".jpg")).alias("file_path")
+        return _file_facts(image_files.read_hit_files(lowest.select(path)), root)
+
+
+@query
+def image_sizes(spark, sf):
+    with _written_files(spark, sf, ".png", lambda number, text: I.png(number)) as root:
+        found = image_files.image_profile(spark, root)
+        return cut_lineage(found.withColumn("file_name", paths.base_name(F.col("file_path"))).drop("file_path"))
+
+
+@query
+def synced_files(spark, sf):
+    """An index of image files: some change, some go and some come between two runs of the sync."""
+    with _written_files(spark, sf) as root:
+        index_path, progress = new_shared_path(spark, "index"), new_shared_path(spark, "progress")
+
+        def embedded(records):
+            return embed.embed_images(records, I.encoder, "image_base64").drop("image_base64")
+
+        def later(batches):
+            for batch in batches:
+                for number, source in zip(batch["doc_id"].to_pylist(), batch["source"].to_pylist()):
+                    path = os.path.join(root, source, f"{number}.jpg")
+                    if number % 5 == 0:
+                        os.remove(path)
+                    elif number % 5 == 1:
+                        with open(path, "ab") as file:
+                            file.write(b"more")
+                yield batch
+
+        sync_files(spark, root, index_path, progress, embedded, I.DIMENSION)
+        documents = I.table(spark, sf, "documents").select("doc_id", "source")
+        documents.mapInArrow(later, documents.schema).count()
+        found = sync_files(spark, root, index_path, progress, embedded, I.DIMENSION)
+        result = cut_lineage(found.select("file_name", "folder", "size_bytes", I.components(F.col("embeddings")).alias("components")))
+        for path in (index_path, progress):
+            drop_shared_path(spark, path)
+        return result
+
+
 # --- files to records -------------------------------------------------------
 
 
@@ -142,6 +230,35 @@ def embed_images(spark, sf):
     )
 
 
+@query
+def embed_reasons(spark, sf):
+    """NULL, broken and over-long images among good ones: how many of each there are, and the good ones' vectors by their count."""
+    encoded = encoding.to_base64(F.col("text").cast("binary"))
+    broken = F.when(F.col("lang") == "es", F.concat(F.lit("%"), encoded)).when(F.col("lang") != "de", encoded)
+    images = I.table(spark, sf, "documents").select("doc_id", broken.alias("image_base64"))
+    good, rejected, counts = embed.embed_reporting(images, I.picky_encoder, "image_base64", "image", dim=I.DIMENSION)
+    rows = good.select(F.lit("").alias("error")).unionByName(rejected.select("error"))
+    told = rows.groupBy("error").agg(F.count("*").alias("rows"))
+    return told.withColumn("rejected", F.lit(counts["rejected"])).withColumn("all_rows", F.lit(counts["rows"]))
+
+
+@query
+def embed_long_texts(spark, sf):
+    """Whole texts in windows of 77 characters: a text of one window has the model's vector, a longer one the mean."""
+    documents = I.table(spark, sf, "documents").select("doc_id", "text")
+    embedded = embed.embed_long_texts(documents, I.encoder, "text")
+    total = F.aggregate("embeddings", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return embedded.select("doc_id", F.round(total, 3).alias("total"))
+
+
+@query
+def entities_in_windows(spark, sf):
+    """`entities`, by a tagger that takes 512 characters at a time."""
+    documents = I.table(spark, sf, "documents").select("doc_id", "text")
+    tagged = embed.tag_entities(documents, I.tagger, window_chars=512, overlap_chars=256)
+    return _mentions(tagged)
+
+
 @query
 def embed_once_per_value(spark, sf):
     documents = I.table(spark, sf, "documents").select("doc_id", "text")
@@ -185,7 +302,11 @@ def embed_pending(spark, sf):
 @query
 def entities(spark, sf):
     documents = I.table(spark, sf, "documents").select("doc_id", "text")
-    found = embed.tag_entities(documents, I.tagger).select("doc_id", F.explode("ner").alias("hit"))
+    return _mentions(embed.tag_entities(documents, I.tagger))
+
+
+def _mentions(tagged):
+    found = tagged.select("doc_id", F.explode("ner").alias("hit"))
     return found.groupBy("doc_id", "hit.entity", "hit.word").agg(
         F.count("*").alias("mentions"),
         F.sum((F.col("hit.end") - F.col("hit.start")).cast("long")).alias("mentioned_chars"),
@@ -377,6 +498,18 @@ def search_text(spark, sf):
     )
 
 
+@query
+def empty_query_refused(spark, sf):
+    """An empty search text is refused before anything is planned; by label, what was left unsearched."""
+    vectors = _vectors(spark, sf)
+    try:
+        search.search_text(vectors, I.encoder, "", 3, "vec_id", vector="embedding")
+        refused = False
+    except ValueError:
+        refused = True
+    return vectors.groupBy("label").agg(F.count("*").alias("vectors")).withColumn("refused", F.lit(refused))
+
+
 @query
 def search_text_excluding(spark, sf):
     return search.search_text(

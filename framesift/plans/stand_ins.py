@@ -36,6 +36,19 @@ class HashEncoder:
         return [self._encode(image) for image in images]
 
 
+class PickyEncoder(HashEncoder):
+    """Takes inputs of up to ``longest`` bytes and refuses others, with the batch they are in."""
+
+    def __init__(self, dimension: int, longest: int) -> None:
+        super().__init__(dimension)
+        self.longest = longest
+
+    def encode_image(self, images: list[bytes]) -> list[np.ndarray]:
+        if any(len(image) > self.longest for image in images):
+            raise ValueError(f"more than {self.longest} bytes")
+        return super().encode_image(images)
+
+
 class PatternTagger:
     """Stand-in tagger: each pattern's matches become entities, left to right."""
 

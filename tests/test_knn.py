@@ -148,3 +148,24 @@ def test_kmeans_finds_planted_clusters(spark):
     got = {r.key: r.cluster for r in kmeans_clusters(table, "key", "vec", 3).collect()}
     assert len(got) == 90
     assert len({(i % 3, c) for i, c in got.items()}) == 3
+
+
+def test_rows_shuffled_are_bounded(spark, monkeypatch):
+    """However many partitions the vectors have, no more tasks than `search_tasks` return rows."""
+    from framesift.operators import knn
+
+    rng = np.random.default_rng(5)
+    matrix, queries = rng.normal(size=(600, 8)), rng.normal(size=(4, 8))
+    vectors = spark.createDataFrame(vector_rows(matrix), VECTORS).repartition(60)
+    asked = spark.createDataFrame(vector_rows(queries), VECTORS)
+    monkeypatch.setattr(knn, "search_tasks", lambda spark: 3)
+    returned, plain = [], knn._knn_by_broadcast
+
+    def counted(*args):
+        scored = plain(*args)
+        returned.append(scored.count())
+        return scored
+
+    monkeypatch.setattr(knn, "_knn_by_broadcast", counted)
+    got = {(r.query_key, r.rank): (r.key, r.score) for r in knn.knn_join(asked, vectors, 5).collect()}
+    assert returned == [3 * 4 * 5] and got == nearest(queries, matrix, 5)
