@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.common import ROW, keyed, write_shared
+from framesift.operators.skew import HOT_ROWS, hot_keys, salted_join
 
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Госпожа", "Κυρία")
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
@@ -25,20 +26,28 @@ OTHER_TITLES = ("Dr", "Prof")
 
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
 
+#: Small words within a name.
+PARTICLES = "de|del|della|da|di|du|la|le|van|von|der|den|ten|ter|zu|zur|bin|al|y"
+
+#: A word of a name: Anna, McDonald, O'Brien, or an initial before another one.
+_NAME_WORD = r"(?:\p{Lu}\.(?= ?\p{Lu})|\p{Lu}(?:['’]\p{Lu})?\p{Ll}++(?:(?:['’])?\p{Lu}\p{Ll}++)*+)"
+
 #: What is looked for, in order of precedence. Repetitions are bounded where the
 #: entity's length is, and possessive where it is not (secrets, keys, names), so a
 #: long text takes time in proportion to its length. A name goes on as long as
 #: capitalised words follow.
 PATTERNS = {
-    "secret": r"(?i:(?<![\p{L}\p{N}])(?:token|api[_-]?key|secret|password|passwd)\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_\-]{12,}+",
+    "secret": r"(?i:(?<![\p{L}\p{N}])(?:token|api[_-]?key|secret|password|passwd)\s{0,3}[:=]\s{0,3}[\"']?)(?:[A-Za-z0-9_\-]{12,}+|(?=[A-Za-z_\-]{0,10}\d)[A-Za-z0-9_\-]{6,11}+)"
+    r"|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?=[A-Z0-9]{0,30}\d)[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?=[A-Z0-9]{0,30}\d)[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?=[A-Fa-f:]{0,30}\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])",
     "phone": r"(?<![\w+])\+?\d{0,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)",
     "card": r"(?<!\d)\d{4}(?:[ \-]\d{4}){3}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
     "national": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "hex": r"(?<![A-Za-z0-9])(?=[a-fA-F]*+\d)(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}++(?:[ \-]\p{{Lu}}\p{{Ll}}++(?!\p{{L}}))*+(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? )++(?:(?:{PARTICLES}) )*+{_NAME_WORD}(?:[ \-](?:(?:{PARTICLES}) )*+{_NAME_WORD}(?!\p{{L}}))*+(?!\p{{L}})",
 }
 
 _NUMBERS = ("ip", "phone", "card", "national")
@@ -55,8 +64,11 @@ ANY = (
     rf"|(?=[\d+(])(?:{_either(list(_NUMBERS))})"
 )
 
-_SECRET_HEAD = r"^(\p{L}+[_-]?\p{L}*\s*[:=]\s*[\"']?)"
-_PERSON_HEAD = rf"^((?:{_TITLES})\.? )"
+_SECRET_HEAD = r"^(\p{L}+[_-]?\p{L}*\s*[:=]\s*[\"']?|AKIA|gh[pousr]_)"
+_PERSON_HEAD = rf"^((?:(?:{_TITLES})\.? )+)"
+
+#: Digits of a phone number that tell numbers apart; those before are the country's and stay.
+PHONE_DIGITS = 10
 
 #: Letters of the scripts that names and addresses are written in.
 ALPHABETS = {
@@ -101,15 +113,18 @@ def _head(kind: Column, value: Column) -> Column:
 
 
 def _gender(head: Column) -> Column:
-    title = F.regexp_replace(head, r"[. ]", "")
-    return F.when(title.isin(*FEMALE_TITLES), "f").when(title.isin(*MALE_TITLES), "m").otherwise("n")
+    titles = F.split(F.regexp_replace(head, r"\.", ""), " ")
+    told = [F.arrays_overlap(titles, F.array(*(F.lit(t) for t in some))) for some in (FEMALE_TITLES, MALE_TITLES)]
+    return F.when(told[0], "f").when(told[1], "m").otherwise("n")
 
 
 def _canonical(kind: Column, body: Column, gender: Column) -> Column:
     digits = F.regexp_replace(body, r"\D", "")
     return (
-        F.when(kind.isin("phone", "card", "national"), digits)
-        .when(kind.isin("email", "hex"), F.lower(body))
+        F.when(kind == "phone", F.right(digits, F.lit(PHONE_DIGITS)))
+        .when(kind.isin("card", "national"), digits)
+        .when(kind == "iban", F.replace(body, F.lit(" "), F.lit("")))
+        .when(kind.isin("email", "hex", "ipv6"), F.lower(body))
         .when(kind == "person", F.concat_ws(":", gender, F.lower(body)))
         .otherwise(body)
     )
@@ -128,6 +143,21 @@ def mentions(rows: DataFrame) -> DataFrame:
     return found.withColumn("canonical", _canonical(F.col("kind"), F.col("body"), _gender(F.col("head"))))
 
 
+def with_genders(found: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`mentions` whose titles say nothing of the gender given that of the others of the same name, if they agree.
+
+    So Dr Anna Schmidt and Frau Anna Schmidt are one person, but Herr Schmidt and Frau Schmidt are two.
+    """
+    people = found.filter("kind = 'person'").withColumn("name", F.expr("substring(canonical, 3)"))
+    told = people.groupBy("name").agg(*(F.max(F.col("canonical").startswith(g)).alias(g) for g in "fm"), F.count("*").alias("n"))
+    told = write_shared(told, "genders")
+    agreed = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("n")
+    named = salted_join(people, told.select("name", agreed.alias("agreed")), ["name"], hot_keys(told, ["name"], hot_rows), F.col(ROW))
+    whole = F.when(F.col("canonical").startswith("n"), F.concat_ws(":", "agreed", "name")).otherwise(F.col("canonical"))
+    named = named.withColumn("canonical", whole).select(*found.columns)
+    return found.filter("kind != 'person'").unionAll(named)
+
+
 def _number(digest: Column, i: Column) -> Column:
     """The i-th byte of a hexadecimal digest, starting over at its end."""
     return F.conv(F.substring(digest, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -171,6 +201,25 @@ def _card(digits: Column, digest: Column) -> Column:
     return F.concat(body, check.cast("string"))
 
 
+def _hexed(value: Column, digest: Column) -> Column:
+    """Every hexadecimal digit replaced by one, other signs kept."""
+    made = F.transform(_characters(value), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(digest, F.pmod(i, F.lit(128)) + 1, F.lit(1))).otherwise(c))
+    return F.array_join(made, "")
+
+
+def _iban(canonical: Column, digest: Column) -> Column:
+    """The same country, an account of the same shape, and the check digits that go with them."""
+    account = F.upper(_shaped(F.expr("substring(canonical, 5)"), digest))
+    country = F.substring(canonical, 1, 2)
+
+    def add(rest: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(c.rlike("[0-9]"), F.pmod(rest * 10 + F.try_to_number(c, F.lit("9")).cast("int"), F.lit(97))).otherwise(F.pmod(rest * 100 + letter, F.lit(97)))
+
+    rest = F.aggregate(_characters(F.concat(account, country, F.lit("00"))), F.lit(0), add)
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+
 def _name(canonical: Column, digest: Column, more: Column) -> Column:
     """A made-up name in the script and with the ending of the original's, as many words as it has."""
     gender, body = F.substring(canonical, 1, 1), F.expr("substring(canonical, 3)")
@@ -179,11 +228,13 @@ def _name(canonical: Column, digest: Column, more: Column) -> Column:
         listed = F.array(*(F.lit(s) for s in syllables))
         ending = reduce(lambda c, g: c.when(gender == g, endings[g]), "fm", F.when(F.lit(False), "")).otherwise(endings["n"])
 
-        def word(_: Column, i: Column) -> Column:
+        def word(old: Column, i: Column) -> Column:
             parts = F.transform(
                 F.sequence(F.lit(0), 2 + more), lambda k: F.get(listed, F.pmod(_number(digest, i * 16 + k), F.lit(len(syllables))))
             )
-            return F.initcap(F.concat(F.array_join(parts, ""), F.when(i == 0, ending).otherwise("")))
+            made = F.initcap(F.concat(F.array_join(parts, ""), F.when(i == 0, ending).otherwise("")))
+            initial = F.concat(F.substring(made, 1, 1), F.lit("."))
+            return F.when(old.rlike(r"^\p{L}\.$"), initial).when(old.rlike(f"^(?:{PARTICLES})$"), old).otherwise(made)
 
         return F.array_join(F.transform(F.split(body, "[ -]"), word), " ")
 
@@ -214,7 +265,8 @@ def _surrogate(key: str, attempt: Column) -> Column:
         .when(kind == "card", _card(canonical, own))
         .when(kind == "hex", F.substring(F.repeat(own, F.ceil(F.length(canonical) / 128).cast("int")), F.lit(1), F.length(canonical)))
         .when(kind == "person", _name(canonical, own, more))
-        .when(kind == "iban", F.concat(F.substring(canonical, 1, 2), _shaped(F.expr("substring(canonical, 3)"), own)))
+        .when(kind == "iban", _iban(canonical, own))
+        .when(kind == "ipv6", _hexed(canonical, own))
         .otherwise(_shaped(canonical, own))
     )
 
@@ -258,17 +310,23 @@ def _rendered() -> Column:
     """The surrogate in the format of one way the entity is written: its separators, its case."""
     kind, body, surrogate = F.col("kind"), F.col("body"), F.col("surrogate")
 
-    def fill(state: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]")
-        sign = F.when(digit, F.substring(surrogate, state["n"], F.lit(1))).otherwise(c)
-        return F.struct(F.concat(state["text"], sign).alias("text"), (state["n"] + digit.cast("int")).alias("n"))
+    def filled(signs: str, first: Column) -> Column:
+        """The body with its signs of that kind, from place ``first`` on, replaced by the surrogate's one after the other."""
+
+        def fill(state: Column, c: Column) -> Column:
+            told = c.rlike(signs)
+            sign = F.when(told & (state["n"] > 0), F.substring(surrogate, state["n"], F.lit(1))).otherwise(c)
+            return F.struct(F.concat(state["text"], sign).alias("text"), (state["n"] + told.cast("int")).alias("n"))
+
+        start = F.struct(F.lit("").alias("text"), first.alias("n"))
+        return F.aggregate(_characters(body), start, fill)["text"]
 
-    empty = F.struct(F.lit("").alias("text"), F.lit(1).alias("n"))
-    filled = F.aggregate(_characters(body), empty, fill)["text"]
+    ahead = F.when(kind == "phone", F.length(F.regexp_replace(body, r"\D", "")) - F.length("canonical")).otherwise(0)
     upper = (body == F.upper(body)) & (body != F.lower(body))
     text = (
-        F.when(kind.isin("phone", "card", "national"), filled)
-        .when(kind.isin("email", "hex") & upper, F.upper(surrogate))
+        F.when(kind.isin("phone", "card", "national"), filled("[0-9]", 1 - ahead))
+        .when(kind == "iban", filled("[A-Z0-9]", F.lit(1)))
+        .when(kind.isin("email", "hex", "ipv6") & upper, F.upper(surrogate))
         .otherwise(surrogate)
     )
     return F.concat("head", text)
@@ -279,22 +337,26 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
 
     ``text`` is the whole text with every detected entity replaced; all else in
     it is as it was. ``kinds`` names the kinds found, in order, joined by
-    commas. Detected are secrets, e-mail addresses, IBANs, IPv4 addresses,
-    phone, card and national numbers, long hexadecimal keys, and names after a
-    title. ``key`` is secret and settles the surrogates.
+    commas. Detected are secrets after a name for them (of less than 12 signs
+    only with a digit) and keys known by their beginning, e-mail addresses,
+    IBANs, IP addresses, phone, card and national numbers, long hexadecimal
+    keys, and names after one or more titles. ``key`` is secret and settles the
+    surrogates. Phone numbers are told apart by their last ten digits, and keep
+    those before. IBANs and card numbers keep valid check digits.
 
     A null text stays null, and empty and clean texts stay as they are. Null
     and repeated ids are rows of their own. An empty table gives an empty
     result. Other columns are not read.
     """
     rows = keyed(docs, id_col, _text=text_col)
-    found = write_shared(mentions(rows), "mentions")
+    found = write_shared(with_genders(write_shared(mentions(rows), "found")), "mentions")
     spelled = found.select("kind", "canonical", "value", "head", "body").distinct()
-    spelled = spelled.join(surrogates(found, key), ["kind", "canonical"]).select("kind", "value", _rendered().alias("new"))
+    made = surrogates(found, key)
+    spelled = spelled.join(made, ["kind", "canonical"]).select("kind", "canonical", "value", _rendered().alias("new"))
     spelled = write_shared(spelled, "replacements")
     new = (
-        found.select(ROW, "place", "kind", "value")
-        .join(spelled.hint("merge"), ["kind", "value"])
+        found.select(ROW, "place", "kind", "canonical", "value")
+        .join(spelled.hint("merge"), ["kind", "canonical", "value"])
         .groupBy(ROW)
         .agg(F.sort_array(F.collect_list(F.struct("place", "new", "kind"))).alias("new"))
     )

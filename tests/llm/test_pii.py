@@ -62,6 +62,58 @@ def test_formats(told):
     assert told[11].text.endswith(a) and told[11].text[:-len(a)] == TEXTS[11].removesuffix("und.34@mail7.example.com")
 
 
+#: Texts with their personal data marked by hand: [[kind:entity]]. Nothing here is read off the code.
+LABELLED = [
+    "Frau Dr. [[person:Müller]] und Herr Prof. [[person:Weber]] mit Prof. Dr. [[person:Anna Weber]].",
+    "Mr. [[person:O'Brien]] met Mr [[person:McDonald]], Mr. [[person:J. Smith]] and Mme [[person:de la Tour]] today.",
+    "Dr [[person:Ludwig van Beethoven]] wrote; Mrs [[person:Anne-Marie Dupont]] read.",
+    "pay [[iban:DE89 3704 0044 0532 0130 00]] or [[iban:GB29NWBK60161331926819]] now",
+    "card [[card:4111 1111 1111 1111]] and [[card:5500005555555559]] please",
+    "keys AKIA[[secret:IOSFODNN7EXAMPLE]] and ghp_[[secret:16C7e42F292c6912E7710c838347Ae178B4a]] leaked",
+    "password: [[secret:hunter2]] but password: required, token = [[secret:abcdefghijkl]]",
+    "hosts [[ip:10.0.0.1]] [[ipv6:2001:0db8:85a3:0000:0000:8a2e:0370:7334]] [[ipv6:fe80::1ff:fe23:4567:890a]] at 12:30:45",
+    "call [[phone:+1 555-123-4567]] or [[phone:555-123-4567]], ssn [[national:078-05-1120]], mail [[email:a.b@c.org]]!",
+    "The doctor said Dr who, std::vector, Mr MISTER, 2024-01-02, version 1.2.3 and ABCD.",
+]
+
+
+def test_labelled_texts(spark):
+    """Every marked entity is replaced, and nothing else in the texts changes."""
+    mark = re.compile(r"\[\[(\w+):(.*?)\]\](?!\])")
+    plain = [mark.sub(r"\2", t) for t in LABELLED]
+    frame = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_personal_data(frame, "k").collect()}
+    for i, marked in enumerate(LABELLED):
+        entities = mark.findall(marked)
+        shape = re.escape(mark.sub("\0", marked)).replace("\0", "(.+?)")
+        made = re.fullmatch(shape.replace(re.escape("\0"), "(.+?)"), got[i].text)
+        assert made, (marked, got[i].text)
+        assert all(old != new for (_, old), new in zip(entities, made.groups())), got[i].text
+        assert got[i].n_replaced == len(entities) and got[i].kinds == ",".join(sorted({k for k, _ in entities}))
+
+
+def test_formats_are_valid(spark):
+    texts = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FE80::1FF:FE23:4567:890A", "Mr. J. Smith", "Mme de la Tour"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.replace_personal_data(frame, "k").orderBy("doc_id").collect()]
+    for old, new in zip(texts[:2], got):
+        assert [c == " " for c in old] == [c == " " for c in new] and old[:2] == new[:2]
+        plain = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert re.fullmatch(r"[0-9A-F]{4}::[0-9A-F]{3}:[0-9A-F]{4}:[0-9A-F]{4}:[0-9A-F]{4}", got[2])
+    assert re.fullmatch(r"Mr\. [A-Z]\. [A-Z][a-z]+", got[3]) and re.fullmatch(r"Mme de la [A-Z][a-z]+", got[4])
+
+
+def test_coreference(spark):
+    texts = ["Dr Anna Schmidt", "Frau Anna Schmidt", "Herr Schmidt", "Frau Schmidt", "Dr Schmidt", "+1 555-123-4567", "555-123-4567", "Prof. Dr. Anna Schmidt"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.replace_personal_data(frame, "k").orderBy("doc_id").collect()]
+    names = [re.sub(r"^(?:Dr|Frau|Herr|Prof)\.? (?:Dr\. )?", "", t) for t in got]
+    assert names[0] == names[1] == names[7] and names[0].split()[0].endswith("lia")
+    assert len({names[2], names[3], names[4]}) == 3
+    assert got[5] == f"+1 {got[6]}" and got[6] != texts[6]
+
+
 def test_long_entities_are_replaced_whole(spark):
     secret, name = "aB3_" * 75, "Anna Maria Luisa Elena Petrova"
     keys = ["0f" * 64, "9E" * 300, "a" * 70 + "1" * 70]
