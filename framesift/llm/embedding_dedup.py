@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from framesift.llm.common import ROW, keyed, write_shared
 from framesift.operators.components import connected_groups
+from framesift.operators.skew import HOT_ROWS, hot_keys, salted_join
 
 THRESHOLD = 0.93
 
@@ -220,6 +221,7 @@ def embedding_near_duplicates(
     threshold: float = THRESHOLD,
     cell_rows: int = CELL_ROWS,
     block_rows: int = BLOCK_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per vector: (id, n_links, component_id, kept).
 
@@ -254,15 +256,17 @@ def embedding_near_duplicates(
     nodes = distinct.select("node", "copies", "name").join(linked, "node", "left").join(
         groups.withColumnRenamed("key", "node"), "node", "left"
     )
-    nodes = nodes.withColumn("group_id", F.coalesce("group_id", "node"))
-    least = nodes.groupBy("group_id").agg(F.min("name").alias("least"))
-    nodes = nodes.join(least, "group_id").select(
-        "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least"
-    )
+    nodes = write_shared(nodes.withColumn("group_id", F.coalesce("group_id", "node")), "nodes")
+    # one component may hold most vectors, and one vector most rows
+    least = write_shared(nodes.groupBy("group_id").agg(F.min("name").alias("least"), F.count("*").alias("n")), "components")
+    hot = hot_keys(least, ["group_id"], hot_rows)
+    nodes = salted_join(nodes.drop("name"), least.select("group_id", "least"), ["group_id"], hot, F.col("node"))
+    nodes = nodes.select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least")
     repeated = distinct.filter("copies > 1").select("_label", "vec", F.col("node").alias("_first")).hint("merge")
     keys = usable.join(repeated, ["_label", "vec"], "left").select(ROW, "_id", F.coalesce("_first", ROW).alias("node"))
     alone = rows.filter("vec IS NULL").select(ROW, "_id", F.lit(0).cast("long").alias("n_links"), name.alias("least"))
-    named = keys.join(nodes, "node").select(ROW, "_id", "n_links", "least").unionAll(alone)
+    often = hot_keys(distinct.select("node", F.col("copies").alias("n")), ["node"], hot_rows)
+    named = salted_join(keys, nodes, ["node"], often, F.col(ROW)).select(ROW, "_id", "n_links", "least").unionAll(alone)
     result = named.select(
         ROW,
         F.col("_id").alias(id_col),

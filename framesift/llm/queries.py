@@ -137,6 +137,23 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND last_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND last_id <> page_id THEN last_id END AS refers_to
         FROM latest""",
+    "op9_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+              AND list_count(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach(id, seen) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION
+            SELECT links.b, reach.seen FROM reach JOIN links ON links.a = reach.id),
+        components AS (SELECT id AS vec_id, min(seen) AS component_id FROM reach GROUP BY id),
+        counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM components LEFT JOIN counts USING (vec_id)""",
     "op11_lexical_search": r"""
         WITH doc_terms AS (
             SELECT doc_id, unnest(regexp_extract_all(

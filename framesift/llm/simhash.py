@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from framesift.llm.common import ROW, keyed, shuffle_partitions, text_batches, with_row_key, write_shared
 from framesift.operators.components import connected_groups
 from framesift.operators.keys import filter_by_keys
+from framesift.operators.skew import HOT_ROWS, hot_keys, salted_join
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
 
@@ -255,6 +256,7 @@ def simhash_near_duplicates(
     words: int = SHINGLE_WORDS,
     max_bits: int = MAX_BITS,
     node_fingerprints: int = NODE_FINGERPRINTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per document: (id, fingerprint, component_id, kept).
 
@@ -272,16 +274,20 @@ def simhash_near_duplicates(
     had_row = ROW in docs.columns
     rows = write_shared(fingerprints(docs, id_col, text_col, words), "fingerprints")
     keys = F.struct(F.col("_id").isNull().alias("null"), "_id", ROW)
-    distinct = write_shared(rows.groupBy("_fp").agg(F.min(keys).alias("first")), "distinct-fingerprints")
+    distinct = write_shared(rows.groupBy("_fp").agg(F.min(keys).alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     groups = connected_groups(fingerprint_links(distinct.select("_fp"), max_bits, node_fingerprints))
     named = distinct.join(groups.withColumnRenamed("key", "_fp"), "_fp", "left").select(
-        "_fp", "first", F.coalesce("group_id", "_fp").alias("group_id")
+        "_fp", "first", "n", F.coalesce("group_id", "_fp").alias("group_id")
     )
-    firsts = named.groupBy("group_id").agg(F.min("first").alias("least"))
-    member = named.join(firsts, "group_id").select(
+    named = write_shared(named, "named-fingerprints")
+    # one component may hold most fingerprints, and one fingerprint most rows
+    firsts = write_shared(named.groupBy("group_id").agg(F.min("first").alias("least"), F.count("*").alias("n")), "components")
+    least = firsts.select("group_id", "least")
+    member = salted_join(named, least, ["group_id"], hot_keys(firsts, ["group_id"], hot_rows), F.col("_fp")).select(
         "_fp", F.col("least._id").alias("component_id"), F.col(f"least.{ROW}").alias("_keep")
     )
-    result = rows.join(member, "_fp").select(
+    joined = salted_join(rows, member, ["_fp"], hot_keys(distinct, ["_fp"], hot_rows), F.col(ROW))
+    result = joined.select(
         ROW,
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),

@@ -51,7 +51,7 @@ def rows():
     return [(int(i), *listed[n], "clash") for i, n in enumerate(order)]
 
 
-@pytest.mark.parametrize("options", [{}, {"cell_rows": 8}, {"cell_rows": 8, "block_rows": 3}, {"block_rows": 4}])
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 8}, {"cell_rows": 8, "block_rows": 3}, {"block_rows": 4, "hot_rows": 3}])
 def test_equals_brute_force(spark, rows, options):
     got = dedup.embedding_near_duplicates(spark.createDataFrame(rows, SCHEMA), **options)
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
