@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.vectors import as_vector, rounded, searchable_vectors, to_matrix, unit_rows, vector_digest
@@ -130,47 +130,62 @@ def _emit_links(threshold: float):
     return compare
 
 
-def _assign(vectors: DataFrame, pivots: np.ndarray, threshold: float, key_type: str, mark_core: bool, narrow: bool) -> DataFrame:
-    """Rows (cell, role[, key, vec]): one home cell each, and every cell it may match into.
+#: Blocks of a cell above which it is cut into cells of its own, and rows that are placed in these together.
+SPLIT_BLOCKS, PLACED_ROWS = 64, 16384
+
+
+def _visits(matrix: np.ndarray, pivots: np.ndarray, apart: np.ndarray | None, reach: float) -> tuple[np.ndarray, ...]:
+    """(row, cell, whether it is the row's home, score to the pivot) of unit rows: one home each, and every cell they may match into.
 
     Let x live in the cell of pivot p and y in that of q. The distance of y
     beyond the plane halfway between p and q, (y.q - y.p) / |p - q|, cannot
     exceed |x - y|, and close vectors have |x - y| <= sqrt(2 - 2 threshold).
     So y needs to visit p's cell only if that distance stays within the reach.
     Each pair of cells is compared in one of the two, alternating which.
+    """
+    numbers = np.arange(len(pivots))
+    scores = matrix @ pivots.T
+    home = scores.argmax(axis=1)
+    gap = apart[home] if apart is not None else np.sqrt(np.maximum(2.0 - 2.0 * (pivots[home] @ pivots.T), 0.0))
+    beyond = scores[np.arange(len(home)), home][:, None] - scores
+    target = np.where(
+        (home[:, None] + numbers[None, :]) % 2 == 0,
+        np.minimum(home[:, None], numbers[None, :]),
+        np.maximum(home[:, None], numbers[None, :]),
+    )
+    visits = (beyond <= reach * gap + PRUNE_SLACK) & (target == numbers[None, :])
+    visits[np.arange(len(home)), home] = True
+    row, cell = np.nonzero(visits)
+    return row, cell, cell == home[row], scores[row, cell]
+
+
+def _gaps(pivots: np.ndarray) -> np.ndarray | None:
+    """Distances of all pivots, if they are few enough to be kept."""
+    return np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0)) if len(pivots) <= 2048 else None
+
+
+def _reach(threshold: float) -> float:
+    return math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + PRUNE_SLACK
+
+
+def _assign(vectors: DataFrame, pivots: np.ndarray, threshold: float, key_type: str, mark_core: bool, narrow: bool) -> DataFrame:
+    """Rows (cell, role[, key, vec]) of every row's `_visits`.
 
     Roles are two letters: h(ome) or g(uest), then c(ore) if the row is itself
     close to the pivot, n otherwise.
     """
-    reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + PRUNE_SLACK
+    reach = _reach(threshold)
     shared = vectors.sparkSession.sparkContext.broadcast(unit_rows(pivots))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
-        apart = np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0)) if len(pivots) <= 2048 else None
-        numbers = np.arange(len(pivots))
+        apart = _gaps(pivots)
         for batch in batches:
             matrix = unit_rows(to_matrix(batch.column("vec")))
             for part in B.row_steps(len(matrix), len(pivots)):
-                scores = matrix[part] @ pivots.T
-                home = scores.argmax(axis=1)
-                if apart is not None:
-                    gap = apart[home]
-                else:
-                    gap = np.sqrt(np.maximum(2.0 - 2.0 * (pivots[home] @ pivots.T), 0.0))
-                beyond = scores[np.arange(len(home)), home][:, None] - scores
-                target = np.where(
-                    (home[:, None] + numbers[None, :]) % 2 == 0,
-                    np.minimum(home[:, None], numbers[None, :]),
-                    np.maximum(home[:, None], numbers[None, :]),
-                )
-                visits = (beyond <= reach * gap + PRUNE_SLACK) & (target == numbers[None, :])
-                visits[np.arange(len(home)), home] = True
-                row, cell = np.nonzero(visits)
-                core = (
-                    rounded(scores[row, cell]) >= threshold if mark_core else np.zeros(len(row), dtype=bool)
-                )
-                role = np.char.add(np.where(cell == home[row], "h", "g"), np.where(core, "c", "n"))
+                row, cell, home, score = _visits(matrix[part], pivots, apart, reach)
+                core = rounded(score) >= threshold if mark_core else np.zeros(len(row), dtype=bool)
+                role = np.char.add(np.where(home, "h", "g"), np.where(core, "c", "n"))
                 for some in B.row_steps(len(row), 256):
                     columns = [pa.array(cell[some].astype(np.int32)), pa.array(role[some].tolist())]
                     names = ["cell", "role"]
@@ -186,8 +201,86 @@ def _assign(vectors: DataFrame, pivots: np.ndarray, threshold: float, key_type:
     return vectors.select("key", "vec").mapInArrow(assign, schema)
 
 
-def _similarity_join(vectors: DataFrame, threshold: float, links: bool, block_rows: int) -> DataFrame:
-    """Exact join over distinct vectors (key, vec); ``links`` asks for a connecting forest."""
+def _assign_again(rows: DataFrame, large: DataFrame, threshold: float, block_rows: int, dim: int) -> DataFrame:
+    """The rows of large cells (cell, n) in cells of their own: (cell, role, key, vec), the role with a third letter.
+
+    A cell's own rows give it pivots, as many as it has blocks. They are a
+    table joined by cell, so their number is bounded for a cell, not for all;
+    a cell's rows are placed some thousand at a time. H(ome) and G(uest) tell
+    of the second step what h and g tell of the first.
+    """
+    key_type = rows.schema["key"].dataType.simpleString()
+    reach, most = _reach(threshold), B.rows_within_budget(dim)
+    plan = large.select(
+        "cell",
+        F.least(F.lit(most), F.ceil(F.col("n") / block_rows)).cast("int").alias("wanted"),
+        "n",
+        F.ceil(F.col("n") / PLACED_ROWS).cast("int").alias("pieces"),
+    )
+    plan = F.broadcast(cut_lineage(plan))  # a row per cell of the first step
+    inside = rows.join(plan, "cell")
+    # twice as many as wanted pass the test of the hash; the first of them by the hash are taken
+    chance = F.least(F.lit(1.0), 2.0 * F.col("wanted") / F.col("n")) * float(2**62)
+    order = F.shiftrightunsigned(F.xxhash64("key", F.lit("pivot")), 2)
+    tested = inside.filter(F.col("role").startswith("h") & (order <= chance)).withColumn("order", order)
+    first = F.row_number().over(Window.partitionBy("cell").orderBy("order", "key"))
+    pivots = tested.withColumn("place", first).filter("place <= wanted").select(
+        F.col("cell").alias("above"), "place", "pieces", F.col("vec").alias("pivot")
+    )
+    part = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("part")
+    pivots = cut_lineage(pivots).select("above", part, "place", "pivot")
+    placed = inside.withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
+
+    def place(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        if not rows.num_rows:
+            return pa.table({"cell": pa.array([], pa.int64()), "role": pa.array([], pa.string()), "key": rows["key"], "vec": rows["vec"]})
+        matrix = unit_rows(to_matrix(rows["vec"]))
+        # a cell whose rows were all too far up in hash order for a pivot is one cell
+        listed = unit_rows(to_matrix(pivots.sort_by("place")["pivot"])) if pivots.num_rows else matrix[:0]
+        if not len(listed):
+            listed = np.eye(1, matrix.shape[1])
+        apart, found = _gaps(listed), []
+        for part in B.row_steps(len(matrix), len(listed)):
+            row, cell, home, _ = _visits(matrix[part], listed, apart, reach)
+            found.append((row + part.start, cell, home))
+        row, cell, home = (np.concatenate(column) for column in zip(*found))
+        role = pc.binary_join_element_wise(rows["role"].take(pa.array(row)), pa.array(np.where(home, "H", "G").tolist()), "")
+        above = int(rows["cell"][0].as_py())
+        taken = pa.array(row)
+        columns = [pa.array((above << 32) + cell), role, rows["key"].take(taken), rows["vec"].take(taken)]
+        return pa.Table.from_arrays(columns, names=["cell", "role", "key", "vec"])
+
+    by = ["cell", "piece"]
+    both = placed.select(*by, "role", "key", "vec").groupBy(*by).cogroup(pivots.groupBy("above", "part"))
+    return both.applyInArrow(place, f"cell long, role string, key {key_type}, vec array<float>")
+
+
+def _finer_rules() -> list[B.Rule]:
+    """Which roles of `_assign_again` meet: no two guests of either step, and no two that their pivot links."""
+    roles = [a + b + c for a in "hg" for b in "nc" for c in "HG"]
+    rules = []
+    for i, left in enumerate(roles):
+        for right in roles[i:]:
+            if (left[0], right[0]) != ("g", "g") and (left[1], right[1]) != ("c", "c") and (left[2], right[2]) != ("G", "G"):
+                rules.append((left, right, len(rules)))
+    return rules
+
+
+def _similarity_join(
+    vectors: DataFrame,
+    threshold: float,
+    links: bool,
+    block_rows: int,
+    most_cells: int | None = None,
+    split_blocks: int = SPLIT_BLOCKS,
+) -> DataFrame:
+    """Exact join over distinct vectors (key, vec); ``links`` asks for a connecting forest.
+
+    Cells of more than ``split_blocks`` blocks, as there are once the pivots
+    no longer fit into one broadcast (or are more than ``most_cells``), are cut
+    into cells of their own.
+    """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
     spark = vectors.sparkSession
@@ -197,7 +290,7 @@ def _similarity_join(vectors: DataFrame, threshold: float, links: bool, block_ro
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     if not size.n:
         return spark.createDataFrame([], schema)
-    count = B.cell_count(size.n, size.dim, block_rows)
+    count = min(B.cell_count(size.n, size.dim, block_rows), most_cells or size.n)
     pivot_keys, pivots = B.choose_pivots(vectors, count, size.n)
     narrow = _assign(vectors, pivots, threshold, key_type, mark_core=links, narrow=True)
     if links:
@@ -209,7 +302,20 @@ def _similarity_join(vectors: DataFrame, threshold: float, links: bool, block_ro
     rules = [("hn", "hn", 0), ("hn", "gn", 1)]
     if links:
         rules += [("hn", "hc", 2), ("hn", "gc", 3), ("hc", "gn", 4)]
-    found = B.compare_blocks(rows, sizes, rules, compare, schema, block_rows, few_cells=True)
+    homes = sizes.groupBy("cell").agg(F.sum("n").alias("n"))
+    large = cut_lineage(homes.filter(F.col("n") > split_blocks * block_rows))
+    if large.isEmpty():
+        found = B.compare_blocks(rows, sizes, rules, compare, schema, block_rows, few_cells=True)
+    else:
+        listed = F.broadcast(large.select("cell"))  # no more than there are pivots
+        small = B.compare_blocks(
+            rows.join(listed, "cell", "left_anti"), sizes.join(listed, "cell", "left_anti"), rules, compare, schema, block_rows, few_cells=True
+        )
+        finer = cut_lineage(_assign_again(rows, large, threshold, block_rows, size.dim))
+        finer_sizes = cut_lineage(finer.groupBy("cell", "role").agg(F.count("*").alias("n")))
+        found = small.unionByName(
+            B.compare_blocks(finer, finer_sizes, _finer_rules(), compare, schema, block_rows, few_cells=False)
+        )
     if not links:
         return found
     pivot_table = spark.createDataFrame(
@@ -231,14 +337,16 @@ def near_duplicate_pairs(
     threshold: float,
     dim: int | None = None,
     block_rows: int = B.BLOCK_ROWS,
+    **cells: int,
 ) -> DataFrame:
     """All pairs of distinct vectors with cosine >= ``threshold``: (key_a, key_b, score).
 
     Equal vectors are represented by their lowest key and paired once; their
     other copies are an exact-duplicate matter (`exact_vector_copies`).
+    ``cells`` as in `_similarity_join`.
     """
     vectors = cut_lineage(distinct_vectors(table, key, vector, dim))
-    return _similarity_join(vectors, threshold, False, block_rows)
+    return _similarity_join(vectors, threshold, False, block_rows, **cells)
 
 
 def exact_vector_copies(table: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
@@ -274,6 +382,7 @@ def near_duplicate_links(
     threshold: float,
     dim: int | None = None,
     block_rows: int = B.BLOCK_ROWS,
+    **cells: int,
 ) -> DataFrame:
     """Links (key, root) that connect exactly the rows chains of close pairs connect.
 
@@ -283,4 +392,4 @@ def near_duplicate_links(
     """
     valid = cut_lineage(_valid(table, key, vector, dim))
     distinct, copies = representatives(valid)
-    return _similarity_join(distinct, threshold, True, block_rows).unionByName(copies)
+    return _similarity_join(distinct, threshold, True, block_rows, **cells).unionByName(copies)

@@ -398,6 +398,8 @@ pairs AS (
   SELECT a.vec_id AS key_a, b.vec_id AS key_b
   FROM w a JOIN w b ON a.vec_id < b.vec_id WHERE {_score('a.e', 'b.e')} >= 0.95),
 {REACH} SELECT key, group_id FROM groups""",
+    "near_duplicates_by_finer_cells": f"WITH {PAIRS} SELECT key_a, key_b, score FROM pairs",
+    "duplicate_groups_by_finer_cells": f"WITH RECURSIVE {GROUPS} SELECT key, group_id FROM groups",
     "duplicate_groups_by_cells": f"WITH RECURSIVE {GROUPS} SELECT key, group_id FROM groups",
     "duplicate_groups": f"WITH RECURSIVE {GROUPS} SELECT key, group_id FROM groups",
     "embedded_duplicate_groups": """

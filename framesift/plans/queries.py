@@ -883,6 +883,20 @@ def _shifted(spark, sf):
     return vectors.unionByName(shifted)
 
 
+#: Few pivots, as for a table too large for enough of them: most cells are cut again.
+FINER = {"block_rows": SMALL_BLOCKS, "most_cells": 4, "split_blocks": 2}
+
+
+@query
+def near_duplicates_by_finer_cells(spark, sf):
+    return near.near_duplicate_pairs(_vectors(spark, sf), "vec_id", "embedding", THRESHOLD, **FINER)
+
+
+@query
+def duplicate_groups_by_finer_cells(spark, sf):
+    return _groups(spark, sf, **FINER)
+
+
 @query
 def near_duplicates_lsh(spark, sf):
     """The shifted copies are found by bands of bits."""

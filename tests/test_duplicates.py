@@ -62,6 +62,34 @@ def test_links_of_a_dense_cluster_are_linear(spark):
     assert groups.count() == 600 and groups.select("group_id").distinct().count() == 1
 
 
+@pytest.mark.parametrize("threshold, cells", [(0.95, 2), (0.6, 3), (0.99, 1)])
+def test_cells_within_cells(spark, threshold, cells):
+    """Few pivots for many rows: large cells get pivots of their own, and no pair is lost or found twice."""
+    matrix = planted(spread=0.05, groups=16, copies=12, noise=150)
+    frame = spark.createDataFrame(vector_rows(matrix), VECTORS)
+    options = {"block_rows": 12, "most_cells": cells, "split_blocks": 2}
+    want = brute_pairs(matrix, threshold)
+    got = [((r.key_a, r.key_b), r.score) for r in near_duplicates.near_duplicate_pairs(frame, "key", "vec", threshold, **options).collect()]
+    assert len(got) == len(want) and dict(got) == dict(want)
+    whole = components(zip(*np.nonzero(np.triu(scores(matrix, matrix) >= threshold, 1))))
+    groups = duplicates.near_duplicate_groups(frame, "key", "vec", threshold, **options)
+    assert {r.key: r.group_id for r in groups.collect()} == whole
+
+
+def test_finer_cells_are_bounded(spark):
+    """With a bound on the pivots, cells grow with the rows; those cut again do not."""
+    rng = np.random.default_rng(3)
+    largest = []
+    for n in (400, 1600):
+        vectors = spark.createDataFrame(vector_rows(rng.normal(size=(n, 8))), VECTORS)
+        rows = near_duplicates._assign(vectors, np.array([[1.0] * 8, [-1.0] * 8]), 0.999, "bigint", False, False)
+        large = rows.groupBy("cell").count().withColumnRenamed("count", "n")
+        finer = near_duplicates._assign_again(rows, large, 0.999, 20, 8).groupBy("cell").count()
+        largest.append(max(r["count"] for r in finer.collect()))
+        assert max(r.n for r in large.collect()) > n / 3
+    assert largest[1] < 2.5 * largest[0]
+
+
 def test_shifted_vectors_are_found(spark):
     rng = np.random.default_rng(2)
     matrix = rng.normal(size=(50, 64))
