@@ -32,12 +32,15 @@ HEADLINE = [
     "knn_batch",
     "knn_batch_by_cells",
     "knn_batch_l2_by_cells",
+    "search_cells",
     "search_text",
     "search_postfilter",
     "hits_with_content",
     "change_feed",
     "sync_available_now",
     "sync_updates",
+    "sync_compacted",
+    "logged_changes",
     "exact_duplicates",
     "exact_duplicate_members",
     "near_duplicates",
@@ -45,6 +48,7 @@ HEADLINE = [
     "near_duplicates_lsh",
     "duplicate_groups",
     "duplicate_groups_by_cells",
+    "duplicate_groups_lsh",
     "savings",
     "zero_shot_label",
     "kmeans_sizes",
