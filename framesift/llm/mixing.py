@@ -53,11 +53,8 @@ FIRST_STEP, LONGER = 10.0, 10.0
 #: Steps, and aggregates for one step, after which the fit is given up as not converging.
 MOST_STEPS, MOST_TRIES = 16, 60
 
-#: Shares of a Newton step that are tried together.
-TRIED = (1.0, 0.3, 0.1)
-
-#: How much shorter they are where none of them comes nearer.
-SHORTER = (1.0, 0.03, 0.001, 3e-5)
+#: Shares of a Newton step that are tried, those in brackets together, until one comes nearer.
+TRIED = ((1.0,), (0.3, 0.1, 0.03), (0.01, 1e-3, 1e-4))
 
 #: Least share of all tokens that a target's weight in the least squares is taken from.
 LEAST_SHARE = 0.01
@@ -287,8 +284,8 @@ def fit_rates(
                 break
             bend = (np.diag(1 / (2 * scale)) + length * best.free) * np.outer(root, root)
             newton = -root * np.linalg.solve(bend, root * miss)
-            for shorter in SHORTER:
-                pulls = [pull + shorter * share * newton for share in TRIED]
+            for shares in TRIED:
+                pulls = [pull + share * newton for share in shares]
                 tried = _tried(kinds, rate, length, pulls, goal, scale, most_rate)
                 least = min(range(len(tried)), key=lambda n: tried[n].dual)
                 if tried[least].dual < best.dual:
