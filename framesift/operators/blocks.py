@@ -2,8 +2,11 @@
 
 Both the similarity join and the nearest-neighbour join put rows into cells
 and compare rows of one cell with each other. A cell may be arbitrarily large,
-so its rows are cut into blocks of about ``block_rows`` and every pair of
-blocks becomes one group of its own: no task ever holds more than two blocks.
+so its rows are cut into blocks and every pair of blocks becomes one group of
+its own: no task ever holds more than two blocks. A row is copied for every
+cell it visits and every block it meets, so where cells prune little, they are
+made fewer and blocks larger (`fewer_cells`, `block_size`): what is shuffled
+then follows the rows and not their square, as far as two blocks fit a task.
 """
 
 from __future__ import annotations
@@ -36,6 +39,47 @@ def rows_within_budget(dim: int, limit: int = BROADCAST_BYTES) -> int:
     return max(1, limit // (8 * max(1, dim)))
 
 
+#: Copies of a row that the cells may ask for on average, and bytes of copies that are not worth larger cells.
+COPIES, FREE_BYTES = 8, 64 * 1024 * 1024
+
+#: Rows that `fewer_cells` measures visits by.
+SAMPLE_ROWS = 512
+
+
+def copies_allowed(n_rows: int, dim: int) -> float:
+    """How many copies of ``n_rows`` rows may be shuffled: a fixed number of each, or any that are few bytes."""
+    return max(float(COPIES), FREE_BYTES / (4 * max(1, dim) * max(1, n_rows)))
+
+
+def block_size(n_rows: int, dim: int, block_rows: int) -> int:
+    """Rows per block of a join over ``n_rows``: ``block_rows``, or more if that would mean too many copies.
+
+    The bound is single vectors of `BROADCAST_BYTES`, whatever the rows.
+    """
+    most = BROADCAST_BYTES // (4 * max(1, dim))
+    return max(block_rows, min(most, int(-(-n_rows // copies_allowed(n_rows, dim)))))
+
+
+def sample_rows(vectors: DataFrame, n_rows: int) -> np.ndarray:
+    """About `SAMPLE_ROWS` vectors, by the hash of their keys, but not those that become pivots."""
+    one_in = max(1, n_rows // SAMPLE_ROWS)
+    chosen = vectors.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(one_in)) == 0)
+    return to_matrix(chosen.select("vec").limit(2 * SAMPLE_ROWS).toArrow().column("vec"))
+
+
+def fewer_cells(count: int, allowed: float, visits: Callable[[int], float]) -> int:
+    """The number of cells, ``count`` or fewer, at which a row visits no more than ``allowed`` on average.
+
+    ``visits`` measures how many cells a row visits of so many.
+    """
+    while count > 1:
+        found = visits(count)
+        if found <= allowed:
+            break
+        count = max(1, min(count - 1, int(count * allowed / found)))
+    return count
+
+
 def row_steps(n_rows: int, n_columns: int) -> Iterator[slice]:
     """Slices of rows whose score matrix stays within `MATRIX_ENTRIES`."""
     step = max(1, MATRIX_ENTRIES // max(1, n_columns))
@@ -174,7 +218,9 @@ def _group_function(compare: Compare):
             return
         left, right = np.flatnonzero(sides == "L"), np.flatnonzero(sides == "R")
         if len(left) and len(right):
-            yield from compare(keys.take(pa.array(left)), matrix[left], keys.take(pa.array(right)), matrix[right], False)
+            a, b = matrix[left], matrix[right]
+            del table, matrix
+            yield from compare(keys.take(pa.array(left)), a, keys.take(pa.array(right)), b, False)
 
     run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run

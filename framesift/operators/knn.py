@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -214,7 +215,8 @@ def _knn_by_cells(
     pivot, radius and row count. By the triangle inequality these bound the
     scores a query can meet in a cell, so a query visits only cells whose best
     possible score reaches the k-th best score it is sure to find. Data
-    without structure visits all cells and is still compared block by block.
+    without structure visits all cells, which are then made fewer, and is
+    still compared block by block.
     """
     spark = vectors.sparkSession
     unit = metric == "cosine"
@@ -222,11 +224,14 @@ def _knn_by_cells(
     _, pivots = B.choose_pivots(vectors, B.cell_count(n_rows, dim, block_rows), n_rows)
     if len(pivots) == 0:
         return _empty(queries, vectors)
-    shared = spark.sparkContext.broadcast(unit_rows(pivots) if unit else pivots)
+    pivots = unit_rows(pivots) if unit else pivots
+    asked_rows = queries.count()
+    sample = B.sample_rows(queries, asked_rows)
+    sample = unit_rows(sample) if unit else sample
     key_type = vectors.schema["key"].dataType.simpleString()
     query_type = queries.schema["key"].dataType.simpleString()
 
-    def homes(batches: Iterator[pa.RecordBatch], with_vectors: bool) -> Iterator[pa.RecordBatch]:
+    def homes(batches: Iterator[pa.RecordBatch], shared: Broadcast, with_vectors: bool) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
         for batch in batches:
             matrix = to_matrix(batch.column("vec"))
@@ -246,48 +251,63 @@ def _knn_by_cells(
                     names.append("distance")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    def described(count: int) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The first so many pivots, and their cells: number, rows and radius."""
+        shared = spark.sparkContext.broadcast(pivots[:count])
+        cells = (
+            vectors.select("key", "vec")
+            .mapInArrow(lambda batches: homes(batches, shared, False), "cell int, distance double")
+            .groupBy("cell")
+            .agg(F.count("*").alias("n"), F.max("distance").alias("radius"))
+            .orderBy("cell")
+            .collect()
+        )  # one row per pivot
+        return shared, tuple(np.array([row[name] for row in cells]) for name in ("cell", "n", "radius"))
+
+    def visited(matrix: np.ndarray, pivots: np.ndarray, cells: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, place of the cell) of the cells that rows have to visit, some rows at a time."""
+        cell, count, radius = cells
+        pivots = pivots[cell]
+        for part in B.row_steps(len(matrix), len(cell)):
+            rows = unit_rows(matrix[part]) if unit else matrix[part]
+            middle = closeness(rows, pivots, "l2" if metric == "l2" else "dot")
+            spread = radius[None, :]
+            if metric == "dot":
+                spread = spread * np.linalg.norm(rows, axis=1, keepdims=True)
+            lowest, highest = middle - spread, middle + spread
+            if metric == "l2":  # a small distance by the product is off by up to the root of its square's error
+                slack = BOUND_SLACK + np.sqrt(2 * square_error(rows, pivots))
+            else:
+                slack = BOUND_SLACK + square_error(rows, pivots)
+            order = np.argsort(-lowest, axis=1)
+            reached = np.cumsum(count[order], axis=1) >= k
+            at = np.where(reached.any(axis=1), reached.argmax(axis=1), len(cell) - 1)
+            sure = np.take_along_axis(lowest, np.take_along_axis(order, at[:, None], 1), 1)
+            query, column = np.nonzero(highest >= sure - 2 * slack[:, None])
+            yield query + part.start, column
+
+    tried: dict[int, tuple] = {}
+
+    def mean_visits(count: int) -> float:
+        tried.clear()
+        tried[count] = described(count)
+        found = sum(len(query) for query, _ in visited(sample, pivots[:count], tried[count][1]))
+        return found / max(1, len(sample))
+
+    count = B.fewer_cells(len(pivots), B.copies_allowed(asked_rows, dim), mean_visits)
+    shared, cells = tried.get(count) or described(count)
+    known = spark.sparkContext.broadcast(cells)
+    block_rows = B.block_size(max(n_rows, asked_rows), dim, block_rows)
     placed = vectors.select("key", "vec").mapInArrow(
-        lambda batches: homes(batches, True), f"cell int, role string, key {key_type}, vec array<float>"
-    )
-    cells = (
-        vectors.select("key", "vec")
-        .mapInArrow(lambda batches: homes(batches, False), "cell int, distance double")
-        .groupBy("cell")
-        .agg(F.count("*").alias("n"), F.max("distance").alias("radius"))
-        .orderBy("cell")
-        .collect()
-    )  # one row per pivot
-    known = spark.sparkContext.broadcast(
-        (
-            np.array([row.cell for row in cells]),
-            np.array([row.n for row in cells]),
-            np.array([row.radius for row in cells]),
-        )
+        lambda batches: homes(batches, shared, True), f"cell int, role string, key {key_type}, vec array<float>"
     )
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, count, radius = known.value
-        pivots = shared.value[cell]
+        cell = known.value[0]
         for batch in batches:
-            matrix = to_matrix(batch.column("vec"))
-            for part in B.row_steps(len(matrix), len(cell)):
-                rows = unit_rows(matrix[part]) if unit else matrix[part]
-                middle = closeness(rows, pivots, "l2" if metric == "l2" else "dot")
-                spread = radius[None, :]
-                if metric == "dot":
-                    spread = spread * np.linalg.norm(rows, axis=1, keepdims=True)
-                lowest, highest = middle - spread, middle + spread
-                if metric == "l2":  # a small distance by the product is off by up to the root of its square's error
-                    slack = BOUND_SLACK + np.sqrt(2 * square_error(rows, pivots))
-                else:
-                    slack = BOUND_SLACK + square_error(rows, pivots)
-                order = np.argsort(-lowest, axis=1)
-                reached = np.cumsum(count[order], axis=1) >= k
-                at = np.where(reached.any(axis=1), reached.argmax(axis=1), len(cell) - 1)
-                sure = np.take_along_axis(lowest, np.take_along_axis(order, at[:, None], 1), 1)
-                query, column = np.nonzero(highest >= sure - 2 * slack[:, None])
+            for query, column in visited(to_matrix(batch.column("vec")), shared.value, known.value):
                 for some in B.row_steps(len(query), 256):
-                    taken = pa.array(query[some] + part.start)
+                    taken = pa.array(query[some])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(cell[column[some]].astype(np.int32)),
@@ -298,21 +318,27 @@ def _knn_by_cells(
                         names=["cell", "role", "key", "vec"],
                     )
 
-    def visits_narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in visits(batches):
-            yield batch.select(["cell", "role"])
+    def visit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = known.value[0]
+        counts = np.zeros(len(cell), dtype=np.int64)
+        for batch in batches:
+            for _, column in visited(to_matrix(batch.column("vec")), shared.value, known.value):
+                counts += np.bincount(column, minlength=len(cell))
+        some = np.flatnonzero(counts)
+        columns = [pa.array(cell[some].astype(np.int32)), pa.array(["q"] * len(some), pa.string()), pa.array(counts[some])]
+        yield pa.RecordBatch.from_arrays(columns, names=["cell", "role", "n"])
 
     # Blocks are cut by the hash of the key; keys of both sides may differ in
     # type, so the query key travels as text beside its own column.
     asked = queries.select("key", "vec").mapInArrow(visits, f"cell int, role string, key {query_type}, vec array<float>")
     asked_sizes = (
         queries.select("key", "vec")
-        .mapInArrow(visits_narrow, "cell int, role string")
+        .mapInArrow(visit_counts, "cell int, role string, n long")
         .groupBy("cell", "role")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     vector_sizes = spark.createDataFrame(
-        [(row.cell, "v", row.n) for row in cells], "cell int, role string, n long"
+        [(int(cell), "v", int(n)) for cell, n in zip(*cells[:2])], "cell int, role string, n long"
     )
 
     def nearest(left_keys, left, right_keys, right, same) -> Iterator[pa.RecordBatch]:

@@ -159,6 +159,14 @@ def _visits(matrix: np.ndarray, pivots: np.ndarray, apart: np.ndarray | None, re
     return row, cell, cell == home[row], scores[row, cell]
 
 
+def _mean_visits(sample: np.ndarray, pivots: np.ndarray, reach: float) -> float:
+    """How many of the pivots' cells a row of the sample visits on average."""
+    apart, found = _gaps(pivots), 0
+    for part in B.row_steps(len(sample), len(pivots)):
+        found += len(_visits(sample[part], pivots, apart, reach)[0])
+    return found / max(1, len(sample))
+
+
 def _gaps(pivots: np.ndarray) -> np.ndarray | None:
     """Distances of all pivots, if they are few enough to be kept."""
     return np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0)) if len(pivots) <= 2048 else None
@@ -201,16 +209,23 @@ def _assign(vectors: DataFrame, pivots: np.ndarray, threshold: float, key_type:
     return vectors.select("key", "vec").mapInArrow(assign, schema)
 
 
-def _assign_again(rows: DataFrame, large: DataFrame, threshold: float, block_rows: int, dim: int) -> DataFrame:
+def _assign_again(
+    rows: DataFrame, large: DataFrame, threshold: float, block_rows: int, dim: int, n_rows: int | None = None
+) -> DataFrame:
     """The rows of large cells (cell, n) in cells of their own: (cell, role, key, vec), the role with a third letter.
 
-    A cell's own rows give it pivots, as many as it has blocks. They are a
-    table joined by cell, so their number is bounded for a cell, not for all;
-    a cell's rows are placed some thousand at a time. H(ome) and G(uest) tell
+    A cell's own rows give it pivots, as many as it has blocks, or fewer if
+    these are too many copies of the table's ``n_rows``. They are a table joined
+    by cell, so their number is bounded for a cell, not for all; a cell's rows
+    are placed some thousand at a time. H(ome) and G(uest) tell
     of the second step what h and g tell of the first.
     """
     key_type = rows.schema["key"].dataType.simpleString()
     reach, most = _reach(threshold), B.rows_within_budget(dim)
+    if n_rows:
+        # half of a cell's cells are visited at worst, by the rows that are in the cell already
+        held = max(1, large.agg(F.sum("n")).first()[0])
+        most = min(most, max(2, int(2 * B.copies_allowed(n_rows, dim) * n_rows / held)))
     plan = large.select(
         "cell",
         F.least(F.lit(most), F.ceil(F.col("n") / block_rows)).cast("int").alias("wanted"),
@@ -279,7 +294,8 @@ def _similarity_join(
 
     Cells of more than ``split_blocks`` blocks, as there are once the pivots
     no longer fit into one broadcast (or are more than ``most_cells``), are cut
-    into cells of their own.
+    into cells of their own. There is a cell for each ``block_rows`` rows, or
+    fewer if rows would visit too many of them (see `blocks`).
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
@@ -292,6 +308,12 @@ def _similarity_join(
         return spark.createDataFrame([], schema)
     count = min(B.cell_count(size.n, size.dim, block_rows), most_cells or size.n)
     pivot_keys, pivots = B.choose_pivots(vectors, count, size.n)
+    if len(pivots) > 1:
+        sample, units = unit_rows(B.sample_rows(vectors, size.n)), unit_rows(pivots)
+        allowed = B.copies_allowed(size.n, size.dim)
+        count = B.fewer_cells(len(pivots), allowed, lambda some: _mean_visits(sample, units[:some], _reach(threshold)))
+        pivot_keys, pivots = pivot_keys[:count], pivots[:count]
+    wished, block_rows = block_rows, B.block_size(size.n, size.dim, block_rows)
     narrow = _assign(vectors, pivots, threshold, key_type, mark_core=links, narrow=True)
     if links:
         narrow = cut_lineage(narrow)
@@ -303,7 +325,7 @@ def _similarity_join(
     if links:
         rules += [("hn", "hc", 2), ("hn", "gc", 3), ("hc", "gn", 4)]
     homes = sizes.groupBy("cell").agg(F.sum("n").alias("n"))
-    large = cut_lineage(homes.filter(F.col("n") > split_blocks * block_rows))
+    large = cut_lineage(homes.filter(F.col("n") > split_blocks * wished))
     if large.isEmpty():
         found = B.compare_blocks(rows, sizes, rules, compare, schema, block_rows, few_cells=True)
     else:
@@ -311,7 +333,7 @@ def _similarity_join(
         small = B.compare_blocks(
             rows.join(listed, "cell", "left_anti"), sizes.join(listed, "cell", "left_anti"), rules, compare, schema, block_rows, few_cells=True
         )
-        finer = cut_lineage(_assign_again(rows, large, threshold, block_rows, size.dim))
+        finer = cut_lineage(_assign_again(rows, large, threshold, wished, size.dim, size.n))
         finer_sizes = cut_lineage(finer.groupBy("cell", "role").agg(F.count("*").alias("n")))
         found = small.unionByName(
             B.compare_blocks(finer, finer_sizes, _finer_rules(), compare, schema, block_rows, few_cells=False)

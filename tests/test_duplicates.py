@@ -303,3 +303,26 @@ def test_keep_one_and_savings(spark):
     images = spark.createDataFrame([(k,) for k in "abcdez"], "file_path string")
     kept = duplicates.without_dropped(images, largest, "file_path")
     assert sorted(r.file_path for r in kept.collect()) == ["b", "d", "z"]
+
+
+@pytest.mark.parametrize("options", [{}, {"most_cells": 4, "split_blocks": 2}])
+def test_copies_follow_the_rows(spark, monkeypatch, options):
+    """Unrelated vectors in small blocks: cells are made fewer, so no row is copied for a share of all others."""
+    from framesift.operators import blocks
+
+    monkeypatch.setattr(blocks, "FREE_BYTES", 0)
+    matrix = np.random.default_rng(5).normal(size=(1500, 24))
+    frame = spark.createDataFrame(vector_rows(matrix), VECTORS)
+    copied, plain = [], blocks.compare_blocks
+
+    def counted(rows, sizes, *rest, **named):
+        copied.append((rows.count(), sizes.agg({"n": "max"}).first()[0], rest[3]))
+        return plain(rows, sizes, *rest, **named)
+
+    monkeypatch.setattr(blocks, "compare_blocks", counted)
+    found = near_duplicates.near_duplicate_pairs(frame, "key", "vec", 0.5, block_rows=8, **options).collect()
+    table = scores(matrix.astype(np.float32), matrix.astype(np.float32))
+    expected = {(i, j) for i, j in zip(*np.nonzero(table >= 0.5)) if i < j}
+    assert {(r.key_a, r.key_b) for r in found} == expected and expected
+    assert sum(rows for rows, _, _ in copied) <= 2 * blocks.COPIES * len(matrix)
+    assert all(block_rows >= len(matrix) // blocks.COPIES for _, _, block_rows in copied)

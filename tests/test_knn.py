@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from helpers import VECTORS, nearest, planted, vector_rows
 
+from framesift.operators import knn
 from framesift.operators.blocks import choose_pivots
 from framesift.operators.knn import best_per_query, knn_join
 from framesift.operators.labels import kmeans_clusters, label_vectors, nearest_label
@@ -169,3 +170,23 @@ def test_rows_shuffled_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(knn, "_knn_by_broadcast", counted)
     got = {(r.query_key, r.rank): (r.key, r.score) for r in knn.knn_join(asked, vectors, 5).collect()}
     assert returned == [3 * 4 * 5] and got == nearest(queries, matrix, 5)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_copies_follow_the_rows(spark, monkeypatch, metric):
+    """Unrelated vectors in small blocks: cells are made fewer, so no query is copied for a share of all rows."""
+    monkeypatch.setattr(knn.B, "FREE_BYTES", 0)
+    matrix = np.random.default_rng(5).normal(size=(1200, 24))
+    frame = spark.createDataFrame(vector_rows(matrix), VECTORS)
+    copied, plain = [], knn.B.compare_blocks
+
+    def counted(rows, *rest, **named):
+        copied.append((rows.count(), rest[4]))
+        return plain(rows, *rest, **named)
+
+    monkeypatch.setattr(knn.B, "compare_blocks", counted)
+    got = knn.knn_join(frame, frame, 3, metric, dim=24, block_rows=8, max_broadcast_bytes=1).collect()
+    expected = nearest(matrix.astype(np.float32), matrix.astype(np.float32), 3, metric)
+    assert {(r.query_key, r["rank"]): r.key for r in got} == {place: key for place, (key, _) in expected.items()}
+    ((rows, block_rows),) = copied
+    assert rows <= (knn.B.COPIES + 2) * len(matrix) and block_rows >= len(matrix) // knn.B.COPIES
