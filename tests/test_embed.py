@@ -2,11 +2,13 @@ import base64
 import os
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from framesift.functions import encoders
 from framesift.functions.encoders import register_ai_query, text_encoder
 from framesift.plans.stand_ins import HashEncoder, PatternTagger
 from framesift.operators import embed
@@ -182,3 +184,36 @@ def test_filters_come_before_the_model(spark, sf):
         pushed = plan.split("PushedFilters: [")[1].split("]")[0]
         assert column in pushed, (name, plan)
         assert plan.rindex("ArrowEvalPython") < plan.rindex("Filter ") < plan.index("FileScan"), (name, plan)
+
+
+def test_remembered_results_are_bounded_by_bytes(monkeypatch):
+    """Entities of long texts are not remembered by the thousand."""
+    monkeypatch.setattr(encoders, "REUSE_BYTES", 1 << 20)
+    asked = []
+
+    def tag(texts):
+        asked.extend(texts)
+        return [[{"entity": text}] * 100 for text in texts]
+
+    apply = encoders._reusing(tag, "fail", 8)
+    for n in range(200):
+        assert apply([str(n)]) == [[{"entity": str(n)}] * 100]
+    assert apply(["199", None]) == [[{"entity": "199"}] * 100, None] and len(asked) == 200
+    assert apply(["0"]) == [[{"entity": "0"}] * 100] and len(asked) == 201  # forgotten and made again
+
+
+def test_batches_are_taken_in_pieces():
+    pieces = list(encoders._pieces(iter([pa.array(range(1000)), pa.array([], pa.int64())])))
+    assert [x for piece in pieces for x in piece.to_pylist()] == list(range(1000))
+    assert max(map(len, pieces)) <= encoders.PIECE_ROWS
+
+
+def test_windows_of_many_rows(spark):
+    """More rows than a piece holds keep their order."""
+    values = [f"text {i} " * (1 + i % 40) for i in range(700)] + [None, ""]
+    rows = texts(spark, values).coalesce(1)
+    got = {r.id: r.embeddings for r in embed.embed_long_texts(rows, Fragile, "text", window_chars=50).collect()}
+    for i, text in enumerate(values):
+        parts = [len(text[at : at + 50]) for at in range(0, max(1, len(text)), 50)] if text is not None else None
+        expected = None if parts is None else sum(n * max(1, n) for n in parts) / sum(max(1, n) for n in parts)
+        assert (got[i] is None) == (expected is None) and (expected is None or abs(got[i][0] - expected) < 1e-3)
