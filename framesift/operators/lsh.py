@@ -82,11 +82,13 @@ def band_rows(vectors: DataFrame, bits: int, bands: int, seed: int) -> DataFrame
                 continue
             if planes is None:
                 planes = np.random.default_rng(seed).normal(size=(matrix.shape[1], bits * bands + SKETCH_BITS))
-            sides = matrix @ planes > 0
-            sketches = (sides[:, bits * bands :] * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
-            codes = sides[:, : bits * bands].reshape(len(matrix), bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
-            arrays = [batch.column("key"), pa.array(sketches), pa.array(list(codes), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "sketch", "codes"])
+            for part in B.row_steps(len(matrix), planes.shape[1]):
+                sides = matrix[part] @ planes > 0
+                sketches = (sides[:, bits * bands :] * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
+                codes = sides[:, : bits * bands].reshape(len(sides), bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                keys = batch.column("key").slice(part.start, len(sides))
+                arrays = [keys, pa.array(sketches), pa.array(list(codes), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "sketch", "codes"])
 
     coded = vectors.select("key", "vec").mapInArrow(run, f"key {key_type}, sketch long, codes array<long>")
     cells = F.transform("codes", lambda code, band: F.shiftleft(band.cast("long"), 32) + code)

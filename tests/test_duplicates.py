@@ -326,3 +326,22 @@ def test_copies_follow_the_rows(spark, monkeypatch, options):
     assert {(r.key_a, r.key_b) for r in found} == expected and expected
     assert sum(rows for rows, _, _ in copied) <= 2 * blocks.COPIES * len(matrix)
     assert all(block_rows >= len(matrix) // blocks.COPIES for _, _, block_rows in copied)
+
+
+def test_codes_are_made_some_rows_at_a_time(spark):
+    """However many planes there are, one product holds a bounded number of entries."""
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    from framesift.operators import blocks
+
+    matrix = np.random.default_rng(5).normal(size=(3000, 8)).astype(np.float32)
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(3000)), "vec": pa.array(list(matrix), pa.list_(pa.float32()))})
+    frame = MagicMock()
+    frame.schema["key"].dataType.simpleString.return_value = "bigint"
+    lsh.band_rows(frame, 20, 50, 7)
+    run = frame.select.return_value.mapInArrow.call_args[0][0]
+    made = list(run(iter([batch])))
+    assert max(part.num_rows for part in made) * (20 * 50 + lsh.SKETCH_BITS) <= blocks.MATRIX_ENTRIES
+    assert [k for part in made for k in part["key"].to_pylist()] == list(range(3000))
