@@ -18,6 +18,9 @@ from framesift.session import new_shared_path
 ROOT = "/data"
 DIMENSION = 64
 
+#: Rows of a batch that `written_files` makes Python objects at a time.
+WRITTEN_ROWS = 256
+
 #: Extension of a stand-in file by the language of its text; others get ".txt".
 EXTENSIONS = {"en": ".jpg", "fr": ".JPEG", "de": ".png"}
 
@@ -110,12 +113,17 @@ def written_files(
     root = new_shared_path(spark, "files").removeprefix("file://").removeprefix("file:")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
-            for number, source, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "source", "text"))):
-                folder = os.path.join(root, source)
-                os.makedirs(folder, exist_ok=True)
-                with open(os.path.join(folder, f"{number}{ending}"), "wb") as file:
-                    file.write(content(number, text or ""))
+            for first in range(0, batch.num_rows, WRITTEN_ROWS):  # texts are Python objects some at a time
+                some = batch.slice(first, WRITTEN_ROWS)
+                for number, source, text in zip(*(some[c].to_pylist() for c in ("doc_id", "source", "text"))):
+                    folder = os.path.join(root, source)
+                    if folder not in made:
+                        os.makedirs(folder, exist_ok=True)
+                        made.add(folder)
+                    with open(os.path.join(folder, f"{number}{ending}"), "wb") as file:
+                        file.write(content(number, text or ""))
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
