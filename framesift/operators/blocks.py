@@ -7,6 +7,7 @@ its own: no task ever holds more than two blocks. A row is copied for every
 cell it visits and every block it meets, so where cells prune little, they are
 made fewer and blocks larger (`fewer_cells`, `block_size`): what is shuffled
 then follows the rows and not their square, as far as two blocks fit a task.
+Without cells (`compare_all`) blocks are written once and read by every task that compares them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.vectors import to_matrix
 from framesift.operators.skew import hot_keys, salted_join
+from framesift.session import cut_lineage
 
 #: Rows per block: 8192 vectors of length 768 are 24 MB.
 BLOCK_ROWS = 8192
@@ -202,6 +204,61 @@ def compare_blocks(
     return placed.groupBy(*group).applyInArrow(_group_function(compare), schema)
 
 
+#: Blocks of `compare_all`, as far as these are neither small nor over the budget: enough pairs for many cores.
+BLOCKS_OF_ALL = 24
+
+
+def compare_all(rows: DataFrame, n_rows: int, dim: int, compare: Compare, schema: str, block_rows: int) -> DataFrame:
+    """Run ``compare`` on all pairs of ``rows`` (key, vec), which no cells can keep apart, each pair once.
+
+    Rows are dealt to blocks and written out, a block as one row; the blocks'
+    product with themselves reads these files. So a row is shuffled and written
+    once, however many there are, and a task holds two blocks of at most
+    `BROADCAST_BYTES` in single precision. Of two different blocks, one of
+    their two tasks compares the first half of the lower block with the
+    other, the other task the second half.
+    """
+    key_type = rows.schema["key"].dataType.simpleString()
+    most = BROADCAST_BYTES // (4 * max(1, dim))
+    count = -(-n_rows // max(1, min(most, max(block_rows, -(-n_rows // BLOCKS_OF_ALL)))))
+    dealt = rows.select("key", "vec").repartition(count).withColumn("block", F.spark_partition_id())
+    key_list = f"keys array<{key_type}>, vecs binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [batch for batch in batches if batch.num_rows]
+        if table:
+            keys = pa.chunked_array([batch.column("key") for batch in table]).combine_chunks()
+            packed = b"".join(to_matrix(batch.column("vec")).astype(np.float32).tobytes() for batch in table)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            yield pa.RecordBatch.from_arrays([table[0].column("block").slice(0, 1), listed, pa.array([packed], pa.binary())], names=["block", "keys", "vecs"])
+
+    blocks = cut_lineage(dealt.mapInArrow(pack, f"block int, {key_list}"))
+    others = blocks.select(*(F.col(name).alias(f"other_{name}") for name in blocks.columns))
+
+    def side(batch: pa.RecordBatch, at: int, prefix: str) -> tuple[pa.Array, np.ndarray]:
+        keys = batch.column(prefix + "keys").slice(at, 1).flatten()
+        values = np.frombuffer(batch.column(prefix + "vecs")[at].as_buffer(), dtype=np.float32)
+        return keys, values.reshape(len(keys), -1).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own, other = batch.column("block")[at].as_py(), batch.column("other_block")[at].as_py()
+                keys, matrix = side(batch, at, "")
+                if own == other:
+                    yield from compare(keys, matrix, keys, matrix, True)
+                    continue
+                met, against = side(batch, at, "other_")
+                if own < other:
+                    keys, matrix = keys[: len(keys) // 2], matrix[: len(keys) // 2]
+                else:
+                    met, against = met[len(met) // 2 :], against[len(met) // 2 :]
+                if len(keys) and len(met):
+                    yield from compare(keys, matrix, met, against, False)
+
+    return blocks.crossJoin(others.hint("shuffle_replicate_nl")).mapInArrow(run, schema)
+
+
 def _partitions(spark: SparkSession, pairs: int) -> int:
     """Tasks for so many pairs of blocks: by the work, which the bytes shuffled do not show."""
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))

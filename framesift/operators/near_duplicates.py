@@ -20,6 +20,12 @@ from framesift.session import cut_lineage
 #: Slack of the pruning test; larger than any rounding of scores.
 PRUNE_SLACK = 1e-5
 
+#: Columns of a score matrix: few enough for the cache, so that many rows share them.
+TILE_COLUMNS = 4096
+
+#: Share of rows next to a pivot from which cells are kept, as they link such rows without comparing them.
+CORE_SHARE = 1 / 16
+
 PAIR_COLUMNS = "key_a {0}, key_b {0}, score double"
 LINK_COLUMNS = "key {0}, root {0}"
 
@@ -59,25 +65,35 @@ def _hits(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Close rows as (left, right, score). Single precision finds them, double decides."""
     left, right = unit_rows(left), unit_rows(right)
-    quick_left, quick_right = left.astype(np.float32), np.ascontiguousarray(right.astype(np.float32).T)
+    quick_left, quick_right = left.astype(np.float32), right.astype(np.float32)
     # No sum of products of unit vectors is further off than this in single precision.
     floor = np.float32(threshold - 1e-6 - 1e-7 * (left.shape[1] + 4))
-    for part in B.row_steps(len(left), len(right)):
-        quick = quick_left[part] @ quick_right
+    for part, columns in _tiles(len(left), len(right), same):
+        quick = quick_left[part] @ quick_right[columns].T
         if same:
-            quick[np.arange(len(quick)), np.arange(part.start, part.stop)] = -2.0
+            both = np.arange(max(part.start, columns.start), min(part.stop, columns.stop))
+            quick[both - part.start, both - columns.start] = -2.0
         rows = np.flatnonzero(quick.max(axis=1) >= floor)
         i, j = np.nonzero(quick[rows] >= floor)
         i = rows[i]
         if same:
-            ahead = i + part.start < j
+            ahead = i + part.start < j + columns.start
             i, j = i[ahead], j[ahead]
         if len(i) * 8 > quick.size:
-            score = rounded((left[part] @ right.T)[i, j])
+            score = rounded((left[part] @ right[columns].T)[i, j])
         else:
-            score = rounded(_exact(left[part], right, i, j))
+            score = rounded(_exact(left[part], right[columns], i, j))
         kept = score >= threshold
-        yield i[kept] + part.start, j[kept], score[kept]
+        yield i[kept] + part.start, j[kept] + columns.start, score[kept]
+
+
+def _tiles(n_left: int, n_right: int, same: bool) -> Iterator[tuple[slice, slice]]:
+    """Rows and columns of score matrices within `MATRIX_ENTRIES`, neither of them few; of equal sides only above the diagonal."""
+    for part in B.row_steps(n_left, min(n_right, TILE_COLUMNS)):
+        for first in range(0, n_right, TILE_COLUMNS):
+            columns = slice(first, min(first + TILE_COLUMNS, n_right))
+            if not same or columns.stop > part.start + 1:
+                yield part, columns
 
 
 def _emit_pairs(threshold: float):
@@ -167,6 +183,17 @@ def _mean_visits(sample: np.ndarray, pivots: np.ndarray, reach: float) -> float:
     return found / max(1, len(sample))
 
 
+def _prunes_nothing(sample: np.ndarray, pivots: np.ndarray, threshold: float) -> bool:
+    """Whether cells of these pivots still compare over half of all pairs, by the sample, and hardly a row is linked by its pivot.
+
+    A row meets half of its own cell's rows and all guests of it: with v
+    visits a row of c cells, this is (2 v - 1) / c of all pairs.
+    """
+    visits = _mean_visits(sample, pivots, _reach(threshold))
+    linked = sum((sample[part] @ pivots.T >= threshold).any(axis=1).sum() for part in B.row_steps(len(sample), len(pivots)))
+    return 2.0 * visits - 1.0 > len(pivots) / 2.0 and linked < CORE_SHARE * len(sample)
+
+
 def _gaps(pivots: np.ndarray) -> np.ndarray | None:
     """Distances of all pivots, if they are few enough to be kept."""
     return np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0)) if len(pivots) <= 2048 else None
@@ -295,7 +322,9 @@ def _similarity_join(
     Cells of more than ``split_blocks`` blocks, as there are once the pivots
     no longer fit into one broadcast (or are more than ``most_cells``), are cut
     into cells of their own. There is a cell for each ``block_rows`` rows, or
-    fewer if rows would visit too many of them (see `blocks`).
+    fewer if rows would visit too many of them (see `blocks`). Where cells
+    would prune nothing, and none or smaller blocks are asked for, there are none and
+    all blocks are compared (`compare_all`).
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
@@ -310,6 +339,8 @@ def _similarity_join(
     pivot_keys, pivots = B.choose_pivots(vectors, count, size.n)
     if len(pivots) > 1:
         sample, units = unit_rows(B.sample_rows(vectors, size.n)), unit_rows(pivots)
+        if most_cells is None and block_rows >= B.BLOCK_ROWS and _prunes_nothing(sample, units, threshold):
+            return B.compare_all(vectors, size.n, size.dim, compare, schema, block_rows)
         allowed = B.copies_allowed(size.n, size.dim)
         count = B.fewer_cells(len(pivots), allowed, lambda some: _mean_visits(sample, units[:some], _reach(threshold)))
         pivot_keys, pivots = pivot_keys[:count], pivots[:count]

@@ -345,3 +345,48 @@ def test_codes_are_made_some_rows_at_a_time(spark):
     made = list(run(iter([batch])))
     assert max(part.num_rows for part in made) * (20 * 50 + lsh.SKETCH_BITS) <= blocks.MATRIX_ENTRIES
     assert [k for part in made for k in part["key"].to_pylist()] == list(range(3000))
+
+
+@pytest.mark.parametrize("budget", [None, 24 * 4 * 40])
+def test_rows_that_no_cell_keeps_apart_are_shuffled_once(spark, monkeypatch, budget):
+    """Unrelated vectors: blocks are written once and their product compared, so no row is copied for a cell or a block."""
+    from framesift.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 50)
+    if budget:
+        monkeypatch.setattr(blocks, "BROADCAST_BYTES", budget)  # more blocks, of 40 rows
+    monkeypatch.setattr(blocks, "compare_blocks", None)
+    matrix = np.random.default_rng(5).normal(size=(300, 24))
+    matrix[200:220] = matrix[:20] + 0.01
+    frame = spark.createDataFrame(vector_rows(matrix), VECTORS)
+    want = brute_pairs(matrix.astype(np.float32), 0.7)
+    got = near_duplicates.near_duplicate_pairs(frame, "key", "vec", 0.7, block_rows=50).collect()
+    assert len(got) == len(want) > 20 and {(r.key_a, r.key_b) for r in got} == set(want)
+    groups = duplicates.near_duplicate_groups(frame, "key", "vec", 0.7, block_rows=50)
+    assert {r.key: r.group_id for r in groups.collect()} == components(want)
+
+
+def test_cells_that_prune_or_link_are_kept():
+    rng = np.random.default_rng(6)
+    corners = np.repeat(np.eye(16), 20, axis=0) + 0.1 * rng.normal(size=(320, 16))
+    corners /= np.linalg.norm(corners, axis=1, keepdims=True)
+    loose = rng.normal(size=(320, 16))
+    loose /= np.linalg.norm(loose, axis=1, keepdims=True)
+    assert not near_duplicates._prunes_nothing(corners, np.eye(16), 0.99)  # clusters prune
+    assert not near_duplicates._prunes_nothing(corners, np.eye(16), 0.7)  # pivots link their clusters
+    assert near_duplicates._prunes_nothing(loose, loose[:16] @ np.linalg.qr(rng.normal(size=(16, 16)))[0], 0.9)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_tiles_cover_all_pairs(monkeypatch, same):
+    """Large blocks are compared in tiles of many rows, not in strips of a few rows and all columns."""
+    from framesift.operators import blocks
+
+    assert len({part.start for part, _ in near_duplicates._tiles(1000, 131072, False)}) < 10
+    monkeypatch.setattr(near_duplicates, "TILE_COLUMNS", 7)
+    monkeypatch.setattr(blocks, "MATRIX_ENTRIES", 21)
+    left = np.random.default_rng(7).normal(size=(40, 5))
+    right = left if same else np.random.default_rng(8).normal(size=(33, 5))
+    found = [(int(a), int(b)) for i, j, _ in near_duplicates._hits(left, right, 0.2, same) for a, b in zip(i, j)]
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(scores(left, right) >= 0.2)) if a < b or not same}
+    assert len(found) == len(set(found)) and set(found) == want
