@@ -35,6 +35,10 @@ MOST_BITS, BUCKET_WORTH = 30, 32
 #: Bits of a sketch, and the share of pairs at the threshold it may sort out.
 SKETCH_BITS, SKETCH_LOSS = 64, 1e-5
 
+#: Rows of a bucket up to which Spark joins it with itself; a larger one is compared in blocks. A row
+#: meets no more others than that, and a block in Python costs as much as some ten thousand pairs joined.
+JOINED_ROWS = 256
+
 
 def _same_side(threshold: float) -> float:
     """Chance that vectors at the threshold lie on the same side of a random plane."""
@@ -126,14 +130,40 @@ def _emit_alike(limit: int):
     return compare
 
 
-def _alike(rows: DataFrame, rules: list[B.Rule], limit: int, block_rows: int) -> DataFrame:
-    """Distinct pairs (key, other), other being lower, that ``rules`` compare inside the buckets of ``rows``."""
+def _joined(rows: DataFrame, rules: list[B.Rule], limit: int) -> DataFrame:
+    """Pairs (key, other) that ``rules`` compare inside the small buckets of ``rows``, which have a ``number`` each."""
+    left = rows.select("cell", F.col("role").alias("left"), "key", F.col("sketch").alias("mine"), "number")
+    right = rows.select(
+        "cell", F.col("role").alias("right"), F.col("key").alias("met"), F.col("sketch").alias("theirs"), F.col("number").alias("next")
+    )
+    asked = F.lit(False)
+    for a, b, _ in rules:
+        asked |= ((F.col("left") == a) & (F.col("right") == b)) | ((F.col("left") == b) & (F.col("right") == a))
+    pairs = left.join(right, "cell").filter((F.col("number") < F.col("next")) & asked & (_apart("mine", "theirs") <= limit))
+    pairs = pairs.filter(F.col("key").isNotNull() & F.col("met").isNotNull())
+    return pairs.select(F.greatest("key", "met").alias("key"), F.least("key", "met").alias("other"))
+
+
+def _alike(rows: DataFrame, rules: list[B.Rule], limit: int, block_rows: int, joined_rows: int = JOINED_ROWS) -> DataFrame:
+    """Distinct pairs (key, other), other being lower, that ``rules`` compare inside the buckets of ``rows``.
+
+    ``rows`` is written out. Most buckets hold a few rows, and there are more
+    of them than vectors: those of up to ``joined_rows`` are one join, and only
+    larger ones are groups in Python, cut into blocks.
+    """
     key_type = rows.schema["key"].dataType.simpleString()
     sizes = cut_lineage(rows.groupBy("cell", "role").agg(F.count("*").alias("n")))
+    large = cut_lineage(sizes.groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > joined_rows).select("cell"))
+    numbered = rows.withColumn("number", F.monotonically_increasing_id())
+    if large.isEmpty():
+        return _joined(numbered, rules, limit).distinct()
+    found = _joined(filter_by_keys(numbered, large, "cell", keep=False), rules, limit)
     halves = F.array(F.col("sketch").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("sketch", 32))
-    narrow = rows.select("cell", "role", "key", halves.alias("vec"))
+    narrow = filter_by_keys(rows, large, "cell", keep=True).select("cell", "role", "key", halves.alias("vec"))
+    sizes = sizes.join(large, "cell", "left_semi")
     schema = f"key {key_type}, other {key_type}"
-    return B.compare_blocks(narrow, sizes, rules, _emit_alike(limit), schema, block_rows, few_cells=False).distinct()
+    blocks = B.compare_blocks(narrow, sizes, rules, _emit_alike(limit), schema, block_rows, few_cells=False)
+    return found.unionByName(blocks).distinct()
 
 
 def _cosines(left: pa.Array, right: pa.Array) -> pa.Array:

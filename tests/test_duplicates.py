@@ -390,3 +390,27 @@ def test_tiles_cover_all_pairs(monkeypatch, same):
     found = [(int(a), int(b)) for i, j, _ in near_duplicates._hits(left, right, 0.2, same) for a, b in zip(i, j)]
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(scores(left, right) >= 0.2)) if a < b or not same}
     assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_small_buckets_are_joined(spark, monkeypatch):
+    """Only buckets of many rows become groups in Python; the pairs are those of all buckets, by roles."""
+    rng = np.random.default_rng(9)
+    rows = [(int(c), "n" if k % 3 else "c", int(k), int(rng.integers(0, 1 << 12))) for k in range(600) for c in rng.integers(1, 300, 2)]
+    rows += [(0, "n" if k % 3 else "c", int(k), int(rng.integers(0, 1 << 12))) for k in range(90)]
+    rows = list({(c, k): (c, r, k, s) for c, r, k, s in rows}.values())
+    frame = spark.createDataFrame(rows + [(1, "n", None, 5)], "cell long, role string, key long, sketch long")
+    frame = lsh.cut_lineage(frame.repartition(4))
+    want = {
+        (max(a[2], b[2]), min(a[2], b[2]))
+        for a, b in itertools.combinations(rows, 2)
+        if a[0] == b[0] and (a[1], b[1]) != ("c", "c") and (a[3] ^ b[3]).bit_count() <= 4
+    }
+    grouped, plain = [], lsh.B.compare_blocks
+    monkeypatch.setattr(
+        lsh.B, "compare_blocks", lambda rows, *rest, **named: grouped.append({r.cell for r in rows.collect()}) or plain(rows, *rest, **named)
+    )
+    rules = [("n", "n", 0), ("n", "c", 1)]
+    for joined_rows, cells in ((50, [{0}]), (1000, [])):
+        del grouped[:]
+        pairs = [(r.key, r.other) for r in lsh._alike(frame, rules, 4, 30, joined_rows).collect()]
+        assert len(pairs) == len(want) and set(pairs) == want and grouped == cells
