@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from framesift.plans.stand_ins import HashEncoder
 from framesift.operators import changes, embed, index
 from framesift.operators.keys import filter_by_keys
-from framesift.sources import tables
+from framesift.sources import image_files, tables
+from framesift.streaming.files import sync_files
 from framesift.streaming.sync import arriving_rows, sync_index
 
 ROWS = "file_path string, embeddings array<float>"
@@ -184,3 +185,34 @@ def test_text_index(spark):
     texts = spark.createDataFrame([(1, "a"), (2, None)], "id int, text string")
     rows = index.text_index_rows(texts, "id", "text", lambda: HashEncoder(8), 8).select("id", F.size("embeddings"))
     assert [tuple(r) for r in rows.collect()] == [(1, 8)]
+
+
+def test_sync_of_many_files(spark, tmp_path, monkeypatch):
+    """The listing is not the driver's; what changed, went and came between two runs is taken in."""
+    monkeypatch.setattr(image_files, "DRIVER_FILES", 1)
+    load = type(spark.read).load
+    root, listed = tmp_path / "crops", []
+
+    def watched(self, path=None, *args, **options):
+        listed.append(str(path))
+        return load(self, path, *args, **options)
+
+    monkeypatch.setattr(type(spark.read), "load", watched)
+    (root / "deep").mkdir(parents=True)
+    for n in range(12):
+        (root / ("deep" if n % 2 else "") / f"{n}.jpg").write_bytes(b"x" * n)
+
+    def run():
+        found = sync_files(
+            spark, str(root), str(tmp_path / "index"), str(tmp_path / "progress"), lambda rows: embed.embed_images(rows, HashEncoder, "image_base64"), 64
+        )
+        return {(r.folder, r.file_name, r.size_bytes, len(r.embeddings)) for r in found.collect()}
+
+    expected = {("deep" if n % 2 else "", f"{n}.jpg", n, 64) for n in range(1, 12)}
+    assert run() == expected
+    (root / "2.jpg").unlink()
+    (root / "4.jpg").write_bytes(b"changed")
+    (root / "new.jpg").write_bytes(b"new")
+    expected -= {("", "2.jpg", 2, 64), ("", "4.jpg", 4, 64)}
+    assert run() == expected | {("", "4.jpg", 7, 64), ("", "new.jpg", 3, 64)}
+    assert not [path for path in listed if str(root) in path]
